@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, topk, urls
+from . import chat, counts, neardup, packing, quality, topk, urls, viterbi
 from .common import table
 
 
@@ -13,6 +13,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> bytes:
+    """The content of a public tokenizer's file, read on the driver; executors get it with the job."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as held:
+        return held.read()
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.check_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge(pages, urls.junk_keys(pages))
@@ -23,6 +35,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
+
+
+def op8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that the query adds, to show that control strings survive.
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -42,7 +66,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_urls": op3_urls, "op4_topk": op4_topk, "op10_chat": op10_chat}
+QUERIES = {
+    "op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op3_urls": op3_urls, "op4_topk": op4_topk, "op6_packing": op6_packing,
+    "op8_counts": op8_counts, "op9_neardup": op9_neardup, "op10_chat": op10_chat,
+}
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
@@ -64,6 +91,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_neardup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT id, n, unnest(s) AS x FROM c),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS i, a.n AS na, b.n AS nb FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 3 * greatest(a.n, b.n) <= 4 * least(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+y AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT a, a FROM y UNION SELECT y.b, r.root FROM r JOIN y ON y.a = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, c.id, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, c.id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.id = c.id""",
     "op10_chat": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
