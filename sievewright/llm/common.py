@@ -30,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again, which cuts its lineage with files that outlive an executor."""
+def staged(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again, which cuts its lineage with files that outlive an executor. files: for small tables, into how many files at most."""
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/sievewright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _forget_at_exit(spark, path)

@@ -41,6 +41,8 @@ FLOOR = (0.05, 0.04, 0.12, 0.12)
 #: Words, and lines, at which a text's own shares and means are trusted half: with fewer, chance alone moves them.
 TRUST, TRUST_LINES = 200, 10
 BROADCAST_GROUPS = 20_000
+#: Files of a staged table: FEW, and one more for each ROWS_A_FILE rows.
+FEW, ROWS_A_FILE = 8, 250_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -190,19 +192,21 @@ def fit(stats: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates: a row (lang, source, at, inv) for each group of describe()'s rows."""
     ok = stats.filter(~F.col("base_failed")).select("__lang", "__source", *_vector())
     sizes = ok.groupBy("__lang", "__source").agg(F.count("*").alias("n")).select(F.col("__lang"), F.col("__source"), "n")
-    sizes = staged(sizes, "quality-groups")
+    sizes = staged(sizes, "quality-groups", FEW)
+    all_rows = sizes.agg(F.sum("n")).first()[0] or 0
+    files = FEW + all_rows // ROWS_A_FILE
     langs = sizes.groupBy("__lang").agg(F.sum("n").alias("n_lang"))
     chosen = sizes.join(langs, "__lang").select(
         "__lang", "__source",
         F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("s\0"), "__lang", F.lit("\0"), "__source")).when(F.col("n_lang") >= MIN_GROUP, F.concat(F.lit("l\0"), "__lang")).otherwise(F.lit("a")).alias("g"),
     )
-    counted = staged(ok.groupBy("__lang", "__source", *X).agg(F.count("*").alias("c")), "quality-vectors")
+    counted = staged(ok.groupBy("__lang", "__source", *X).agg(F.count("*").alias("c")), "quality-vectors", files)
     # a row counts towards its own group, its language and all rows; groups that nobody uses are dropped
     wide = counted.select(
         F.explode(F.array(F.concat(F.lit("s\0"), "__lang", F.lit("\0"), "__source"), F.concat(F.lit("l\0"), "__lang"), F.lit("a"))).alias("g"), *X, "c"
     ).groupBy("g", *X).agg(F.sum("c").alias("c"))
     used = chosen.select("g").distinct()
-    vectors = staged(wide.join(_bounded(used), "g", "left_semi"), "quality-used")
+    vectors = staged(wide.join(_bounded(used), "g", "left_semi"), "quality-used", files)
     model = None
     for step in range(STEPS + 1):
         if model is None:
@@ -212,23 +216,21 @@ def fit(stats: DataFrame) -> DataFrame:
             spread = [F.pow((F.get(F.col(f"q{x}"), F.lit(2)) - F.get(F.col(f"q{x}"), F.lit(0))) / (1.349 * GRID), 2) for x in X]
             diagonal = F.array(*(spread[i] + FLOOR[i] ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(P)))
             median = first.select("g", F.array(*(F.get(F.col(f"q{x}"), F.lit(1)) / float(GRID) for x in X)).alias("at"), _inverted(diagonal).alias("inv"), F.lit(0).alias("start"))
-            model = staged(whole.unionByName(median), "quality-start")
+            model = staged(whole.unionByName(median), "quality-start", FEW)
             continue
         far = vectors.join(_bounded(model), "g").select("g", "start", *X, "c", _distance().alias("d"))
         far = far.withColumn("bin", F.floor(F.log2(F.col("d") + 1 / 1024) * 16).cast("int"))
         # moments by group, start and bin of distance; the cut is the first bin at which the support is full
         binned = far.groupBy("g", "start", "bin").agg(*_moments(F.col("c")))
-        binned = staged(binned, "quality-bins")
+        binned = staged(binned, "quality-bins", FEW)
         by = "PARTITION BY g, start"
         held = binned.withColumn("upto", F.expr(f"sum(n) OVER ({by} ORDER BY bin)")).withColumn("whole", F.expr(f"sum(n) OVER ({by})"))
         held = held.filter(F.col("upto") - F.col("n") < F.ceil(F.col("whole") * SUPPORT))
         total = held.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{x}" for x in X), *(f"s{i}{j}" for i, j in PAIRS)]))
-        model = staged(_model(total, ["g", "start"], consistency()), "quality-step")
+        model = staged(_model(total, ["g", "start"], consistency()), "quality-step", FEW)
     best = model.groupBy("g").agg(F.min_by(F.struct("at", "inv"), F.struct(F.col("inv")["ld"], F.col("start"))).alias("m"))
-    enough = sizes.agg(F.sum("n").alias("n_all"))
     out = chosen.join(best, "g").select(F.col("__lang"), F.col("__source"), F.col("g"), F.col("m")["at"].alias("at"), F.col("m")["inv"].alias("inv"))
-    all_rows = enough.collect()[0][0] or 0
-    return staged(out.filter(F.lit(all_rows >= MIN_GROUP)), "quality-model")
+    return staged(out.filter(F.lit(all_rows >= MIN_GROUP)), "quality-model", FEW)
 
 
 def verdicts(stats: DataFrame, model: DataFrame) -> DataFrame:
