@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, neardup, packing, quality, topk, urls, viterbi
+from . import chat, counts, hmm, neardup, packing, quality, topk, urls, viterbi
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -68,7 +72,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op3_urls": op3_urls, "op4_topk": op4_topk, "op6_packing": op6_packing,
-    "op8_counts": op8_counts, "op9_neardup": op9_neardup, "op10_chat": op10_chat,
+    "op7_hmm": op7_hmm, "op8_counts": op8_counts, "op9_neardup": op9_neardup, "op10_chat": op10_chat,
 }
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
