@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, hmm, neardup, packing, quality, topk, urls, viterbi
+from . import chat, counts, hmm, neardup, packing, pii, quality, topk, urls, viterbi
 from .common import table
 
 
@@ -35,6 +35,13 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    number = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *(number(k) for k in range(len(pii.KINDS))), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
@@ -71,7 +78,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op3_urls": op3_urls, "op4_topk": op4_topk, "op6_packing": op6_packing,
+    "op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op3_urls": op3_urls, "op4_topk": op4_topk, "op5_pii": op5_pii, "op6_packing": op6_packing,
     "op7_hmm": op7_hmm, "op8_counts": op8_counts, "op9_neardup": op9_neardup, "op10_chat": op10_chat,
 }
 
