@@ -8,12 +8,12 @@ similarity 0.75 miss each other in all 32 buckets with probability 5e-6.
 1. Documents with equal sets are one class, for which its smallest doc_id stands from here on.
 2. In each bucket one hub, the member that shares most buckets with others, is paired with the other members (a star:
    as many pairs as members). Pairs are confirmed on their full sets, confirmed links are contracted to components.
-3. Buckets that still hold members of several components are compared whole, in blocks of at most BLOCK members, and
-   pairs across components are confirmed too. So no link between different texts of one bucket is left out, and pairs
-   are made only where a star didn't show the members to belong together.
+3. Buckets that still hold members of several components are compared whole, in blocks of about BLOCK members: their
+   sets' SKETCH least hashes, the whole set where it isn't larger, are intersected by matrix products. Pairs across
+   components that may be links are confirmed on full sets too. So no link between different texts of one bucket is left
+   out, and pairs are made only where a star didn't show the members to belong together.
 
-Signatures rule a pair out before its sets are fetched only if both sets have at least BINS shingles and fewer than
-half of their bins agree, which a pair of similarity 0.75 doesn't do by more than five standard deviations.
+Sketches of larger sets rule a pair out if its estimated similarity is below 0.75 by more than five standard deviations.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; fewer than five words are one shingle;
 rows with one doc_id are one document with several texts; a row with null doc_id has a null component and is kept;
@@ -32,12 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, ship, staged
+from .urls import contains, level
 
 WORDS = 5
 BINS = 128
 BANDS = 32
 SHARE, OF = 75, 100
 BLOCK = 256
+SKETCH = 512
+COLUMNS = 8_192
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -108,20 +111,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
         some = [u for u in sets if len(u)]
         values = signature(some) if some else np.empty((0, BINS), dtype=np.uint64)
-        keys, low = band_keys(values).view(np.int64), (values & np.uint64(255)).astype(np.uint8)
+        keys = band_keys(values).view(np.int64)
         out: list = []
         k = 0
         for u in sets:
             if not len(u):
-                out.append((0, 0, 0, None, None))
+                out.append((0, 0, 0, None))
                 continue
             raw = u.tobytes()
-            out.append((len(u), xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh64_intdigest(raw) - 2**63, keys[k], low[k].tobytes()))
+            out.append((len(u), xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh64_intdigest(raw) - 2**63, keys[k]))
             k += 1
-        n, a, b, ks, sig = zip(*out, strict=True) if out else ((),) * 5
+        n, a, b, ks = zip(*out, strict=True) if out else ((),) * 4
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ks, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-            ["doc_id", "n_shingles", "sa", "sb", "keys", "sig"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ks, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "sa", "sb", "keys"],
         )
 
 
@@ -156,35 +159,72 @@ def contract(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _common(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections. Hashes that only one sketch has are left out first; the rest are columns of 0 and 1, some at a time."""
+    every = np.concatenate(sketches)
+    _, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    rows = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    use = shared[place]
+    rows, cols = rows[use], column[place[use]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    total = np.zeros((len(sketches), len(sketches)), dtype=np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(cols, [at, at + COLUMNS])
+        m = np.zeros((len(sketches), COLUMNS), dtype=np.float32)
+        m[rows[a:b], cols[a:b] - at] = 1
+        total += m @ m.T
+    return total
+
+
+def possible(n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets, of sizes n, may be links by their sketches."""
+    cut = np.array([len(x) < k for x, k in zip(sketches, n, strict=True)])
+    if cut.any():  # compare what all sketches reach to
+        top = min(x[-1] for x, c in zip(sketches, cut, strict=True) if c)
+        sketches = [x[: np.searchsorted(x, top, side="right")] for x in sketches]
+    common = _common(sketches)
+    size = np.array([len(x) for x in sketches], dtype=np.float32)
+    union = np.maximum(size[:, None] + size[None, :] - common, 1)
+    share = SHARE / OF
+    slack = 5 * np.sqrt(share * (1 - share) / union) if cut.any() else 1e-6
+    return common / union >= share - slack
+
+
 def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that signatures don't rule out; a row is one block pair: lists of (id, root, n, sig, side)."""
+    """Pairs across components that may be links; a row is one block, or a pair of blocks: a list of (id, root, n, s, side)."""
     for batch in batches:
         left, right = [], []
-        for members in batch.column("members").to_pylist():
-            ids = np.array([m["id"] for m in members], dtype=np.int64)
-            roots = np.array([m["root"] for m in members], dtype=np.int64)
-            n = np.array([m["n"] for m in members], dtype=np.int64)
-            side = np.array([m["side"] for m in members], dtype=np.int64)
-            sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(len(members), BINS)
-            for r in range(len(members)):
-                other = (roots != roots[r]) & (ids > ids[r])
-                if side.any():  # two blocks: only across
-                    other &= side != side[r]
-                at = np.flatnonzero(other)
-                if not len(at):
+        for at in range(batch.num_rows):
+            members = batch.column("members")[at].as_py()
+            ids, roots, n, side = (np.array([m[k] for m in members], dtype=np.int64) for k in ("id", "root", "n", "side"))
+            if len(np.unique(roots)) < 2:
+                continue
+            sketches = [np.array(m["s"], dtype=np.int64).view(np.uint64) for m in members]
+            # sizes of linked sets differ by a third at most, so that they are in one class or in neighbours
+            level = np.floor(np.log(n) / np.log(OF / SHARE)).astype(np.int64)
+            for g in np.unique(level):
+                own = np.flatnonzero((level == g) | (level == g + 1))
+                if len(own) < 2 or len(np.unique(roots[own])) < 2:
                     continue
-                same = (sig[at] == sig[r]).sum(axis=1)
-                fits = 3 * np.maximum(n[at], n[r]) <= 4 * np.minimum(n[at], n[r])
-                near = fits & ((2 * same >= BINS) | (np.minimum(n[at], n[r]) < BINS))
-                left.extend([ids[r]] * int(near.sum()))
-                right.extend(ids[at[near]].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                fits = possible(n[own], [sketches[k] for k in own])
+                fits &= (roots[own][:, None] != roots[own][None, :]) & (ids[own][:, None] < ids[own][None, :])
+                fits &= (level[own] == g)[:, None] | (level[own] == g)[None, :]
+                if side.any():  # two blocks: only across
+                    fits &= side[own][:, None] != side[own][None, :]
+                a, b = np.nonzero(fits)
+                left.append(ids[own[a]])
+                right.append(ids[own[b]])
+        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, dtype=np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([join(left), join(right)], ["a", "b"])
 
 
 def describe(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, sa, sb, keys, sig), a row for each row of df."""
+    """(doc_id, n_shingles, sa, sb, keys), a row for each row of df."""
     ship(df.sparkSession)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_describe, "doc_id long, n_shingles long, sa long, sb long, keys array<long>, sig binary")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_describe, "doc_id long, n_shingles long, sa long, sb long, keys array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,7 +236,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _fetch(df: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    key = F.col("doc_id").cast("string")
+    try:  # a Bloom filter keeps most other texts out of the shuffle
+        bits = level(ids.select(F.col("id").cast("string").alias("k")), ids.count(), 0, 0.01)
+        texts = texts.filter(contains(key, 0, *bits))
+    except OverflowError:  # too many ids for a filter that may travel
+        pass
+    texts = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return staged(texts.mapInArrow(_sets, "id long, s array<long>"), "near-sets")
 
 
@@ -204,7 +251,7 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of df."""
     slim = staged(describe(df, text_col), "near-signatures")
     some = slim.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = staged(some.groupBy("n_shingles", "sa", "sb").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("keys", "sig"), "doc_id").alias("k")).select("id", "n_shingles", "sa", "sb", "k.keys", "k.sig"), "near-classes")
+    reps = staged(some.groupBy("n_shingles", "sa", "sb").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "near-classes")
 
     banded = reps.select("id", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -220,7 +267,7 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
     stars = stars.join(n.select(F.col("id").alias("a"), F.col("n_shingles").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb")), "b")
     pairs = staged(stars.filter("3 * greatest(na, nb) <= 4 * least(na, nb)").select("a", "b"), "near-pairs")
 
-    asked = members.select("id").distinct()
+    asked = staged(members.select("id").distinct(), "near-asked")
     sets = _fetch(df, asked, text_col)
     links = staged(_confirm(pairs, sets), "near-links")
     roots = staged(contract(links), "near-roots")
@@ -228,12 +275,12 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
     # what the stars left apart
     placed = members.select("key", "id", "n").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
-    apart = placed.join(mixed_keys, "key", "left_semi").join(reps.select("id", F.col("n_shingles"), "sig"), "id")
+    apart = placed.join(mixed_keys, "key", "left_semi").join(sets.select("id", F.size("s").alias("n_shingles"), F.slice("s", 1, SKETCH).alias("s")), "id")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     apart = apart.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     spread = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = spread.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("id", "root", F.col("n_shingles").alias("n"), "sig", (F.col("own") > F.col("other")).cast("int").alias("side"))).alias("members")
+        F.collect_list(F.struct("id", "root", F.col("n_shingles").alias("n"), "s", (F.col("own") > F.col("other")).cast("int").alias("side"))).alias("members")
     )
     across = blocks.select("members").mapInArrow(_pairs_of_blocks, "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

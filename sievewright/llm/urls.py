@@ -56,7 +56,8 @@ def _positions(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod((F.shiftright(a, 2) + i * F.shiftright(step, 4)).cast("long"), F.lit(bits).cast("long")) for i in range(HASHES)]
 
 
-def _has(key: Column, level: int, bits: int, held: bytes) -> Column:
+def contains(key: Column, level: int, bits: int, held: bytes) -> Column:
+    """Whether a Bloom filter made by level() takes a key in."""
     found = F.lit(True)
     data = F.lit(bytearray(held))
     for at in _positions(key, level, bits):
@@ -74,14 +75,15 @@ class Cascade:
     def contains(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
         for k in range(len(self.levels) - 1, -1, -1):
-            out = F.when(~_has(key, k, *self.levels[k]), F.lit(k % 2 == 1)).otherwise(out)
+            out = F.when(~contains(key, k, *self.levels[k]), F.lit(k % 2 == 1)).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
     def size(self) -> int:
         return sum(len(b) for _, b in self.levels)
 
 
-def _level(keys: DataFrame, n: int, level: int, error: float) -> tuple[int, bytes]:
+def level(keys: DataFrame, n: int, level: int, error: float) -> tuple[int, bytes]:
+    """A Bloom filter of n keys (column k) as (bits, bytes). OverflowError if it would pass MAX_BYTES."""
     bits = max(BUCKET, math.ceil(-HASHES * n / math.log(1 - error ** (1 / HASHES)) / BUCKET) * BUCKET)
     if bits // 8 > MAX_BYTES:
         raise OverflowError
@@ -106,10 +108,10 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
         while n[side]:
             # level 1 admits about as many others as there are listed keys; later levels halve what is left
             error = min(0.5, max(1e-6, n[side] / max(1, n[1 - side]) / 2)) if not levels else 0.1
-            levels.append(_level(left[side], n[side], len(levels), error))
+            levels.append(level(left[side], n[side], len(levels), error))
             if Cascade(levels).size() > MAX_BYTES:
                 return None
-            wrong = left[1 - side].filter(_has(F.col("k"), len(levels) - 1, *levels[-1]))
+            wrong = left[1 - side].filter(contains(F.col("k"), len(levels) - 1, *levels[-1]))
             left[1 - side] = staged(wrong, "urls-wrong")
             n[1 - side] = left[1 - side].count()
             side = 1 - side
