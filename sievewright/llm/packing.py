@@ -16,7 +16,10 @@ repeated rows are packed each; extra columns are ignored; an empty table gives n
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, ship, staged
+from .common import ship, staged
 
 CAPACITY = 4096
 END = 2
@@ -32,31 +35,50 @@ BUCKET = 2_000
 GROUP = 128
 
 
+#: A full stop or comma after a lower-case letter or digit, at a word's end: a token of its own. The two-byte letters are those of Latin-1.
+_POINT = re.compile(rb"((?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])[.,])(?=[\x20\x09-\x0D]|$)")
+#: Where these bytes occur, small letters first would not be the same: marks that combine, special strings.
+_CARE = re.compile(rb"[\xcc\xcd]|<\|")
+LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def words(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes alike alone: words, lower-cased and without a last point, so that there are fewer different ones."""
+    if _CARE.search(text):
+        return text.split()
+    return _POINT.sub(lambda m: m[1][:-1] + b" " + m[1][-1:], text.translate(LOWERED)).split()
+
+
 class WordEncoder:
-    """Ids of texts, word by word: the tokenizer drops white space, so that no id spans two words."""
+    """Ids of texts, word by word: the tokenizer drops white space, so that no id spans two words. Two generations of at most `most` words bound the cache."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.cache = WordCache(lambda w: self._ids([w])[0], 400_000)
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.most, self.young, self.old = most, {}, {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
-        split = [t.split() for t in texts]
-        cache = self.cache
-        new = list({w for words in split for w in words if w not in cache and w not in cache.old})
+        split = [words(t) for t in texts]
+        known, new = {}, []
+        for w in set().union(*split):
+            found = self.young.get(w)
+            if found is None:
+                found = self.old.get(w)
+                if found is None:
+                    new.append(w)
+                    continue
+                self.young[w] = found
+            known[w] = found
         if new:
-            made = dict(zip(new, self._ids(new), strict=True))
-            cache.make = made.__getitem__
-            out = [b"".join(map(cache.__getitem__, words)) for words in split]
-            cache.make = lambda w: self._ids([w])[0]
-            return out
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+            made = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
+            made = dict(zip(new, (array("I", x.ids).tobytes() for x in made), strict=True))
+            known |= made
+            self.young |= made
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -78,8 +100,6 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = encoder(held.value)
         for batch in batches:
