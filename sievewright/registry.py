@@ -1,6 +1,459 @@
-"""The registered queries of the reference's own operators, and their SQL."""
+"""The registered queries of the reference's own operators, and their SQL. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import urls as U
+from .operators import changes, chunking, evidence, retrieval, sources
+from .streaming import feeds
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# SQL of the shared functions
+def _clean(x: str) -> str:
+    return rf"trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g'))"
+
+
+def _tokens(x: str) -> str:
+    return f"regexp_extract_all(lower({_clean(x)}), '[a-z0-9_]+')"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split({_clean(x)}, ' '), lambda w: w <> '')"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.RETRIEVAL_STOPWORDS)
+
+
+def _terms(x: str) -> str:
+    return f"list_distinct(list_filter({_tokens(x)}, lambda t: length(t) > 2 AND t NOT IN ({_STOP})))"
+
+
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
+
+
+def _html_text(x: str) -> str:
+    c = rf"regexp_replace(regexp_replace(coalesce({x}, ''), '(?is)<script.*?</script>', chr(10), 'g'), '(?is)<style.*?</style>', chr(10), 'g')"
+    c = rf"regexp_replace({c}, '(?i)</(p|div|section|article|header|footer|main|nav|li|ul|ol|h[1-6]|tr)>|<br\s*/?>', chr(10), 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, '(?i)</t[dh]>', ' | ', 'g'), '<[^>]+>', ' ', 'g')"
+    for a, b in _ENTITIES:
+        c = f"replace({c}, '{a}', '{b}')"
+    return rf"array_to_string(list_filter(list_transform(string_split(replace({c}, chr(13), chr(10)), chr(10)), lambda l: {_clean('l')}), lambda l: l <> ''), chr(10))"
+
+
+_TITLE = _clean("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_PATH = r"regexp_replace(regexp_replace(regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1), ';[^/]*$', ''), '/+$', '')"
+_CANON = rf"CASE WHEN regexp_matches(url, '(?i)^https?://[^/?#]+') THEN lower(regexp_extract(url, '(?i)^(https?)', 1)) || '://' || lower(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1)) || {_PATH} ELSE url END"
+_HOST = "lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1))"
+
+
+@query(f"SELECT doc_id, {_clean('text')} AS text FROM documents")
+def text_clean(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(len({_tokens('text')}) AS INTEGER) AS n_tokens, CAST(len({_terms('text')}) AS INTEGER) AS n_terms, CAST(len({_words('text')}) AS INTEGER) AS n_words FROM documents")
+def text_tokens(spark, sf_dir):
+    c = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(c)).alias("n_tokens"), F.size(T.relevance_terms(c)).alias("n_terms"), T.token_count(c).alias("n_words"))
+
+
+@query(f"SELECT doc_id, sha256({_clean('text')}) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.content_hash(T.clean(F.col("text"))).alias("content_hash"))
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, {_html_text('html')} AS content FROM pages")
+def html_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("content"))
+
+
+@query(rf"SELECT page_id, {_CANON} AS canonical, {_HOST} AS host, regexp_replace({_HOST}, '^www\.', '') || {_PATH} AS url_key FROM pages")
+def url_canonical(spark, sf_dir):
+    c = F.col("url")
+    return _t(spark, sf_dir, "pages").select("page_id", U.canonical(c).alias("canonical"), U.host(c).alias("host"), U.key(c).alias("url_key"))
+
+
+@query(f"SELECT min(page_id) AS page_id, {_CANON} AS canonical, count(*) AS n FROM pages GROUP BY 2")
+def url_dedupe(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").groupBy(U.canonical(F.col("url")).alias("canonical")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '(?i)https?://\S+\.(?:png|jpg|jpeg|gif|svg|webp)\S*', '', 'g'), chr(10))) AS raw,
+  unnest(range(len(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))))) AS line_no FROM documents),
+k AS (SELECT doc_id, line_no, {_clean('raw')} AS line, trim(regexp_replace(lower({_clean('raw')}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS key, len({_words('raw')}) AS n FROM l WHERE {_clean('raw')} <> ''),
+p AS (SELECT * FROM k WHERE key = '' OR NOT ((regexp_matches(line, '(?i)\b({T.NOISE})\b') AND n <= 18) OR starts_with(key, 'home ') OR starts_with(key, 'menu ') OR starts_with(key, 'navigation ') OR starts_with(key, 'search '))),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) AS rn FROM p)
+SELECT doc_id, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS lines_hash FROM r
+WHERE key = '' OR CASE WHEN length(key) <= 4 THEN rn = 1 ELSE rn <= 2 OR n > 24 END GROUP BY doc_id""")
+def doc_noise_lines(spark, sf_dir):
+    kept = sources.clean_documents(_t(spark, sf_dir, "documents"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sha2(joined, 256).alias("lines_hash"))
+
+
+_BLOCKED = " OR ".join(f"contains({{x}}, '{t}')" for t in T.BLOCKED)
+_MISSING = " OR ".join(f"contains({{x}}, '{t}')" for t in T.NOT_FOUND)
+
+
+@query(rf"""
+WITH s AS (SELECT page_id, url, {_TITLE} AS title, {_html_text('html')} AS content FROM pages),
+h AS (SELECT *, lower(title || ' ' || {_clean("substr(content, 1, 500)")} || ' ' || substr({_clean('content')}, 1, 1000)) AS head, lower(title || ' ' || {_clean("substr(content, 1, 500)")}) AS preview,
+  regexp_replace({_HOST}, '^www\.', '') AS h, lower(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1)) AS path FROM s)
+SELECT page_id, {_BLOCKED.format(x='head')} AS blocked, CASE WHEN {_BLOCKED.format(x='head')} THEN 'blocked' WHEN length(content) < 300 THEN 'empty or short' WHEN {_MISSING.format(x='preview')} THEN 'not found'
+  WHEN h IN ('arxiv.org', 'openreview.net', 'pytorch.org', 'tensorflow.org') OR regexp_matches(h, '\.edu$|\.gov$|doi\.org$|docs\.') OR ends_with(path, '.pdf') THEN 'trusted' ELSE 'passed' END AS note FROM h""")
+def source_quality(spark, sf_dir):
+    made = _t(spark, sf_dir, "pages").select("page_id", "url", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("content"))
+    note = sources.quality_note(F.col("title"), F.col("content"), F.col("url"))
+    return made.select("page_id", note.alias("note")).withColumn("blocked", F.col("note") == "blocked")
+
+
+@query(rf"""
+WITH s AS (SELECT page_id, lower(url) AS u, lower({_TITLE}) AS t FROM pages),
+a AS (SELECT *, CASE WHEN contains(u, 'arxiv.org') THEN 1.0 ELSE 0.0 END AS s0 FROM s),
+b AS (SELECT *, greatest(CASE WHEN regexp_matches(u, 'nature\.com|ibm\.com|\.edu|docs\.|documentation') THEN greatest(s0, 0.75) ELSE s0 END, 0.45) AS s1 FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(u, 'geeksforgeeks\.org|medium\.com|blog|erdem\.pl') THEN least(greatest(s1, 0.35), 0.45) ELSE s1 END AS s2 FROM b)
+SELECT page_id, CAST(CASE WHEN regexp_matches(t, 'paper|arxiv|documentation|docs') THEN greatest(s2, 0.7) ELSE s2 END AS DOUBLE) AS authority FROM c""")
+def source_authority(spark, sf_dir):
+    score = U.authority_score(F.col("url"), T.html_title(F.col("html")), F.lit("webpage"), F.lit(""))
+    return _t(spark, sf_dir, "pages").select("page_id", score.alias("authority"))
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, source, lang, {_clean('text')} AS content FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(content) DESC, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n_rows, min(doc_id) OVER (PARTITION BY source) AS first_seen FROM c WHERE content <> '')
+SELECT source, lang, n_rows, first_seen, sha256(content) AS content_hash FROM r WHERE rn = 1""")
+def source_consolidate(spark, sf_dir):
+    made = sources.consolidate(_t(spark, sf_dir, "documents"), "source", "doc_id", T.clean(F.col("text")), {"lang": F.col("lang")})
+    return made.select("source", "lang", "n_rows", "first_seen", "content_hash")
+
+
+@query(f"SELECT sha256({_clean('text')}) AS content_hash, min(doc_id) AS keep, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return sources.exact_duplicates(_t(spark, sf_dir, "documents"), "doc_id", T.clean(F.col("text")))
+
+
+def _runs(spark, sf_dir):
+    """Two runs over all documents: the later one lacks every seventh, the earlier every eleventh; every fifth has changed."""
+    docs = _t(spark, sf_dir, "documents").select(F.concat(F.lit("http://example.com/"), F.col("doc_id").cast("string")).alias("url"), "doc_id", F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("source_quality"))
+    before = docs.filter("doc_id % 11 <> 0").select("url", "content", "source_quality")
+    now = docs.filter("doc_id % 7 <> 0").select(
+        "url", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("\nnew price"))).otherwise(F.col("content")).alias("content"), F.when(F.col("doc_id") % 13 == 0, F.lit("other")).otherwise(F.col("source_quality")).alias("source_quality")
+    )
+    return before, now
+
+
+_RUNS = f"""
+d AS (SELECT 'http://example.com/' || doc_id AS url, doc_id, coalesce(text, '') AS content, lang FROM documents),
+a AS (SELECT url, sha256({_clean('content')}) AS previous_hash, CAST(length({_clean('content')}) AS INTEGER) AS previous_length, lang AS pq FROM d WHERE doc_id % 11 <> 0),
+e AS (SELECT url, CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || 'new price' ELSE content END AS content, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE lang END AS nq FROM d WHERE doc_id % 7 <> 0),
+b AS (SELECT url, sha256({_clean('content')}) AS new_hash, CAST(length({_clean('content')}) AS INTEGER) AS new_length, nq FROM e),
+diff AS (SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN previous_hash = new_hash THEN 'unchanged' ELSE 'changed' END AS change,
+  previous_hash, new_hash, previous_length, new_length, coalesce(pq <> nq, false) AS quality_changed FROM a FULL JOIN b ON a.url = b.url)"""
+
+
+@query(f"WITH {_RUNS} SELECT * FROM diff")
+def run_diff(spark, sf_dir):
+    return changes.diff_runs(*_runs(spark, sf_dir))
+
+
+@query(f"WITH {_RUNS} SELECT change, count(*) AS n FROM diff GROUP BY change")
+def change_summary(spark, sf_dir):
+    return changes.summary(changes.diff_runs(*_runs(spark, sf_dir)))
+
+
+@query(f"""WITH {_RUNS}
+SELECT coalesce(a.url, diff.url) AS url, coalesce(diff.new_hash, a.previous_hash) AS content_hash, CASE WHEN change = 'removed' THEN false ELSE true END AS active,
+  CASE WHEN change IN ('added', 'changed', 'removed') THEN 2 ELSE 1 END AS updated_at FROM a FULL JOIN diff ON a.url = diff.url""")
+def history_merge(spark, sf_dir):
+    before, now = _runs(spark, sf_dir)
+    history = before.select("url", T.content_hash(T.clean(F.col("content"))).alias("content_hash"), F.lit(True).alias("active"), F.lit(1).alias("updated_at"))
+    return changes.merge_history(history, changes.diff_runs(before, now), F.lit(2))
+
+
+@query(f"""WITH {_RUNS}
+SELECT b.url, CASE WHEN previous_hash IS NULL THEN 'add' WHEN previous_hash = new_hash AND length(b.url) % 2 = 0 THEN 'skip' ELSE 'replace' END AS action FROM b LEFT JOIN a ON a.url = b.url""")
+def index_plan(spark, sf_dir):
+    before, now = _runs(spark, sf_dir)
+    hashed = lambda df: df.select("url", T.content_hash(T.clean(F.col("content"))).alias("content_hash"))
+    return changes.index_plan(hashed(before).withColumn("schema_version", F.when(F.length("url") % 2 == 0, 7).otherwise(6)), hashed(now), 7)
+
+
+@query()
+def line_diff(spark, sf_dir):
+    before, now = _runs(spark, sf_dir)
+    return changes.line_diff(before.select("url", F.col("content").alias("previous")).join(now.select("url", F.col("content").alias("current")), "url"))
+
+
+_CHUNKS = f"""
+w AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 1200 THEN 1 ELSE 1 + CAST(ceil((len(w) - 1200) / 1020.0) AS INTEGER) END AS n_chunks FROM w),
+c AS (SELECT doc_id, n_chunks, w, unnest(range(n_chunks)) AS chunk_index FROM n),
+k AS (SELECT doc_id, n_chunks, chunk_index, w[chunk_index * 1020 + 1 : chunk_index * 1020 + 1200] AS s FROM c)"""
+
+
+def _chunks(spark, sf_dir):
+    return chunking.windows(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(n_chunks AS INTEGER) AS n_chunks, CAST(len(s) AS INTEGER) AS token_count, sha256(array_to_string(s, ' ')) AS chunk_hash FROM k")
+def chunk_windows(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", "n_chunks", "token_count", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query(f"""WITH {_CHUNKS}
+SELECT k.doc_id, CAST(k.chunk_index AS INTEGER) AS chunk_index, sha256(CASE WHEN p.s IS NULL THEN '' ELSE array_to_string(p.s[greatest(len(p.s) - 180, 0) + 1 :], ' ') || chr(10) || chr(10) END || array_to_string(k.s, ' ')) AS chunk_hash
+FROM k LEFT JOIN k p ON p.doc_id = k.doc_id AND p.chunk_index = k.chunk_index - 1""")
+def chunk_overlap(spark, sf_dir):
+    made = chunking.with_overlap(_chunks(spark, sf_dir), ["doc_id"])
+    return made.select("doc_id", "chunk_index", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query(f"""WITH {_CHUNKS}
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, 'chunk-' || sha256('key:' || doc_id || ':' || chunk_index) AS chunk_id, 'parent-' || substr(sha256('key:' || doc_id || ':' || chunk_index || ':' || array_to_string(s, ' ')), 1, 16) AS parent_id FROM k""")
+def chunk_ids(spark, sf_dir):
+    key, url, at = F.lit("key"), F.col("doc_id").cast("string"), F.col("chunk_index")
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", T.chunk_id(key, url, at).alias("chunk_id"), T.parent_id(key, url, at, F.col("chunk")).alias("parent_id"))
+
+
+_BENCH = " OR ".join(f"contains(lower(text), '{t}')" for t in T.BENCHMARK_TERMS)
+
+
+@query(rf"""SELECT doc_id, coalesce(regexp_matches(text, '(?i)\\(?:frac|sum|sqrt|top|operatorname)|\b(?:softmax|sqrt)\s*\(') OR regexp_matches(text, '[A-Za-z0-9_{{}}()\\]+\s*=\s*[^=\n]{{4,}}'), false) AS has_formula_signal,
+  coalesce(regexp_matches(text, '\b(?:torch\.|tf\.|keras\.)[A-Za-z0-9_.]+'), false) AS has_api_signal, coalesce({_BENCH}, false) AS has_benchmark_signal FROM documents""")
+def chunk_signals(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.signals(F.col("text")).items()))
+
+
+@query()
+def signal_chunks(spark, sf_dir):
+    return chunking.signal_chunks(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text")).select("doc_id", "position", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query(f"""WITH {_CHUNKS}
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(floor(greatest(chunk_index * 1020 - 1200, 0) / 2760) AS INTEGER) AS parent_index FROM k""")
+def parent_assign(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    parents = chunking.windows(docs, ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
+    return chunking.assign_parents(_chunks(spark, sf_dir), parents, ["doc_id"], chunking.SIZE - chunking.OVERLAP, chunking.SIZE).select("doc_id", "chunk_index", "parent_index")
+
+
+_BM25 = f"""
+dt AS (SELECT doc_id AS d, {_tokens('text')} AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
+ask AS (SELECT q, t, count(*) AS qtf FROM (SELECT item_id AS q, unnest({_tokens('text')}) AS t FROM benchmark) GROUP BY q, t),
+post AS (SELECT t, d, dl, count(*) AS tf FROM (SELECT d, len(w) AS dl, unnest(w) AS t FROM dt) WHERE t IN (SELECT t FROM ask) GROUP BY t, d, dl),
+dfs AS (SELECT t, count(*) AS df FROM post GROUP BY t),
+wt AS (SELECT post.t, d, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w FROM post JOIN dfs ON dfs.t = post.t, st),
+sc AS (SELECT q, d, round(sum(w * qtf), 6) AS score FROM wt JOIN ask ON ask.t = wt.t GROUP BY q, d),
+hit AS (SELECT q AS query_id, d AS doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20)"""
+
+
+def _bm25(spark, sf_dir):
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.bm25(_t(spark, sf_dir, "documents"), items, 20)
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM hit")
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir)
+
+
+_CENTRES = """
+v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+e AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
+m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i),
+c AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM m GROUP BY label),
+sem AS (SELECT query_id, id, round(list_cosine_similarity(v.v, c.v), 6) AS score FROM v, c),
+shit AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sem QUALIFY rank <= 20)"""
+
+
+def _semantic(spark, sf_dir):
+    """Vectors near the centre of each label."""
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    centres = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v")).select(F.col("label").alias("query_id"), "v")
+    return retrieval.semantic(vectors.select("id", "v"), centres, 20)
+
+
+@query(f"WITH {_CENTRES} SELECT query_id, id, rank, score FROM shit")
+def semantic_topk(spark, sf_dir):
+    return _semantic(spark, sf_dir)
+
+
+def _scaled(x: str) -> str:
+    hi, lo = f"max({x}) OVER (PARTITION BY query_id)", f"min({x}) OVER (PARTITION BY query_id)"
+    return f"CASE WHEN {hi} <= 0 THEN 0.0 WHEN {hi} = {lo} THEN CASE WHEN {x} > 0 THEN 1.0 ELSE 0.0 END ELSE ({x} - {lo}) / ({hi} - {lo}) END"
+
+
+_FUSED = f"""
+WITH {_CENTRES}, {_BM25},
+fa AS (SELECT query_id, id, {_scaled('score')} AS semantic_score FROM shit),
+fr AS (SELECT query_id, doc_id AS id, CAST(1.0 AS DOUBLE) / rank AS r FROM hit),
+fb AS (SELECT query_id, id, {_scaled('r')} AS bm25_score FROM fr),
+fused AS (SELECT coalesce(fa.query_id, fb.query_id) AS query_id, coalesce(fa.id, fb.id) AS id, coalesce(semantic_score, 0.0) AS s, coalesce(bm25_score, 0.0) AS b FROM fa FULL JOIN fb ON fa.query_id = fb.query_id AND fa.id = fb.id),
+scored AS (SELECT query_id, id, round(s, 6) AS semantic_score, round(b, 6) AS bm25_score, round(0.55 * s + 0.35 * b, 6) AS score FROM fused)"""
+
+
+def _fused(spark, sf_dir):
+    """Labels' centres stand in for the vectors of the queries of the same number."""
+    return retrieval.fuse(_semantic(spark, sf_dir), _bm25(spark, sf_dir).withColumnRenamed("doc_id", "id"))
+
+
+@query(f"{_FUSED} SELECT * FROM scored")
+def hybrid_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "id", F.round("semantic_score", 6).alias("semantic_score"), F.round("bm25_score", 6).alias("bm25_score"), "score")
+
+
+@query(f"{_FUSED} SELECT id, max(score) AS score, count(*) AS n_queries FROM scored GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50")
+def multi_query_merge(spark, sf_dir):
+    return retrieval.merge_queries(_fused(spark, sf_dir), 50)
+
+
+@query(f"""WITH {_BM25},
+s AS (SELECT hit.*, source AS url, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS rn FROM hit JOIN documents ON documents.doc_id = hit.doc_id)
+SELECT query_id, doc_id, url, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, rank) AS INTEGER) AS place FROM s QUALIFY place <= 5""")
+def diversify_topk(spark, sf_dir):
+    hits = _bm25(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url")), "doc_id")
+    return retrieval.diversify(hits, 5).select("query_id", "doc_id", "url", "place")
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT hit.*, source AS url FROM hit JOIN documents ON documents.doc_id = hit.doc_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, url) AS first FROM s)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY turn, first, rank) AS INTEGER) AS place FROM t""")
+def source_interleave(spark, sf_dir):
+    hits = _bm25(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url")), "doc_id")
+    return evidence.interleave(hits).select("query_id", "doc_id", "place")
+
+
+@query(f"""WITH {_BM25}, rel AS (SELECT item_id AS query_id, doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)),
+tot AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY query_id),
+x AS (SELECT hit.query_id, hit.rank, k, CASE WHEN rel.doc_id IS NOT NULL THEN 1 END AS ok FROM hit LEFT JOIN rel ON rel.query_id = hit.query_id AND rel.doc_id = hit.doc_id, (VALUES (1), (3), (5), (10)) AS ks(k) WHERE rank <= k),
+g AS (SELECT query_id, k, count(*) AS retrieved, count(ok) AS relevant_retrieved, min(CASE WHEN ok = 1 THEN rank END) AS first FROM x GROUP BY query_id, k)
+SELECT g.query_id, k, retrieved, coalesce(relevant, 0) AS relevant, relevant_retrieved, CASE WHEN coalesce(relevant, 0) > 0 THEN round(relevant_retrieved / relevant, 6) ELSE 0.0 END AS recall_at_k,
+  round(relevant_retrieved / retrieved, 6) AS precision_at_k, round(coalesce(CAST(1.0 AS DOUBLE) / first, 0.0), 6) AS mrr FROM g LEFT JOIN tot ON tot.query_id = g.query_id""")
+def retrieval_metrics(spark, sf_dir):
+    """Relevant documents hold their passage word for word; passages are few and looked for in each text, so that no pair is made that doesn't match."""
+    docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    passages = [(r.item_id, r.text) for r in items.select("item_id", "text").limit(10_001).collect()]
+    if len(passages) > 10_000:
+        raise ValueError("more than 10,000 passages")
+    held = F.lit(None).cast("array<bigint>") if not passages else F.filter(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in passages)), lambda x: x.isNotNull())
+    relevant = docs.select(F.explode(held).alias("query_id"), F.col("doc_id").alias("id"))
+    return retrieval.metrics(_bm25(spark, sf_dir).withColumnRenamed("doc_id", "id"), relevant)
+
+
+@query(f"""WITH {_BM25}, p AS (SELECT query_id, hit.doc_id, {_terms('b.text')} AS x, {_terms('d.text')} AS y FROM hit JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = hit.doc_id)
+SELECT query_id, doc_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) END AS overlap FROM p""")
+def query_features(spark, sf_dir):
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    both = _bm25(spark, sf_dir).join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    return both.select("query_id", "doc_id", F.round(retrieval.term_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+
+
+@query()
+def evidence_select(spark, sf_dir):
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    both = _bm25(spark, sf_dir).join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")
+    return evidence.select(both.withColumnRenamed("doc_id", "id")).select("query_id", "id", "place", "feature")
+
+
+@query()
+def context_pack(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    both = _bm25(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id")
+    return evidence.pack(both, "query_id", "rank", F.col("text")).select("query_id", "n_blocks", F.length("context").alias("n_chars"))
+
+
+@query("""SELECT coalesce(d.lang, '') AS lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
+def label_quality_agg(spark, sf_dir):
+    both = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).join(_t(spark, sf_dir, "labels"), "doc_id")
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("good"), F.sum("toxic").cast("long").alias("toxic"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') || ' [' || (turn + 1) || '] and [ ' || (conv_id % 9) || ' , 2 ]' AS x FROM conversations),
+c AS (SELECT conv_id, turn, list_sort(list_distinct([turn + 1, conv_id % 9, 2])) AS cited FROM t)
+SELECT conv_id, turn, array_to_string(cited, ',') AS cited, array_to_string(list_filter(cited, lambda i: i BETWEEN 1 AND 4), ',') AS valid, array_to_string(list_filter(cited, lambda i: NOT i BETWEEN 1 AND 4), ',') AS invalid,
+  array_to_string(list_filter([1, 2, 3, 4], lambda i: NOT list_contains(cited, i)), ',') AS uncited FROM c""")
+def citation_audit(spark, sf_dir):
+    marked = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\[|【", "("), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and [ "), (F.col("conv_id") % 9).cast("string"), F.lit(" , 2 ]"))
+    made = evidence.citation_audit(_t(spark, sf_dir, "conversations"), ["conv_id", "turn"], marked, F.lit(4))
+    return made.select("conv_id", "turn", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cited", "valid", "invalid", "uncited")))
+
+
+@query(f"""
+WITH a AS (SELECT item_id AS question_id, {_terms('text')} AS ts FROM benchmark), q AS (SELECT question_id, len(ts) AS n, unnest(ts) AS t FROM a),
+s AS (SELECT conv_id * 1000 + turn AS answer_id, unnest({_terms('text')}) AS t FROM conversations),
+x AS (SELECT question_id, answer_id, n, count(*) AS c FROM q JOIN s ON s.t = q.t GROUP BY ALL), b AS (SELECT question_id, round(max(c / n), 6) AS best FROM x GROUP BY question_id),
+e AS (SELECT item_id AS question_id, coalesce(best, 0.0) AS best FROM benchmark LEFT JOIN b ON b.question_id = item_id)
+SELECT question_id, best, CASE WHEN best >= 0.3 THEN 'covered' WHEN best > 0 THEN 'partial' ELSE 'missing' END AS status FROM e""")
+def coverage_by_question(spark, sf_dir):
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    answers = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer"))
+    return evidence.coverage(questions, answers)
+
+
+@query(rf"""
+WITH k AS (SELECT page_id, url, regexp_replace({_HOST}, '^www\.', '') || {_PATH} AS url_key, {_HOST} AS host FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS rn FROM k)
+SELECT page_id, url_key, host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) AS INTEGER) AS priority FROM f WHERE rn = 1""")
+def plan_dedupe(spark, sf_dir):
+    return evidence.plan_tasks(_t(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "url_key", "host", "priority")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_window_counts(spark, sf_dir):
+    return feeds.window_counts(feeds.events(_t(spark, sf_dir, "events")))
+
+
+@query("""
+WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
+def session_counts(spark, sf_dir):
+    return feeds.sessions(feeds.events(_t(spark, sf_dir, "events")))
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events QUALIFY place <= 10")
+def event_last_n(spark, sf_dir):
+    return feeds.last_n(feeds.events(_t(spark, sf_dir, "events"))).select("user_id", "event_id", "place")
+
+
+@query("""
+WITH g AS (SELECT event_type, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch(ts) AS gap FROM events)
+SELECT event_type, count(*) AS n, round(avg(gap), 3) AS mean_gap FROM g GROUP BY event_type""")
+def agent_timings(spark, sf_dir):
+    return feeds.timings(feeds.events(_t(spark, sf_dir, "events")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: lexical and vector lists, fused."""
+    return hybrid_fusion(spark, sf_dir)
