@@ -15,6 +15,8 @@ repeated rows are packed each; extra columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
+import gc
+import json
 import math
 import os
 import re
@@ -32,52 +34,94 @@ from .common import ship, staged
 CAPACITY = 4096
 END = 2
 BUCKET = 2_000
-GROUP = 128
+#: Bytes of text that are encoded together, at least one text.
+GROUP = 8 << 20
+#: Plain words that are encoded in one call.
+LINE = 200
 
 
-#: A full stop or comma after a lower-case letter or digit, at a word's end: a token of its own. The two-byte letters are those of Latin-1.
-_POINT = re.compile(rb"((?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])[.,])(?=[\x20\x09-\x0D]|$)")
-#: Where these bytes occur, small letters first would not be the same: marks that combine, special strings.
-_CARE = re.compile(rb"[\xcc\xcd]|<\|")
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Full stops and commas at a word's end are tokens of their own after these: small letters and digits, and the two-byte letters of Latin-1.
+_POINTED = re.compile(rb"(?s).*(?:[a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])[.,]")
+#: Words of such letters alone need neither normaliser nor pre-tokenizer.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level tokenizers write bytes 0x9F, 0xA0 and 0xAD, of these letters, as other characters than Latin-1 does.
+_BYTES = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
 
 
 def words(text: bytes) -> list[bytes]:
-    """Parts of a text that the tokenizer encodes alike alone: words, lower-cased and without a last point, so that there are fewer different ones."""
-    if _CARE.search(text):
+    """The words of a text, with A-Z lower-cased as the tokenizer does, so that there are fewer different ones; not where marks that combine or special strings may stand, for which that would not be the same."""
+    if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
         return text.split()
-    return _POINT.sub(lambda m: m[1][:-1] + b" " + m[1][-1:], text.translate(LOWERED)).split()
+    return text.translate(LOWERED).split()
 
 
 class WordEncoder:
     """Ids of texts, word by word: the tokenizer drops white space, so that no id spans two words. Two generations of at most `most` words bound the cache."""
 
-    def __init__(self, tokenizer: str, most: int = 400_000):
+    def __init__(self, tokenizer: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.most, self.young, self.old = most, {}, {}
+        self.points = {p: self._full([p])[0] for p in (b".", b",")}
+        bare = json.loads(tokenizer) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        probe = [chr(c).encode() * k for c in (*range(97, 123), 0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)) for k in (1, 2, 3)] + [b"the", b"tion" * 9, "déjà".encode()]
+        self.plain = self._bare(probe) == self._full(probe)
+
+    def _full(self, parts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in parts], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _bare(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of plain words, by the tokenizer's merges alone, a line of words at a time."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), LINE):
+            line = b" ".join(parts[at : at + LINE]).decode("latin-1")
+            for a, b in _BYTES:
+                line = line.replace(a, b)
+            made = self.bare.encode(line, add_special_tokens=False)
+            raw = array("I", made.ids).tobytes()
+            ends = (4 * np.cumsum(np.bincount(made.word_ids, minlength=len(parts[at : at + LINE])))).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _made(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in parts if _PLAIN.fullmatch(w)] if self.plain else []
+        known = dict(zip(plain, self._bare(plain), strict=True))
+        other = [w for w in parts if w not in known]
+        return known | dict(zip(other, self._full(other), strict=True))
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. A word with a last point is the word without it, which may be known, and the point."""
+        stems = {w: w[:-1] for w in new if _POINTED.fullmatch(w)}
+        ask = {x for x in (stems.get(w, w) for w in new) if x not in self.young and x not in self.old}
+        made = self._made(list(ask))
+        for w, stem in stems.items():
+            found = made.get(stem) or self.young.get(stem) or self.old[stem]
+            made[w] = found + self.points[w[-1:]]
+        return made
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
         split = [words(t) for t in texts]
-        known, new = {}, []
+        known, new, young, old = {}, [], self.young, self.old
         for w in set().union(*split):
-            found = self.young.get(w)
+            found = young.get(w)
             if found is None:
-                found = self.old.get(w)
+                found = old.get(w)
                 if found is None:
                     new.append(w)
                     continue
-                self.young[w] = found
+                young[w] = found
             known[w] = found
         if new:
-            made = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            made = dict(zip(new, (array("I", x.ids).tobytes() for x in made), strict=True))
-            known |= made
-            self.young |= made
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+            made = self._learn(new)
+            known.update(made)
+            young.update(made)
+        if len(young) > self.most:
+            self.old, self.young = young, {}
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
@@ -92,6 +136,20 @@ def encoder(tokenizer: str) -> WordEncoder:
     return _encoders[key]
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of a batch, GROUP bytes at a time."""
+    docs, texts, size = [], [], 0
+    for doc, x in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+        docs.append(doc.as_py())
+        texts.append(x.as_py() or b"")
+        size += len(texts[-1])
+        if size >= GROUP:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens[, ids]): a row for each piece."""
     spark = df.sparkSession
@@ -102,12 +160,11 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = encoder(held.value)
+        gc.disable()  # millions of small objects, none of them in a cycle
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+            for docs, texts in _groups(batch):
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), made.encode(texts), strict=True):
+                for doc, ids in zip(docs, made.encode(texts), strict=True):
                     ids += last
                     n = len(ids) // 4
                     for a in range(0, n, capacity):
