@@ -115,31 +115,38 @@ class Codec:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         self.search = StreamingViterbi(self.pieces)
-        self.cache = WordCache(self._encode, 300_000)
+        self.cache = WordCache(self._encode, 600_000)
+        #: Scores of pieces, and False for what only starts one.
+        self.table: dict = {x[:n]: False for x in self.pieces.score for n in range(1, len(x))} | self.pieces.score
+        self.flat = np.frombuffer(b"".join(self.pieces.raw), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in self.pieces.raw])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _encode(self, stretch: str) -> bytes:
         ids = self._whole(marked(stretch))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, s: str) -> list[int]:
-        """Short stretches: one pass over all ends, then the path. The window never fills, so that the stream would commit the same path."""
-        n, score, longest = len(s), self.pieces.score, self.pieces.longest
-        if n > longest:
+        """Short stretches: one pass over all starts, each as far as some piece goes on, then the path. The window never fills, so that the stream would commit the same path."""
+        n, table, score, unknown = len(s), self.table, self.pieces.score, self.search.unknown
+        if n > self.pieces.longest:
             return self.search.encode(s)
-        best, back = [0.0] + [None] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            found, start = None, end - 1
-            for a in range(end):
-                v = score.get(s[a:end])
-                if v is not None:
-                    v += best[a]
-                    if found is None or v > found:
-                        found, start = v, a
-            if s[end - 1 : end] not in score:
-                v = best[end - 1] + self.search.unknown
-                if found is None or v > found:
-                    found, start = v, end - 1
-            best[end], back[end] = found, start
+        best: list = [0.0] + [None] * n
+        back = [0] * (n + 1)
+        for a in range(n):
+            before = best[a]
+            for b in range(a + 1, n + 1):
+                v = table.get(s[a:b])
+                if v is None:  # no piece starts so
+                    break
+                if v is not False:
+                    v += before
+                    if best[b] is None or v > best[b]:
+                        best[b], back[b] = v, a
+            if s[a] not in score:
+                v = before + unknown
+                if best[a + 1] is None or v > best[a + 1]:
+                    best[a + 1], back[a + 1] = v, a
         out: list[int] = []
         while n:
             piece = s[back[n] : n]
@@ -154,8 +161,10 @@ class Codec:
         return b"".join([self.cache[x] if len(x) < LONG else self._encode(x) for x in parts])
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.pieces.raw.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[places].tobytes().decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 _codecs: dict[int, Codec] = {}
