@@ -44,7 +44,7 @@ COLUMNS = 8_192
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-_words = WordCache(xxhash.xxh3_64_intdigest)
+_words = WordCache(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

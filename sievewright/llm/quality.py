@@ -249,8 +249,8 @@ def judge(df: DataFrame) -> DataFrame:
 
 
 def filter_documents(df: DataFrame) -> DataFrame:
-    """The rows of df that the rules keep, with df's columns. Statistics are staged without texts for the fit, and computed again beside the texts for the verdict, so that texts never move."""
-    model = fit(staged(describe(df), "quality-stats"))
+    """The rows of df that the rules keep, with df's columns. Rows are staged beside their statistics, so that these are computed once; the fit reads the statistics alone, and texts never move."""
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), "lang", "source", "text")
-    kept = verdicts(describe(whole, ("__row",)), model).filter("kept")
+    held = staged(describe(whole, ("__row",)), "quality-rows")
+    kept = verdicts(held, fit(held.drop("__row"))).filter("kept")
     return kept.select(*(F.col("__row").getField(c).alias(c) for c in df.columns))
