@@ -18,6 +18,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: The same as a regular expression class, for Java and for Python.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Rows in an Arrow batch.
+ARROW_ROWS = 2_000
+
 _shipped: set[str] = set()
 
 
@@ -52,7 +55,9 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors once per application, so that Python workers can import them wherever they run."""
+    """Send this package's modules to the executors once per application, so that Python workers can import them wherever they run. Whole texts travel in smaller Arrow batches than the default's 10,000 rows, which bounds what a worker and its JVM hold at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

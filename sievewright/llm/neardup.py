@@ -41,6 +41,8 @@ SHARE, OF = 75, 100
 BLOCK = 256
 SKETCH = 512
 COLUMNS = 8_192
+#: Texts whose sets are held at a time.
+ROWS = 512
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -106,8 +108,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return total
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         sets = [shingles(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
         some = [u for u in sets if len(u)]
         values = signature(some) if some else np.empty((0, BINS), dtype=np.uint64)
@@ -129,7 +137,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         found = [shingles(x).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
 

@@ -35,7 +35,7 @@ CAPACITY = 4096
 END = 2
 BUCKET = 2_000
 #: Bytes of text that are encoded together, at least one text.
-GROUP = 8 << 20
+GROUP = 6 << 20
 #: Plain words that are encoded in one call.
 LINE = 200
 
@@ -59,7 +59,7 @@ def words(text: bytes) -> list[bytes]:
 class WordEncoder:
     """Ids of texts, word by word: the tokenizer drops white space, so that no id spans two words. Two generations of at most `most` words bound the cache."""
 
-    def __init__(self, tokenizer: str, most: int = 450_000):
+    def __init__(self, tokenizer: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
