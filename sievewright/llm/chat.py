@@ -101,7 +101,7 @@ def canonical(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 def json_fingerprint(c: Column) -> Column:
     """The fingerprint of a JSON record with at most one level of arrays of objects, the first element of which shows their fields; null for what isn't an object."""
     keys = F.json_object_keys(c)
-    nested = F.transform(keys, lambda k: F.json_object_keys(F.get_json_object(c, F.concat(F.lit("$['"), k, F.lit("'][0]")))))
+    nested = F.transform(keys, lambda k: F.json_object_keys(F.call_function("get_json_object", c, F.concat(F.lit("$['"), k, F.lit("'][0]")))))
     paths = F.flatten(
         F.transform(F.arrays_zip(keys.alias("k"), nested.alias("n")), lambda z: F.when(z["n"].isNull(), F.array(z["k"])).otherwise(F.transform(z["n"], lambda x: F.concat(z["k"], F.lit("[]."), x))))
     )
