@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, ship, staged
-from .urls import contains, level
+from .urls import build_cascade, contains, level
 
 WORDS = 5
 BINS = 128
@@ -305,7 +305,13 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
 def deduplicate(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with one document of each component, that with the smallest doc_id."""
     told = staged(components(df, text_col), "near-components")
-    left = df.join(told.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*df.columns)
+    key = F.col("doc_id").cast("string")
+    gone = told.filter(~F.col("kept")).select(key.alias("k")).distinct()
+    cascade = build_cascade(told.select(key.alias("k")), gone)  # exact for these ids, so that no text is shuffled
+    if cascade is None:  # too many ids for filters that may travel
+        left = df.join(told.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*df.columns)
+    else:
+        left = df.filter(~cascade.contains(F.col("doc_id").cast("long").cast("string")))
     again = told.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return left
