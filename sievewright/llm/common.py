@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 ARROW_ROWS = 2_000
 
 _shipped: set[str] = set()
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,21 +41,41 @@ def staged(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/sievewright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for held in _scratch:
+        held.append(path)
     _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     def drop() -> None:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone by then; the folder's owner cleans it
-            pass
+        with contextlib.suppress(Exception):  # the session may be gone by then; the folder's owner cleans it
+            _delete(spark, path)
 
     atexit.register(drop)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """Yields a function that deletes what staged() has written inside the block; to be called once all results that read it are written themselves."""
+    held: list[str] = []
+
+    def drop() -> None:
+        while held:
+            _delete(spark, held.pop())
+
+    _scratch.append(held)
+    try:
+        yield drop
+    finally:
+        _scratch.pop()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the executors once per application, so that Python workers can import them wherever they run. Whole texts travel in smaller Arrow batches than the default's 10,000 rows, which bounds what a worker and its JVM hold at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, ship, staged
+from .common import WordCache, scratch, ship, staged
 from .urls import build_cascade, contains, level
 
 WORDS = 5
@@ -304,7 +304,10 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def deduplicate(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with one document of each component, that with the smallest doc_id."""
-    told = staged(components(df, text_col), "near-components")
+    with scratch(df.sparkSession) as drop:
+        found = components(df, text_col)
+    told = staged(found, "near-components")
+    drop()  # sets and signatures are as large as the texts
     key = F.col("doc_id").cast("string")
     gone = told.filter(~F.col("kept")).select(key.alias("k")).distinct()
     cascade = build_cascade(told.select(key.alias("k")), gone)  # exact for these ids, so that no text is shuffled
