@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import changes, chunking, evidence, retrieval, sources
+from .operators import changes, chunking, evidence, retrieval, sources, upkeep
 from .streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,6 +454,59 @@ def agent_timings(spark, sf_dir):
     return feeds.timings(feeds.events(_t(spark, sf_dir, "events")))
 
 
+@query(f"WITH {_RUNS} SELECT a.url, {_clean('pq')} AS previous_source_quality, {_clean('nq')} AS new_source_quality FROM a JOIN b ON a.url = b.url WHERE {_clean('pq')} <> {_clean('nq')}")
+def status_changes(spark, sf_dir):
+    return upkeep.status_changes(*_runs(spark, sf_dir), "url", "source_quality")
+
+
+@query("""
+WITH m AS (SELECT coalesce(source, '') AS source, contains(lower(coalesce(text, '')[1:3000]), 'network') OR contains(lower(coalesce(text, '')[1:3000]), 'water') AS ok FROM documents),
+g AS (SELECT source, count(*) AS n_sources, count(*) FILTER (ok) AS n_matches FROM m GROUP BY 1)
+SELECT *, CASE WHEN n_matches / n_sources >= 0.75 THEN 'strong' WHEN n_matches / n_sources >= 0.4 THEN 'partial' ELSE 'weak' END AS alignment FROM g""")
+def objective_alignment(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("")))
+    return upkeep.alignment(docs, ["source"], F.col("text"), "the network of water")
+
+
+@query(rf"""SELECT doc_id, len({_words('text')}) >= 3 AND NOT regexp_full_match(lower({_clean('text')}), '(query|retrieval query|search query|example query)\s*[0-9]*|(query|retrieval|search|example)(\s+[0-9]+)?') AS valid FROM documents""")
+def valid_queries(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", upkeep.valid_query(F.col("text")).alias("valid"))
+
+
+@query()
+def similar_scopes(spark, sf_dir):
+    """A search: the items whose id is divisible by 20 against all."""
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return upkeep.similar_scopes(items.filter("id % 20 = 0"), items)
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '\[1\]', '[7]', 'g'), '\[2\]', '[1]', 'g') || ' [7][1] [5]' AS text FROM conversations""")
+def citation_remap(spark, sf_dir):
+    marked = F.concat(F.coalesce("text", F.lit("")), F.lit(" [1][2] [5]"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", upkeep.remap_citations(marked, F.create_map(F.lit("1"), F.lit("7"), F.lit("2"), F.lit("1"))).alias("text"))
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT hit.*, doc_id // 10 AS parent_id FROM hit)
+SELECT query_id, min(rank) AS rank, parent_id, true AS expanded FROM s GROUP BY query_id, parent_id""")
+def parent_expansion(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("parent_id"))
+    hits = _bm25(spark, sf_dir).join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("a").alias("document"), "parent_id")
+    parents = docs.select("parent_id").distinct().withColumn("content", F.concat(F.lit("whole group "), F.col("parent_id").cast("string")))
+    return upkeep.expand_parents(hits, parents).select("query_id", "rank", "parent_id", "expanded")
+
+
+@query(f"""WITH {_BM25}, p AS (SELECT 'http://example.com/' || doc_id AS url FROM documents)
+SELECT url FROM p WHERE url NOT IN (SELECT 'http://example.com/' || doc_id FROM hit)""")
+def missing_urls(spark, sf_dir):
+    url = F.concat(F.lit("http://example.com/"), F.col("doc_id").cast("string")).alias("url")
+    return upkeep.missing_urls(_t(spark, sf_dir, "documents").select(url), _bm25(spark, sf_dir).select(url))
+
+
+@query("SELECT coalesce(source, '') AS source, max(doc_id) AS doc_id FROM documents GROUP BY 1")
+def latest_records(spark, sf_dir):
+    return upkeep.latest(_t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id"), "source", "doc_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: lexical and vector lists, fused."""
     return hybrid_fusion(spark, sf_dir)
