@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .reports import replace_each
 
 STRONG, PARTIAL = 0.75, 0.4
 SIMILAR = 0.40
@@ -90,10 +91,7 @@ def merge_coverage(original: DataFrame, refreshed: DataFrame) -> DataFrame:
 
 def remap_citations(c: Column, places: Column) -> Column:
     """Text with every [old] put as [new] by a map of strings; markers that the map lacks stay."""
-    pattern = F.lit(r"\[([0-9]+)\]")
-    parts, marks = F.split(c, r"\[[0-9]+\]", -1), F.regexp_extract_all(c, pattern, F.lit(1))
-    new = F.transform(marks, lambda m: F.concat(F.lit("["), F.coalesce(F.element_at(places, m), m), F.lit("]")))
-    return F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return replace_each(c, r"\[([0-9]+)\]", lambda m: F.concat(F.lit("["), F.coalesce(F.element_at(places, m), m), F.lit("]")))
 
 
 def merge_context(groups: list[DataFrame], key: str = "id") -> DataFrame:

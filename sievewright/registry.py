@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import changes, chunking, evidence, retrieval, sources, upkeep
+from .operators import changes, chunking, evidence, reports, retrieval, sources, upkeep
 from .streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,6 +507,36 @@ def latest_records(spark, sf_dir):
     return upkeep.latest(_t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id"), "source", "doc_id")
 
 
+@query(f"""
+WITH w AS (SELECT doc_id, {_words('text')}[1:800] AS w FROM documents), s AS (SELECT doc_id, w, unnest(generate_series(1, len(w), 80)) AS i FROM w)
+SELECT doc_id, CAST((i - 1) // 80 AS INTEGER) AS place, array_to_string(w[i:i + 79], ' ') AS section FROM s""")
+def page_sections(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(reports.sections(F.col("text"))).alias("place", "section"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, coalesce(source, '') AS source FROM documents WHERE {_clean('text')} <> '' GROUP BY coalesce(source, ''), {_clean('text')}[1:500]")
+def unique_chunks(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    return reports.unique_chunks(docs, ["source"], "text", "doc_id").select("doc_id", "source")
+
+
+@query(rf"""
+WITH m AS (SELECT conv_id, turn, {_clean("regexp_replace(regexp_replace(coalesce(text, ''), '[<>]', '', 'g'), '(?i)you are now|return markdown|skip validation|do not return json', '', 'g')")} AS t FROM conversations)
+SELECT conv_id, turn, {_clean("t[1:1200 - length('YOU ARE now')]")} AS objective FROM m""")
+def objective_clean(spark, sf_dir):
+    base = T.clean(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", ""), "(?i)you are now|return markdown|skip validation|do not return json", ""))
+    asked = F.concat(F.lit("YOU ARE now"), base)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", reports.sanitise_objective(asked).alias("objective"))
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT query_id, doc_id AS id, score, doc_id % 7 AS source_index, doc_id % 2 = 0 AS prim FROM hit)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (source_index IN (1, 3)) DESC, prim DESC, CASE WHEN source_index = 0 THEN 1000000 ELSE source_index END, score DESC, id) AS INTEGER) AS place FROM s QUALIFY place <= 5""")
+def supporting_chunks(spark, sf_dir):
+    hits = _bm25(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"), "score", (F.col("doc_id") % 7).alias("source_index"), (F.col("doc_id") % 2 == 0).alias("primary"))
+    cited = hits.select("query_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("source_index"))
+    return reports.supporting(hits, cited, "query_id", 5).select("query_id", "id", "place")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: lexical and vector lists, fused."""
     return hybrid_fusion(spark, sf_dir)
