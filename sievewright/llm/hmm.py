@@ -1,17 +1,21 @@
 """A hidden Markov language model, trained by Baum-Welch over all training documents and scored exactly.
 
-Words are lower-cased (A-Z) and end in one end token for each document. The hidden chain emits word classes: each word
-counted often enough is a class of its own (at most OWN of them), others share classes by a hash of their last letters.
-A word of a shared class then follows with its add-one share of that class, which doesn't depend on the state, so that
-log10 P(text) = log10 P(classes) + sum of log10 P(word | class).
+Words are lower-cased (A-Z) and end in one end token for each document. Every counted training word has emissions of
+its own in each state. The most frequent words (`own` of them) are classes; a state emits each other word by the class of
+its last letters, and within that class by the word's add-one share there in that state:
+P_s(word) = P_s(class) (E_s(word) + 1) / (E_s(class) + words in class + 1), E_s being expected counts. A word that no
+training document has gets E_s = 0. The sum over all words and one unknown word of each class is 1.
 
 1. Words are counted in each partition, then summed by 64-bit hash. Words counted at least `t` times, at most FREQUENT
-   of them, travel as a broadcast dictionary; the few tokens of other words are joined with their counts by hash.
+   of them, travel as a broadcast dictionary with their emissions; those of all other words stay in the shared folder
+   and are joined by hash to the rows that have them, so that what is gathered grows with the vocabulary.
 2. Texts become class sequences once, staged beside their slim statistics; texts never move.
 3. Each Baum-Welch step reads the training sequences: every sequence is cut into runs of RUN tokens, whose K x K
    transfer matrices chain to exact forward and backward messages at every cut, so that runs of all documents advance
-   together in matrix operations whatever their lengths. Expected counts are summed in each partition, then in two
-   shuffled steps, and only the sums (classes x states) reach the driver.
+   together in matrix operations whatever their lengths. Expected counts of frequent words are summed in each partition,
+   then in two shuffled steps, and reach the driver; those of other words are summed by hash, as whole numbers of 2 ** -32
+   so that their order doesn't matter. Steps end when one raises the mean log likelihood of a training token by less than
+   TOLERANCE; no number of steps is set.
 4. The scaled forward recursion over the same transfer matrices gives each text's exact likelihood.
 
 The chain starts from the languages named in the table: state s first counts the words of the s-th most frequent one.
@@ -22,6 +26,7 @@ with no training document every token has base share 1 and the states are alike;
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,13 +35,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import scratch, ship, staged
 
 K = 4
-STEPS = 3
+#: Nats a training token that a step must gain for another one to follow.
+TOLERANCE = 1e-4
 RUN = 64
 FREQUENT = 1 << 18
 OWN = 8_192
@@ -47,6 +53,7 @@ GROUP = 128
 #: Pseudo-counts of a state's emissions, spread as the classes are in the corpus; and of its transitions, mostly to itself.
 PRIOR, STAY, MOVE = 200.0, 50.0, 1.0
 RESCALE = 16
+UNIT = 2.0**32
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"  # no word holds it
@@ -112,15 +119,15 @@ def _least_count(counts: DataFrame, most: int) -> int:
 
 
 class Lexicon:
-    """What a worker needs to know of words: frequent words' counts and classes, and the others' shared class."""
+    """What a worker needs to know of words: frequent words' counts and numbers, and the others' shared class."""
 
     def __init__(self, frequent: dict[int, tuple[int, int]]):
-        self.frequent = frequent  # hash -> (count, own class or -1)
+        self.frequent = frequent  # hash -> (count, number)
         self.young: dict[bytes, tuple[int, int, int]] = {}
         self.old: dict[bytes, tuple[int, int, int]] = {}
 
     def look(self, words: set[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
-        """Local numbers of words, and an array of (class, count or -1, hash, shared class or -1) by these numbers."""
+        """Local numbers of words, and an array of (number or -1, count or -1, hash, shared class) by these numbers."""
         number, rows = {}, []
         for w in words:
             found = self.young.get(w)
@@ -128,9 +135,8 @@ class Lexicon:
                 found = self.old.get(w)
                 if found is None:
                     h = hashed(w)
-                    c, own = self.frequent.get(h, (-1, -1))
-                    b = -1 if own >= 0 else shared_class(w)
-                    found = (own if own >= 0 else OWN + b, c, h, b)
+                    c, at = self.frequent.get(h, (-1, -1))
+                    found = (at, c, h, shared_class(w))
                 self.young[w] = found
             number[w] = len(rows)
             rows.append(found)
@@ -255,26 +261,56 @@ def reestimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, spread: n
     return Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows' keys and class sequences, about CHUNK classes at a time."""
-    keys, held, n = [], [], 0
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and each list's length."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[list, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (key, classes, rare, times, fitted), about CHUNK classes at a time: keys, sequences, and the hashes, shared classes and expected counts (K) of the rare words, which sequences number from `base`, each word once."""
+
+    def out(keys: list, held: list, rare: list, shared: list, fitted: list) -> tuple:
+        h, first, back = np.unique(np.concatenate(rare), return_index=True, return_inverse=True)
+        at = np.concatenate([np.arange(base), base + back])
+        ends = base + np.cumsum([0, *(len(r) for r in rare)])
+        sequences = [at[np.where(s >= base, s + (o - base), s)] for s, o in zip(held, ends, strict=False)]
+        return keys, sequences, h, np.concatenate(shared)[first], np.concatenate(fitted)[first]
+
+    parts: tuple[list, ...] = ([], [], [], [], [])
+    n = 0
     for batch in batches:
-        for key, raw in zip(batch.column(0), batch.column(column), strict=True):
-            held.append(np.frombuffer(raw.as_buffer(), dtype="<u2"))
-            keys.append(key.as_py())
-            n += len(held[-1])
+        rare, many = _lists(batch.column(2))
+        times, _ = _lists(batch.column(3))
+        fitted = _lists(batch.column(4))[0].reshape(-1, K).astype(np.float64)
+        ends = np.cumsum(many)
+        for key, raw, a, b in zip(batch.column(0).to_pylist(), batch.column(1), ends - many, ends, strict=True):
+            row = (key, np.frombuffer(raw.as_buffer(), dtype="<i4").astype(np.int64), rare[a:b], times[a:b] & 65535, fitted[a:b])
+            for held, x in zip(parts, row, strict=True):
+                held.append(x)
+            n += len(row[1])
             if n >= CHUNK:
-                yield keys, held
-                keys, held, n = [], [], 0
-    if held:
-        yield keys, held
+                yield out(*parts)
+                parts, n = ([], [], [], [], []), 0
+    if parts[0]:
+        yield out(*parts)
+
+
+SUMS = ["block", "part", "sums", "h", *(f"e{s}" for s in range(K))]
+SUMS_SCHEMA = "block int, part long, sums binary, h long, " + ", ".join(f"e{s} long" for s in range(K))
 
 
 def _packed(start: np.ndarray, move: np.ndarray, emit: np.ndarray, log: float) -> pa.RecordBatch:
     """A partition's sums as rows (block, part, sums): block -1 holds all but the emissions."""
     part = TaskContext.get().partitionId()
     rows = [(-1, np.concatenate([start, move.ravel(), [log]]))] + [(b, emit[a : a + BLOCK].ravel()) for b, a in enumerate(range(0, len(emit), BLOCK))]
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x.astype("<f8").tobytes() for _, x in rows], pa.binary())], ["block", "part", "sums"])
+    none = [pa.nulls(len(rows), pa.int64()) for _ in range(K + 1)]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x.astype("<f8").tobytes() for _, x in rows], pa.binary()), *none], SUMS)
+
+
+def _rare(h: np.ndarray, emit: np.ndarray) -> pa.RecordBatch:
+    """Rare words' expected counts as rows (h, e0 ...)."""
+    none = [pa.nulls(len(h), kind) for kind in (pa.int32(), pa.int64(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*none, pa.array(h, pa.int64()), *(pa.array(np.rint(emit[:, s] * UNIT).astype(np.int64)) for s in range(K))], SUMS)
 
 
 def _sum(pdf):
@@ -299,7 +335,39 @@ def _summed(parts: DataFrame, n_parts: int, classes: int) -> tuple[np.ndarray, n
     return head[:K], head[K : K + K * K].reshape(K, K), emit, float(head[-1])
 
 
-def score(df: DataFrame, steps: int = STEPS) -> DataFrame:
+def _forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffles of plans that nothing refers to any more: it does when the JVM collects them, and a driver with little garbage rarely does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Emissions:
+    """Emissions of numbered words: own classes, then frequent words, whose shared classes are `shared`, then an unknown word of each shared class, which the others' follow from."""
+
+    def __init__(self, own: int, shared: np.ndarray, words: np.ndarray):
+        self.own, self.shared, self.words = own, shared, words  # words: different words in each shared class
+        self.unknown = own + len(shared)
+        self.size = self.unknown + SHARED
+
+    def classes(self, emit: np.ndarray) -> np.ndarray:
+        """Expected counts of classes (own + SHARED), of expected counts by number, where the rare words of a shared class stand at its unknown word."""
+        both = emit[self.unknown :].copy()
+        np.add.at(both, self.shared, emit[self.own : self.unknown])
+        return np.vstack([emit[: self.own], both])
+
+    def chain(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, spread: np.ndarray) -> Chain:
+        classes = self.classes(emit)
+        made = reestimated(start, move, classes, spread)
+        unknown = made.emit[self.own : -1] / (classes[self.own :] + self.words[:, None] + 1)
+        return Chain(made.start, made.move, np.vstack([made.emit[: self.own], unknown[self.shared] * (emit[self.own : self.unknown] + 1), unknown]))
+
+
+def with_rare(chain: Chain, unknown: int, shared: np.ndarray, fitted: np.ndarray) -> Chain:
+    """The chain with rare words' emissions added."""
+    return Chain(chain.start, chain.move, np.vstack([chain.emit[:-1], chain.emit[unknown + shared] * (fitted + 1)]))
+
+
+def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df."""
     spark = df.sparkSession
     ship(spark)
@@ -309,19 +377,24 @@ def score(df: DataFrame, steps: int = STEPS) -> DataFrame:
     words = staged(count_words(docs.filter(~F.col("held_out"))), "hmm-words")
     n_all, v_all = (words.agg(F.sum("c"), F.count("*")).first() or (0, 0))[:2]
     n_all = n_all or 0
-    t, t_own = _least_count(words, FREQUENT), _least_count(words, OWN - 1)
-    top = words.filter(F.col("c") >= t).toArrow()  # at most FREQUENT rows
-    order = sorted(zip(*(top.column(c).to_pylist() for c in ("h", "c")), strict=True))
-    frequent = {h: (c, -1) for h, c in order}
-    for own, h in enumerate([END_HASH, *(h for h, c in order if c >= t_own and h != END_HASH)]):  # the end token is class 0
-        frequent[h] = (frequent.get(h, (0, -1))[0], own)
-    # what the shared classes hold: tokens and different words
-    owned = F.col("h") == END_HASH
-    rest = {r.b: (r.n, r.v) for r in words.filter((F.col("c") < t_own) & ~owned).groupBy("b").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    size = np.array([sum(rest.get(b, (0, 0))) + 1 for b in range(SHARED)], dtype=float)
+    t, t_own = _least_count(words, frequent), _least_count(words, own - 1)
+    top = words.filter(F.col("c") >= t).toArrow()  # at most `frequent` rows
+    order = sorted(x for x in zip(*(top.column(c).to_pylist() for c in ("h", "c", "b")), strict=True) if x[0] != END_HASH)
+    end = words.filter(F.col("h") == END_HASH).agg(F.sum("c")).first()[0] or 0
+    numbers = {END_HASH: (end, 0)}  # the end token is class 0
+    for at, (h, c, _) in enumerate((x for x in order if x[1] >= t_own), 1):
+        numbers[h] = (c, at)
+    others = [x for x in order if x[1] < t_own]
+    for at, (h, c, _) in enumerate(others, own):
+        numbers[h] = (c, at)
+    # how many different words the shared classes hold
+    owned = (F.col("h") == END_HASH) | (F.col("c") >= t_own)
+    rest = {r.b: r.v for r in words.filter(~owned).groupBy("b").agg(F.count("*").alias("v")).collect()}
+    table = Emissions(own, np.array([b for _, _, b in others], dtype=np.int64), np.array([rest.get(b, 0) for b in range(SHARED)], dtype=float))
+    size, unknown = table.size, table.unknown
     langs = [r.lang for r in docs.filter(~F.col("held_out")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(K).collect()]
     state = {lang: s for s, lang in enumerate(langs)}
-    lexicon = context.broadcast(frequent)
+    lexicon = context.broadcast(numbers)
     whole = n_all + 1 * (v_all + 1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,71 +406,113 @@ def score(df: DataFrame, steps: int = STEPS) -> DataFrame:
                 number, about = lex.look(set().union(*texts))
                 cls, count, h, b = about.T if len(about) else np.empty((4, 0), dtype=np.int64)
                 base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 1) / whole), 0.0)
-                inside = np.where((count >= 0) & (b >= 0), np.log10((np.maximum(count, 0) + 1) / size[b]), 0.0)
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(6)]
                 for words_ in texts:
                     w = np.fromiter(map(number.__getitem__, words_), dtype=np.int64, count=len(words_))
-                    rare = w[count[w] < 0]
-                    ids, times = np.unique(rare, return_counts=True)
-                    row = (len(w), int((count[w] > 0).sum()), float(base[w].sum()), float(inside[w].sum()), cls[w].astype("<u2").tobytes(), h[ids], (times << 16 | b[ids]))
+                    rare = count[w] < 0
+                    ids, back, times = np.unique(w[rare], return_inverse=True, return_counts=True)
+                    sequence = cls[w]
+                    sequence[rare] = size + back
+                    row = (len(w), int((count[w] > 0).sum()), float(base[w].sum()), sequence.astype("<i4").tobytes(), h[ids], (times << 16 | b[ids]))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "lang", "held_out", "n", "known", "base", "inside", "classes", "rare", "times"])
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "lang", "held_out", "n", "known", "base", "classes", "rare", "times"])
 
-    schema = "doc_id long, lang string, held_out boolean, n long, known long, base double, inside double, classes binary, rare array<long>, times array<long>"
+    schema = "doc_id long, lang string, held_out boolean, n long, known long, base double, classes binary, rare array<long>, times array<long>"
     coded = staged(docs.select("doc_id", "text", "lang", "held_out").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "hmm-classes")
 
     # tokens of words that aren't in the dictionary: their counts come by a join on hashes
-    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.shiftright(F.col("x.times"), 16).alias("times"), (F.col("x.times") % 65536).cast("int").alias("b"))
+    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.shiftright(F.col("x.times"), 16).alias("times"))
     found = rare.join(words.filter(F.col("c") < t).select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    share = F.element_at(F.lit(size.tolist()), F.col("b") + 1)
     added = found.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(whole)))).alias("base2"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / share)).alias("inside2"),
     )
 
-    classes = OWN + SHARED
     training = coded.filter(~F.col("held_out"))
     n_parts = training.rdd.getNumPartitions()
 
+    def with_fitted(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+        """(row, classes, rare, times, fitted): rows with the expected counts of their rare words, in their order."""
+        counts = fitted.select("h", *((F.col(e) / UNIT).cast("float").alias(e) for e in SUMS[-K:]))
+        asked = rows.select("row", F.posexplode("rare").alias("i", "h")).join(counts, "h", "left").fillna(0.0, SUMS[-K:])
+        told = asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", *SUMS[-K:]))).alias("x"))
+        flat = F.flatten(F.transform("x", lambda x: F.array(*(x[e] for e in SUMS[-K:]))))
+        return rows.select("row", "classes", "rare", "times").join(told.select("row", flat.alias("fitted")), "row", "left")
+
+    def summed(parts: DataFrame) -> tuple[tuple, DataFrame]:
+        """A step's sums, and the table of rare words' expected counts."""
+        made = parts.filter("h IS NOT NULL").groupBy("h").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(K)))
+        return _summed(parts.filter("h IS NULL").select("block", "part", "sums"), n_parts, size), staged(made, "hmm-emissions")
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = np.zeros((classes, K))
+        emit = np.zeros((size, K))
         for batch in batches:
-            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = np.bincount(np.frombuffer(raw.as_buffer(), dtype="<u2"), minlength=classes)
-                if lang in state:
-                    emit[:, state[lang]] += n
-                else:
-                    emit += n[:, None] / K
+            hashes, many = _lists(batch.column(2))
+            times, _ = _lists(batch.column(3))
+            weights = np.array([np.arange(K) == state[x] if x in state else np.full(K, 1 / K) for x in batch.column(0).to_pylist()], dtype=float).reshape(-1, K)
+            rows = [np.frombuffer(raw.as_buffer(), dtype="<i4") for raw in batch.column(1)]
+            flat = np.concatenate([np.zeros(0, dtype="<i4"), *rows])
+            dense = flat < size
+            by = np.repeat(weights, [len(r) for r in rows], axis=0)[dense]
+            counts = np.repeat(weights, many, axis=0) * (times >> 16)[:, None]
+            for s in range(K):
+                emit[:, s] += np.bincount(flat[dense], weights=by[:, s], minlength=size)
+                emit[unknown:, s] += np.bincount(times & 65535, weights=counts[:, s], minlength=SHARED)
+            h, back = np.unique(hashes, return_inverse=True)
+            if len(h):
+                yield _rare(h, np.stack([np.bincount(back, weights=counts[:, s], minlength=len(h)) for s in range(K)], axis=1))
         yield _packed(np.zeros(K), np.zeros((K, K)), emit, 0.0)
 
-    start, move, emit, _ = _summed(training.select("lang", "classes").mapInArrow(first, "block int, part long, sums binary"), n_parts, classes)
-    spread = (emit.sum(axis=1) + 0.5) / (emit.sum() + 0.5 * classes)
-    chain = reestimated(emit.sum(axis=0), np.eye(K) * emit.sum(axis=0)[:, None] * 0.05, emit, spread)
-    for _ in range(steps):
+    with scratch(spark) as forget_parts:
+        parts = staged(training.select("lang", "classes", "rare", "times").mapInArrow(first, SUMS_SCHEMA), "hmm-sums")
+    with scratch(spark) as forget:
+        (start, move, emit, _), fitted = summed(parts)
+    forget_parts()
+    _forget_shuffles(spark)
+    classes = table.classes(emit)
+    spread = (classes.sum(axis=1) + 0.5) / (classes.sum() + 0.5 * len(classes))
+    chain = table.chain(classes.sum(axis=0), np.eye(K) * classes.sum(axis=0)[:, None] * 0.05, emit, spread)
+    before = -np.inf
+    while True:
         told = context.broadcast(chain)
 
         def expect(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             total = None
-            for _, sequences in _chunks(batches, 1):
-                x = expectations(told.value, sequences)
+            for _, sequences, h, shared, e in _chunks(batches, size):
+                start, move, emit, log = expectations(with_rare(told.value, unknown, shared, e), sequences)
+                if len(h):
+                    yield _rare(h, emit[size:])
+                x = (start, move, emit[:size], log)
+                np.add.at(x[2], unknown + shared, emit[size:])
                 total = x if total is None else tuple(a + b for a, b in zip(total, x, strict=True))
             if total is not None:
                 yield _packed(*total)
 
-        start, move, emit, _ = _summed(training.select("row", "classes").mapInArrow(expect, "block int, part long, sums binary"), n_parts, classes)
-        chain = reestimated(start, move, emit, spread)
+        with scratch(spark) as forget_parts:
+            parts = staged(with_fitted(training, fitted).mapInArrow(expect, SUMS_SCHEMA), "hmm-sums")
+        _forget_shuffles(spark)
+        with scratch(spark) as forget_next:
+            (start, move, emit, log), better = summed(parts)
+        forget_parts()
+        told.unpersist()
+        _forget_shuffles(spark)
+        if log - before < tolerance * n_all or not n_all:
+            forget_next()
+            break
+        forget()
+        chain, fitted, before, forget = table.chain(start, move, emit, spread), better, log, forget_next
     last = context.broadcast(chain)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sequences in _chunks(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(log_likelihoods(last.value, sequences) / np.log(10), pa.float64())], ["row", "chain"])
+        for keys, sequences, _, shared, e in _chunks(batches, size):
+            found = log_likelihoods(with_rare(last.value, unknown, shared, e), sequences) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.float64())], ["row", "chain"])
 
-    chained = coded.select("row", "classes").mapInArrow(forward, "row long, chain double")
-    slim = coded.select("row", "doc_id", "held_out", "n", "known", "base", "inside").join(chained, "row").join(added, "row", "left")
+    chained = with_fitted(coded, fitted).mapInArrow(forward, "row long, chain double")
+    slim = coded.select("row", "doc_id", "held_out", "n", "known", "base").join(chained, "row").join(added, "row", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     return slim.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + none("known2")).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + none("base2")).alias("base_score"), (F.col("chain") + F.col("inside") + none("inside2")).alias("score"),
+        (F.col("base") + none("base2")).alias("base_score"), F.col("chain").alias("score"),
     )

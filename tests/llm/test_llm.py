@@ -200,6 +200,55 @@ def test_hmm(spark, odd, empty):
     assert hmm.score(empty).count() == 0
 
 
+def test_hmm_every_word_has_emissions(spark):
+    """All three kinds of words (own, sent along, joined) against one dense table over the vocabulary; held-out texts have unknown words too."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}ing" if n % 3 else f"{a}{b}ed" for n, (a, b) in enumerate((a, b) for a in "abcdef" for b in "uvwxyz")]
+    docs = []
+    for i in range(60):
+        half = vocabulary[:18] if i % 2 else vocabulary[18:]
+        docs.append((i, " ".join(half[min(int(rng.exponential(6)), 17)] for _ in range(40)) + (" unseen" if i % 7 == 2 else ""), "en" if i % 2 else "de", None, 1, None))
+    own, k = 3, hmm.K
+    got = {r.doc_id: r.score for r in hmm.score(spark.createDataFrame(docs, DOCS), own=own, frequent=9).collect()}
+    held = {i for i, *_ in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    texts = {i: hmm.tokens(t.encode()) for i, t, *_ in docs}
+    seen = Counter(w for i, ws in texts.items() if i not in held for w in ws)
+    ranked = sorted((c for w, c in seen.items() if w != hmm.END), reverse=True)
+    least = next((c for c in sorted(set(seen.values())) if sum(x >= c for x in seen.values()) <= own - 1), 2**62)
+    words = sorted({w for ws in texts.values() for w in ws})
+    big = [hmm.END, *(w for w in words if seen[w] >= least and w != hmm.END)]
+    group = {w: big.index(w) if w in big else own + hmm.shared_class(w) for w in words}
+    assert len(ranked) > 20 and len(big) < 5
+    at = {w: n for n, w in enumerate(words)}
+    groups = np.array([group[w] for w in words])
+    kinds = np.bincount([group[w] for w in seen if w not in big], minlength=own + hmm.SHARED)
+    training = [i for i in texts if i not in held]
+    sequences = {i: np.array([at[w] for w in ws]) for i, ws in texts.items()}
+
+    def chain(start, move, emit, spread):
+        sums = np.zeros((own + hmm.SHARED, k))
+        np.add.at(sums, groups, emit)
+        made = hmm.reestimated(start, move, sums, spread(sums))
+        inside = np.where((groups < own)[:, None], 1.0, (emit + 1) / (sums[groups] + kinds[groups][:, None] + 1))
+        return hmm.Chain(made.start, made.move, made.emit[groups] * inside), sums
+
+    emit = np.zeros((len(words), k))
+    langs = [x for x, _ in sorted(Counter(docs[i][2] for i in training).items(), key=lambda x: (-x[1], x[0]))]
+    for i in training:
+        np.add.at(emit[:, langs.index(docs[i][2])], sequences[i], 1.0)
+    total = emit.sum(axis=0)
+    share = lambda x: (x.sum(axis=1) + 0.5) / (x.sum() + 0.5 * len(x))
+    made, sums = chain(total, np.eye(k) * total[:, None] * 0.05, emit, share)
+    spread, before = share(sums), -np.inf
+    while True:
+        start, move, emit, log = hmm.expectations(made, [sequences[i] for i in training])
+        if log - before < hmm.TOLERANCE * sum(seen.values()):
+            break
+        made, before = chain(start, move, emit, lambda _: spread)[0], log
+    for i, s in sequences.items():
+        assert math.isclose(got[i], float(hmm.log_likelihoods(made, [s])[0]) / math.log(10), abs_tol=1e-5)
+
+
 # near-duplicates
 
 
