@@ -3,7 +3,9 @@
 The robust location and scatter of each (lang, source) group are minimum-covariance-determinant estimates. Two
 deterministic starts (medians with quartile scales; mean and covariance of the group) are refined by concentration
 steps: keep the share SUPPORT of the group's rows that lies closest, estimate again. The start with the smaller
-determinant wins. A document goes if its squared Mahalanobis distance exceeds the chi-square quantile at 1 - TAIL.
+determinant wins. A document goes if its squared Mahalanobis distance exceeds the
+chi-square quantile at 1 - TAIL. The scatter of this distance is the group's and, added to it, the sampling error of the
+document's own statistics: a short text's shares move by chance alone.
 
 Everything is a DataFrame plan. Vectors are rounded to 1/GRID, equal vectors of a group are counted before anything
 else, all sums are exact integers, and the cut of a concentration step comes from a histogram of distances, so that
@@ -35,11 +37,11 @@ GRID = 256
 SUPPORT = 0.75
 STEPS = 5
 MIN_GROUP = 40
-TAIL = 1e-7
-#: Least standard deviations of the four statistics, added to the scatter as a diagonal target (times n / (n + PRIOR) stays with the data).
-FLOOR = (0.05, 0.04, 0.12, 0.12)
-#: Words, and lines, at which a text's own shares and means are trusted half: with fewer, chance alone moves them.
-TRUST, TRUST_LINES = 200, 10
+TAIL = 1e-4
+#: Least standard deviation of the four statistics, the unit they are rounded to: no scatter is singular.
+FLOOR = 1 / GRID
+#: Sampling variance of the four statistics of one word, character, line and word: (cv of word lengths) ** 2; 1 / 4 for an angular share, times the WINDOW words that repeat together.
+SAMPLING = (0.25, 0.25, 0.25, 0.25 * WINDOW)
 BROADCAST_GROUPS = 20_000
 #: Files of a staged table: FEW, and one more for each ROWS_A_FILE rows.
 FEW, ROWS_A_FILE = 8, 250_000
@@ -109,19 +111,19 @@ def describe(df: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def _vector() -> list[Column]:
-    """The transformed statistics as integers in units of 1 / GRID: log mean word length, and angular transforms of the shares of symbols, of repeated lines and of repeated words, each drawn to a common value where a text has few words or lines."""
+    """The transformed statistics as integers in units of 1 / GRID: log mean word length, and angular transforms of the shares of symbols, of repeated lines and of repeated words."""
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("__n_lines")
-    sure = F.sqrt(n / (n + F.lit(TRUST)))
     angle = lambda x, of: F.asin(F.sqrt(F.least(F.lit(1.0), x / F.greatest(of, F.lit(1)))))
-    parts = [
-        F.ln(F.greatest(chars, F.lit(1)) / F.greatest(n, F.lit(1)) / 5.0) * sure,
-        angle(F.col("n_symbols"), chars) * sure,
-        angle(F.col("n_dup_lines"), lines) * F.sqrt(lines / (lines + F.lit(TRUST_LINES))),
-        angle(F.col("n_repeat_words"), n) * sure,
-    ]
+    parts = [F.ln(F.greatest(chars, F.lit(1)) / F.greatest(n, F.lit(1)) / 5.0), angle(F.col("n_symbols"), chars), angle(F.col("n_dup_lines"), lines), angle(F.col("n_repeat_words"), n)]
     return [F.round(x * GRID).cast("long").alias(f"x{i}") for i, x in enumerate(parts)]
 
 
+def _sampling() -> list[Column]:
+    """The variances that chance gives a text's own statistics."""
+    of = (F.col("n_words"), F.col("word_chars"), F.col("__n_lines"), F.col("n_words"))
+    return [F.lit(v) / F.greatest(n, F.lit(1)) for v, n in zip(SAMPLING, of, strict=True)]
+
+
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -152,8 +154,8 @@ def _model(m: DataFrame, keys: list[str], factor: float) -> DataFrame:
     n = F.col("n").cast("double")
     mean = [F.col(f"s{x}").cast("double") / n / GRID for x in X]
     cell = {(i, j): F.col(f"s{i}{j}").cast("double") / n / GRID**2 - mean[i] * mean[j] for i, j in PAIRS}
-    cov = F.array(*(cell[min(i, j), max(i, j)] * factor + (FLOOR[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(P)))
-    return m.select(*keys, F.array(*mean).alias("at"), _inverted(cov).alias("inv"))
+    cov = F.array(*(cell[min(i, j), max(i, j)] * factor + (FLOOR**2 if i == j else 0.0) for i in range(P) for j in range(P)))
+    return m.select(*keys, F.array(*mean).alias("at"), _inverted(cov).alias("inv"), cov.alias("cov"))
 
 
 def _distance() -> Column:
@@ -189,7 +191,7 @@ def consistency() -> float:
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates: a row (lang, source, at, inv) for each group of describe()'s rows."""
+    """Minimum-covariance-determinant estimates: a row (lang, source, at, cov) for each group of describe()'s rows."""
     ok = stats.filter(~F.col("base_failed")).select("__lang", "__source", *_vector())
     sizes = ok.groupBy("__lang", "__source").agg(F.count("*").alias("n")).select(F.col("__lang"), F.col("__source"), "n")
     sizes = staged(sizes, "quality-groups", FEW)
@@ -214,8 +216,8 @@ def fit(stats: DataFrame) -> DataFrame:
             first = vectors.groupBy("g").agg(*_moments(F.col("c")), *(quart(x).alias(f"q{x}") for x in X))
             whole = _model(first, ["g"], 1.0).withColumn("start", F.lit(1))
             spread = [F.pow((F.get(F.col(f"q{x}"), F.lit(2)) - F.get(F.col(f"q{x}"), F.lit(0))) / (1.349 * GRID), 2) for x in X]
-            diagonal = F.array(*(spread[i] + FLOOR[i] ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(P)))
-            median = first.select("g", F.array(*(F.get(F.col(f"q{x}"), F.lit(1)) / float(GRID) for x in X)).alias("at"), _inverted(diagonal).alias("inv"), F.lit(0).alias("start"))
+            diagonal = F.array(*(spread[i] + FLOOR**2 if i == j else F.lit(0.0) for i in range(P) for j in range(P)))
+            median = first.select("g", F.array(*(F.get(F.col(f"q{x}"), F.lit(1)) / float(GRID) for x in X)).alias("at"), _inverted(diagonal).alias("inv"), diagonal.alias("cov"), F.lit(0).alias("start"))
             model = staged(whole.unionByName(median), "quality-start", FEW)
             continue
         far = vectors.join(_bounded(model), "g").select("g", "start", *X, "c", _distance().alias("d"))
@@ -228,8 +230,8 @@ def fit(stats: DataFrame) -> DataFrame:
         held = held.filter(F.col("upto") - F.col("n") < F.ceil(F.col("whole") * SUPPORT))
         total = held.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{x}" for x in X), *(f"s{i}{j}" for i, j in PAIRS)]))
         model = staged(_model(total, ["g", "start"], consistency()), "quality-step", FEW)
-    best = model.groupBy("g").agg(F.min_by(F.struct("at", "inv"), F.struct(F.col("inv")["ld"], F.col("start"))).alias("m"))
-    out = chosen.join(best, "g").select(F.col("__lang"), F.col("__source"), F.col("g"), F.col("m")["at"].alias("at"), F.col("m")["inv"].alias("inv"))
+    best = model.groupBy("g").agg(F.min_by(F.struct("at", "cov"), F.struct(F.col("inv")["ld"], F.col("start"))).alias("m"))
+    out = chosen.join(best, "g").select(F.col("__lang"), F.col("__source"), F.col("g"), F.col("m")["at"].alias("at"), F.col("m")["cov"].alias("cov"))
     return staged(out.filter(F.lit(all_rows >= MIN_GROUP)), "quality-model", FEW)
 
 
@@ -238,7 +240,11 @@ def verdicts(stats: DataFrame, model: DataFrame) -> DataFrame:
     names = stats.columns
     limit = chi_square_quantile(1 - TAIL, P)
     joined = stats.select("*", *_vector()).join(_bounded(model), ["__lang", "__source"], "left")
-    far = joined.select(*names, F.when(~F.col("base_failed"), _distance()).alias("distance"))
+    own = _sampling()
+    cells = F.array(*(F.get(F.col("cov"), F.lit(i * P + j)) + (own[i] if i == j else F.lit(0.0)) for i in range(P) for j in range(P)))
+    judged = ~F.col("base_failed") & F.col("cov").isNotNull()
+    joined = joined.withColumn("inv", F.when(judged, _inverted(cells)))
+    far = joined.select(*names, F.when(judged, _distance()).alias("distance"))
     return far.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False)))
 
 

@@ -77,6 +77,18 @@ def test_quality_outlier(spark, empty):
     assert quality.filter_documents(spark.createDataFrame(rows, DOCS)).columns == [x.split()[0] for x in DOCS.split(", ")]
 
 
+def test_quality_short_outlier(spark):
+    """A tenth of the characters of a short text, or half of its 20 lines, is far beyond chance; one symbol or one repeated line isn't."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    rows = [(i, "\n".join(" ".join(word() for _ in range(5)) for _ in range(20)), "en", "s", 0, "x") for i in range(80)]
+    lines = rows[0][1].split("\n")
+    odd = [" ".join(w + "#" * (n % 2) for n, w in enumerate(rows[1][1].split())), "\n".join(x for x in [*lines[:10], *(["ab cd"] * 10)]), rows[2][1] + "#", "\n".join([*lines[:18], "ab cd", "ab cd"])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows + [(100 + i, x, "en", "s", 0, "x") for i, x in enumerate(odd)], DOCS)).collect()}
+    assert not any(got[100 + i].base_failed for i in range(4))
+    assert [got[100 + i].kept for i in range(4)] == [False, False, True, True] and all(got[i].kept for i in range(80))
+
+
 def test_inverse(spark):
     a = np.array([[4.0, 1, 0.5, 0.2], [1, 3, 0.3, 0.1], [0.5, 0.3, 2, 0.4], [0.2, 0.1, 0.4, 1]])
     r = spark.range(1).select(quality._inverted(F.array(*(F.lit(float(x)) for x in a.ravel()))).alias("i")).first().i
