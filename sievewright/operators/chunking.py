@@ -79,7 +79,13 @@ def signal_chunks(df: DataFrame, keys: list[str], text: Column, context: int = 3
     return hit.select(*keys, "position", short.alias("chunk")).filter("chunk <> ''").groupBy(*keys, "chunk").agg(F.min("position").alias("position"))
 
 
-def assign_parents(children: DataFrame, parents: DataFrame, keys: list[str], step: int, size: int) -> DataFrame:
-    """Each child chunk with the first parent window that holds its start: arithmetic on window numbers, then an equality join."""
-    at = F.floor(F.greatest(F.col("chunk_index") * step - size, F.lit(0)) / (PARENT_SIZE - PARENT_OVERLAP)).cast("int")
-    return children.withColumn("parent_index", at).join(parents.select(*keys, F.col("chunk_index").alias("parent_index"), F.col("chunk").alias("parent")), [*keys, "parent_index"], "left")
+def assign_parents(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Each child chunk with the parent window of its text that shares the most different tokens with it, the first of equals; without any parent, number 0 and the child itself. Tokens are compared by text, and only the chosen parents' texts are joined."""
+    terms = lambda c: F.array_distinct(T.tokens(F.col(c)))
+    asked = children.select(*keys, "chunk_index", terms("chunk").alias("__t"))
+    told = parents.select(*keys, F.col("chunk_index").alias("parent_index"), terms("chunk").alias("__p"))
+    overlap = F.size(F.array_intersect("__t", "__p"))
+    best = asked.join(told, keys).groupBy(*keys, "chunk_index").agg(F.max_by("parent_index", F.struct(overlap, -F.col("parent_index"))).alias("parent_index"))
+    both = children.join(best, [*keys, "chunk_index"], "left").withColumn("parent_index", F.coalesce("parent_index", F.lit(0)))
+    texts = parents.select(*keys, F.col("chunk_index").alias("parent_index"), F.col("chunk").alias("parent"))
+    return both.join(texts, [*keys, "parent_index"], "left").withColumn("parent", F.coalesce("parent", "chunk"))

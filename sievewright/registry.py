@@ -262,7 +262,7 @@ SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(floor(greatest(
 def parent_assign(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     parents = chunking.windows(docs, ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
-    return chunking.assign_parents(_chunks(spark, sf_dir), parents, ["doc_id"], chunking.SIZE - chunking.OVERLAP, chunking.SIZE).select("doc_id", "chunk_index", "parent_index")
+    return chunking.assign_parents(_chunks(spark, sf_dir), parents, ["doc_id"]).select("doc_id", "chunk_index", "parent_index")
 
 
 _BM25 = f"""

@@ -89,3 +89,22 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert got == sorted(map(str, feeds.window_counts(feeds.events(batch)).collect()))
+
+
+def test_best_parent(spark):
+    """Against the rule itself, over a text of 12,000 words, a short one and one without tokens."""
+    from sievewright.operators import chunking
+
+    rows = [(1, " ".join(f"w{i}" for i in range(12_000))), (2, "one two three"), (3, "。 。")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    children = chunking.windows(df, ["doc_id"], F.col("text"))
+    parents = chunking.windows(df, ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
+    got = {(r.doc_id, r.chunk_index): (r.parent_index, r.parent) for r in chunking.assign_parents(children, parents, ["doc_id"]).collect()}
+    held: dict = {}
+    for r in sorted(parents.collect(), key=lambda r: (r.doc_id, r.chunk_index)):
+        held.setdefault(r.doc_id, []).append(r.chunk)
+    for r in children.collect():
+        every = [len({w for w in r.chunk.split() if w.isalnum() and w.isascii()} & set(p.split())) for p in held[r.doc_id]]
+        best = every.index(max(every))
+        assert got[r.doc_id, r.chunk_index] == (best, held[r.doc_id][best])
+    assert len(got) == 14
