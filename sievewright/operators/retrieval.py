@@ -113,6 +113,14 @@ def fuse(semantic_hits: DataFrame, lexical_hits: DataFrame, weights: tuple[float
     return both.withColumn("score", F.round(weights[0] * F.col("semantic_score") + weights[1] * F.col("bm25_score"), DIGITS))
 
 
+def rank_fused(fused: DataFrame, about: DataFrame) -> DataFrame:
+    """fuse()'s rows with the whole score: source authority, the query's features in the document and its signals added. about: (query_id, id, query, document, authority, signal), a row for each candidate that has a text; others get none of the three."""
+    told = about.select("query_id", "id", (AUTHORITY * F.col("authority") + FEATURE * feature_score(F.col("query"), F.col("document")) + F.col("signal")).alias("__more"))
+    both = fused.join(told, ["query_id", "id"], "left")
+    whole = SEMANTIC * F.col("semantic_score") + BM25 * F.col("bm25_score") + F.coalesce("__more", F.lit(0.0))
+    return both.withColumn("score", F.round(whole, DIGITS)).drop("__more")
+
+
 def merge_queries(hits: DataFrame, k: int) -> DataFrame:
     """The best score of each id over all queries, and by how many queries it was found."""
     best = hits.groupBy("id").agg(F.max("score").alias("score"), F.count("*").alias("n_queries"))

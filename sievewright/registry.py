@@ -332,6 +332,29 @@ def hybrid_fusion(spark, sf_dir):
     return _fused(spark, sf_dir).select("query_id", "id", F.round("semantic_score", 6).alias("semantic_score"), F.round("bm25_score", 6).alias("bm25_score"), "score")
 
 
+def _ranked(spark, sf_dir):
+    """_fused() with the whole score, from the texts, addresses and signals of the candidates' documents."""
+    fused = _fused(spark, sf_dir)
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    none = F.lit("")
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.coalesce("source", none).alias("url"))
+    about = fused.select("query_id", "id").join(docs, "id").join(items, "query_id")
+    shown = T.signals(F.col("document"))
+    flags = (F.coalesce(shown[f"has_{x}_signal"], F.lit(False)) for x in ("formula", "api", "benchmark"))
+    about = about.withColumn("authority", U.authority_score(F.col("url"), none, none, none)).withColumn("signal", retrieval.signal_score(F.col("query"), none, *flags))
+    return retrieval.rank_fused(fused, about)
+
+
+@query()
+def hybrid_ranked(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("query_id", "id", F.round("semantic_score", 6).alias("semantic_score"), F.round("bm25_score", 6).alias("bm25_score"), "score")
+
+
+@query()
+def multi_query_ranked(spark, sf_dir):
+    return retrieval.merge_queries(_ranked(spark, sf_dir), 50)
+
+
 @query(f"{_FUSED} SELECT id, max(score) AS score, count(*) AS n_queries FROM scored GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50")
 def multi_query_merge(spark, sf_dir):
     return retrieval.merge_queries(_fused(spark, sf_dir), 50)
@@ -538,5 +561,5 @@ def supporting_chunks(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval: lexical and vector lists, fused."""
-    return hybrid_fusion(spark, sf_dir)
+    """Hybrid retrieval: lexical and vector lists, fused, with authority, query features and signals."""
+    return hybrid_ranked(spark, sf_dir)

@@ -108,3 +108,22 @@ def test_best_parent(spark):
         best = every.index(max(every))
         assert got[r.doc_id, r.chunk_index] == (best, held[r.doc_id][best])
     assert len(got) == 14
+
+
+def test_ranked_score(spark):
+    """Authority, features and signals change scores and order, and what entry() gives has them."""
+    fused = spark.createDataFrame([(1, 10, 1.0, 0.0), (1, 11, 0.9, 0.0), (1, 12, 0.2, 0.5)], "query_id long, id long, semantic_score double, bm25_score double")
+    about = spark.createDataFrame(
+        [(1, 10, "benchmark accuracy of river models", "nothing shared here", 0.0, 0.0), (1, 11, "benchmark accuracy of river models", "benchmark accuracy of river models", 1.0, 0.1)],
+        "query_id long, id long, query string, document string, authority double, signal double",
+    )
+    got = {r.id: r.score for r in retrieval.rank_fused(fused, about).collect()}
+    feature = 1.0  # all terms and all phrases
+    assert got[10] == 0.55 and got[12] == round(0.11 + 0.175, 6) and got[11] > got[10]
+    assert abs(got[11] - (0.55 * 0.9 + 0.10 + 0.15 * feature + 0.1)) < 2e-6
+
+    from sievewright import registry
+
+    plain = {(r.query_id, r.id): r.score for r in registry.hybrid_fusion(spark, "/root/testdata/sf0.001").collect()}
+    whole = {(r.query_id, r.id): r.score for r in registry.flagship(spark, "/root/testdata/sf0.001").collect()}
+    assert plain.keys() == whole.keys() and all(whole[k] >= plain[k] - 1e-6 for k in plain) and any(whole[k] > plain[k] + 0.01 for k in plain)
