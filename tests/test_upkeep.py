@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from sievewright.operators import upkeep
@@ -66,3 +68,24 @@ def test_citations_and_context(spark):
 def test_latest(spark):
     df = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), (None, 1, "c")], "url string, p int, x string")
     assert [tuple(r) for r in upkeep.latest(df, "url", "p").orderBy("x").collect()] == [("u", 2, "b"), (None, 1, "c")]
+
+
+def test_parent_texts(spark):
+    """Every hit against its real chunk and parent window: both branches are reached and the text is the one with more tokens."""
+    import hashlib
+
+    from sievewright import registry
+    from sievewright.operators import chunking
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.parent_expansion_texts(spark, sf).collect()
+    docs = {r.doc_id: " ".join((r.text or "").split()).split(" ") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    count = lambda x: len(re.findall("[a-z0-9_]+", x.lower()))
+    window = lambda name, size, overlap: " ".join(docs[int(name.split("-")[0])][(a := int(name.split("-")[1]) * (size - overlap)) : a + size])
+    for r in got:
+        child, parent = window(r.id, chunking.SIZE, chunking.OVERLAP), window(r.parent_id, chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
+        assert r.expanded == (count(parent) > count(child))
+        assert r.text_hash == hashlib.sha256((parent if r.expanded else child).encode()).hexdigest()
+    assert {r.expanded for r in got} == {True, False}
+    shown = [(r.query_id, r.parent_id) for r in got if r.expanded]
+    assert len(shown) == len(set(shown))
