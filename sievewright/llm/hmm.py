@@ -1,22 +1,23 @@
 """A hidden Markov language model, trained by Baum-Welch over all training documents and scored exactly.
 
-Words are lower-cased (A-Z) and end in one end token for each document. Every counted training word has emissions of
-its own in each state. The most frequent words (`own` of them) are classes; a state emits each other word by the class of
-its last letters, and within that class by the word's add-one share there in that state:
+Words are lower-cased (A-Z) and end in one end token for each document. The most frequent words (`own` of them) are
+classes; every other word has the class of its last letters. Every counted training word has emissions of its own in
+each state: within its class a state emits it by the word's add-one share there,
 P_s(word) = P_s(class) (E_s(word) + 1) / (E_s(class) + words in class + 1), E_s being expected counts. A word that no
 training document has gets E_s = 0. The sum over all words and one unknown word of each class is 1.
 
 1. Words are counted in each partition, then summed by 64-bit hash. Words counted at least `t` times, at most FREQUENT
-   of them, travel as a broadcast dictionary with their emissions; those of all other words stay in the shared folder
-   and are joined by hash to the rows that have them, so that what is gathered grows with the vocabulary.
-2. Texts become class sequences once, staged beside their slim statistics; texts never move.
-3. Each Baum-Welch step reads the training sequences: every sequence is cut into runs of RUN tokens, whose K x K
-   transfer matrices chain to exact forward and backward messages at every cut, so that runs of all documents advance
-   together in matrix operations whatever their lengths. Expected counts of frequent words are summed in each partition,
-   then in two shuffled steps, and reach the driver; those of other words are summed by hash, as whole numbers of 2 ** -32
-   so that their order doesn't matter. Steps end when one raises the mean log likelihood of a training token by less than
-   TOLERANCE; no number of steps is set.
-4. The scaled forward recursion over the same transfer matrices gives each text's exact likelihood.
+   of them, travel as a broadcast dictionary; all other words stay in the shared folder and are joined by hash to the
+   rows that have them, so that what is gathered grows with the vocabulary.
+2. Texts become sequences of word numbers once, staged beside their slim statistics; texts never move.
+3. Baum-Welch steps fit starts, moves and class emissions. In these the words of a class are tied: their shares in it are
+   the same in all states and cancel. Every sequence is cut into runs of RUN tokens, whose K x K transfer matrices chain
+   to exact forward and backward messages at every cut, so that runs of all documents advance together in matrix
+   operations whatever their lengths. Expected counts are summed in each partition, then in two shuffled steps. Steps end
+   when one raises the mean log likelihood of a training token by less than TOLERANCE; no number of steps is set.
+4. A last step unties the words: the expected counts of every training word, by state, are summed by hash, as whole
+   numbers of 2 ** -32 so that their order doesn't matter.
+5. The scaled forward recursion over transfer matrices of word emissions gives each text's exact likelihood.
 
 The chain starts from the languages named in the table: state s first counts the words of the s-th most frequent one.
 
@@ -27,18 +28,20 @@ with no training document every token has base share 1 and the states are alike;
 from __future__ import annotations
 
 import gc
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, staged
+from .common import ship, staged
 
 K = 4
 #: Nats a training token that a step must gain for another one to follow.
@@ -118,31 +121,31 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return t
 
 
-class Lexicon:
-    """What a worker needs to know of words: frequent words' counts and numbers, and the others' shared class."""
-
-    def __init__(self, frequent: dict[int, tuple[int, int]]):
-        self.frequent = frequent  # hash -> (count, number)
-        self.young: dict[bytes, tuple[int, int, int]] = {}
-        self.old: dict[bytes, tuple[int, int, int]] = {}
-
-    def look(self, words: set[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
-        """Local numbers of words, and an array of (number or -1, count or -1, hash, shared class) by these numbers."""
-        number, rows = {}, []
-        for w in words:
-            found = self.young.get(w)
-            if found is None:
-                found = self.old.get(w)
-                if found is None:
-                    h = hashed(w)
-                    c, at = self.frequent.get(h, (-1, -1))
-                    found = (at, c, h, shared_class(w))
-                self.young[w] = found
-            number[w] = len(rows)
-            rows.append(found)
-        if len(self.young) > 250_000:
-            self.old, self.young = self.young, {}
-        return number, np.array(rows, dtype=np.int64).reshape(-1, 4)
+class Lexicon(dict):
+    """Local numbers of words, given when first asked for, and by them (number or -1, count or -1, hash, shared class). start() forgets all once `most` words are held."""
+
+    def __init__(self, frequent: dict[int, tuple[int, int]], most: int = 300_000):
+        self.frequent, self.most = frequent, most  # frequent: hash -> (count, number)
+        self.fresh: list[int] = []
+        self.held = np.empty((0, 4), dtype=np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        h = hashed(word)
+        c, at = self.frequent.get(h, (-1, -1))
+        self.fresh += (at, c, h, shared_class(word))
+        self[word] = local = len(self)
+        return local
+
+    def start(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+            self.held = self.held[:0]
+
+    def about(self) -> np.ndarray:
+        if self.fresh:
+            self.held = np.concatenate([self.held, np.array(self.fresh, dtype=np.int64).reshape(-1, 4)])
+            self.fresh = []
+        return self.held
 
 
 # -- the chain --------------------------------------------------------------------------------------------------------
@@ -181,7 +184,7 @@ def _transfers(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return m.reshape(s, k, k), logs
 
 
-def _messages(chain: Chain, many: np.ndarray, m: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _messages(chain: Chain, many: np.ndarray, m: np.ndarray, logs: np.ndarray, back: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward messages before each run, backward messages after it (both scaled), and each sequence's log likelihood. The chain's first state is drawn from start, which is a move from a state that no matrix knows, so that the message before the first run solves x @ move = start."""
     k = len(chain.start)
     first = np.concatenate([[0], np.cumsum(many)[:-1]])
@@ -197,7 +200,7 @@ def _messages(chain: Chain, many: np.ndarray, m: np.ndarray, logs: np.ndarray) -
         total[act] += np.log(scale) + logs[at]
         now[act] = x / scale[:, None]
     now = np.ones((len(many), k))
-    for j in range(int(many.max(initial=0)) - 1, -1, -1):
+    for j in range(int(many.max(initial=0)) - 1 if back else -1, -1, -1):
         act = np.flatnonzero(many > j)
         at = first[act] + j
         after[at] = now[act]
@@ -209,11 +212,11 @@ def _messages(chain: Chain, many: np.ndarray, m: np.ndarray, logs: np.ndarray) -
 def log_likelihoods(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     runs, many = _runs(sequences, len(chain.emit) - 1)
     m, logs = _transfers(chain.emit[runs], chain.move)
-    return _messages(chain, many, m, logs)[2]
+    return _messages(chain, many, m, logs, back=False)[2]
 
 
-def expectations(chain: Chain, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected first states (K), moves (K x K) and emissions (classes x K), and the log likelihood."""
+def expectations(chain: Chain, sequences: list[np.ndarray], named: list[np.ndarray] | None = None, names: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected first states (K), moves (K x K) and emissions (classes x K), and the log likelihood. With named, sequences of numbers below `names` beside the classes, emissions are counted by these numbers."""
     k, pad = len(chain.start), len(chain.emit) - 1
     runs, many = _runs(sequences, pad)
     e = chain.emit[runs]
@@ -235,8 +238,8 @@ def expectations(chain: Chain, sequences: list[np.ndarray]) -> tuple[np.ndarray,
     gamma = alpha * beta
     real = runs != pad
     gamma *= (real / np.maximum(gamma.sum(axis=2), 1e-300))[:, :, None]
-    flat = runs.ravel()
-    emit = np.stack([np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=pad + 1)[:pad] for s in range(k)], axis=1)
+    flat, rows = (runs.ravel(), pad) if named is None else (_runs(named, names)[0].ravel(), names)
+    emit = np.stack([np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=rows + 1)[:rows] for s in range(k)], axis=1)
     first = np.concatenate([[0], np.cumsum(many)[:-1]])
     start = gamma[0, first].sum(axis=0)
 
@@ -266,51 +269,75 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[list, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """Of rows (key, classes, rare, times, fitted), about CHUNK classes at a time: keys, sequences, and the hashes, shared classes and expected counts (K) of the rare words, which sequences number from `base`, each word once."""
+def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows that begin with (numbers, rare, times), about CHUNK tokens at a time: the rows, their sequences, the different hashes of rare words, which sequences number from `base`, these words' shared classes, and the place of each word of `rare` among them."""
+    held: list[pa.RecordBatch] = []
 
-    def out(keys: list, held: list, rare: list, shared: list, fitted: list) -> tuple:
-        h, first, back = np.unique(np.concatenate(rare), return_index=True, return_inverse=True)
-        at = np.concatenate([np.arange(base), base + back])
-        ends = base + np.cumsum([0, *(len(r) for r in rare)])
-        sequences = [at[np.where(s >= base, s + (o - base), s)] for s, o in zip(held, ends, strict=False)]
-        return keys, sequences, h, np.concatenate(shared)[first], np.concatenate(fitted)[first]
+    def out() -> tuple:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rare, many = _lists(rows.column(1))
+        h, first, place = np.unique(rare, return_index=True, return_inverse=True)
+        shared = _lists(rows.column(2))[0][first] & 65535
+        at, starts = np.concatenate([np.arange(base), base + place]), np.cumsum(many) - many
+        sequences = []
+        for raw, o in zip(rows.column(0), starts, strict=True):
+            s = np.frombuffer(raw.as_buffer(), dtype="<i4")
+            sequences.append(at[np.where(s >= base, s + o, s)])
+        return rows, sequences, h, shared, place
 
-    parts: tuple[list, ...] = ([], [], [], [], [])
     n = 0
     for batch in batches:
-        rare, many = _lists(batch.column(2))
-        times, _ = _lists(batch.column(3))
-        fitted = _lists(batch.column(4))[0].reshape(-1, K).astype(np.float64)
-        ends = np.cumsum(many)
-        for key, raw, a, b in zip(batch.column(0).to_pylist(), batch.column(1), ends - many, ends, strict=True):
-            row = (key, np.frombuffer(raw.as_buffer(), dtype="<i4").astype(np.int64), rare[a:b], times[a:b] & 65535, fitted[a:b])
-            for held, x in zip(parts, row, strict=True):
-                held.append(x)
-            n += len(row[1])
+        sizes = np.asarray(pa.compute.binary_length(batch.column(0))) // 4
+        at = 0
+        for k, size in enumerate(sizes):
+            n += int(size)
             if n >= CHUNK:
-                yield out(*parts)
-                parts, n = ([], [], [], [], []), 0
-    if parts[0]:
-        yield out(*parts)
+                held.append(batch.slice(at, k + 1 - at))
+                yield out()
+                held, n, at = [], 0, k + 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield out()
 
 
-SUMS = ["block", "part", "sums", "h", *(f"e{s}" for s in range(K))]
-SUMS_SCHEMA = "block int, part long, sums binary, h long, " + ", ".join(f"e{s} long" for s in range(K))
+SUMS = ["block", "part", "sums", "h", "f", *(f"e{s}" for s in range(K))]
+SUMS_SCHEMA = "block int, part long, sums binary, h long, f boolean, " + ", ".join(f"e{s} long" for s in range(K))
 
 
 def _packed(start: np.ndarray, move: np.ndarray, emit: np.ndarray, log: float) -> pa.RecordBatch:
     """A partition's sums as rows (block, part, sums): block -1 holds all but the emissions."""
     part = TaskContext.get().partitionId()
     rows = [(-1, np.concatenate([start, move.ravel(), [log]]))] + [(b, emit[a : a + BLOCK].ravel()) for b, a in enumerate(range(0, len(emit), BLOCK))]
-    none = [pa.nulls(len(rows), pa.int64()) for _ in range(K + 1)]
+    none = [pa.nulls(len(rows), kind) for kind in (pa.int64(), pa.bool_(), *[pa.int64()] * K)]
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x.astype("<f8").tobytes() for _, x in rows], pa.binary()), *none], SUMS)
 
 
-def _rare(h: np.ndarray, emit: np.ndarray) -> pa.RecordBatch:
-    """Rare words' expected counts as rows (h, e0 ...)."""
+def _words(h: np.ndarray, emit: np.ndarray, frequent: bool) -> pa.RecordBatch:
+    """Words' expected counts as rows (h, f, e0 ...)."""
     none = [pa.nulls(len(h), kind) for kind in (pa.int32(), pa.int64(), pa.binary())]
-    return pa.RecordBatch.from_arrays([*none, pa.array(h, pa.int64()), *(pa.array(np.rint(emit[:, s] * UNIT).astype(np.int64)) for s in range(K))], SUMS)
+    counts = (pa.array(np.rint(emit[:, s] * UNIT).astype(np.int64)) for s in range(K))
+    return pa.RecordBatch.from_arrays([*none, pa.array(h, pa.int64()), pa.array(np.full(len(h), frequent)), *counts], SUMS)
+
+
+class Gathered:
+    """Expected counts by hash, given up whenever more than `most` are held."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.n, self.held = most, 0, []
+
+    def add(self, h: np.ndarray, emit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((h, emit))
+        self.n += len(h)
+        if self.n > self.most:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            h, back = np.unique(np.concatenate([h for h, _ in self.held]), return_inverse=True)
+            emit = np.concatenate([e for _, e in self.held])
+            yield _words(h, np.stack([np.bincount(back, weights=emit[:, s], minlength=len(h)) for s in range(K)], axis=1), False)
+        self.n, self.held = 0, []
 
 
 def _sum(pdf):
@@ -348,18 +375,13 @@ class Emissions:
         self.own, self.shared, self.words = own, shared, words  # words: different words in each shared class
         self.unknown = own + len(shared)
         self.size = self.unknown + SHARED
+        #: the class of each number
+        self.classes = np.concatenate([np.arange(own), own + shared, own + np.arange(SHARED)])
 
-    def classes(self, emit: np.ndarray) -> np.ndarray:
-        """Expected counts of classes (own + SHARED), of expected counts by number, where the rare words of a shared class stand at its unknown word."""
-        both = emit[self.unknown :].copy()
-        np.add.at(both, self.shared, emit[self.own : self.unknown])
-        return np.vstack([emit[: self.own], both])
-
-    def chain(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, spread: np.ndarray) -> Chain:
-        classes = self.classes(emit)
-        made = reestimated(start, move, classes, spread)
-        unknown = made.emit[self.own : -1] / (classes[self.own :] + self.words[:, None] + 1)
-        return Chain(made.start, made.move, np.vstack([made.emit[: self.own], unknown[self.shared] * (emit[self.own : self.unknown] + 1), unknown]))
+    def words_chain(self, chain: Chain, classes: np.ndarray, frequent: np.ndarray) -> Chain:
+        """The chain over numbers, of the chain over classes and the expected counts of classes and of frequent words."""
+        unknown = chain.emit[self.own : -1] / (classes[self.own :] + self.words[:, None] + 1)
+        return Chain(chain.start, chain.move, np.vstack([chain.emit[: self.own], unknown[self.shared] * (frequent + 1), unknown]))
 
 
 def with_rare(chain: Chain, unknown: int, shared: np.ndarray, fitted: np.ndarray) -> Chain:
@@ -367,6 +389,30 @@ def with_rare(chain: Chain, unknown: int, shared: np.ndarray, fitted: np.ndarray
     return Chain(chain.start, chain.move, np.vstack([chain.emit[:-1], chain.emit[unknown + shared] * (fitted + 1)]))
 
 
+def _ends(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+
+
+def encoded(lex: Lexicon, texts: list[list[bytes]], size: int, whole: int) -> list[pa.Array]:
+    """For each text: tokens, known tokens and base score of its frequent words; its sequence of numbers, where the k-th different rare word is size + k; and the rare words' hashes, and their times above the shared class's 16 bits."""
+    lex.start()
+    lengths = np.array([len(x) for x in texts])
+    flat = np.fromiter(map(lex.__getitem__, itertools.chain.from_iterable(texts)), dtype=np.int64, count=int(lengths.sum()))
+    about = lex.about()
+    at, count = about[flat, 0], about[flat, 1]
+    first = np.cumsum(lengths) - lengths
+    base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 1) / whole), 0.0)
+    rare = np.flatnonzero(count < 0)
+    text = np.repeat(np.arange(len(texts)), lengths)[rare]
+    found, back, times = np.unique(text * len(about) + flat[rare], return_inverse=True, return_counts=True)
+    local, of = found % len(about), found // len(about)
+    many = np.bincount(of, minlength=len(texts))
+    at[rare] = size + back - (np.cumsum(many) - many)[text]
+    numbers = pa.Array.from_buffers(pa.binary(), len(texts), [None, _ends(lengths * 4).buffers()[1], pa.py_buffer(at.astype("<i4").tobytes())])
+    lists = [pa.ListArray.from_arrays(_ends(many), pa.array(x, pa.int64())) for x in (about[local, 2], times << 16 | about[local, 3])]
+    return [pa.array(lengths, pa.int64()), pa.array(np.add.reduceat(count > 0, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), numbers, *lists]
+
+
 def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df."""
     spark = df.sparkSession
@@ -391,7 +437,8 @@ def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent:
     owned = (F.col("h") == END_HASH) | (F.col("c") >= t_own)
     rest = {r.b: r.v for r in words.filter(~owned).groupBy("b").agg(F.count("*").alias("v")).collect()}
     table = Emissions(own, np.array([b for _, _, b in others], dtype=np.int64), np.array([rest.get(b, 0) for b in range(SHARED)], dtype=float))
-    size, unknown = table.size, table.unknown
+    size, unknown, n_classes = table.size, table.unknown, own + SHARED
+    other_hashes = np.array([h for h, _, _ in others], dtype=np.int64)
     langs = [r.lang for r in docs.filter(~F.col("held_out")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(K).collect()]
     state = {lang: s for s, lang in enumerate(langs)}
     lexicon = context.broadcast(numbers)
@@ -402,117 +449,94 @@ def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent:
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
-                texts = [tokens(x) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                number, about = lex.look(set().union(*texts))
-                cls, count, h, b = about.T if len(about) else np.empty((4, 0), dtype=np.int64)
-                base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 1) / whole), 0.0)
-                out: list[list] = [[] for _ in range(6)]
-                for words_ in texts:
-                    w = np.fromiter(map(number.__getitem__, words_), dtype=np.int64, count=len(words_))
-                    rare = count[w] < 0
-                    ids, back, times = np.unique(w[rare], return_inverse=True, return_counts=True)
-                    sequence = cls[w]
-                    sequence[rare] = size + back
-                    row = (len(w), int((count[w] > 0).sum()), float(base[w].sum()), sequence.astype("<i4").tobytes(), h[ids], (times << 16 | b[ids]))
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "lang", "held_out", "n", "known", "base", "classes", "rare", "times"])
-
-    schema = "doc_id long, lang string, held_out boolean, n long, known long, base double, classes binary, rare array<long>, times array<long>"
-    coded = staged(docs.select("doc_id", "text", "lang", "held_out").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "hmm-classes")
-
-    # tokens of words that aren't in the dictionary: their counts come by a join on hashes
-    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.shiftright(F.col("x.times"), 16).alias("times"))
-    found = rare.join(words.filter(F.col("c") < t).select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    added = found.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(whole)))).alias("base2"),
-    )
+                made = encoded(lex, [tokens(x) for x in part.column(1).cast(pa.binary()).to_pylist()], size, whole)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *made], ["doc_id", "lang", "held_out", "n", "known", "base", "numbers", "rare", "times"])
 
+    schema = "doc_id long, lang string, held_out boolean, n long, known long, base double, numbers binary, rare array<long>, times array<long>"
+    coded = staged(docs.select("doc_id", "text", "lang", "held_out").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "hmm-numbers")
     training = coded.filter(~F.col("held_out"))
     n_parts = training.rdd.getNumPartitions()
 
-    def with_fitted(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-        """(row, classes, rare, times, fitted): rows with the expected counts of their rare words, in their order."""
-        counts = fitted.select("h", *((F.col(e) / UNIT).cast("float").alias(e) for e in SUMS[-K:]))
-        asked = rows.select("row", F.posexplode("rare").alias("i", "h")).join(counts, "h", "left").fillna(0.0, SUMS[-K:])
-        told = asked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", *SUMS[-K:]))).alias("x"))
-        flat = F.flatten(F.transform("x", lambda x: F.array(*(x[e] for e in SUMS[-K:]))))
-        return rows.select("row", "classes", "rare", "times").join(told.select("row", flat.alias("fitted")), "row", "left")
-
-    def summed(parts: DataFrame) -> tuple[tuple, DataFrame]:
-        """A step's sums, and the table of rare words' expected counts."""
-        made = parts.filter("h IS NOT NULL").groupBy("h").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(K)))
-        return _summed(parts.filter("h IS NULL").select("block", "part", "sums"), n_parts, size), staged(made, "hmm-emissions")
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = np.zeros((size, K))
-        for batch in batches:
-            hashes, many = _lists(batch.column(2))
-            times, _ = _lists(batch.column(3))
-            weights = np.array([np.arange(K) == state[x] if x in state else np.full(K, 1 / K) for x in batch.column(0).to_pylist()], dtype=float).reshape(-1, K)
-            rows = [np.frombuffer(raw.as_buffer(), dtype="<i4") for raw in batch.column(1)]
-            flat = np.concatenate([np.zeros(0, dtype="<i4"), *rows])
-            dense = flat < size
-            by = np.repeat(weights, [len(r) for r in rows], axis=0)[dense]
-            counts = np.repeat(weights, many, axis=0) * (times >> 16)[:, None]
+        emit = np.zeros((n_classes, K))
+        for rows, sequences, _, shared, _ in _chunks(batches, size):
+            of = np.concatenate([table.classes, own + shared])
+            weights = np.array([np.arange(K) == state[x] if x in state else np.full(K, 1 / K) for x in rows.column(3).to_pylist()], dtype=float)
+            flat, by = of[np.concatenate(sequences)], np.repeat(weights, [len(s) for s in sequences], axis=0)
             for s in range(K):
-                emit[:, s] += np.bincount(flat[dense], weights=by[:, s], minlength=size)
-                emit[unknown:, s] += np.bincount(times & 65535, weights=counts[:, s], minlength=SHARED)
-            h, back = np.unique(hashes, return_inverse=True)
-            if len(h):
-                yield _rare(h, np.stack([np.bincount(back, weights=counts[:, s], minlength=len(h)) for s in range(K)], axis=1))
+                emit[:, s] += np.bincount(flat, weights=by[:, s], minlength=n_classes)
         yield _packed(np.zeros(K), np.zeros((K, K)), emit, 0.0)
 
-    with scratch(spark) as forget_parts:
-        parts = staged(training.select("lang", "classes", "rare", "times").mapInArrow(first, SUMS_SCHEMA), "hmm-sums")
-    with scratch(spark) as forget:
-        (start, move, emit, _), fitted = summed(parts)
-    forget_parts()
-    _forget_shuffles(spark)
-    classes = table.classes(emit)
+    _, _, classes, _ = _summed(training.select("numbers", "rare", "times", "lang").mapInArrow(first, SUMS_SCHEMA).select("block", "part", "sums"), n_parts, n_classes)
     spread = (classes.sum(axis=1) + 0.5) / (classes.sum() + 0.5 * len(classes))
-    chain = table.chain(classes.sum(axis=0), np.eye(K) * classes.sum(axis=0)[:, None] * 0.05, emit, spread)
-    before = -np.inf
+    chain = reestimated(classes.sum(axis=0), np.eye(K) * classes.sum(axis=0)[:, None] * 0.05, classes, spread)
+    before, untie = -np.inf, False
     while True:
         told = context.broadcast(chain)
 
-        def expect(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            total = None
-            for _, sequences, h, shared, e in _chunks(batches, size):
-                start, move, emit, log = expectations(with_rare(told.value, unknown, shared, e), sequences)
-                if len(h):
-                    yield _rare(h, emit[size:])
-                x = (start, move, emit[:size], log)
-                np.add.at(x[2], unknown + shared, emit[size:])
+        def expect(batches: Iterator[pa.RecordBatch], told=told, untie=untie) -> Iterator[pa.RecordBatch]:
+            total, by_number, gathered = None, np.zeros((size if untie else 0, K)), Gathered()
+            for _, sequences, h, shared, _ in _chunks(batches, size):
+                of = np.concatenate([table.classes, own + shared])
+                tied = [of[s] for s in sequences]
+                if untie:
+                    start, move, emit, log = expectations(told.value, tied, sequences, size + len(h))
+                    by_number += emit[:size]
+                    yield from gathered.add(h, emit[size:])
+                    emit = np.stack([np.bincount(of, weights=emit[:, s], minlength=n_classes) for s in range(K)], axis=1)
+                    x = (start, move, emit, log)
+                else:
+                    x = expectations(told.value, tied)
                 total = x if total is None else tuple(a + b for a, b in zip(total, x, strict=True))
+            yield from gathered.out()
+            if untie:
+                some = own + np.flatnonzero(by_number[own:unknown].any(axis=1))
+                yield _words(other_hashes[some - own], by_number[some], True)
             if total is not None:
                 yield _packed(*total)
 
-        with scratch(spark) as forget_parts:
-            parts = staged(with_fitted(training, fitted).mapInArrow(expect, SUMS_SCHEMA), "hmm-sums")
-        _forget_shuffles(spark)
-        with scratch(spark) as forget_next:
-            (start, move, emit, log), better = summed(parts)
-        forget_parts()
+        parts = training.select("numbers", "rare", "times").mapInArrow(expect, SUMS_SCHEMA)
+        if untie:
+            break
+        start, move, emit, log = _summed(parts.select("block", "part", "sums"), n_parts, n_classes)
         told.unpersist()
         _forget_shuffles(spark)
-        if log - before < tolerance * n_all or not n_all:
-            forget_next()
-            break
-        forget()
-        chain, fitted, before, forget = table.chain(start, move, emit, spread), better, log, forget_next
-    last = context.broadcast(chain)
+        untie = not n_all or log - before < tolerance * n_all
+        chain, before = reestimated(start, move, emit, spread), log
+    parts = staged(parts, "hmm-sums")
+    start, move, classes, _ = _summed(parts.filter("h IS NULL").select("block", "part", "sums"), n_parts, n_classes)
+    by_word = parts.filter("h IS NOT NULL").groupBy("h", "f").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(K)))
+    held = by_word.filter("f").toArrow()  # at most `frequent` rows
+    by_hash = np.zeros((len(other_hashes), K))
+    by_hash[np.searchsorted(other_hashes, held.column("h").to_numpy())] = np.stack([held.column(f"e{s}").to_numpy() / UNIT for s in range(K)], axis=1)
+    last = context.broadcast(table.words_chain(reestimated(start, move, classes, spread), classes, by_hash))
+
+    # counts of rare words, and their expected counts, come by a join on hashes
+    counted = words.filter(F.col("c") < t).select("h", "c", *(F.lit(0).cast("long").alias(f"e{s}") for s in range(K)))
+    fitted = by_word.filter("NOT f").select("h", F.lit(0).cast("long").alias("c"), *(f"e{s}" for s in range(K)))
+    about = counted.unionByName(fitted).groupBy("h").agg(F.sum("c").alias("c"), *((F.sum(f"e{s}") / UNIT).cast("float").alias(f"e{s}") for s in range(K)))
+    asked = coded.select("row", F.posexplode("rare").alias("i", "h"))
+    found = asked.join(about, "h").groupBy("row").agg(F.collect_list(F.struct("i", "c", *(f"e{s}" for s in range(K)))).alias("told"))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sequences, _, shared, e in _chunks(batches, size):
-            found = log_likelihoods(with_rare(last.value, unknown, shared, e), sequences) / np.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.float64())], ["row", "chain"])
-
-    chained = with_fitted(coded, fitted).mapInArrow(forward, "row long, chain double")
-    slim = coded.select("row", "doc_id", "held_out", "n", "known", "base").join(chained, "row").join(added, "row", "left")
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return slim.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + none("known2")).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + none("base2")).alias("base_score"), F.col("chain").alias("score"),
-    )
+        for rows, sequences, h, shared, place in _chunks(batches, size):
+            told, many = rows.column(8), _lists(rows.column(1))[1]
+            starts = np.cumsum(many) - many
+            flat = told.flatten()
+            of = np.repeat(starts, told.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + flat.field(0).to_numpy(zero_copy_only=False)
+            counts, fitted = np.zeros(len(place), dtype=np.int64), np.zeros((len(h), K))
+            counts[of] = flat.field(1).to_numpy(zero_copy_only=False)
+            fitted[place[of]] = np.stack([flat.field(2 + s).to_numpy(zero_copy_only=False) for s in range(K)], axis=1)
+            times = _lists(rows.column(2))[0] >> 16
+            text = np.repeat(np.arange(len(many)), many)
+            sums = lambda x, text=text, many=many: np.bincount(text, weights=x, minlength=len(many))
+            known = sums(np.where(counts > 0, times, 0)).astype(np.int64) + rows.column(6).to_numpy(zero_copy_only=False)
+            base = sums(times * np.log10((counts + 1) / whole)) + rows.column(7).to_numpy(zero_copy_only=False)
+            chained = log_likelihoods(with_rare(last.value, unknown, shared, fitted), sequences) / np.log(10)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(3), rows.column(4), rows.column(5), pa.array(known), pa.array(np.full(len(many), n_all, dtype=np.int64)), pa.array(base), pa.array(chained)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    both = coded.join(found, "row", "left").select("numbers", "rare", "times", "doc_id", "held_out", "n", "known", "base", "told")
+    return both.mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -236,27 +236,28 @@ def test_hmm_every_word_has_emissions(spark):
     kinds = np.bincount([group[w] for w in seen if w not in big], minlength=own + hmm.SHARED)
     training = [i for i in texts if i not in held]
     sequences = {i: np.array([at[w] for w in ws]) for i, ws in texts.items()}
+    tied = [groups[sequences[i]] for i in training]
 
-    def chain(start, move, emit, spread):
-        sums = np.zeros((own + hmm.SHARED, k))
-        np.add.at(sums, groups, emit)
-        made = hmm.reestimated(start, move, sums, spread(sums))
-        inside = np.where((groups < own)[:, None], 1.0, (emit + 1) / (sums[groups] + kinds[groups][:, None] + 1))
-        return hmm.Chain(made.start, made.move, made.emit[groups] * inside), sums
-
-    emit = np.zeros((len(words), k))
+    # steps over classes, then one that tells the words of a class apart
+    sums = np.zeros((own + hmm.SHARED, k))
     langs = [x for x, _ in sorted(Counter(docs[i][2] for i in training).items(), key=lambda x: (-x[1], x[0]))]
-    for i in training:
-        np.add.at(emit[:, langs.index(docs[i][2])], sequences[i], 1.0)
-    total = emit.sum(axis=0)
-    share = lambda x: (x.sum(axis=1) + 0.5) / (x.sum() + 0.5 * len(x))
-    made, sums = chain(total, np.eye(k) * total[:, None] * 0.05, emit, share)
-    spread, before = share(sums), -np.inf
+    for i, s in zip(training, tied):
+        np.add.at(sums[:, langs.index(docs[i][2])], s, 1.0)
+    total = sums.sum(axis=0)
+    spread = (sums.sum(axis=1) + 0.5) / (sums.sum() + 0.5 * len(sums))
+    made, before = hmm.reestimated(total, np.eye(k) * total[:, None] * 0.05, sums, spread), -np.inf
     while True:
-        start, move, emit, log = hmm.expectations(made, [sequences[i] for i in training])
+        start, move, sums, log = hmm.expectations(made, tied)
+        made = hmm.reestimated(start, move, sums, spread)
         if log - before < hmm.TOLERANCE * sum(seen.values()):
             break
-        made, before = chain(start, move, emit, lambda _: spread)[0], log
+        before = log
+    start, move, emit, _ = hmm.expectations(made, tied, [sequences[i] for i in training], len(words))
+    sums = np.zeros((own + hmm.SHARED, k))
+    np.add.at(sums, groups, emit)
+    made = hmm.reestimated(start, move, sums, spread)
+    inside = np.where((groups < own)[:, None], 1.0, (emit + 1) / (sums[groups] + kinds[groups][:, None] + 1))
+    made = hmm.Chain(made.start, made.move, made.emit[groups] * inside)
     for i, s in sequences.items():
         assert math.isclose(got[i], float(hmm.log_likelihoods(made, [s])[0]) / math.log(10), abs_tol=1e-5)
 
