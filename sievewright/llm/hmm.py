@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import scratch, ship, staged
 
 K = 4
 #: Nats a training token that a step must gain for another one to follow.
@@ -503,9 +503,13 @@ def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent:
         _forget_shuffles(spark)
         untie = not n_all or log - before < tolerance * n_all
         chain, before = reestimated(start, move, emit, spread), log
-    parts = staged(parts, "hmm-sums")
+    with scratch(spark) as forget_parts:
+        parts = staged(parts, "hmm-sums")
     start, move, classes, _ = _summed(parts.filter("h IS NULL").select("block", "part", "sums"), n_parts, n_classes)
-    by_word = parts.filter("h IS NOT NULL").groupBy("h", "f").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(K)))
+    by_word = staged(parts.filter("h IS NOT NULL").groupBy("h", "f").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(K))), "hmm-fitted")
+    forget_parts()
+    del parts
+    _forget_shuffles(spark)
     held = by_word.filter("f").toArrow()  # at most `frequent` rows
     by_hash = np.zeros((len(other_hashes), K))
     by_hash[np.searchsorted(other_hashes, held.column("h").to_numpy())] = np.stack([held.column(f"e{s}").to_numpy() / UNIT for s in range(K)], axis=1)
