@@ -1,16 +1,20 @@
 """Chat formatting: schema fingerprints choose declarative mappings to canonical turns, which become one marked string for each conversation.
 
-A fingerprint is the SHA-256 of a record's sorted nested field paths ('messages[].role'). Tables have one fingerprint,
-from their schema; JSON records have one each, computed by SQL functions. LAYOUTS maps sets of field paths to the
-expressions that give canonical turns (turn, role, text).
+A fingerprint is the SHA-256 of the sorted nested field paths ('messages[].role') that a record fills, over all elements
+of its arrays; fields that no layout knows don't count. Every record has its own, computed by SQL functions, so that one
+table, or one column of JSON, may mix layouts. LAYOUTS maps sets of field paths to the expressions that give canonical
+turns (turn, role, text); a record that fills only some fields of a layout has that layout, the first one of LAYOUTS
+where several fit.
 
 A turn reads '### role: text</turn>\\n'. Inside roles and texts the characters of ESCAPES stand as two characters, so
 that the marks never occur there; unescape() restores them. The loss mask is held twice: loss_turns has a flag for
 each turn, loss_spans the code point ranges of the masked (escaped) texts.
 
 Defined cases: null role or text counts as ''; null turn comes first; turns with equal numbers are ordered by role,
-then text; repeated rows stay; a conversation with null id is one conversation; records with an unknown fingerprint
-raise for tables, and come back from canonical_json() with null turns; other columns are ignored.
+then text; repeated rows stay; a conversation with null id is one conversation; a record that fills fields of several
+layouts, or none, has no mapping: canonical() gives it one row of null turn, role and text with the whole record as JSON in
+`unmapped`, and format_chat() leaves it out. In a table of turns a row of nulls alone is an empty turn. A table whose
+fields make no layout raises; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def _listed(array: str, role: str, text: str) -> str:
 
 #: Layouts: the field paths that tell it, and the SQL expression of its canonical turns. 'rows' has a row for each turn.
 LAYOUTS = {
-    "rows": (["role", "text", "turn"], None),
+    "rows": (["role", "text", "turn"], "array(named_struct('turn', cast(turn AS BIGINT), 'role', coalesce(role, ''), 'text', coalesce(text, '')))"),
     "prompt": (["prompt", "response"], _pair("prompt", "response")),
     "completion": (["completion", "prompt"], _pair("prompt", "completion")),
     "instruction": (["instruction", "output"], _pair("instruction", "output")),
@@ -78,49 +82,72 @@ LAYOUTS = {
     "messages": (["messages[].content", "messages[].role"], _listed("messages", "role", "content")),
     "shared conversation": (["conversations[].from", "conversations[].value"], _listed("conversations", "from", "value")),
 }
-BY_FINGERPRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
+KNOWN = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
 
 
-def layout_of(df: DataFrame, id_col: str) -> str:
-    """The layout whose fields df has. Fields outside every layout don't count, so that extra columns do no harm; the largest layout that fits wins."""
-    paths = {p for p in paths_of(df.schema) if p != id_col}
-    fitting = [set(need) for need, _ in LAYOUTS.values() if set(need) <= paths]
-    if not fitting:
-        raise ValueError(f"no mapping for the fields {sorted(paths)}")
-    return BY_FINGERPRINT[fingerprint(sorted(max(fitting, key=lambda need: (len(need), sorted(need)))))]
+def layouts_of(schema: T.StructType, id_col: str) -> dict[str, list[str]]:
+    """The layouts whose fields a schema has whole, with these fields. An array's path needs elements that are objects."""
+    have = {p for p in paths_of(schema) if p != id_col}
+    return {name: paths for name, (paths, _) in LAYOUTS.items() if set(paths) <= have}
+
+
+def by_fingerprint(layouts: dict[str, list[str]]) -> dict[str, str]:
+    """Fingerprints of all that a record of each layout may fill, and the layout's name."""
+    found: dict[str, str] = {}
+    for name, paths in layouts.items():
+        for bits in range(0 if name == "rows" else 1, 2 ** len(paths)):
+            found.setdefault(fingerprint([p for k, p in enumerate(paths) if bits >> k & 1]), name)
+    return found
+
+
+def filled(paths: list[str]) -> Column:
+    """The fingerprint of a row: of those of these paths that it fills."""
+
+    def has(path: str) -> Column:
+        if "[]." not in path:
+            return F.col(f"`{path}`").isNotNull()
+        array, field = path.split("[].")
+        return F.coalesce(F.exists(F.col(f"`{array}`"), lambda m: m[field].isNotNull()), F.lit(False))
+
+    return F.sha2(F.array_join(F.array(*(F.when(has(p), F.lit(p)) for p in sorted(paths))), "\n"), 256)
 
 
 def canonical(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, turn, role, text), a row for each turn."""
-    layout = layout_of(df, id_col)
-    if layout == "rows":
-        return df.select(id_col, F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return df.select(id_col, F.inline(F.expr(LAYOUTS[layout][1])))
-
-
-def json_fingerprint(c: Column) -> Column:
-    """The fingerprint of a JSON record with at most one level of arrays of objects, the first element of which shows their fields; null for what isn't an object."""
-    keys = F.json_object_keys(c)
-    nested = F.transform(keys, lambda k: F.json_object_keys(F.call_function("get_json_object", c, F.concat(F.lit("$['"), k, F.lit("'][0]")))))
-    paths = F.flatten(
-        F.transform(F.arrays_zip(keys.alias("k"), nested.alias("n")), lambda z: F.when(z["n"].isNull(), F.array(z["k"])).otherwise(F.transform(z["n"], lambda x: F.concat(z["k"], F.lit("[]."), x))))
-    )
-    return F.when(keys.isNotNull(), F.sha2(F.array_join(F.array_sort(paths), "\n"), 256))
+    """(id, turn, role, text, unmapped), a row for each turn; each record by the mapping that its own fingerprint selects."""
+    layouts = layouts_of(df.schema, id_col)
+    if not layouts:
+        raise ValueError(f"no mapping for the fields {sorted(paths_of(df.schema))}")
+    names = by_fingerprint(layouts)
+    known = sorted({p for paths in layouts.values() for p in paths})
+    chosen = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("__print"))
+    fields = list(dict.fromkeys(p.split("[]")[0] for p in known))
+    told = df.select(F.col(id_col).alias("__id"), *(F.col(f"`{f}`") for f in fields), filled(known).alias("__print"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("__raw"))
+    return _turns(told.withColumn("__layout", chosen), layouts, id_col)
+
+
+def _turns(told: DataFrame, layouts: dict[str, list[str]], id_col: str) -> DataFrame:
+    turns = F.lit(None).cast(T.ArrayType(TURN))
+    for name in layouts:
+        turns = F.when(F.col("__layout") == name, F.expr(LAYOUTS[name][1])).otherwise(turns)
+    raw = F.when(F.col("__layout").isNull(), F.coalesce("__raw", F.lit("null")))
+    return told.select(F.col("__id"), raw.alias("unmapped"), F.inline_outer(turns)).select(F.col("__id").alias(id_col), "turn", "role", "text", "unmapped")
+
+
+#: The fields of all layouts but 'rows', as a schema for JSON records.
+JSON_FIELDS = (
+    "prompt STRING, response STRING, completion STRING, instruction STRING, input STRING, output STRING, messages ARRAY<STRUCT<role: STRING, content: STRING>>, "
+    "conversations ARRAY<STRUCT<`from`: STRING, value: STRING>>"
+)
 
 
 def canonical_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
-    """(id, turn, role, text) of heterogeneous JSON records, each by the mapping that its own fingerprint selects; unknown layouts give one row with null turn, role and text."""
-    one = {
-        "prompt": "prompt STRING, response STRING", "completion": "prompt STRING, completion STRING", "instruction": "instruction STRING, output STRING",
-        "instruction with input": "instruction STRING, input STRING, output STRING", "messages": "messages ARRAY<STRUCT<role: STRING, content: STRING>>",
-        "shared conversation": "conversations ARRAY<STRUCT<`from`: STRING, value: STRING>>",
-    }
-    fields = ", ".join(dict.fromkeys(f for x in one.values() for f in x.split(", ") if "ARRAY" not in x)) + ", " + one["messages"] + ", " + one["shared conversation"]
-    told = df.select(F.col(id_col), json_fingerprint(F.col(json_col)).alias("__print"), F.from_json(F.col(json_col), fields).alias("__r")).select(id_col, "__print", "__r.*")
-    turns = F.lit(None).cast(T.ArrayType(TURN))
-    for name in one:
-        turns = F.when(F.col("__print") == fingerprint(LAYOUTS[name][0]), F.expr(LAYOUTS[name][1])).otherwise(turns)
-    return told.select(id_col, F.inline_outer(turns))
+    """(id, turn, role, text, unmapped) of heterogeneous JSON records, each by the mapping that its own fingerprint selects."""
+    told = df.select(F.col(id_col).alias("__id"), F.col(json_col).alias("__raw"), F.from_json(F.col(json_col), JSON_FIELDS).alias("__r")).select("__id", "__raw", "__r.*")
+    layouts = {name: paths for name, (paths, _) in LAYOUTS.items() if name != "rows"}
+    names = by_fingerprint(layouts)
+    chosen = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("__print"))
+    told = told.withColumn("__print", filled([p for p in KNOWN if p not in LAYOUTS["rows"][0]])).withColumn("__layout", chosen)
+    return _turns(told, layouts, id_col)
 
 
 # -- formatting -------------------------------------------------------------------------------------------------------
@@ -171,4 +198,4 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chat(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    return format_turns(canonical(df, id_col), id_col)
+    return format_turns(canonical(df, id_col).filter("unmapped IS NULL"), id_col)

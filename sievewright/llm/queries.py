@@ -64,10 +64,9 @@ EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2).select(
-        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(EXTRA_TEXT).alias("text")
-    )
-    made = chat.format_chat(rows.unionByName(extra))
+    # a record of another layout in the same table: its fingerprint maps it to a user's and an assistant's turn
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(EXTRA_TEXT).alias("prompt"), F.lit(EXTRA_TEXT).alias("response"))
+    made = chat.format_chat(rows.unionByName(extra, allowMissingColumns=True))
     back = made.select("conv_id", "formatted", "loss_turns", chat.parse(F.col("formatted")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     zipped = F.arrays_zip(F.col("turns").alias("t"), F.col("loss_turns").alias("m"))

@@ -362,6 +362,29 @@ def test_chat(spark):
     assert got == {1: [("user", "a"), ("assistant", "b")], 2: [("user", "i\nn"), ("assistant", "o")], 3: [("user", "q"), ("assistant", "r")], 4: [("user", "q"), ("assistant", "r")], 5: [(None, None)], 6: [(None, None)]}
 
 
+def test_chat_mixed_layouts(spark):
+    """Rows of one table go by their own fingerprints; extra fields don't count, elements after the first do, and what has no mapping is kept as it is."""
+    schema = "conv_id long, turn long, role string, text string, prompt string, response string, messages array<struct<role: string, content: string, name: string>>, extra int"
+    rows = [
+        (1, 0, "user", "a", None, None, None, 1), (1, 1, "assistant", None, None, None, None, None), (2, None, None, None, "p", "r", None, 5), (3, None, None, None, "p", None, None, 5),
+        (4, None, None, None, None, None, [(None, None, "n"), ("user", "q", None), ("assistant", "s", None)], 5), (5, 0, "user", "a", "p", "r", None, 5), (None, 3, None, None, None, None, None, 1),
+        (1, 1, "assistant", None, None, None, None, None),
+    ]
+    got = {}
+    for x in chat.canonical(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(x.conv_id, []).append((x.role, x.text))
+        assert (x.unmapped is not None) == (x.conv_id == 5)
+    assert got[1] == [("user", "a"), ("assistant", ""), ("assistant", "")] and got[2] == [("user", "p"), ("assistant", "r")] and got[3] == [("user", "p"), ("assistant", "")]
+    assert got[4] == [("", ""), ("user", "q"), ("assistant", "s")] and got[5] == [(None, None)] and got[None] == [("", "")]
+    # without the fingerprints every row would be a turn
+    assert chat.format_chat(spark.createDataFrame(rows, schema)).filter("conv_id = 2").select(chat.parse(F.col("formatted")).alias("p")).first().p[1].text == "r"
+    made = chat.canonical_json(spark.createDataFrame([(1, '{"id":1,"prompt":"a","response":"b"}'), (2, '{"prompt":"a","messages":[{"role":"user","content":"q","name":"n"}]}'), (3, '{"id":2,"messages":[{"name":"x","role":"user"},{"content":"q"}]}')], "conv_id long, j string"), "j")
+    found = {r.conv_id: r for r in made.orderBy("turn").collect()}
+    assert found[1].text == "b" and found[2].unmapped.startswith('{"prompt"') and found[3].text == "q"
+    with pytest.raises(ValueError):
+        chat.canonical(spark.range(1).withColumnRenamed("id", "conv_id"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
