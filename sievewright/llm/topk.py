@@ -1,13 +1,17 @@
 """Exact top-k search by inner product: three-phase uniform threshold over local score lists.
 
 A vector's components are cut into NODES runs; node j holds, for each query, the list of partial scores over run j.
-Phase 1 gathers the k best entries of every local list, whose full scores give a safe cutoff: k candidates reach it.
-Phase 2 broadcasts the cutoff; every list gives up its entries at or above cutoff / NODES. A candidate that no list
-gives up has all its partial scores below that threshold and so a full score below the cutoff.
-Phase 3 resolves the full scores of what was given up, exactly, and ranks them.
+Phase 1 gathers the k best entries of every local list. The full scores of these few candidates give a safe cutoff, which
+k candidates are known to reach.
+Phase 2 broadcasts the cutoff. Every list gives up its entries at or above the uniform threshold, cutoff / NODES; what it
+keeps back is below the threshold, by which a candidate's full score is bounded from above: the entries given up, and the
+largest integer below the threshold for each one kept back. A candidate that no list gives up has a full score below the
+cutoff, and one whose bound is below the cutoff can't be among the k best.
+Phase 3 resolves the full scores of the candidates that are left, exactly, and ranks them. No other full score is made.
 
 Queries are taken in slabs of at most about SLAB, each of which is broadcast; candidates are read once for each slab
-and phase, in blocks of Arrow batches, and never moved. What moves is k rows for each query and partition.
+and pass (phases 2 and 3 share one, as a task holds all lists of its candidates), in blocks of Arrow batches, and never
+moved. What moves is k rows for each query and partition.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows with null id, take no
 part; a query's candidates are the other ids' vectors of its own length; several rows of one id are candidates each,
@@ -32,6 +36,8 @@ SCALE = 1024
 NODES = 4
 SLAB = 16_384
 ROWS = 2_048
+#: Pairs resolved, and entries held, at a time.
+PAIRS, HELD = 65_536, 1_000_000
 
 
 def vectors_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,10 +64,40 @@ def vectors_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 def partial_scores(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """Partial inner products (queries x candidates) over NODES runs of components, exact."""
     cuts = np.linspace(0, q.shape[1], NODES + 1).astype(int)
-    safe = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if safe < 2**53:
-        return [(q[:, a:b] @ c[:, a:b].T).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [q[:, a:b].astype(np.int64).astype(object).dot(c[:, a:b].astype(np.int64).astype(object).T) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if _safe(q, c):
+        return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [_whole(q[:, a:b]).dot(_whole(c[:, a:b]).T) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Python integers, for sums that doubles can't hold."""
+    return x.astype(np.int64).astype(object)
+
+
+def _safe(q: np.ndarray, c: np.ndarray) -> bool:
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**53
+
+
+def resolved(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Full scores of the pairs (rows[i], cols[i])."""
+    out = np.empty(len(rows), dtype=np.int64)
+    safe = _safe(q, c)
+    for at in range(0, len(rows), PAIRS):
+        x, y = q[rows[at : at + PAIRS]], c[cols[at : at + PAIRS]]
+        out[at : at + PAIRS] = np.einsum("ij,ij->i", x, y).astype(np.int64) if safe else (_whole(x) * _whole(y)).sum(axis=1)
+    return out
+
+
+def candidates(nodes: list[np.ndarray], cut: np.ndarray) -> np.ndarray:
+    """Phase 2: which pairs may reach the cutoff of their query, by the entries that the lists give up."""
+    least = -(-cut // NODES)[:, None]  # the uniform threshold, rounded up
+    bound = np.zeros(nodes[0].shape, dtype=nodes[0].dtype)
+    some = np.zeros(nodes[0].shape, dtype=bool)
+    for scores in nodes:
+        given = scores >= least
+        some |= given
+        bound += np.where(given, scores, least - 1)
+    return some & (bound >= cut[:, None])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,36 +106,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield from vectors_of(batch.slice(at, ROWS))
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, equal scores by smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _out(q: list, v: list, s: list) -> pa.RecordBatch:
-    join = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(join(x), pa.int64()) for x in (q, v, s)], ["query_id", "vec_id", "score"])
+class Best:
+    """The k best entries (query, id, score) of each query; equal scores by smaller id."""
 
+    def __init__(self, k: int):
+        self.k, self.n, self.held = k, 0, [np.empty((0, 3), dtype=np.int64)]
 
-def _reduce(found: dict[int, tuple[list, list]], k: int) -> Iterator[pa.RecordBatch]:
-    out: tuple[list, list, list] = ([], [], [])
-    for q, (ids, scores) in found.items():
-        i, s = np.concatenate(ids), np.concatenate(scores)
-        keep = best(i, s, k)
-        for held, x in zip(out, (np.full(len(keep), q), i[keep], s[keep]), strict=True):
-            held.append(x)
-    if out[0]:
-        yield _out(*out)
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.held.append(np.stack([query, ids, scores], axis=1))
+        self.n += len(ids)
+        if self.n > HELD:
+            self.n = 0
+            self.held = [self.cut()]
 
+    def cut(self) -> np.ndarray:
+        x = np.concatenate(self.held)
+        x = x[np.lexsort((x[:, 1], -x[:, 2], x[:, 0]))]
+        first = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]]) if len(x) else np.empty(0, dtype=np.int64)
+        place = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+        return x[place < self.k]
 
-def _keep(found: dict, q: int, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
-    """Add entries to a query's list; once it is long, cut it to its best k."""
-    a, b = found.setdefault(q, ([], []))
-    a.append(ids)
-    b.append(scores)
-    if len(a) >= 16:
-        i, s = np.concatenate(a), np.concatenate(b)
-        keep = best(i, s, k)
-        found[q] = ([i[keep]], [s[keep]])
+    def out(self) -> Iterator[pa.RecordBatch]:
+        x = self.cut()
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, j]) for j in range(3)], ["query_id", "vec_id", "score"])
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -124,25 +154,18 @@ def _slab(corpus: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     schema = "query_id long, vec_id long, score long"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = {}
+        best = Best(k)
         for ids, c in _blocks(batches):
             for qids, q in held.value:
                 if q.shape[1] != c.shape[1]:
                     continue
-                nodes = partial_scores(q, c)
-                full = sum(nodes)
-                for r, qid in enumerate(qids):
-                    other = ids != qid
-                    local = set()
-                    for scores in nodes:  # the k best entries of each local list
-                        x = scores[r]
-                        near = np.argpartition(-x, k)[: k + 1] if len(x) > k + 1 else np.arange(len(x))
-                        local.update(near.tolist())
-                    at = np.fromiter(local, dtype=np.int64)
-                    at = at[other[at]]
-                    if len(at):
-                        _keep(found, int(qid), ids[at], full[r][at].astype(np.int64), k)
-        yield from _reduce(found, k)
+                pick = np.zeros((len(qids), len(ids)), dtype=bool)
+                for scores in partial_scores(q, c):  # the k best entries of each local list; one may be the query's own
+                    near = np.argpartition(-scores, k, axis=1)[:, : k + 1] if len(ids) > k + 1 else np.arange(len(ids))[None, :]
+                    np.put_along_axis(pick, np.broadcast_to(near, (len(qids), near.shape[1])), True, axis=1)
+                rows, cols = np.nonzero(pick & (ids[None, :] != qids[:, None]))
+                best.add(qids[rows], ids[cols], resolved(q, c, rows, cols))
+        yield from best.out()
 
     gathered = corpus.mapInArrow(first, schema)
     by = "PARTITION BY query_id ORDER BY score DESC, vec_id"
@@ -152,24 +175,16 @@ def _slab(corpus: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     told = spark.sparkContext.broadcast(cuts)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = {}
+        best = Best(k)
         for ids, c in _blocks(batches):
             for qids, q in held.value:
                 if q.shape[1] != c.shape[1]:
                     continue
-                nodes = partial_scores(q, c)
-                least = [told.value.get(int(qid)) for qid in qids]
-                bound = np.array([-(2**62) if x is None else -(-x // NODES) for x in least], dtype=np.int64)[:, None]
-                given = nodes[0] >= bound
-                for scores in nodes[1:]:
-                    given = given | (scores >= bound)
-                given &= ids[None, :] != qids[:, None]
-                full = sum(nodes)
-                given &= full >= np.array([-(2**62) if x is None else x for x in least], dtype=np.int64)[:, None]
-                for r in np.flatnonzero(given.any(axis=1)):
-                    at = np.flatnonzero(given[r])
-                    _keep(found, int(qids[r]), ids[at], full[r][at].astype(np.int64), k)
-        yield from _reduce(found, k)
+                cut = np.array([told.value.get(int(qid), -(2**62)) for qid in qids], dtype=np.int64)
+                left = candidates(partial_scores(q, c), cut)
+                rows, cols = np.nonzero(left & (ids[None, :] != qids[:, None]))
+                best.add(qids[rows], ids[cols], resolved(q, c, rows, cols))
+        yield from best.out()
 
     final = corpus.mapInArrow(second, schema)
     return final.withColumn("rank", F.expr(f"row_number() OVER ({by})")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -328,6 +328,25 @@ def test_topk(spark):
         want = sorted(((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i))[:5]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == [(j, -s) for s, j in want]
     assert {r.query_id for r in got} == {0, 100, 200}
+    assert topk.search(df.limit(0), df.limit(0)).count() == 0
+    clash = df.withColumn("v", F.lit("x")).withColumn("id", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("score", F.lit(1))
+    again = topk.search(clash, clash.filter("vec_id % 100 = 0"), 5).filter("query_id IN (0, 100, 200)").collect()
+    assert sorted(map(tuple, again)) == sorted(tuple(r) for r in got)
+
+
+def test_topk_threshold():
+    """The threshold leaves few pairs to resolve, never loses one that reaches the cutoff, and with the threshold off all are left."""
+    rng = np.random.default_rng(4)
+    q, c = (np.floor(1024 * rng.normal(size=(n, 32)) / 6) for n in (20, 3000))
+    full = q @ c.T
+    cut = np.sort(full, axis=1)[:, -10].astype(np.int64)
+    left = topk.candidates(topk.partial_scores(q, c), cut)
+    assert left[full >= cut[:, None]].all() and left.mean() < 0.5
+    assert topk.candidates(topk.partial_scores(q, c), np.full(20, -(2**62))).all()
+    rows, cols = np.nonzero(left)
+    assert (topk.resolved(q, c, rows, cols) == full[rows, cols]).all()
+    big = q * 2.0**40
+    assert [int(x) for x in topk.partial_scores(big, c)[0][0, :3]] == [sum(int(a) * int(b) for a, b in zip(big[0, :8], v[:8])) for v in c[:3]]
 
 
 def test_cascade(spark):
