@@ -27,20 +27,27 @@ _scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a folder of our own where that is unset (local runs, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, and a folder of our own where that is unset in local runs and tests; elsewhere that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sievewright-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+def partitioned(df: DataFrame, by: str, label: str) -> DataFrame:
+    """staged() with a folder for each value of a whole-numbered column, so that a filter on it reads that folder alone."""
+    return staged(df, label, by=by)
+
+
+def staged(df: DataFrame, label: str, files: int | None = None, by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again, which cuts its lineage with files that outlive an executor. files: for small tables, into how many files at most."""
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/sievewright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     for held in _scratch:
         held.append(path)
     _forget_at_exit(spark, path)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, scratch, ship, staged
-from .urls import build_cascade, contains, level
+from .urls import contains, list_membership, prefilter
 
 WORDS = 5
 BINS = 128
@@ -238,19 +238,16 @@ def describe(df: DataFrame, text_col: str = "text") -> DataFrame:
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("s").alias("s1"))
     two = sets.select(F.col("id").alias("b"), F.col("s").alias("s2"))
-    both = pairs.join(two, "b").join(one, "a")
+    both = pairs.join(two, "b").join(one, "a")  # nothing that groups by a follows, so that a hub's many pairs may be split
     common = F.size(F.array_intersect("s1", "s2"))
-    return both.select("a", "b", common.alias("c"), F.size("s1").alias("na"), F.size("s2").alias("nb")).filter(linked(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    return both.select("a", "b", common.alias("c"), F.size("s1").alias("na"), F.size("s2").alias("nb")).filter(linked(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _fetch(df: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = F.col("doc_id").cast("string")
-    try:  # a Bloom filter keeps most other texts out of the shuffle
-        bits = level(ids.select(F.col("id").cast("string").alias("k")), ids.count(), 0, 0.01)
-        texts = texts.filter(contains(key, 0, *bits))
-    except OverflowError:  # too many ids for a filter that may travel
-        pass
+    # a Bloom filter keeps most other texts out of the shuffle
+    texts = texts.filter(contains(key, 0, *prefilter(ids.select(F.col("id").cast("string").alias("k")), ids.count())))
     texts = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return staged(texts.mapInArrow(_sets, "id long, s array<long>"), "near-sets")
 
@@ -310,11 +307,9 @@ def deduplicate(df: DataFrame, text_col: str = "text") -> DataFrame:
     drop()  # sets and signatures are as large as the texts
     key = F.col("doc_id").cast("string")
     gone = told.filter(~F.col("kept")).select(key.alias("k")).distinct()
-    cascade = build_cascade(told.select(key.alias("k")), gone)  # exact for these ids, so that no text is shuffled
-    if cascade is None:  # too many ids for filters that may travel
-        left = df.join(told.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*df.columns)
-    else:
-        left = df.filter(~cascade.contains(F.col("doc_id").cast("long").cast("string")))
+    # a filter cascade over these ids is exact for them, so that no text is shuffled
+    marked = list_membership(df, F.col("doc_id").cast("long").cast("string"), gone, universe=told.select(key.alias("k")))
+    left = marked.filter(~F.col("__listed")).select(*df.columns)
     again = told.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return left

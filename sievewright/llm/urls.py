@@ -6,8 +6,10 @@ level that says no decides: at an odd level the key isn't listed, at an even lev
 the answer is exact, and no row is joined.
 
 Filters are built by SQL aggregates: bitmap_construct_agg makes a bitmap of 32,768 bits for each bucket of positions.
-A level travels as one binary literal, of a size known from its count of keys: at most MAX_BYTES over all levels,
-else list_membership() falls back to a shuffled semi join of distinct keys, which has no size bound.
+A level travels as one binary literal. Keys are dealt to shards by their hash, as many as it takes for each shard's
+cascade to stay near MAX_BYTES whatever the list's size. With one shard, the usual case, the answer is an expression in
+the plan of the rows. With more, the rows are written once by shard, then answered shard by shard, each by its own
+cascade, so that only one of them travels at a time; no rows are joined in either case.
 
 Defined cases: null url, or one without '://', has an empty host and path, fits no rule and is not listed; an empty
 list lists nothing; repeated rows are judged alike; a rule's host is matched with A-Z lower-cased.
@@ -20,12 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import partitioned, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MAX_BYTES = 64 << 20
+MAX_BYTES = 32 << 20
 BUCKET = 32_768
 HASHES = 4
 
@@ -82,11 +84,12 @@ class Cascade:
         return sum(len(b) for _, b in self.levels)
 
 
-def level(keys: DataFrame, n: int, level: int, error: float) -> tuple[int, bytes]:
-    """A Bloom filter of n keys (column k) as (bits, bytes). OverflowError if it would pass MAX_BYTES."""
-    bits = max(BUCKET, math.ceil(-HASHES * n / math.log(1 - error ** (1 / HASHES)) / BUCKET) * BUCKET)
-    if bits // 8 > MAX_BYTES:
-        raise OverflowError
+def _bits(n: int, error: float) -> int:
+    return max(BUCKET, math.ceil(-HASHES * n / math.log(1 - error ** (1 / HASHES)) / BUCKET) * BUCKET)
+
+
+def level(keys: DataFrame, bits: int, level: int) -> tuple[int, bytes]:
+    """A Bloom filter of keys (column k) as (bits, bytes)."""
     at = keys.select(F.explode(F.array(*_positions(F.col("k"), level, bits))).alias("p")).select(F.floor(F.col("p") / BUCKET).alias("b"), (F.col("p") % BUCKET).alias("p"))
     held = bytearray(bits // 8)
     for row in at.groupBy("b").agg(F.bitmap_construct_agg(F.col("p")).alias("m")).toLocalIterator():  # bits / 32,768 rows of 4 KB
@@ -94,40 +97,68 @@ def level(keys: DataFrame, n: int, level: int, error: float) -> tuple[int, bytes
     return bits, bytes(held)
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
-    """universe, listed: a column k each. None if the filters would pass MAX_BYTES. Keys listed but outside the universe are left out, since nobody asks for them."""
-    u = staged(
-        universe.select("k", F.lit(0).alias("l")).unionByName(listed.select("k", F.lit(1).alias("l"))).filter(F.col("k").isNotNull()).groupBy("k").agg(F.max("l").alias("l"), F.min("l").alias("in_u")).filter("in_u = 0").select("k", "l"),
-        "urls-universe",
-    )
-    n_out, n_in = (u.agg(F.count_if(F.col("l") == 0), F.count_if(F.col("l") == 1)).first() or (0, 0))[:2]
+def prefilter(keys: DataFrame, n: int, most: int = MAX_BYTES) -> tuple[int, bytes]:
+    """One Bloom filter of n keys in at most `most` bytes: the more keys, the more others it takes in."""
+    return level(keys, min(_bits(n, 0.01), most * 8 // BUCKET * BUCKET), 0)
+
+
+def _error(n: int, others: int) -> float:
+    """Level 1 admits about as many others as there are keys."""
+    return min(0.5, max(1e-6, n / max(1, others) / 2))
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards))
+
+
+def universe_of(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """(k, l): the different keys of a universe, and whether each is listed. Keys listed but outside the universe are left out, since nobody asks for them. keys, listed: a column k each."""
+    both = keys.select("k", F.lit(0).alias("l")).unionByName(listed.select("k", F.lit(1).alias("l"))).filter(F.col("k").isNotNull())
+    return staged(both.groupBy("k").agg(F.max("l").alias("l"), F.min("l").alias("in_u")).filter("in_u = 0").select("k", "l"), "urls-universe")
+
+
+def _cascade(u: DataFrame, n_in: int, n_out: int) -> Cascade:
     levels: list[tuple[int, bytes]] = []
-    left, n, others = {1: u.filter("l = 1"), 0: u.filter("l = 0")}, {1: n_in, 0: n_out}, 0
-    side = 1
-    try:
-        while n[side]:
-            # level 1 admits about as many others as there are listed keys; later levels halve what is left
-            error = min(0.5, max(1e-6, n[side] / max(1, n[1 - side]) / 2)) if not levels else 0.1
-            levels.append(level(left[side], n[side], len(levels), error))
-            if Cascade(levels).size() > MAX_BYTES:
-                return None
-            wrong = left[1 - side].filter(contains(F.col("k"), len(levels) - 1, *levels[-1]))
-            left[1 - side] = staged(wrong, "urls-wrong")
-            n[1 - side] = left[1 - side].count()
-            side = 1 - side
-    except OverflowError:
-        return None
+    left, n, side = {1: u.filter("l = 1"), 0: u.filter("l = 0")}, {1: n_in, 0: n_out}, 1
+    while n[side]:
+        levels.append(level(left[side], _bits(n[side], 0.1 if levels else _error(n[side], n[1 - side])), len(levels)))
+        left[1 - side] = staged(left[1 - side].filter(contains(F.col("k"), len(levels) - 1, *levels[-1])), "urls-wrong")
+        n[1 - side] = left[1 - side].count()
+        side = 1 - side
     return Cascade(levels)
 
 
-def list_membership(df: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
-    """df with a boolean column __listed."""
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """One cascade, of whatever size. universe, listed: a column k each."""
+    u = universe_of(universe, listed)
+    return _cascade(u, *_counts(u))
+
+
+def _counts(u: DataFrame) -> tuple[int, int]:
+    r = u.agg(F.count_if(F.col("l") == 1).alias("n_in"), F.count_if(F.col("l") == 0).alias("n_out")).first()
+    return r.n_in, r.n_out
+
+
+def list_membership(df: DataFrame, key: Column, listed: DataFrame, most: int = MAX_BYTES, universe: DataFrame | None = None) -> DataFrame:
+    """df with a boolean column __listed. universe: a column k with all keys of df, where they are known from a slimmer table."""
     keyed = df.withColumn("__k", key)
-    cascade = build_cascade(keyed.select(F.col("__k").alias("k")), listed)
-    if cascade is None:
-        flags = listed.select(F.col("k").alias("__k"), F.lit(True).alias("__found")).distinct()
-        return keyed.join(flags, "__k", "left").withColumn("__listed", F.coalesce("__found", F.lit(False))).drop("__k", "__found")
-    return keyed.withColumn("__listed", cascade.contains(F.col("__k"))).drop("__k")
+    u = universe_of(keyed.select(F.col("__k").alias("k")) if universe is None else universe, listed)
+    n_in, n_out = _counts(u)
+    # later levels hold about half as many keys as the first, then fewer and fewer
+    size = 2 * _bits(n_in, _error(n_in, n_out)) // 8 if n_in else 0
+    shards = max(1, math.ceil(size / most))
+    if shards == 1:
+        return keyed.withColumn("__listed", _cascade(u, n_in, n_out).contains(F.col("__k"))).drop("__k")
+    shard = F.coalesce(shard_of(F.col("k"), shards), F.lit(0)).alias("__shard")
+    by_shard = partitioned(u.withColumn("__shard", shard), "__shard", "urls-shards")
+    rows = partitioned(keyed.withColumn("__shard", F.coalesce(shard_of(F.col("__k"), shards), F.lit(0))), "__shard", "urls-rows")
+    out = None
+    for s in range(shards):
+        own = by_shard.filter(F.col("__shard") == s).select("k", "l")
+        told = _cascade(own, *_counts(own))
+        done = staged(rows.filter(F.col("__shard") == s).withColumn("__listed", told.contains(F.col("__k"))).drop("__k", "__shard"), "urls-told")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:

@@ -358,6 +358,27 @@ def test_cascade(spark):
     assert urls.build_cascade(universe, listed.filter("false")).levels == []
 
 
+def test_cascade_shards(spark):
+    """With a low bound the same answers come from several shards; null keys, repeated rows and clashing columns stay."""
+    rows = spark.range(30_000).select(F.when(F.col("id") != 5, F.col("id").cast("string")).alias("u"), F.lit(1).alias("k"), F.lit(2).alias("l"))
+    rows = rows.unionByName(rows.limit(10))
+    listed = rows.filter("cast(u as int) % 7 = 0").select(F.col("u").alias("k"))
+    for most in (urls.MAX_BYTES, 4_096):
+        got = urls.list_membership(rows, F.col("u"), listed, most)
+        assert got.columns == ["u", "k", "l", "__listed"] and got.count() == 30_010
+        assert got.filter("__listed <> coalesce(cast(u as int) % 7 = 0, false)").count() == 0
+    assert urls.list_membership(rows.limit(0), F.col("u"), listed).count() == 0
+    # a filter kept small takes in more, and never leaves a key out
+    bits, held = urls.prefilter(listed, 4_000, 4_096)
+    assert bits == 32_768 and listed.filter(~urls.contains(F.col("k"), 0, bits, held)).count() == 0
+
+
+def test_deduplicate_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text of {i % 700} " * 5, "en", "s", 0, "x") for i in range(1_400)], DOCS)
+    monkeypatch.setattr(neardup, "list_membership", lambda *a, **k: urls.list_membership(*a, most=4_096, **k))
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs).collect()) == list(range(700))
+
+
 def test_urls_odd(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "HTTP://A.Example.NET/en/x?y"), (4, "x://net"), (5, "x://b.org/fr/"), (6, "x://b.org/fr/")], "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, spark.createDataFrame([("b.org/fr/",)], "k string")).collect()}
