@@ -1,13 +1,14 @@
 """Personal data: base patterns, and a span classifier trained by weak supervision.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its test. Looser patterns propose
-further candidates. Five labelers vote on every candidate (yes, no, or abstain): the strict pattern, a gazetteer (top
+further candidates, and those of one more kind that has no base: secrets, such as keys and tokens in an assignment. Five labelers vote on every candidate (yes, no, or abstain): the strict pattern, a gazetteer (top
 level domains, issuer digits, address blocks, country codes), cue words in the context before it, a structural test
-(checksum, ranges, digit counts), and clean edges. Expectation-maximisation estimates each labeler's reliability from
+(checksum, ranges, digit counts), and clean edges. Expectation-maximisation estimates each labeler's reliability for each kind from
 the counts of vote patterns, and a logistic classifier is fitted to the resulting probabilities over votes, kind and
-length. A candidate is added if the classifier gives at least SURE, its structure is sound and no base span overlaps it; base spans stay.
+length. A candidate is added if the classifier gives at least SURE and no base span overlaps it; base spans stay. Of added
+spans that overlap, the one that starts first stays, then that of the first kind; two alike count once.
 
-Everything that reads texts is SQL functions. The vote patterns are at most 4 * 3**5 * 2 rows whatever the corpus, and
+Everything that reads texts is SQL functions. The vote patterns are at most 5 * 3**5 * 2 rows whatever the corpus, and
 only these counts reach the driver. Patterns are written so that no run of characters is scanned more than twice
 (possessive, with starts tied to the edge of a run), with the same matches as the plain ones.
 
@@ -25,13 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import let, staged
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 SURE = 0.9
 CONTEXT = 32
 ROUNDS = 30
 LABELERS = 5
-#: The number of the structural labeler, without whose yes nothing is added.
-STRUCTURE = 3
 NO_SPANS = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:array<int>,long:int>>"
 
 #: Base patterns in linear form.
@@ -47,19 +46,22 @@ LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+",
 }
 #: What a text must hold for a pattern to be tried.
 HINT = {
     ("email", True): "@", ("ip", True): r"[0-9]\.[0-9]", ("card", True): r"[0-9](?:[\x20-]?[0-9]){12}", ("phone", True): r"\+[0-9]",
     ("email", False): r"[\[(]at[\])]", ("ip", False): r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", ("card", False): r"[0-9](?:[\x20-]?[0-9]){12}", ("phone", False): r"[0-9]{3}[.-][0-9]{4}",
+    ("secret", False): r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20}",
 }
 #: Fixed word lists of the gazetteer and of the context labeler.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|eu|uk|de|fr|es|it|nl|ch|at|be|se|no|dk|fi|pl|pt|ie|us|ca|mx|br|ar|cl|co|au|nz|jp|cn|kr|in|ru|za"
 CUES = {
     "email": "mail|contact|write to|reach|correo|courriel|schreib", "ip": r"\bip\b|address|host|server|login|logged|adresse|client",
     "card": "card|visa|master|credit|debit|payment|tarjeta|carte|karte", "phone": "tel|phone|call|fax|mobile|cell|whatsapp|anruf|appel|llam",
+    "secret": "token|secret|passw|pwd|key|auth|bearer|credential|clave|jeton",
 }
-AGAINST = {"email": "npm|git@|import", "ip": r"version|release|\bv\.?\s*$|section|build", "card": "isbn|order|invoice|serial|sku|tracking", "phone": "isbn|order|invoice|serial|version|section"}
+AGAINST = {"email": "npm|git@|import", "ip": r"version|release|\bv\.?\s*$|section|build", "card": "isbn|order|invoice|serial|sku|tracking", "phone": "isbn|order|invoice|serial|version|section", "secret": "sha|commit|md5|checksum|digest|hash|uuid|etag|https?:"}
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:
@@ -111,10 +113,14 @@ def _passes(kind: str, s: Column) -> Column:
 
 
 def _gazetteer(kind: str, s: Column) -> Column:
+    """True, false, or null to abstain."""
     if kind == "email":
         return F.lower(s).rlike(rf"(?:\.|\[dot\]|\(dot\))\x20?(?:{DOMAINS})$")
     if kind == "ip":
         return s.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.|^(?:2[0-9A-Fa-f]{3}|3[0-9A-Fa-f]{3}|[fF][cdCD][0-9A-Fa-f]{2}|[fF][eE]80):")
+    if kind == "secret":  # prefixes of keys; digests look the same, secret or not
+        hexes = "|".join(f"{c}{{{n}}}" for c in ("[0-9a-f]", "[0-9A-F]") for n in (32, 40, 64))
+        return F.when(s.rlike(r"^(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk-|eyJ)"), F.lit(True)).when(~s.rlike(rf"^(?:{hexes})$"), F.lit(False))
     if kind == "card":
         return _digits(s).rlike("^(?:4|5[1-5]|2[2-7]|3[0-9]|6)")
     return s.rlike(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[013]|5[09][0-9]|6[7-9][0-9]|8[58][0-9]|9[679][0-9])|^\(?[2-9][0-9]{2}\)?[\x20.-]")
@@ -125,6 +131,8 @@ def _structure(kind: str, s: Column) -> Column:
         return s.rlike(r"^.{1,64}(?:@|\[at\]|\(at\)|\x20)") & s.rlike("[A-Za-z]")
     if kind == "ip":
         return _parts_fit(s) | F.contains(s, F.lit(":"))
+    if kind == "secret":  # letters and digits well mixed, as in random strings
+        return (F.length(_digits(s)) >= 4) & (F.length(F.regexp_replace(s, "[^A-Za-z]", "")) >= 4)
     return _passes(kind, s)
 
 
@@ -132,8 +140,10 @@ def _votes(kind: str, text: Column, m: Column, strict: Column) -> Column:
     before = F.lower(F.substr(text, F.greatest(m["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(m["start"], F.lit(CONTEXT)).cast("int")))
     around = F.concat(F.substr(before, F.length(before), F.lit(1)), F.lit("\n"), F.substr(text, (m["end"] + 1).cast("int"), F.lit(1)))
     yes = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
+    if kind == "secret":  # no base pattern: what an assignment gives
+        strict = before.rlike("""[=:]\\s*["']?$""")
     return F.array(
-        yes(strict), yes(_gazetteer(kind, m["s"])), F.when(before.rlike(CUES[kind]), F.lit(1)).when(before.rlike(AGAINST[kind]), F.lit(0)).otherwise(F.lit(-1)),
+        yes(strict), F.coalesce(_gazetteer(kind, m["s"]).cast("int"), F.lit(-1)), F.when(before.rlike(CUES[kind]), F.lit(1)).when(before.rlike(AGAINST[kind]), F.lit(0)).otherwise(F.lit(-1)),
         yes(_structure(kind, m["s"])), yes(~around.rlike(r"^[\p{L}\p{N}_]|[\p{L}\p{N}_]$")),
     )
 
@@ -157,7 +167,7 @@ def candidates(text: Column) -> Column:
     def of(t: Column) -> Column:
         parts = []
         for k, kind in enumerate(KINDS):
-            for strict in (True, False):
+            for strict in (True, False) if kind in BASE else (False,):
                 found = _matches(t, (BASE if strict else LOOSE)[kind], HINT[kind, strict])
 
                 parts.append(F.transform(found, _told(k, t, strict)))
@@ -170,7 +180,7 @@ def candidates(text: Column) -> Column:
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], int, int]]) -> list[float]:
-    """The probability that the candidates of each pattern (kind, votes, long, count) are personal data, by expectation-maximisation over labelers whose errors are independent. It starts from the share of yes votes."""
+    """The probability that the candidates of each pattern (kind, votes, long, count) are personal data, by expectation-maximisation over labelers whose errors are independent, with rates of their own for each kind. It starts from the share of yes votes."""
     share = [sum(v == 1 for v in votes) / max(1, sum(v >= 0 for v in votes)) for _, votes, _, _ in patterns]
     p = [min(0.95, max(0.05, x)) for x in share]
     for _ in range(ROUNDS):
@@ -178,19 +188,19 @@ def estimate(patterns: list[tuple[int, tuple[int, ...], int, int]]) -> list[floa
         for kind in range(len(KINDS)):
             own = [(q, votes, n) for q, (k, votes, _, n) in zip(p, patterns, strict=True) if k == kind]
             prior[kind] = (sum(q * n for q, _, n in own) + 1) / (sum(n for _, _, n in own) + 2)
-        for j in range(LABELERS):
-            for truth in (0, 1):
-                weigh = lambda q, truth=truth: q if truth else 1 - q
-                said = sum(weigh(q) * n for q, (_, votes, _, n) in zip(p, patterns, strict=True) if votes[j] >= 0)
-                yes = sum(weigh(q) * n for q, (_, votes, _, n) in zip(p, patterns, strict=True) if votes[j] == 1)
-                # five imagined votes hold a labeler's rates near 0.8 and 0.2 until it has spoken often
-                rate[j, truth] = (yes + (4 if truth else 1)) / (said + 5)
+            for j in range(LABELERS):
+                for truth in (0, 1):
+                    weight = [(q if truth else 1 - q) * n for q, _, n in own]
+                    said = sum(x for x, (_, votes, _) in zip(weight, own, strict=True) if votes[j] >= 0)
+                    yes = sum(x for x, (_, votes, _) in zip(weight, own, strict=True) if votes[j] == 1)
+                    # five imagined votes hold a labeler's rates near 0.8 and 0.2 until it has spoken often
+                    rate[kind, j, truth] = (yes + (4 if truth else 1)) / (said + 5)
         p = []
         for kind, votes, _, _ in patterns:
             odds = math.log(prior[kind] / (1 - prior[kind]))
             for j, v in enumerate(votes):
                 if v >= 0:
-                    a, b = rate[j, 1], rate[j, 0]
+                    a, b = rate[kind, j, 1], rate[kind, j, 0]
                     odds += math.log(a / b) if v else math.log((1 - a) / (1 - b))
             p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return p
@@ -239,7 +249,7 @@ def chosen(c: Column, w: list[float]) -> Column:
 
     def of(all_: Column) -> Column:
         base = F.filter(all_, lambda x: x["base"])
-        free = F.filter(all_, lambda x: ~x["base"] & (F.element_at(x["votes"], STRUCTURE + 1) == 1) & (_score(x, w) >= least) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        free = F.filter(all_, lambda x: ~x["base"] & (_score(x, w) >= least) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
         first = F.filter(free, lambda x: ~F.exists(free, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(y["start"], y["kind"]) < F.struct(x["start"], x["kind"]))))
         slim = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
         return F.sort_array(F.concat(slim(base), slim(first)))

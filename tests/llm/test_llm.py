@@ -316,6 +316,67 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_estimate_and_classifier():
+    """Votes drawn from labelers of known reliability: expectation-maximisation finds the truth and the rates behind it, and the classifier gives the same verdicts."""
+    rng = random.Random(5)
+    right, drawn = [0.97, 0.9, 0.85, 0.95, 0.6], Counter()
+    truth: dict = {}
+    for _ in range(20_000):
+        t = rng.random() < 0.3
+        votes = tuple(-1 if j == 2 and rng.random() < 0.5 else int(t == (rng.random() < right[j])) for j in range(5))
+        drawn[votes] += 1
+        truth.setdefault(votes, []).append(t)
+    patterns = [(0, v, 0, n) for v, n in sorted(drawn.items())]
+    p = pii.estimate(patterns)
+    wrong = sum(n * abs(q - sum(truth[v]) / n) for q, (_, v, _, n) in zip(p, patterns)) / 20_000
+    assert wrong < 0.02
+    w = pii.train(patterns, p)
+    score = lambda v: 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, pii.features(0, v, 0)))))
+    assert sum(n for q, (_, v, _, n) in zip(p, patterns) if (q > 0.5) != (score(v) > 0.5)) < 200
+    assert pii.estimate([]) == [] and pii.train([], []) == [0.0] * (len(pii.KINDS) + 2 * pii.LABELERS + 1)
+
+
+def brute_chosen(all_, w):
+    """chosen() by loops."""
+    base = [x for x in all_ if x["base"]]
+    meets = lambda x, y: x["start"] < y["end"] and y["start"] < x["end"]
+    score = lambda x: sum(a * b for a, b in zip(w, pii.features(x["kind"], tuple(x["votes"]), x["long"])))
+    free = [x for x in all_ if not x["base"] and score(x) >= math.log(pii.SURE / (1 - pii.SURE)) and not any(meets(x, b) for b in base)]
+    first = [x for x in free if not any(meets(x, y) and (y["start"], y["kind"]) < (x["start"], x["kind"]) for y in free)]
+    return sorted((x["kind"], x["start"], x["end"], x["base"]) for x in base + first)
+
+
+def test_pii_added_spans(spark):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    texts = [
+        f'api token = "{key}" in use', f'the token="{key[::-1]}".', f"commit {key} of the tree", "a" * 50, f"token: {'9' * 30}", "call 555-123-4567 or (555) 123-4567 now", "phone 555.123-4567, +1 555 123 4567",
+        "mail jo [at] site [dot] org or jo@site.org", "card 4111 1111 1111 1 or 378282246310005", "2001:0db8:85a3:0000:0000:8a2e:0370:7334 host", None, "",
+    ]
+    more = [f'my token = "{key[i % 40 :]}{key[: i % 40]}" ok' for i in range(100)] + [f"mail a{i}@site.org" for i in range(100)]
+    rows = [(i, t, "en", "s", 0, "x") for i, t in enumerate(texts * 6 + more)]
+    df = spark.createDataFrame(rows, DOCS)
+    cands = df.select("doc_id", pii.candidates(F.col("text")).alias("c"))
+    w = pii.fit(cands)
+    raw = {r.doc_id: [x.asDict() for x in r.c] for r in cands.collect()}
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find(df).collect()}
+    assert got == {i: brute_chosen(c, w) for i, c in raw.items()}
+    secret = pii.KINDS.index("secret")
+    start = texts[0].index(key)
+    assert (secret, start, start + 40, False) in got[0] and any(x[0] == secret for x in got[1]) and not got[2] and not got[3]
+    assert sum(not x[3] for s in got.values() for x in s) > 12
+    # base spans alone, were the classifier to say no to all
+    none = df.select(pii.chosen(pii.candidates(F.col("text")), [-9.0] * len(w)).alias("s"))
+    assert none.filter(F.exists("s", lambda x: ~x["base"])).count() == 0
+    # ties and overlaps
+    x = lambda k, a, b: {"kind": k, "start": a, "end": b, "base": False, "votes": [1] * 5, "long": 0}
+    all_ = [x(0, 0, 9), x(1, 0, 9), x(0, 5, 12), x(2, 20, 25), x(2, 20, 25), x(3, 25, 30)]
+    made = spark.createDataFrame([(all_,)], "c array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:array<int>,long:int>>")
+    told = made.select(pii.chosen(F.col("c"), [9.0] * len(w)).alias("s")).first().s
+    assert [tuple(y) for y in told] == brute_chosen(all_, [9.0] * len(w))
+    clean = pii.mask(df).filter("doc_id = 0").first()
+    assert clean.text == 'api token = "[SECRET]" in use'
+
+
 # search, urls, chat
 
 
