@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +48,9 @@ def index_plan(indexed: DataFrame, current: DataFrame, version: int, key: str =
     return both.select(key, F.when(F.col("content_hash").isNull(), "add").when(same, "skip").otherwise("replace").alias("action"))
 
 
-def line_diff(pairs: DataFrame, key: str = "url", limit: int = 20) -> DataFrame:
-    """(key, sign, line): important lines of the unified diff of columns previous and current. Python, as Spark has no diff; each pair is one row, so no group is built."""
-    kept = F.lit(False)
-    for word in IMPORTANT:
-        kept = kept | F.contains(F.lower("line"), F.lit(word))
+def line_diff(pairs: DataFrame, key: str = "url", limit: int = 20, objective: str = "") -> DataFrame:
+    """(key, sign, place, line): the different important lines of the unified diff of columns previous and current, the first `limit` of each sign. A line is important if it holds one of the fixed words or a word of the objective longer than three characters. Python, as Spark has no diff; each pair is one row, so no group is built."""
+    wanted = tuple({*IMPORTANT, *(w for w in re.findall(r"[a-z0-9_]+", objective.lower()) if len(w) > 3)})
 
     def run(batches):
         import pandas as pd
@@ -59,13 +58,33 @@ def line_diff(pairs: DataFrame, key: str = "url", limit: int = 20) -> DataFrame:
         for pdf in batches:
             out = []
             for k, a, b in zip(pdf[key], pdf["previous"], pdf["current"], strict=True):
-                n = 0
-                for x in difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=0):
-                    if x[:1] in "+-" and not x.startswith(("+++", "---")):
-                        out.append((k, x[0], n, " ".join(x[1:].split())[:700]))
-                        n += 1
-            yield pd.DataFrame(out, columns=[key, "sign", "pos", "line"])
-
-    made = pairs.select(key, "previous", "current").mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, sign string, pos int, line string")
-    ranked = made.filter(kept).groupBy(key, "sign", "line").agg(F.min("pos").alias("pos"))
-    return ranked.withColumn("rn", F.expr(f"row_number() OVER (PARTITION BY {key}, sign ORDER BY pos)")).filter(F.col("rn") <= limit).select(key, "sign", "line")
+                told: dict[str, list[str]] = {"+": [], "-": []}
+                for x in difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm=""):
+                    line, held = " ".join(x[1:].split()), told.get(x[:1])
+                    if held is not None and not x.startswith(("+++", "---")) and line and len(held) < limit and line not in held and any(w in line.lower() for w in wanted):
+                        held.append(line[:700])
+                out += [(k, sign, n, line) for sign, held in told.items() for n, line in enumerate(held)]
+            yield pd.DataFrame(out, columns=[key, "sign", "place", "line"])
+
+    return pairs.select(key, "previous", "current").mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, sign string, place int, line string")
+
+
+def regroup_history(history: DataFrame) -> DataFrame:
+    """(objective_key, result, sources): the active rows (objective_key, task_id, url, source, active) of a history put together again, by task, or by address where a row has none; sources in order of task and address."""
+    rows = history.filter("active").withColumn("result", F.coalesce(F.nullif(T.clean(F.col("task_id")), F.lit("")), T.clean(F.col("url"))))
+    return rows.groupBy("objective_key", "result").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_id", "url", "source"))), lambda x: x["source"]).alias("sources"))
+
+
+def compatible_keys(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """(objective_key, lookup_key) for asked objectives (objective_key, objective): the key itself if the history has active rows of it, else the least key whose objective has the same identity, else itself."""
+    known = history.filter("active").select("objective_key", "objective").distinct()
+    own = known.select("objective_key").distinct().withColumn("__own", F.lit(True))
+    identity = F.array_join(T.identity_terms(F.col("objective")), ":").alias("__id")
+    others = known.select(identity, "objective_key").groupBy("__id").agg(F.min("objective_key").alias("__other"))
+    both = asked.select("objective_key", identity).join(own, "objective_key", "left").join(others, "__id", "left")
+    return both.select("objective_key", F.when(F.col("__own"), F.col("objective_key")).otherwise(F.coalesce("__other", "objective_key")).alias("lookup_key"))
+
+
+def with_status(rows: DataFrame, diff: DataFrame, key: str = "url") -> DataFrame:
+    """Rows with the change status of their address; those that the diff doesn't name are unchanged."""
+    return rows.join(diff.select(key, F.col("change").alias("change_status")), key, "left").fillna("unchanged", ["change_status"])

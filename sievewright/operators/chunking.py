@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import sources
 
 SIZE, OVERLAP = 1200, 180
 PARENT_SIZE, PARENT_OVERLAP = 3000, 240
@@ -33,23 +34,97 @@ def with_overlap(chunks: DataFrame, keys: list[str], overlap: int = OVERLAP) ->
     return joined.withColumn("chunk", F.when(F.col("__tail").isNull(), F.col("chunk")).otherwise(F.concat_ws("\n\n", "__tail", "chunk"))).drop("__tail")
 
 
-def packed(blocks: Column, size: int) -> Column:
-    """Blocks put together greedily up to `size` tokens each; a block that is larger stands alone. A fold, as each step needs the last."""
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"), F.lit(0).alias("n"))
+def token_windows(c: Column, size: int, overlap: int) -> Column:
+    """A text's windows of `size` tokens, each `size - overlap` after the last, as an array."""
+    step = max(1, size - overlap)
+
+    def of(w: Column) -> Column:
+        n = F.when(F.size(w) <= size, 1).otherwise(F.ceil((F.size(w) - size) / step).cast("int") + 1)
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " ")))
+
+    return T.bind(word_list(c), of)
+
+
+def packed(blocks: Column, size: int, overlap: int = 0) -> Column:
+    """Blocks put together greedily up to `size` tokens each; what is larger ends the chunk before it and is cut into windows. A fold, as each step needs the last."""
+    none = F.array().cast("array<string>")
+    state = F.struct(none.alias("out"), F.lit("").alias("now"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        b = T.clean(x)
+        k = T.token_count(x)
+        large, begun = k > size, s["now"] != ""
+        flush = begun & (large | (s["n"] + k > size))
+        fresh = flush | ~begun
+        out = F.concat(s["out"], F.when(flush, F.array(s["now"])).otherwise(none), F.when(large, token_windows(x, size, overlap)).otherwise(none))
+        now = F.when(large, "").when(fresh, b).otherwise(F.concat(s["now"], F.lit("\n\n"), b))
+        return F.struct(out.alias("out"), now.alias("now"), F.when(large, 0).when(fresh, k).otherwise(s["n"] + k).alias("n"))
+
+    end = lambda s: F.when(s["now"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["now"])))
+    return F.aggregate(F.filter(blocks, lambda x: T.token_count(x) > 0), state, step, end)
+
+
+def overlapped(chunks: Column, overlap: int) -> Column:
+    """Chunks of one text, each after the first prefixed with the last tokens of the one before it."""
+    if overlap <= 0:
+        return chunks
+
+    def of(every: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            tail = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - overlap, F.lit(0)) + 1, F.lit(overlap)), " ")
+            return F.when(i == 0, x).otherwise(F.concat(T.bind(word_list(F.get(every, i - 1)), tail), F.lit("\n\n"), T.clean(x)))
+
+        return F.transform(every, one)
+
+    return T.bind(chunks, of)
+
+
+def structured(c: Column) -> Column:
+    """A text's sections; one larger than a parent falls apart into its blocks."""
+    return F.flatten(F.transform(sections(c), lambda x: F.when(T.token_count(x) <= PARENT_SIZE, F.array(x)).otherwise(blocks(x))))
+
+
+def parent_texts(c: Column) -> Column:
+    """The larger contexts of a cleaned text."""
+    made = overlapped(packed(structured(c), PARENT_SIZE, PARENT_OVERLAP), PARENT_OVERLAP)
+    return T.bind(made, lambda m: F.when(F.size(m) > 0, m).when(T.clean(c) != "", F.array(T.clean(c))).otherwise(m))
+
+
+def signal_texts(c: Column, most: int, context: int = 3) -> Column:
+    """The different passages of a cleaned text around lines that show a formula, an interface or a benchmark."""
+
+    def of(lines: Column) -> Column:
+        def around(x: Column, i: Column) -> Column:
+            start = F.greatest(i - context, F.lit(0))
+            words = word_list(F.array_join(F.slice(lines, start + 1, i + context + 1 - start), "\n"))
+            return F.when(x.rlike(T.SIGNAL), F.array_join(F.slice(words, 1, most), " "))
+
+        return F.array_distinct(F.filter(F.transform(lines, around), lambda x: x.isNotNull() & (x != "")))
+
+    return T.bind(F.filter(F.split(c, "\n"), lambda x: T.clean(x) != ""), of)
 
-    def step(s: Column, b: Column) -> Column:
-        k = T.token_count(b)
-        full = (s["now"] != "") & (s["n"] + k > size)
-        return F.struct(
-            F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]).alias("out"),
-            F.when(full | (s["now"] == ""), b).otherwise(F.concat(s["now"], F.lit("\n\n"), b)).alias("now"), F.when(full | (s["now"] == ""), k).otherwise(s["n"] + k).alias("n"),
-        )
 
-    return F.aggregate(blocks, state, step, lambda s: F.when(s["now"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+def split_document(df: DataFrame, keys: list[str], text: Column, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(keys, place, kind, chunk, token_count, the three signals, parent_index, parent_token_count, parent): a text's regular chunks, then its signal chunks, each different one once, with the parent that shares most different tokens, the first of equals. Row by row, without a shuffle."""
+    size = max(100, size)
+    overlap = max(0, min(overlap, size // 2))
+    lower_words = lambda c: F.array_distinct(word_list(F.lower(c)))
+    rows = df.select(*keys, sources.clean_text(text).alias("__c"))
+    rows = rows.select(*keys, parent_texts(F.col("__c")).alias("__p"), overlapped(packed(blocks(F.col("__c")), size, overlap), overlap).alias("__r"), signal_texts(F.col("__c"), max(120, size // 2)).alias("__s"))
+    of_kind = lambda kind, c: F.transform(F.array_distinct(F.col(c)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("chunk")))
+    kinds = F.concat(of_kind("regular", "__r"), of_kind("signal", "__s"))
+    rows = rows.withColumn("__t", F.transform("__p", lower_words)).select(*keys, "__p", "__t", F.posexplode(kinds).alias("place", "x"))
+    words = lower_words(F.col("x.chunk"))
+    best = T.bind(words, lambda w: F.array_max(F.transform("__t", lambda p, i: F.struct(F.size(F.array_intersect(p, w)).alias("o"), (-i).alias("i")))))
+    rows = rows.withColumn("parent_index", F.coalesce(-best["i"], F.lit(0)))
+    rows = rows.select(*keys, "place", "x.kind", "x.chunk", "parent_index", T.clean(F.coalesce(F.get("__p", F.col("parent_index")), F.col("x.chunk"))).alias("parent"))
+    flags = (v.alias(k) for k, v in T.signals(F.col("chunk")).items())
+    return rows.select(*keys, "place", "kind", "chunk", T.token_count(F.col("chunk")).alias("token_count"), *flags, "parent_index", T.token_count(F.col("parent")).alias("parent_token_count"), "parent")
 
 
 def blocks(c: Column) -> Column:
-    return T.clean_list(F.split(T.text(c), r"\n\s*\n+"))
+    """A text's parts between blank lines."""
+    return T.clean_list(F.split(T.text(c), r"(?U)\n\s*\n+"))
 
 
 def sections(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Evidence: selection, interleaving, packing to a budget, citation and coverage audits, planning rules."""
+"""Audits of cited sources, and a text's headings."""
 
 from __future__ import annotations
 
@@ -6,57 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import urls as U
-from . import retrieval as R
-
-BUDGET, BLOCK = 18_000, 750
-MIN_OVERLAP = 0.08
-#: Evidence labels and the patterns of questions that ask for them.
-EVIDENCE = (
-    ("definition", r"\b(what is|define|definition|meaning)\b"), ("comparison", r"\b(compare|comparison|versus|vs|difference)\b"), ("formula", r"\b(equation|formula|derive|math)\b"),
-    ("benchmark", r"\b(benchmark|accuracy|score|metric|evaluation)\b"), ("pricing", r"\b(price|pricing|cost|tier)\b"), ("implementation", r"\b(api|code|implement|implementation|sdk)\b"),
-    ("limitations", r"\b(limit|limitation|drawback|weakness)\b"), ("applications", r"\b(application|use case|used for)\b"),
-)
-
-
-def meaningful(c: Column) -> Column:
-    return (F.length(T.clean(c)) >= 120) & (F.size(F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)"), F.lit(1))) >= 12) & ~c.rlike(r"^\s*Source:[^\n]*\s+URL:[^\n]*\s+Task:")
-
-
-def evidence_types(c: Column) -> Column:
-    lower = F.lower(T.clean(c))
-    found = F.filter(F.array(*(F.when(lower.rlike(p), F.lit(n)) for n, p in EVIDENCE)), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("evidence"))).otherwise(found)
-
-
-def select(hits: DataFrame, query: str = "query", document: str = "document", k: int = 5) -> DataFrame:
-    """Meaningful hits that share terms with their query, best feature score first."""
-    good = hits.filter(meaningful(F.col(document))).withColumn("overlap", R.term_overlap(F.col(query), F.col(document))).filter(F.col("overlap") >= MIN_OVERLAP)
-    scored = good.withColumn("feature", F.round(R.feature_score(F.col(query), F.col(document)), R.DIGITS))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("feature"), "id"))).filter(F.col("place") <= k)
-
-
-def interleave(hits: DataFrame, by: str = "query_id", url: str = "url") -> DataFrame:
-    """Round-robin over sources: every source's first hit, then every source's second, sources in the order of their best rank."""
-    own = F.row_number().over(Window.partitionBy(by, url).orderBy("rank"))
-    first = F.min("rank").over(Window.partitionBy(by, url))
-    return hits.withColumn("turn", own).withColumn("first", first).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("turn", "first", "rank")))
-
-
-def pack(df: DataFrame, by: str, order: str, text: Column, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
-    """(by, context, n_blocks): texts cut to `block` characters and put together, in order, while they fit the budget; one that doesn't fit is left out and later, shorter ones may follow."""
-    cut = df.select(by, F.struct(F.col(order).alias("o"), F.substring(T.clean(text), 1, block).alias("t")).alias("b"))
-    # no more than the budget's worth of the least blocks can be used; ranks keep the groups small
-    rows = cut.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("b"))).filter(F.col("r") <= budget)
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-
-    def step(s: Column, b: Column) -> Column:
-        more = F.when(s["out"] == "", b["t"]).otherwise(F.concat(s["out"], F.lit("\n\n"), b["t"]))
-        fits = (F.length(more) <= budget) & (b["t"] != "")
-        return F.struct(F.when(fits, more).otherwise(s["out"]).alias("out"), F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"))
-
-    made = rows.groupBy(by).agg(F.aggregate(F.sort_array(F.collect_list("b")), state, step).alias("s"))
-    return made.select(by, F.col("s.out").alias("context"), F.col("s.n").alias("n_blocks"))
 
 
 def citation_audit(df: DataFrame, key: list[str], text: Column, n_sources: Column) -> DataFrame:
@@ -66,23 +15,6 @@ def citation_audit(df: DataFrame, key: list[str], text: Column, n_sources: Colum
     return df.select(*key, cited.alias("cited"), F.array_intersect(cited, known).alias("valid"), F.array_except(cited, known).alias("invalid"), F.array_except(known, cited).alias("uncited"))
 
 
-def coverage(questions: DataFrame, answers: DataFrame, least: float = 0.3) -> DataFrame:
-    """(question_id, best, status): the best share of a question's terms in one answer. Terms are joined by equality, so that no answer meets a question it shares nothing with."""
-    asked = questions.select("question_id", T.relevance_terms(F.col("question")).alias("ts")).select("question_id", F.size("ts").alias("n"), F.explode_outer("ts").alias("t"))
-    said = answers.select("answer_id", F.explode(T.relevance_terms(F.col("answer"))).alias("t"))
-    shared = asked.join(said, "t").groupBy("question_id", "answer_id", "n").agg(F.count("*").alias("c"))
-    best = shared.groupBy("question_id").agg(F.round(F.max(F.col("c") / F.col("n")), R.DIGITS).alias("best"))
-    every = questions.select("question_id").join(best, "question_id", "left").fillna(0.0, ["best"])
-    return every.withColumn("status", F.when(F.col("best") >= least, "covered").when(F.col("best") > 0, "partial").otherwise("missing"))
-
-
-def plan_tasks(tasks: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:
-    """Tasks with different address keys, the first of each kept, numbered anew within their host."""
-    keyed = tasks.withColumn("url_key", U.key(F.col(url)))
-    first = keyed.groupBy("url_key").agg(F.min_by(F.struct(*(F.col(c) for c in tasks.columns)), F.col(order)).alias("t")).select("url_key", "t.*")
-    return first.withColumn("host", U.host(F.col(url))).withColumn("priority", F.row_number().over(Window.partitionBy("host").orderBy(order)))
-
-
 def headings(df: DataFrame, key: list[str], text: Column) -> DataFrame:
     """(key, line_no, level, heading): Markdown headings outside code fences, normalised. Fence parity is a running sum over a text's lines."""
     lines = df.select(*key, F.posexplode(F.split(T.text(text), "\n")).alias("line_no", "line"))

@@ -12,11 +12,12 @@ from ..operators import changes, chunking, retrieval
 
 def page_sources(pages: DataFrame) -> DataFrame:
     """(url, title, content, source_quality) of raw pages, one row for each canonical address."""
-    from ..operators.sources import keep_first, quality_note
+    from ..operators.pages import no_task, quality_note
+    from ..operators.sources import keep_first
 
     made = pages.select("page_id", U.source(F.col("url")).alias("url"), T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("content")).filter("url <> ''")
     first = keep_first(made, F.col("url"), "page_id")
-    return first.withColumn("source_quality", quality_note(F.col("title"), F.col("content"), F.col("url")))
+    return first.withColumn("source_quality", quality_note(F.col("title"), F.substring("content", 1, 500), F.col("content"), F.col("url"), no_task()))
 
 
 def run(pages: DataFrame, previous: DataFrame | None, questions: DataFrame, k: int = 5) -> dict[str, DataFrame]:

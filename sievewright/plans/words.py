@@ -1,0 +1,70 @@
+"""The text rules of sievewright.functions for single strings: a plan and a report are one value each, handled on the driver."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+
+from ..functions import terms as W
+
+
+def clean(x: object) -> str:
+    return " ".join(str(x or "").split())
+
+
+def distinct(items: Iterable[str], key=lambda x: x) -> list[str]:
+    """Cleaned, non-blank items, of equal ones the first."""
+    found: dict = {}
+    for x in map(clean, items):
+        if x:
+            found.setdefault(key(x), x)
+    return list(found.values())
+
+
+def ignoring_case(items: Iterable[str]) -> list[str]:
+    return distinct(items, str.lower)
+
+
+def query_tokens(x: object) -> set[str]:
+    return {w.lower() for w in re.findall(W.WORD, clean(x)) if len(w) > 2} - set(W.QUERY_STOPWORDS)
+
+
+def keywords(x: object, limit: int = 10) -> list[str]:
+    bare = [(w.lower().strip("."), w) for w in re.findall(W.WORD, clean(x))]
+    return distinct(w.strip(".,;:()[]{}") for low, w in bare if len(low) > 2 and low not in W.OBJECTIVE_STOPWORDS)[: max(1, limit)]
+
+
+def without_marks(x: object) -> str:
+    text = re.sub(r"[*_#|]+", " ", re.sub(r"`([^`]*)`", r"\1", str(x or "")))
+    return clean(re.sub(r"\[\d+\]", "", text))
+
+
+def detail_terms(x: object) -> set[str]:
+    return {w.lower() for w in re.findall(W.NAME, without_marks(x))} - set(W.REPORT_STOPWORDS)
+
+
+def technical_terms(x: object) -> list[str]:
+    text = re.sub("[‑–]", "-", without_marks(x))
+    hyphened = [m.lower() for m in re.findall(r"\b[A-Za-z][A-Za-z0-9_+.-]*(?:-[A-Za-z0-9_+.-]+)+\b", text)]
+    return ignoring_case([*(w.lower() for w in re.findall(W.NAME, text)), *(v for p in hyphened for v in (p, p.replace("-", "")))])
+
+
+def named_terms(x: object) -> list[str]:
+    text = clean(x)
+    names = [w.lower() for w in re.findall(r"\b[A-Z][A-Za-z0-9_+.-]{2,}\b|\b[A-Z]{2,}\b", text) if w.lower() not in W.REPORT_STOPWORDS]
+    return ignoring_case([*names, *(p for p in W.NAMED_PHRASES if p in text.lower())])
+
+
+def citations(x: object) -> list[int]:
+    return list(dict.fromkeys(int(n) for n in re.findall(r"\[(\d+)\]", normal_citations(x))))
+
+
+def normal_citations(x: object) -> str:
+    text = re.sub(r"【\s*(\d+)[^】]*】", r"[\1]", str(x or ""))
+    text = re.sub(r"\[\s*(\d+(?:\s*,\s*\d+)+)\s*\]", lambda m: " ".join(f"[{n}]" for n in re.findall(r"\d+", m[1])), text)
+    return re.sub(r"\[\s*(\d+)\s*\]", r"[\1]", text)
+
+
+def clean_markdown(x: object) -> str:
+    text = re.sub(r"(?is)<think>.*?(?:</think>|\Z)", "", str(x or ""))
+    return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"(?m)[ \t]+$", "", normal_citations(text))).strip()

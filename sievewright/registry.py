@@ -123,18 +123,6 @@ _BLOCKED = " OR ".join(f"contains({{x}}, '{t}')" for t in T.BLOCKED)
 _MISSING = " OR ".join(f"contains({{x}}, '{t}')" for t in T.NOT_FOUND)
 
 
-@query(rf"""
-WITH s AS (SELECT page_id, url, {_TITLE} AS title, {_html_text('html')} AS content FROM pages),
-h AS (SELECT *, lower(title || ' ' || {_clean("substr(content, 1, 500)")} || ' ' || substr({_clean('content')}, 1, 1000)) AS head, lower(title || ' ' || {_clean("substr(content, 1, 500)")}) AS preview,
-  regexp_replace({_HOST}, '^www\.', '') AS h, lower(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1)) AS path FROM s)
-SELECT page_id, {_BLOCKED.format(x='head')} AS blocked, CASE WHEN {_BLOCKED.format(x='head')} THEN 'blocked' WHEN length(content) < 300 THEN 'empty or short' WHEN {_MISSING.format(x='preview')} THEN 'not found'
-  WHEN h IN ('arxiv.org', 'openreview.net', 'pytorch.org', 'tensorflow.org') OR regexp_matches(h, '\.edu$|\.gov$|doi\.org$|docs\.') OR ends_with(path, '.pdf') THEN 'trusted' ELSE 'passed' END AS note FROM h""")
-def source_quality(spark, sf_dir):
-    made = _t(spark, sf_dir, "pages").select("page_id", "url", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("content"))
-    note = sources.quality_note(F.col("title"), F.col("content"), F.col("url"))
-    return made.select("page_id", note.alias("note")).withColumn("blocked", F.col("note") == "blocked")
-
-
 @query(rf"""
 WITH s AS (SELECT page_id, lower(url) AS u, lower({_TITLE}) AS t FROM pages),
 a AS (SELECT *, CASE WHEN contains(u, 'arxiv.org') THEN 1.0 ELSE 0.0 END AS s0 FROM s),
@@ -146,15 +134,6 @@ def source_authority(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", score.alias("authority"))
 
 
-@query(f"""
-WITH c AS (SELECT doc_id, source, lang, {_clean('text')} AS content FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(content) DESC, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n_rows, min(doc_id) OVER (PARTITION BY source) AS first_seen FROM c WHERE content <> '')
-SELECT source, lang, n_rows, first_seen, sha256(content) AS content_hash FROM r WHERE rn = 1""")
-def source_consolidate(spark, sf_dir):
-    made = sources.consolidate(_t(spark, sf_dir, "documents"), "source", "doc_id", T.clean(F.col("text")), {"lang": F.col("lang")})
-    return made.select("source", "lang", "n_rows", "first_seen", "content_hash")
-
-
 @query(f"SELECT sha256({_clean('text')}) AS content_hash, min(doc_id) AS keep, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, sf_dir):
     return sources.exact_duplicates(_t(spark, sf_dir, "documents"), "doc_id", T.clean(F.col("text")))
@@ -206,12 +185,6 @@ def index_plan(spark, sf_dir):
     return changes.index_plan(hashed(before).withColumn("schema_version", F.when(F.length("url") % 2 == 0, 7).otherwise(6)), hashed(now), 7)
 
 
-@query()
-def line_diff(spark, sf_dir):
-    before, now = _runs(spark, sf_dir)
-    return changes.line_diff(before.select("url", F.col("content").alias("previous")).join(now.select("url", F.col("content").alias("current")), "url"))
-
-
 _CHUNKS = f"""
 w AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 1200 THEN 1 ELSE 1 + CAST(ceil((len(w) - 1200) / 1020.0) AS INTEGER) END AS n_chunks FROM w),
@@ -252,19 +225,6 @@ def chunk_signals(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.signals(F.col("text")).items()))
 
 
-@query()
-def signal_chunks(spark, sf_dir):
-    return chunking.signal_chunks(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text")).select("doc_id", "position", F.sha2("chunk", 256).alias("chunk_hash"))
-
-
-@query(f"""WITH {_CHUNKS}
-SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(floor(greatest(chunk_index * 1020 - 1200, 0) / 2760) AS INTEGER) AS parent_index FROM k""")
-def parent_assign(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    parents = chunking.windows(docs, ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
-    return chunking.assign_parents(_chunks(spark, sf_dir), parents, ["doc_id"]).select("doc_id", "chunk_index", "parent_index")
-
-
 _BM25 = f"""
 dt AS (SELECT doc_id AS d, {_tokens('text')} AS w FROM documents),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
@@ -327,39 +287,6 @@ def _fused(spark, sf_dir):
     return retrieval.fuse(_semantic(spark, sf_dir), _bm25(spark, sf_dir).withColumnRenamed("doc_id", "id"))
 
 
-@query(f"{_FUSED} SELECT * FROM scored")
-def hybrid_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", "id", F.round("semantic_score", 6).alias("semantic_score"), F.round("bm25_score", 6).alias("bm25_score"), "score")
-
-
-def _ranked(spark, sf_dir):
-    """_fused() with the whole score, from the texts, addresses and signals of the candidates' documents."""
-    fused = _fused(spark, sf_dir)
-    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    none = F.lit("")
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.coalesce("source", none).alias("url"))
-    about = fused.select("query_id", "id").join(docs, "id").join(items, "query_id")
-    shown = T.signals(F.col("document"))
-    flags = (F.coalesce(shown[f"has_{x}_signal"], F.lit(False)) for x in ("formula", "api", "benchmark"))
-    about = about.withColumn("authority", U.authority_score(F.col("url"), none, none, none)).withColumn("signal", retrieval.signal_score(F.col("query"), none, *flags))
-    return retrieval.rank_fused(fused, about)
-
-
-@query()
-def hybrid_ranked(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("query_id", "id", F.round("semantic_score", 6).alias("semantic_score"), F.round("bm25_score", 6).alias("bm25_score"), "score")
-
-
-@query()
-def multi_query_ranked(spark, sf_dir):
-    return retrieval.merge_queries(_ranked(spark, sf_dir), 50)
-
-
-@query(f"{_FUSED} SELECT id, max(score) AS score, count(*) AS n_queries FROM scored GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50")
-def multi_query_merge(spark, sf_dir):
-    return retrieval.merge_queries(_fused(spark, sf_dir), 50)
-
-
 @query(f"""WITH {_BM25},
 s AS (SELECT hit.*, source AS url, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS rn FROM hit JOIN documents ON documents.doc_id = hit.doc_id)
 SELECT query_id, doc_id, url, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, rank) AS INTEGER) AS place FROM s QUALIFY place <= 5""")
@@ -368,31 +295,6 @@ def diversify_topk(spark, sf_dir):
     return retrieval.diversify(hits, 5).select("query_id", "doc_id", "url", "place")
 
 
-@query(f"""WITH {_BM25}, s AS (SELECT hit.*, source AS url FROM hit JOIN documents ON documents.doc_id = hit.doc_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, url) AS first FROM s)
-SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY turn, first, rank) AS INTEGER) AS place FROM t""")
-def source_interleave(spark, sf_dir):
-    hits = _bm25(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url")), "doc_id")
-    return evidence.interleave(hits).select("query_id", "doc_id", "place")
-
-
-@query(f"""WITH {_BM25}, rel AS (SELECT item_id AS query_id, doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)),
-tot AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY query_id),
-x AS (SELECT hit.query_id, hit.rank, k, CASE WHEN rel.doc_id IS NOT NULL THEN 1 END AS ok FROM hit LEFT JOIN rel ON rel.query_id = hit.query_id AND rel.doc_id = hit.doc_id, (VALUES (1), (3), (5), (10)) AS ks(k) WHERE rank <= k),
-g AS (SELECT query_id, k, count(*) AS retrieved, count(ok) AS relevant_retrieved, min(CASE WHEN ok = 1 THEN rank END) AS first FROM x GROUP BY query_id, k)
-SELECT g.query_id, k, retrieved, coalesce(relevant, 0) AS relevant, relevant_retrieved, CASE WHEN coalesce(relevant, 0) > 0 THEN round(relevant_retrieved / relevant, 6) ELSE 0.0 END AS recall_at_k,
-  round(relevant_retrieved / retrieved, 6) AS precision_at_k, round(coalesce(CAST(1.0 AS DOUBLE) / first, 0.0), 6) AS mrr FROM g LEFT JOIN tot ON tot.query_id = g.query_id""")
-def retrieval_metrics(spark, sf_dir):
-    """Relevant documents hold their passage word for word; passages are few and looked for in each text, so that no pair is made that doesn't match."""
-    docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    passages = [(r.item_id, r.text) for r in items.select("item_id", "text").limit(10_001).collect()]
-    if len(passages) > 10_000:
-        raise ValueError("more than 10,000 passages")
-    held = F.lit(None).cast("array<bigint>") if not passages else F.filter(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in passages)), lambda x: x.isNotNull())
-    relevant = docs.select(F.explode(held).alias("query_id"), F.col("doc_id").alias("id"))
-    return retrieval.metrics(_bm25(spark, sf_dir).withColumnRenamed("doc_id", "id"), relevant)
-
-
 @query(f"""WITH {_BM25}, p AS (SELECT query_id, hit.doc_id, {_terms('b.text')} AS x, {_terms('d.text')} AS y FROM hit JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = hit.doc_id)
 SELECT query_id, doc_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) END AS overlap FROM p""")
 def query_features(spark, sf_dir):
@@ -401,20 +303,6 @@ def query_features(spark, sf_dir):
     return both.select("query_id", "doc_id", F.round(retrieval.term_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
 
 
-@query()
-def evidence_select(spark, sf_dir):
-    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
-    both = _bm25(spark, sf_dir).join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")
-    return evidence.select(both.withColumnRenamed("doc_id", "id")).select("query_id", "id", "place", "feature")
-
-
-@query()
-def context_pack(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    both = _bm25(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id")
-    return evidence.pack(both, "query_id", "rank", F.col("text")).select("query_id", "n_blocks", F.length("context").alias("n_chars"))
-
-
 @query("""SELECT coalesce(d.lang, '') AS lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
 def label_quality_agg(spark, sf_dir):
     both = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).join(_t(spark, sf_dir, "labels"), "doc_id")
@@ -432,26 +320,6 @@ def citation_audit(spark, sf_dir):
     return made.select("conv_id", "turn", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cited", "valid", "invalid", "uncited")))
 
 
-@query(f"""
-WITH a AS (SELECT item_id AS question_id, {_terms('text')} AS ts FROM benchmark), q AS (SELECT question_id, len(ts) AS n, unnest(ts) AS t FROM a),
-s AS (SELECT conv_id * 1000 + turn AS answer_id, unnest({_terms('text')}) AS t FROM conversations),
-x AS (SELECT question_id, answer_id, n, count(*) AS c FROM q JOIN s ON s.t = q.t GROUP BY ALL), b AS (SELECT question_id, round(max(c / n), 6) AS best FROM x GROUP BY question_id),
-e AS (SELECT item_id AS question_id, coalesce(best, 0.0) AS best FROM benchmark LEFT JOIN b ON b.question_id = item_id)
-SELECT question_id, best, CASE WHEN best >= 0.3 THEN 'covered' WHEN best > 0 THEN 'partial' ELSE 'missing' END AS status FROM e""")
-def coverage_by_question(spark, sf_dir):
-    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    answers = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer"))
-    return evidence.coverage(questions, answers)
-
-
-@query(rf"""
-WITH k AS (SELECT page_id, url, regexp_replace({_HOST}, '^www\.', '') || {_PATH} AS url_key, {_HOST} AS host FROM pages),
-f AS (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS rn FROM k)
-SELECT page_id, url_key, host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) AS INTEGER) AS priority FROM f WHERE rn = 1""")
-def plan_dedupe(spark, sf_dir):
-    return evidence.plan_tasks(_t(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "url_key", "host", "priority")
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_window_counts(spark, sf_dir):
     return feeds.window_counts(feeds.events(_t(spark, sf_dir, "events")))
@@ -470,13 +338,6 @@ def event_last_n(spark, sf_dir):
     return feeds.last_n(feeds.events(_t(spark, sf_dir, "events"))).select("user_id", "event_id", "place")
 
 
-@query("""
-WITH g AS (SELECT event_type, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch(ts) AS gap FROM events)
-SELECT event_type, count(*) AS n, round(avg(gap), 3) AS mean_gap FROM g GROUP BY event_type""")
-def agent_timings(spark, sf_dir):
-    return feeds.timings(feeds.events(_t(spark, sf_dir, "events")))
-
-
 @query(f"WITH {_RUNS} SELECT a.url, {_clean('pq')} AS previous_source_quality, {_clean('nq')} AS new_source_quality FROM a JOIN b ON a.url = b.url WHERE {_clean('pq')} <> {_clean('nq')}")
 def status_changes(spark, sf_dir):
     return upkeep.status_changes(*_runs(spark, sf_dir), "url", "source_quality")
@@ -571,8 +432,3 @@ def supporting_chunks(spark, sf_dir):
     hits = _bm25(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"), "score", (F.col("doc_id") % 7).alias("source_index"), (F.col("doc_id") % 2 == 0).alias("primary"))
     cited = hits.select("query_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("source_index"))
     return reports.supporting(hits, cited, "query_id", 5).select("query_id", "id", "place")
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval: lexical and vector lists, fused, with authority, query features and signals."""
-    return hybrid_ranked(spark, sf_dir)

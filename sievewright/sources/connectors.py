@@ -11,8 +11,10 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..functions import urls as U
 
 
 class Search(Protocol):
@@ -44,6 +46,7 @@ class EchoModel:
 
 def complete_with_retries(model: Completion, messages: list[dict], tries: int = 3, wait: float = 0.0) -> str:
     """Ask again with the longest user message cut to three quarters when a request is too large or too frequent; other errors are raised."""
+    messages = [dict(m) for m in messages]  # the caller's own stay as they are
     for k in range(tries):
         try:
             return model.complete(messages)
@@ -99,17 +102,83 @@ class Memory:
 
 
 class ChunkStore:
-    """Chunks as Parquet partitioned by history key; a source is replaced by rewriting its key's partition from the rows that stay and the new ones."""
+    """Chunks (history_key, url, ...) as Parquet. Each write adds one batch, whose rows carry its number, and a list of the addresses that it replaces; a row counts if no later batch replaces its address within its key. So a rerun doubles nothing, and no file is rewritten until compact()."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _batches(self) -> int:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        where = hadoop.Path(f"{self.path}/gone")
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+        return max((int(n[6:]) for n in names if n.startswith("batch=")), default=0)
+
     def read(self, schema, key: str | None = None) -> DataFrame:
-        rows = self.spark.read.schema(schema).parquet(self.path)
-        return rows.filter(F.col("history_key") == key) if key else rows
+        n = self._batches()
+        if not n:
+            return self.spark.createDataFrame([], schema)
+        numbers = range(1, n + 1)
+        gone = self.spark.read.schema("history_key string, url string, batch int").option("basePath", f"{self.path}/gone").parquet(*(f"{self.path}/gone/batch={k}" for k in numbers))
+        last = gone.groupBy("history_key", "url").agg(F.max("batch").alias("__last"))
+        rows = self.spark.read.schema(S.StructType([*(f for f in schema.fields if f.name != "batch"), S.StructField("batch", S.IntegerType())])).option("basePath", f"{self.path}/rows").parquet(*(f"{self.path}/rows/batch={k}" for k in numbers))
+        rows = rows.filter(F.col("history_key") == key) if key else rows
+        return rows.join(last, ["history_key", "url"], "left").filter("__last IS NULL OR batch >= __last").select(*(c for c in schema.names if c != "batch"))
 
     def write(self, chunks: DataFrame) -> None:
-        chunks.write.mode("append").partitionBy("history_key").parquet(self.path)
+        """Put chunks in place of all that is stored for their addresses."""
+        self._add(chunks, chunks.select("history_key", "url").distinct())
+
+    def delete(self, sources: DataFrame) -> None:
+        """Forget the chunks of addresses (history_key, url)."""
+        self._add(None, sources.select("history_key", "url").distinct())
+
+    def _add(self, chunks: DataFrame | None, gone: DataFrame) -> None:
+        k = self._batches() + 1
+        if chunks is None:
+            chunks = gone.limit(0)
+        chunks.write.mode("overwrite").parquet(f"{self.path}/rows/batch={k}")
+        gone.write.mode("overwrite").parquet(f"{self.path}/gone/batch={k}")  # last: a batch counts once this is there
+
+
+class Pages:
+    """Page fetches answered from a table (url, html): the offline stand-in for a fetching client."""
+
+    def __init__(self, pages: DataFrame):
+        self.pages = pages.select(U.canonical(F.col("url")).alias("url"), "html")
+
+    def fetch(self, urls: DataFrame) -> DataFrame:
+        """(url, title, content, alive) for each asked address (url)."""
+        first = self.pages.groupBy("url").agg(F.min("html").alias("html"))
+        both = urls.select(U.canonical(F.col("url")).alias("url")).distinct().join(first, "url", "left")
+        return both.select("url", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("content"), F.col("html").isNotNull().alias("alive"))
+
+
+def enabled(switches: dict, name: str, env: Callable[[str], str | None] = os.environ.get) -> bool:
+    """Whether a search source is switched on: by its own flag, and only with all the settings that it requires."""
+    told = switches.get(name) or {}
+    return bool(told.get("enabled", True)) and all(env(x) for x in told.get("required", ()))
+
+
+def write_report(report: str, objective: str, folder: str) -> str:
+    """Write a report as Markdown under a name made of its objective, and give the path."""
+    if not report.strip():
+        raise ValueError("the report is empty")
+    import re
+
+    name = re.sub(r"[^a-z0-9]+", "-", objective.lower()).strip("-")[:80].strip("-") or "research-report"
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{name}.md")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(report.strip() + "\n")
+    return path
+
+
+def eval_cases(rows: list[dict]) -> list[dict]:
+    """Evaluation cases with lists of ids and addresses, given as lists or as comma-separated strings; those without a query go."""
+    listed = lambda x: [str(v).strip() for v in (x.split(",") if isinstance(x, str) else x or []) if str(v).strip()]
+    made = [{"query": " ".join(str(r.get("query") or "").split()), "relevant_ids": listed(r.get("relevant_ids")), "relevant_urls": listed(r.get("relevant_urls")), "history_key": str(r.get("history_key") or "").strip()} for r in rows]
+    return [r for r in made if r["query"]]
 
 
 def expand_env(value: str, env: Callable[[str], str | None] = os.environ.get) -> str:

@@ -32,27 +32,76 @@ def last_n(df: DataFrame, n: int = 10) -> DataFrame:
     return df.withColumn("place", rank).filter(F.col("place") <= n)
 
 
-def timings(df: DataFrame) -> DataFrame:
-    """(event_type, n, mean_gap): seconds between an event and its user's next one. For batches."""
-    gap = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("double") - F.col("ts").cast("double")
-    return df.withColumn("gap", gap).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 3).alias("mean_gap"))
+def timings(df: DataFrame, started: str = "agent_started", ended: tuple[str, ...] = ("agent_completed", "agent_failed")) -> DataFrame:
+    """(user_id, event_id, event_type, elapsed): seconds from an agent's start to its completion or failure, the start being its last one before that. Other events don't take part. For batches."""
+    rows = df.filter(F.col("event_type").isin(started, *ended))
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.last(F.when(F.col("event_type") == started, F.col("ts")), ignorenulls=True).over(before)
+    done = rows.withColumn("__s", start).filter(F.col("event_type").isin(*ended) & F.col("__s").isNotNull())
+    return done.select("user_id", "event_id", "event_type", F.round(F.col("ts").cast("double") - F.col("__s").cast("double"), 3).alias("elapsed"))
+
+
+def last_n_stream(df: DataFrame, n: int = 12) -> DataFrame:
+    """The streaming form of last_n(): (user_id, place, event_id) whenever a user's last n events change, from state that holds n (ts, event_id) for each user."""
+
+    def update(key, frames, state):
+        import pandas as pd
+
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for pdf in frames:
+            held += list(zip(pdf["ts"].astype("int64").tolist(), pdf["event_id"].tolist(), strict=True))
+        held = sorted(set(held), reverse=True)[:n]
+        state.update(([t for t, _ in held], [e for _, e in held]))
+        yield pd.DataFrame({"user_id": [key[0]] * len(held), "place": range(1, len(held) + 1), "event_id": [e for _, e in held]})
+
+    rows = df.select("user_id", "ts", "event_id")
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, place int, event_id long", "ts array<long>, ids array<long>", "update", "NoTimeout")
+
+
+def read_json(spark: SparkSession, path: str, schema, late: str = "10 minutes") -> DataFrame:
+    """A feed of JSON lines."""
+    return events(spark.readStream.schema(schema).json(path), late)
 
 
 def read(spark: SparkSession, path: str, schema, late: str = "10 minutes") -> DataFrame:
     return events(spark.readStream.schema(schema).parquet(path), late)
 
 
-def upsert(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the newest row of each key in a versioned Parquet table: batch b reads version b - 1 and writes version b, so that a batch that runs again does no harm."""
+def upsert(path: str, key: str, order: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the newest row of each key in a Parquet table of buckets by the key's hash. A batch rewrites only the buckets that it touches, as new versions; batch b reads a bucket's newest version before b, so that a batch that runs again does no harm, and the versions before that one are deleted."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v={number - 1}"
-        where = spark._jvm.org.apache.hadoop.fs.Path(before)
-        rows = batch
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(before))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in batch.columns)), F.col(order)).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v={number}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        rows = batch.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["__b"] for r in rows.select("__b").distinct().collect()]  # at most `buckets`
+        held, old = versions(spark, path), []
+        for b in touched:
+            before = sorted(v for v in held.get(b, ()) if v < number)
+            old += [f"{path}/b={b}/v={v}" for v in before[:-1]]
+            if before:
+                rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/b={b}/v={before[-1]}").withColumn("__b", F.lit(b)))
+        newest = rows.groupBy(key, "__b").agg(F.max_by(F.struct(*(F.col(c) for c in batch.columns)), F.col(order)).alias("r")).select("r.*", F.col("__b").alias("b"), F.lit(number).alias("v"))
+        newest.repartition("b").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "v").parquet(path)
+        for x in old:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(x), True)
 
     return write
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket of an upsert() table."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for status in system.globStatus(hadoop.Path(f"{path}/b=*/v=*")) or ():
+        at = status.getPath()
+        found.setdefault(int(at.getParent().getName()[2:]), []).append(int(at.getName()[2:]))
+    return found
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest rows of an upsert() table."""
+    paths = [f"{path}/b={b}/v={max(v)}" for b, v in sorted(versions(spark, path).items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

@@ -59,10 +59,7 @@ def test_diversify_and_minmax(spark):
     assert sorted((r.query_id, r.n) for r in retrieval.minmax(s, "query_id", "score", "n").collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (3, 1.0)]
 
 
-def test_pack_and_headings(spark):
-    df = spark.createDataFrame([(1, 1, "x" * 30), (1, 2, "y" * 30), (1, 3, "z")], "q long, rank int, t string")
-    r = evidence.pack(df, "q", "rank", F.col("t"), budget=35, block=20).first()
-    assert r.n_blocks == 2 and r.context == "x" * 20 + "\n\n" + "z"
+def test_headings(spark):
     h = evidence.headings(spark.createDataFrame([(1, "# 1. One\n```\n# no\n```\n## **Two**")], "id long, t string"), ["id"], F.col("t")).orderBy("line_no").collect()
     assert [(x.level, x.heading) for x in h] == [(1, "one"), (2, "two")]
 

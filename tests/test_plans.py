@@ -1,0 +1,75 @@
+from sievewright.plans import asking, report, words
+
+
+def test_terms():
+    assert words.query_tokens("How the GPU-based C++ works, for what?") == {"gpu-based", "c++", "works"}
+    assert words.keywords("Compare the Architecture of GPUs. and NVLink, GPUs.") == ["GPUs", "NVLink"]
+    assert words.named_terms("What is BERT and the Multi-Head block in GPT-3?") == ["bert", "multi-head", "gpt-3"]
+    assert words.technical_terms("self-attention in `BERT` [3]") == ["self-attention", "bert", "selfattention"]
+
+
+def test_plan_queries():
+    plan = {
+        "objective": "Vision models", "sub_questions": ["What is the attention formula?", {"question": ""}], "synthesis_instruction": "Cover (1) the benchmark scores, and (2) API usage.",
+        "tasks": [{"query_context": "attention formula details", "extraction_goal": "find it", "expected_signals": ["softmax", ""], "url": "http://a/b"}, {"query_context": "other things"}],
+    }
+    made = asking.plan_queries(plan)
+    assert made[0] == "What is the attention formula? find it softmax http://a/b" and made[-1] == "Vision models" and len(made) == 4
+    assert asking.requirements(plan["synthesis_instruction"]) == ["the benchmark scores", "API usage"]
+    assert asking.requirements("- one\n* two\n- one") == ["one", "two"] and asking.requirements("do it all") == ["do it all"] and asking.requirements("") == []
+    exact = asking.precision_queries(plan)
+    assert any("softmax sqrt sum" in q for q in exact) and any("BLEU GLUE" in q for q in exact) and all(len(q) <= 700 for q in exact)
+    assert asking.context_query({}, ["a", "b"]) == "a b"
+    assert asking.specs_of(plan) == [{"question_id": "q001", "question": "What is the attention formula?", "required_evidence": ["definition", "equation"]}]
+    given = {"sub_question_specs": [{"question": ""}, {"question": "why", "required_evidence": ["x"]}, 3]}
+    assert asking.specs_of(given) == [{"question_id": "q002", "question": "why", "required_evidence": ["x"]}]
+    assert asking.build_specs(["Latency?"], [])[0]["required_evidence"] == ["complexity"]
+    assert asking.plan_queries({"tasks": [{"query_context": "c", "target_name": "t"}]}) == ["c t"]
+
+
+def test_gaps():
+    text = "| Requirement | Status |\n|---|---|\n| **Scores** | missing | none [2] |\n| Other | covered | ok |\nThere is no explicit formula here [1].\nFine.\nMissing evidence: costs"
+    assert asking.gap_items(text) == ["Scores none", "There is no explicit formula here .", "Missing evidence: costs"]
+    plan = asking.gap_plan(text, "Goal", ["m q"])
+    assert plan["source"] == "mixed" and plan["queries"][0] == "m q" and len(plan["queries"]) == 4
+    assert asking.gap_plan("all is well")["source"] == "none" and asking.gap_plan(text)["source"] == "fallback"
+    assert asking.gap_lines("G1: first thing G2: second thing") == ["first thing", "second thing"]
+    assert asking.gap_lines('1. "one"\n- G3: two\n\n') == ["one", "two"]
+    assert asking.model_queries('```json\n{"queries": ["a b", {"x": ["c d"]}]}\n```') == ["a b", "c d"]
+    assert asking.model_queries('{"queries": ["what is it", "broken') == ["what is it"] and asking.model_queries("- one two\n2) three") == ["one two", "three"]
+    assert asking.valid_queries(["Query 1", "search query", "a b", "a b c", "a b c"]) == ["a b c"]
+    assert asking.fallback_search({"url": "https://www.x.org/a", "query_context": "the cost of A", "target_name": "General Research", "source_type": "docs"})["url"] == "SEARCH:cost docs x.org alternative source"
+
+
+REPORT = """# Title
+## Executive Summary
+BERT reaches 91.5% accuracy [1], and 88.0 BLEU in 2019 [9].
+## 1. Attention Formula
+Text 【2】 [citation needed]
+## Conclusion
+## References
+[1] old"""
+
+
+def test_report():
+    sources = [{"index": 1, "url": "http://a", "title": "A"}, {"index": 2, "url": "http://b"}]
+    done = report.final_report(REPORT, sources)
+    assert done.endswith("## References\n[1] http://a\n[2] http://b") and "[9]" not in done and "old" not in done
+    issues = report.quality_issues(REPORT, sources, "accuracy of 91.5% here")
+    assert issues == ["report contains placeholder or non-source citation markers", "report uses unavailable citations: [9]", "report includes benchmark metrics not present in evidence: 88.0"]
+    assert report.quality_issues("") == ["report is empty"] and report.quality_issues("text")[0] == "report must include a References section"
+    schema = report.schema_issues(REPORT, ["What is the attention formula?", "How do GPUs scale?"])
+    assert schema == ["missing schema section: introduction/context", "missing schema section: cross-cutting analysis/synthesis", "missing schema section: limitations/open questions", "missing planner topic section: GPUs Scale"]
+    check = report.coverage_check(REPORT, ["Which accuracy does BERT reach?", "Why are Zebras striped in Africa?"])
+    assert (check["covered_count"], check["missing"]) == (1, ["Why are Zebras striped in Africa?"])
+    assert report.critique(issues, check, schema)["unresolved_issues"][-1] == "missing planner topic: Why are Zebras striped in Africa?"
+    assert report.question_heading("What is the API of GPUs, examples?") == "The API Of GPUs"
+    assert report.gap_questions([{"question": "why so", "status": "Partially"}, {"question": "x", "status": "covered"}], ["Why so"]) == ["Why so"]
+    context = {"synthesis": "BERT is fine.\nGap: zebras are missing", "coverage_by_question": [{"question": "Q one", "status": "weak"}]}
+    assert report.context_gaps(context, {"sub_questions": ["Q one", "What is BERT?", "Are zebras BERT?"]}) == ["Q one", "What is BERT?", "Are zebras BERT?"]
+    assert report.missing_queries("Obj", ["q"])[0].startswith("Obj q source-backed")
+    assert report.evidence_blocks([{"source_index": 1, "title": "T", "content": "a b"}, {"source_index": 1, "title": "T", "content": "a b"}, {"url": "u", "content": "c"}]) == "[1] T\na b\n\n[uncited] u\nc"
+    assert report.evidence_blocks([{"content": "x" * 600}, {"content": "y" * 600}], 700).count("x") == 600
+    assert report.headings("# a\n```\n# b\n```\n### c #") == ["a", "c"] and report.headings_match("attention formula", "the attention formula")
+    assert report.coverage_lines([{"question": "q", "status": "covered", "source_indexes": [2]}]) == "- question: covered; evidence=evidence; sources=[2]; question=q"
+    assert report.source_lines([{"url": "u"}]) == "[1] u - u" and report.outline([]) == "- Use clear sections that answer the objective."
