@@ -15,7 +15,7 @@ training document has gets E_s = 0. The sum over all words and one unknown word
    to exact forward and backward messages at every cut, so that runs of all documents advance together in matrix
    operations whatever their lengths. Expected counts are summed in each partition, then in two shuffled steps. Steps end
    when one raises the mean log likelihood of a training token by less than TOLERANCE; no number of steps is set.
-4. A last step unties the words: the expected counts of every training word, by state, are summed by hash, as whole
+4. The last step is taken again with the words untied: every training word's expected counts by state are summed by hash, as whole
    numbers of 2 ** -32 so that their order doesn't matter.
 5. The scaled forward recursion over transfer matrices of word emissions gives each text's exact likelihood.
 
@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, staged
+from .common import ship, staged
 
 K = 4
 #: Nats a training token that a step must gain for another one to follow.
@@ -269,8 +269,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """Of rows that begin with (numbers, rare, times), about CHUNK tokens at a time: the rows, their sequences, the different hashes of rare words, which sequences number from `base`, these words' shared classes, and the place of each word of `rare` among them."""
+def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows that begin with (numbers, rare, times), about CHUNK tokens at a time: the rows, their sequences, the different hashes of rare words, which sequences number from `base`, these words' shared classes, the place of each word of `rare` among them, and their counts."""
     held: list[pa.RecordBatch] = []
 
     def out() -> tuple:
@@ -283,7 +283,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[pa.T
         for raw, o in zip(rows.column(0), starts, strict=True):
             s = np.frombuffer(raw.as_buffer(), dtype="<i4")
             sequences.append(at[np.where(s >= base, s + o, s)])
-        return rows, sequences, h, shared, place
+        return rows, sequences, h, shared, place, np.bincount(place, weights=_lists(rows.column(2))[0] >> 16, minlength=len(h))
 
     n = 0
     for batch in batches:
@@ -301,33 +301,33 @@ def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[pa.T
         yield out()
 
 
-SUMS = ["block", "part", "sums", "h", "f", *(f"e{s}" for s in range(K))]
-SUMS_SCHEMA = "block int, part long, sums binary, h long, f boolean, " + ", ".join(f"e{s} long" for s in range(K))
+SUMS = ["block", "part", "sums"]
+SUMS_SCHEMA = "block int, part long, sums binary"
+WORDS = ["h", "f", "c", *(f"e{s}" for s in range(K))]
+WORDS_SCHEMA = "h long, f boolean, c long, " + ", ".join(f"e{s} long" for s in range(K))
 
 
 def _packed(start: np.ndarray, move: np.ndarray, emit: np.ndarray, log: float) -> pa.RecordBatch:
     """A partition's sums as rows (block, part, sums): block -1 holds all but the emissions."""
     part = TaskContext.get().partitionId()
     rows = [(-1, np.concatenate([start, move.ravel(), [log]]))] + [(b, emit[a : a + BLOCK].ravel()) for b, a in enumerate(range(0, len(emit), BLOCK))]
-    none = [pa.nulls(len(rows), kind) for kind in (pa.int64(), pa.bool_(), *[pa.int64()] * K)]
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x.astype("<f8").tobytes() for _, x in rows], pa.binary()), *none], SUMS)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x.astype("<f8").tobytes() for _, x in rows], pa.binary())], SUMS)
 
 
-def _words(h: np.ndarray, emit: np.ndarray, frequent: bool) -> pa.RecordBatch:
-    """Words' expected counts as rows (h, f, e0 ...)."""
-    none = [pa.nulls(len(h), kind) for kind in (pa.int32(), pa.int64(), pa.binary())]
-    counts = (pa.array(np.rint(emit[:, s] * UNIT).astype(np.int64)) for s in range(K))
-    return pa.RecordBatch.from_arrays([*none, pa.array(h, pa.int64()), pa.array(np.full(len(h), frequent)), *counts], SUMS)
+def _words(h: np.ndarray, emit: np.ndarray, counts: np.ndarray, frequent: bool) -> pa.RecordBatch:
+    """Words' counts and expected counts as rows (h, f, c, e0 ...)."""
+    expected = (pa.array(np.rint(emit[:, s] * UNIT).astype(np.int64)) for s in range(K))
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.full(len(h), frequent)), pa.array(counts.astype(np.int64)), *expected], WORDS)
 
 
 class Gathered:
-    """Expected counts by hash, given up whenever more than `most` are held."""
+    """Rare words' counts and expected counts by hash, given up whenever more than `most` are held."""
 
     def __init__(self, most: int = 400_000):
         self.most, self.n, self.held = most, 0, []
 
-    def add(self, h: np.ndarray, emit: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((h, emit))
+    def add(self, h: np.ndarray, emit: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((h, np.column_stack([emit, counts])))
         self.n += len(h)
         if self.n > self.most:
             yield from self.out()
@@ -335,8 +335,9 @@ class Gathered:
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.n:
             h, back = np.unique(np.concatenate([h for h, _ in self.held]), return_inverse=True)
-            emit = np.concatenate([e for _, e in self.held])
-            yield _words(h, np.stack([np.bincount(back, weights=emit[:, s], minlength=len(h)) for s in range(K)], axis=1), False)
+            every = np.concatenate([x for _, x in self.held])
+            sums = np.stack([np.bincount(back, weights=every[:, j], minlength=len(h)) for j in range(K + 1)], axis=1)
+            yield _words(h, sums[:, :K], sums[:, K], False)
         self.n, self.held = 0, []
 
 
@@ -459,7 +460,7 @@ def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = np.zeros((n_classes, K))
-        for rows, sequences, _, shared, _ in _chunks(batches, size):
+        for rows, sequences, _, shared, _, _ in _chunks(batches, size):
             of = np.concatenate([table.classes, own + shared])
             weights = np.array([np.arange(K) == state[x] if x in state else np.full(K, 1 / K) for x in rows.column(3).to_pylist()], dtype=float)
             flat, by = of[np.concatenate(sequences)], np.repeat(weights, [len(s) for s in sequences], axis=0)
@@ -467,47 +468,43 @@ def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent:
                 emit[:, s] += np.bincount(flat, weights=by[:, s], minlength=n_classes)
         yield _packed(np.zeros(K), np.zeros((K, K)), emit, 0.0)
 
-    _, _, classes, _ = _summed(training.select("numbers", "rare", "times", "lang").mapInArrow(first, SUMS_SCHEMA).select("block", "part", "sums"), n_parts, n_classes)
+    _, _, classes, _ = _summed(training.select("numbers", "rare", "times", "lang").mapInArrow(first, SUMS_SCHEMA), n_parts, n_classes)
     spread = (classes.sum(axis=1) + 0.5) / (classes.sum() + 0.5 * len(classes))
     chain = reestimated(classes.sum(axis=0), np.eye(K) * classes.sum(axis=0)[:, None] * 0.05, classes, spread)
-    before, untie = -np.inf, False
+    before = -np.inf
     while True:
         told = context.broadcast(chain)
 
-        def expect(batches: Iterator[pa.RecordBatch], told=told, untie=untie) -> Iterator[pa.RecordBatch]:
-            total, by_number, gathered = None, np.zeros((size if untie else 0, K)), Gathered()
-            for _, sequences, h, shared, _ in _chunks(batches, size):
+        def expect(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            total = None
+            for _, sequences, _, shared, _, _ in _chunks(batches, size):
                 of = np.concatenate([table.classes, own + shared])
-                tied = [of[s] for s in sequences]
-                if untie:
-                    start, move, emit, log = expectations(told.value, tied, sequences, size + len(h))
-                    by_number += emit[:size]
-                    yield from gathered.add(h, emit[size:])
-                    emit = np.stack([np.bincount(of, weights=emit[:, s], minlength=n_classes) for s in range(K)], axis=1)
-                    x = (start, move, emit, log)
-                else:
-                    x = expectations(told.value, tied)
+                x = expectations(told.value, [of[s] for s in sequences])
                 total = x if total is None else tuple(a + b for a, b in zip(total, x, strict=True))
-            yield from gathered.out()
-            if untie:
-                some = own + np.flatnonzero(by_number[own:unknown].any(axis=1))
-                yield _words(other_hashes[some - own], by_number[some], True)
             if total is not None:
                 yield _packed(*total)
 
-        parts = training.select("numbers", "rare", "times").mapInArrow(expect, SUMS_SCHEMA)
-        if untie:
+        start, move, classes, log = _summed(training.select("numbers", "rare", "times").mapInArrow(expect, SUMS_SCHEMA), n_parts, n_classes)
+        _forget_shuffles(spark)
+        if not n_all or log - before < tolerance * n_all:
             break
-        start, move, emit, log = _summed(parts.select("block", "part", "sums"), n_parts, n_classes)
         told.unpersist()
-        _forget_shuffles(spark)
-        untie = not n_all or log - before < tolerance * n_all
-        chain, before = reestimated(start, move, emit, spread), log
-    with scratch(spark) as forget_parts:
-        parts = staged(parts, "hmm-sums")
-    start, move, classes, _ = _summed(parts.filter("h IS NULL").select("block", "part", "sums"), n_parts, n_classes)
-    by_word = staged(parts.filter("h IS NOT NULL").groupBy("h", "f").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(K))), "hmm-fitted")
-    forget_parts()
+        chain, before = reestimated(start, move, classes, spread), log
+
+    def untie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_number, gathered = np.zeros((size, K)), Gathered()
+        for _, sequences, h, shared, _, counts in _chunks(batches, size):
+            of = np.concatenate([table.classes, own + shared])
+            emit = expectations(told.value, [of[s] for s in sequences], sequences, size + len(h))[2]
+            by_number += emit[:size]
+            yield from gathered.add(h, emit[size:], counts)
+        yield from gathered.out()
+        some = own + np.flatnonzero(by_number[own:unknown].any(axis=1))
+        yield _words(other_hashes[some - own], by_number[some], np.zeros(len(some)), True)
+
+    # the step that ended the fit again, by words: its sums over classes are known already
+    parts = training.select("numbers", "rare", "times").mapInArrow(untie, WORDS_SCHEMA)
+    by_word = staged(parts.groupBy("h", "f").agg(F.sum("c").alias("c"), *(F.sum(f"e{s}").alias(f"e{s}") for s in range(K))), "hmm-fitted")
     del parts
     _forget_shuffles(spark)
     held = by_word.filter("f").toArrow()  # at most `frequent` rows
@@ -516,14 +513,12 @@ def score(df: DataFrame, tolerance: float = TOLERANCE, own: int = OWN, frequent:
     last = context.broadcast(table.words_chain(reestimated(start, move, classes, spread), classes, by_hash))
 
     # counts of rare words, and their expected counts, come by a join on hashes
-    counted = words.filter(F.col("c") < t).select("h", "c", *(F.lit(0).cast("long").alias(f"e{s}") for s in range(K)))
-    fitted = by_word.filter("NOT f").select("h", F.lit(0).cast("long").alias("c"), *(f"e{s}" for s in range(K)))
-    about = counted.unionByName(fitted).groupBy("h").agg(F.sum("c").alias("c"), *((F.sum(f"e{s}") / UNIT).cast("float").alias(f"e{s}") for s in range(K)))
+    about = by_word.filter("NOT f").select("h", "c", *((F.col(f"e{s}") / UNIT).cast("float").alias(f"e{s}") for s in range(K)))
     asked = coded.select("row", F.posexplode("rare").alias("i", "h"))
     found = asked.join(about, "h").groupBy("row").agg(F.collect_list(F.struct("i", "c", *(f"e{s}" for s in range(K)))).alias("told"))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sequences, h, shared, place in _chunks(batches, size):
+        for rows, sequences, h, shared, place, _ in _chunks(batches, size):
             told, many = rows.column(8), _lists(rows.column(1))[1]
             starts = np.cumsum(many) - many
             flat = told.flatten()

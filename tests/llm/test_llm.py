@@ -248,10 +248,9 @@ def test_hmm_every_word_has_emissions(spark):
     made, before = hmm.reestimated(total, np.eye(k) * total[:, None] * 0.05, sums, spread), -np.inf
     while True:
         start, move, sums, log = hmm.expectations(made, tied)
-        made = hmm.reestimated(start, move, sums, spread)
         if log - before < hmm.TOLERANCE * sum(seen.values()):
             break
-        before = log
+        made, before = hmm.reestimated(start, move, sums, spread), log
     start, move, emit, _ = hmm.expectations(made, tied, [sequences[i] for i in training], len(words))
     sums = np.zeros((own + hmm.SHARED, k))
     np.add.at(sums, groups, emit)
