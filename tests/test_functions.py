@@ -119,8 +119,8 @@ def test_ranked_score(spark):
     assert got[10] == 0.55 and got[12] == round(0.11 + 0.175, 6) and got[11] > got[10]
     assert abs(got[11] - (0.55 * 0.9 + 0.10 + 0.15 * feature + 0.1)) < 2e-6
 
-    from sievewright import registry
+    from sievewright import registry, research_queries
 
-    plain = {(r.query_id, r.id): r.score for r in registry.hybrid_fusion(spark, "/root/testdata/sf0.001").collect()}
-    whole = {(r.query_id, r.id): r.score for r in registry.flagship(spark, "/root/testdata/sf0.001").collect()}
+    plain = {(r.query_id, r.id): r.score for r in registry._fused(spark, "/root/testdata/sf0.001").collect()}
+    whole = {(r.query_id, r.id): r.score for r in research_queries.flagship(spark, "/root/testdata/sf0.001").collect()}
     assert plain.keys() == whole.keys() and all(whole[k] >= plain[k] - 1e-6 for k in plain) and any(whole[k] > plain[k] + 0.01 for k in plain)
