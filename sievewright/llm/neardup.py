@@ -8,12 +8,11 @@ similarity 0.75 miss each other in all 32 buckets with probability 5e-6.
 1. Documents with equal sets are one class, for which its smallest doc_id stands from here on.
 2. In each bucket one hub, the member that shares most buckets with others, is paired with the other members (a star:
    as many pairs as members). Pairs are confirmed on their full sets, confirmed links are contracted to components.
-3. Buckets that still hold members of several components are compared whole, in blocks of about BLOCK members: their
-   sets' SKETCH least hashes, the whole set where it isn't larger, are intersected by matrix products. Pairs across
-   components that may be links are confirmed on full sets too. So no link between different texts of one bucket is left
-   out, and pairs are made only where a star didn't show the members to belong together.
-
-Sketches of larger sets rule a pair out if its estimated similarity is below 0.75 by more than five standard deviations.
+3. Members of buckets that still hold several components are joined by their shingles, by prefix filtering: shingles are
+   ordered by how many members hold them, and two sets that share c of them have their first common one where at least
+   c are left in either. A pair is made only where that leaves room for a link, across components, and is confirmed on
+   full sets too. Shingles of one component's members alone come first in the order and join nothing, so that neither
+   copies nor families of texts just below the threshold are compared pair by pair. Nothing is estimated.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; fewer than five words are one shingle;
 rows with one doc_id are one document with several texts; a row with null doc_id has a null component and is kept;
@@ -38,9 +37,6 @@ WORDS = 5
 BINS = 128
 BANDS = 32
 SHARE, OF = 75, 100
-BLOCK = 256
-SKETCH = 512
-COLUMNS = 8_192
 #: Texts whose sets are held at a time.
 ROWS = 512
 
@@ -167,66 +163,28 @@ def contract(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def _common(sketches: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairs' intersections. Hashes that only one sketch has are left out first; the rest are columns of 0 and 1, some at a time."""
-    every = np.concatenate(sketches)
-    _, place, times = np.unique(every, return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    rows = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
-    use = shared[place]
-    rows, cols = rows[use], column[place[use]]
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    total = np.zeros((len(sketches), len(sketches)), dtype=np.float32)
-    for at in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(cols, [at, at + COLUMNS])
-        m = np.zeros((len(sketches), COLUMNS), dtype=np.float32)
-        m[rows[a:b], cols[a:b] - at] = 1
-        total += m @ m.T
-    return total
-
-
-def possible(n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
-    """Which pairs of sets, of sizes n, may be links by their sketches."""
-    cut = np.array([len(x) < k for x, k in zip(sketches, n, strict=True)])
-    if cut.any():  # compare what all sketches reach to
-        top = min(x[-1] for x, c in zip(sketches, cut, strict=True) if c)
-        sketches = [x[: np.searchsorted(x, top, side="right")] for x in sketches]
-    common = _common(sketches)
-    size = np.array([len(x) for x in sketches], dtype=np.float32)
-    union = np.maximum(size[:, None] + size[None, :] - common, 1)
-    share = SHARE / OF
-    slack = 5 * np.sqrt(share * (1 - share) / union) if cut.any() else 1e-6
-    return common / union >= share - slack
+def room(rest: Column, na: Column, nb: Column) -> Column:
+    """Whether rest common shingles make a link of sets of na and nb."""
+    return (OF + SHARE) * rest >= SHARE * (na + nb)
 
 
-def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that may be links; a row is one block, or a pair of blocks: a list of (id, root, n, s, side)."""
-    for batch in batches:
-        left, right = [], []
-        for at in range(batch.num_rows):
-            members = batch.column("members")[at].as_py()
-            ids, roots, n, side = (np.array([m[k] for m in members], dtype=np.int64) for k in ("id", "root", "n", "side"))
-            if len(np.unique(roots)) < 2:
-                continue
-            sketches = [np.array(m["s"], dtype=np.int64).view(np.uint64) for m in members]
-            # sizes of linked sets differ by a third at most, so that they are in one class or in neighbours
-            level = np.floor(np.log(n) / np.log(OF / SHARE)).astype(np.int64)
-            for g in np.unique(level):
-                own = np.flatnonzero((level == g) | (level == g + 1))
-                if len(own) < 2 or len(np.unique(roots[own])) < 2:
-                    continue
-                fits = possible(n[own], [sketches[k] for k in own])
-                fits &= (roots[own][:, None] != roots[own][None, :]) & (ids[own][:, None] < ids[own][None, :])
-                fits &= (level[own] == g)[:, None] | (level[own] == g)[None, :]
-                if side.any():  # two blocks: only across
-                    fits &= side[own][:, None] != side[own][None, :]
-                a, b = np.nonzero(fits)
-                left.append(ids[own[a]])
-                right.append(ids[own[b]])
-        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, dtype=np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([join(left), join(right)], ["a", "b"])
+def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members (id, root) with different roots: all links among them, and few others."""
+    each = members.join(sets, "id").select("id", "root", F.size("s").alias("n"), F.explode("s").alias("t"))
+    # the order of shingles; those of one root alone, first in it, are left out
+    order = each.groupBy("t").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("t", "c")
+    ahead = Window.partitionBy("id").orderBy(F.desc("c"), F.desc("t"))
+    left = each.join(order, "t").withColumn("rest", F.row_number().over(ahead)).filter(OF * F.col("rest") >= SHARE * F.col("n"))
+    left = staged(left.select("id", "root", "n", "t", "rest"), "near-prefixes")
+    # of two roots one at least isn't a shingle's main one, so that a large component's members don't meet one another
+    main = left.groupBy("t", "root").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+    left = left.join(main.filter("roots > 1").select("t", "main"), "t").withColumn("minor", F.col("root") != F.col("main"))
+    left = staged(left.select("id", "root", "n", "t", "rest", "minor"), "near-postings")
+    one = left.filter(room(F.col("rest"), F.col("n"), F.col("n"))).select("t", *(F.col(c).alias(f"{c}1") for c in ("id", "root", "n", "rest", "minor")))
+    two = left.select("t", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "rest", "minor")))
+    fits = (F.struct("n1", "id1") < F.struct("n2", "id2")) & (F.col("root1") != F.col("root2")) & room(F.least("rest1", "rest2"), F.col("n1"), F.col("n2"))
+    met = one.filter("minor1").join(two, "t").filter(fits).unionByName(one.filter("NOT minor1").join(two.filter("minor2"), "t").filter(fits))
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def describe(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -278,18 +236,11 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
     roots = staged(contract(links), "near-roots")
 
     # what the stars left apart
-    placed = members.select("key", "id", "n").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    placed = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
-    apart = placed.join(mixed_keys, "key", "left_semi").join(sets.select("id", F.size("s").alias("n_shingles"), F.slice("s", 1, SKETCH).alias("s")), "id")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = apart.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    spread = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = spread.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("id", "root", F.col("n_shingles").alias("n"), "s", (F.col("own") > F.col("other")).cast("int").alias("side"))).alias("members")
-    )
-    across = blocks.select("members").mapInArrow(_pairs_of_blocks, "a long, b long").distinct()
+    apart = staged(placed.join(mixed_keys, "key", "left_semi").select("id", "root").distinct(), "near-apart")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = staged(_confirm(across.join(done, ["a", "b"], "left_anti"), sets), "near-late")
+    late = staged(_confirm(across(apart, sets).join(done, ["a", "b"], "left_anti"), sets), "near-late")
     if not late.isEmpty():
         roots = staged(contract(links.unionByName(late)), "near-roots")
 

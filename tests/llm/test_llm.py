@@ -272,6 +272,37 @@ def test_neardup_edges(spark, odd, empty):
     assert left.columns == odd.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == list(range(11))
 
 
+def _across(spark, sets, roots):
+    members = spark.createDataFrame(list(enumerate(roots)), "id long, root long")
+    return sorted((r.a, r.b) for r in neardup.across(members, spark.createDataFrame(list(enumerate(map(sorted, sets))), "id long, s array<long>")).collect())
+
+
+def test_neardup_across_misses_no_link(spark):
+    rng = random.Random(5)
+    sets, roots = [], []
+    for family in range(6):
+        core = rng.sample(range(family * 50, family * 50 + 400), 120)
+        for k in range(12):
+            own = set(rng.sample(core, rng.randint(85, 120))) | {rng.randrange(10_000) for _ in range(rng.randint(0, 20))}
+            sets.append(own)
+            roots.append(rng.randrange(3) * 100 + family if k % 2 else 1_000 + len(sets))
+    sets += [{1}, {1}, {1, 2, 3, 4}, {1, 2, 3}, set(sets[0])]  # shortest sets, and equal ones under two roots
+    roots += [1, 2, 3, 4, 5_000]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if roots[a] != roots[b]]
+    true = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    found = _across(spark, sets, roots)
+    assert len(true) > 50 and set(true) <= set(found) <= set(pairs)
+    assert _across(spark, sets, [0] * len(sets)) == []
+
+
+def test_neardup_across_pairs_no_family_below_the_threshold(spark):
+    # 846 of 996 shingles in common, a similarity of 0.738: 19,900 pairs, none of which is made
+    sets = [set(range(846)) | {1_000 * k + j for j in range(850, 1_000)} for k in range(1, 201)]
+    assert _across(spark, sets, list(range(200))) == []
+    sets[7] = set(sets[3]) | {-1}
+    assert _across(spark, sets, list(range(200))) == [(3, 7)]
+
+
 def test_neardup_chain_beyond_the_star(spark):
     """A chain of edits: ends unlike each other, all one component."""
     rng = random.Random(3)
