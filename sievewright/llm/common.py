@@ -11,6 +11,8 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vectors_of(lists: pa.Array, scaled: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of vector in a list array: which rows have it, and their scaled vectors. Vectors that are null, empty, or hold null or non-finite components, or such that aren't finite when scaled, are left out."""
+    if pa.types.is_fixed_size_list(lists.type):
+        lists = lists.cast(pa.list_(lists.type.value_type))
+    lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    values = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan")))
+    ends = np.cumsum(lengths)
+    for n in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == n)
+        x = scaled(values[(ends[rows] - n)[:, None] + np.arange(n)])
+        fine = np.isfinite(x).all(axis=1)
+        if fine.any():
+            yield rows[fine], x[fine]
+
+
 class WordCache(dict):
     """Values of words, made by make() when first asked for. Two generations of at most `most` words bound its memory; words in use move to the young one."""
 

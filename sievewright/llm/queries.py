@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, hmm, neardup, packing, pii, quality, topk, urls, viterbi
+from . import chat, counts, hmm, neardup, packing, pii, quality, snapshot, topk, urls, viterbi, whitening, wordtable
 from .common import table
 
 
@@ -76,15 +76,43 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot.diff(docs, snapshot.later_snapshot(docs))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.check_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
+
+
 QUERIES = {
     "op1_quality": op1_quality, "op2_sentencepiece": op2_sentencepiece, "op3_urls": op3_urls, "op4_topk": op4_topk, "op5_pii": op5_pii, "op6_packing": op6_packing,
-    "op7_hmm": op7_hmm, "op8_counts": op8_counts, "op9_neardup": op9_neardup, "op10_chat": op10_chat,
+    "op7_hmm": op7_hmm, "op8_counts": op8_counts, "op9_neardup": op9_neardup, "op10_chat": op10_chat, "op11_snapshot": op11_snapshot, "op12_whitening": op12_whitening, "op13_bpe": op13_bpe,
 }
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 _RULES = [("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block")]
 
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected CRC-32, by its rule: eight shifts for each byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+#: crc32 of doc_id's decimal digits, for DuckDB.
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[CAST(xor(a & 255, b) AS INTEGER) + 1])), 4294967295)"
+
 ORACLE = {
     "op3_urls": f"""
 WITH r AS (SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -114,6 +142,20 @@ r(id, root) AS (SELECT a, a FROM y UNION SELECT y.b, r.root FROM r JOIN y ON y.a
 m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, c.id, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, c.id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.id = c.id""",
+    "op11_snapshot": f"""
+WITH o AS (SELECT doc_id, text, lang, source, {_CRC} % 10 AS r FROM documents),
+n AS (SELECT CASE WHEN r IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN r = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+  CASE WHEN r = 2 THEN source ELSE lang END AS lang, CASE WHEN r = 2 THEN lang WHEN r <> 4 THEN source END AS source FROM o WHERE r <> 0
+  UNION ALL SELECT -1 - doc_id, text, lang, source FROM o WHERE r = 5),
+p AS (SELECT n.doc_id AS key, o.doc_id AS old_key, o.text IS DISTINCT FROM n.text AS t, o.lang IS DISTINCT FROM n.lang AS l, o.source IS DISTINCT FROM n.source AS s, n.text, n.lang, n.source
+  FROM o JOIN n ON o.doc_id = n.doc_id),
+ou AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id) AS i FROM o WHERE doc_id NOT IN (SELECT old_key FROM p)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id DESC) AS i FROM n WHERE doc_id NOT IN (SELECT key FROM p)),
+c AS (SELECT nu.doc_id AS key, ou.doc_id AS old_key, nu.doc_id IS NULL AS gone, nu.text, nu.lang, nu.source FROM ou FULL JOIN nu
+  ON ou.i = nu.i AND ou.text IS NOT DISTINCT FROM nu.text AND ou.lang IS NOT DISTINCT FROM nu.lang AND ou.source IS NOT DISTINCT FROM nu.source),
+a AS (SELECT key, old_key, CASE WHEN t OR l OR s THEN 'update' ELSE 'same' END AS op, concat_ws(',', CASE WHEN t THEN 'text' END, CASE WHEN l THEN 'lang' END, CASE WHEN s THEN 'source' END) AS changed, false AS gone, text, lang, source FROM p
+  UNION ALL SELECT coalesce(key, old_key), old_key, CASE WHEN gone THEN 'delete' WHEN old_key IS NULL THEN 'insert' ELSE 'rekey' END, '', gone, text, lang, source FROM c)
+SELECT key, old_key, op, changed, CASE WHEN NOT gone THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256 FROM a""",
     "op10_chat": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

@@ -16,7 +16,8 @@ moved. What moves is k rows for each query and partition.
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows with null id, take no
 part; a query's candidates are the other ids' vectors of its own length; several rows of one id are candidates each,
 and give one row for each of them; equal scores go to the smaller id; fewer than k candidates are all returned;
-components beyond 2**31 after scaling count as that bound. Other columns are ignored.
+components whose SCALE-fold isn't a finite double count as non-finite; sums are exact, and scores beyond 64 bits count as
+the nearest long, so that such rank by id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import ship, staged, vectors_of
 
 K = 10
 SCALE = 1024
@@ -38,60 +39,60 @@ SLAB = 16_384
 ROWS = 2_048
 #: Pairs resolved, and entries held, at a time.
 PAIRS, HELD = 65_536, 1_000_000
+LONGEST = 2**63 - 1
 
 
-def vectors_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer matrix) for each length of vector in a batch of (id, embedding)."""
-    ids, lists = batch.column(0), batch.column(1)
-    if pa.types.is_fixed_size_list(lists.type):
-        lists = lists.cast(pa.list_(lists.type.value_type))
-    lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-    flat = lists.flatten().cast(pa.float64())
-    values = np.asarray(flat.fill_null(float("nan")))
-    ends = np.cumsum(lengths)
-    known = np.asarray(ids.is_valid())
-    keys = np.asarray(ids.fill_null(0), dtype=np.int64)
-    for n in np.unique(lengths):
-        if n == 0:
-            continue
-        rows = np.flatnonzero((lengths == n) & known)
-        x = values[(ends[rows] - n)[:, None] + np.arange(n)] if len(rows) else np.empty((0, n))
-        fine = np.isfinite(x).all(axis=1)
-        if fine.any():
-            yield keys[rows[fine]], np.clip(np.floor(x[fine] * SCALE), -(2.0**31), 2.0**31)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(x * SCALE)
 
 
 def partial_scores(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """Partial inner products (queries x candidates) over NODES runs of components, exact."""
     cuts = np.linspace(0, q.shape[1], NODES + 1).astype(int)
-    if _safe(q, c):
-        return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [_whole(q[:, a:b]).dot(_whole(c[:, a:b]).T) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    q, c = _summable(q, c)
+    return [q[:, a:b].dot(c[:, a:b].T) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _whole(x: np.ndarray) -> np.ndarray:
-    """Python integers, for sums that doubles can't hold."""
-    return x.astype(np.int64).astype(object)
+_integers = np.frompyfunc(int, 1, 1)
 
 
-def _safe(q: np.ndarray, c: np.ndarray) -> bool:
-    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**53
+def _summable(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same whole numbers in the first type that holds their inner products exactly: doubles, longs, or Python's integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0**53:
+        return q, c
+    return (q.astype(np.int64), c.astype(np.int64)) if most < 2.0**62 else (_integers(q), _integers(c))
+
+
+def _tiles(q: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of q and c to be scored together: small vectors all at once, those whose sums doubles can't hold in tiles, as longs and Python's integers take more room."""
+    small = [np.abs(x).max(axis=1, initial=0) < 2.0 ** (26 - math.log2(max(1, x.shape[1])) / 2) for x in (q, c)]
+    for a in (True, False):
+        for b in (True, False):
+            rows, cols = np.flatnonzero(small[0] == a), np.flatnonzero(small[1] == b)
+            step = len(rows) if a and b else max(1, PAIRS // max(1, len(cols)))
+            for at in range(0, len(rows) if len(cols) else 0, max(1, step)):
+                yield rows[at : at + step], cols
 
 
 def resolved(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Full scores of the pairs (rows[i], cols[i])."""
+    """Full scores of the pairs (rows[i], cols[i]); those beyond a long count as the nearest one."""
     out = np.empty(len(rows), dtype=np.int64)
-    safe = _safe(q, c)
+    q, c = _summable(q, c)
     for at in range(0, len(rows), PAIRS):
         x, y = q[rows[at : at + PAIRS]], c[cols[at : at + PAIRS]]
-        out[at : at + PAIRS] = np.einsum("ij,ij->i", x, y).astype(np.int64) if safe else (_whole(x) * _whole(y)).sum(axis=1)
+        sums = (x * y).sum(axis=1)
+        out[at : at + PAIRS] = np.clip(sums, -LONGEST, LONGEST).astype(np.int64) if q.dtype == object else sums.astype(np.int64)
     return out
 
 
 def candidates(nodes: list[np.ndarray], cut: np.ndarray) -> np.ndarray:
     """Phase 2: which pairs may reach the cutoff of their query, by the entries that the lists give up."""
     least = -(-cut // NODES)[:, None]  # the uniform threshold, rounded up
-    bound = np.zeros(nodes[0].shape, dtype=nodes[0].dtype)
+    if nodes[0].dtype != float:
+        least = least.astype(object)  # bounds may pass a long where partial scores are near it
+    bound = np.zeros(nodes[0].shape, dtype=float if nodes[0].dtype == float else object)
     some = np.zeros(nodes[0].shape, dtype=bool)
     for scores in nodes:
         given = scores >= least
@@ -100,10 +101,23 @@ def candidates(nodes: list[np.ndarray], cut: np.ndarray) -> np.ndarray:
     return some & (bound >= cut[:, None])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, whole numbers) for each length of vector in a batch of (id, vector)."""
+    batch = batch.filter(batch.column(0).is_valid())
+    ids = np.asarray(batch.column(0), dtype=np.int64)
+    for rows, x in vectors_of(batch.column(1), _scaled):
+        yield ids[rows], x
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, queries, ids, candidates) to be scored together."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
-            yield from vectors_of(batch.slice(at, ROWS))
+            for ids, c in _of(batch.slice(at, ROWS)):
+                for qids, q in sets:
+                    if q.shape[1] == c.shape[1]:
+                        for rows, cols in _tiles(q, c):
+                            yield qids[rows], q[rows], ids[cols], c[cols]
 
 
 class Best:
@@ -149,22 +163,19 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
 def _slab(corpus: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     spark = corpus.sparkSession
     table = wanted.toArrow()  # about SLAB rows
-    sets = [x for b in table.combine_chunks().to_batches() for x in vectors_of(b)]
+    sets = [x for b in table.combine_chunks().to_batches() for x in _of(b)]
     held = spark.sparkContext.broadcast(sets)
     schema = "query_id long, vec_id long, score long"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
-        for ids, c in _blocks(batches):
-            for qids, q in held.value:
-                if q.shape[1] != c.shape[1]:
-                    continue
-                pick = np.zeros((len(qids), len(ids)), dtype=bool)
-                for scores in partial_scores(q, c):  # the k best entries of each local list; one may be the query's own
-                    near = np.argpartition(-scores, k, axis=1)[:, : k + 1] if len(ids) > k + 1 else np.arange(len(ids))[None, :]
-                    np.put_along_axis(pick, np.broadcast_to(near, (len(qids), near.shape[1])), True, axis=1)
-                rows, cols = np.nonzero(pick & (ids[None, :] != qids[:, None]))
-                best.add(qids[rows], ids[cols], resolved(q, c, rows, cols))
+        for qids, q, ids, c in _blocks(batches, held.value):
+            pick = np.zeros((len(qids), len(ids)), dtype=bool)
+            for scores in partial_scores(q, c):  # the k best entries of each local list; one may be the query's own
+                near = np.argpartition(-scores, k, axis=1)[:, : k + 1] if len(ids) > k + 1 else np.arange(len(ids))[None, :]
+                np.put_along_axis(pick, np.broadcast_to(near, (len(qids), near.shape[1])), True, axis=1)
+            rows, cols = np.nonzero(pick & (ids[None, :] != qids[:, None]))
+            best.add(qids[rows], ids[cols], resolved(q, c, rows, cols))
         yield from best.out()
 
     gathered = corpus.mapInArrow(first, schema)
@@ -176,14 +187,12 @@ def _slab(corpus: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
-        for ids, c in _blocks(batches):
-            for qids, q in held.value:
-                if q.shape[1] != c.shape[1]:
-                    continue
-                cut = np.array([told.value.get(int(qid), -(2**62)) for qid in qids], dtype=np.int64)
-                left = candidates(partial_scores(q, c), cut)
-                rows, cols = np.nonzero(left & (ids[None, :] != qids[:, None]))
-                best.add(qids[rows], ids[cols], resolved(q, c, rows, cols))
+        for qids, q, ids, c in _blocks(batches, held.value):
+            nodes, cut = partial_scores(q, c), [told.value.get(int(qid)) for qid in qids]
+            free = np.array([x is None for x in cut])  # queries with fewer than k candidates, all of which are resolved
+            left = candidates(nodes, np.array([x or 0 for x in cut], dtype=np.int64)) | free[:, None]
+            rows, cols = np.nonzero(left & (ids[None, :] != qids[:, None]))
+            best.add(qids[rows], ids[cols], resolved(q, c, rows, cols))
         yield from best.out()
 
     final = corpus.mapInArrow(second, schema)
