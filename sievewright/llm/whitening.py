@@ -33,7 +33,7 @@ FAN = 32
 #: Share of the largest eigenvalue below which there is no variance but rounding.
 FLAT = 1e-13
 ROWS = 512
-_STATE = "dim int, n long, sums array<decimal(38,0)>, mean array<double>, products array<double>"
+_STATE = "dim int, n long, sums array<decimal(38,0)>, origin array<double>, mean array<double>, products array<double>"
 RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -45,16 +45,18 @@ def scaled(c: np.ndarray) -> np.ndarray:
 
 
 class State:
-    """Count, exact sums, mean and centred products of vectors."""
+    """Count, exact sums, mean and centred products of vectors. Means are kept as differences to an origin, the first vector, so that entries far from 0 cost no digits."""
 
-    def __init__(self, dim: int, n: int = 0, sums: list[int] | None = None, mean: np.ndarray | None = None, products: np.ndarray | None = None):
-        self.n, self.sums = n, sums if sums is not None else [0] * dim
+    def __init__(self, dim: int, n: int = 0, sums: list[int] | None = None, origin: np.ndarray | None = None, mean: np.ndarray | None = None, products: np.ndarray | None = None):
+        self.n, self.sums, self.origin = n, sums if sums is not None else [0] * dim, origin
         self.mean = np.zeros(dim) if mean is None else mean
         self.products = np.zeros((dim, dim)) if products is None else products
 
     def add(self, rows: np.ndarray) -> None:
         """Welford's step for each row."""
-        for x in rows:
+        if self.origin is None:
+            self.origin = rows[0].copy()
+        for x in rows - self.origin:
             self.n += 1
             d = x - self.mean
             self.mean += d / self.n
@@ -67,10 +69,10 @@ class State:
 
     def merge(self, other: State) -> None:
         """The parallel update formula."""
-        if not other.n:
-            return
+        if not self.n:
+            self.origin = other.origin
         n = self.n + other.n
-        d = other.mean - self.mean
+        d = (other.origin - self.origin) + (other.mean - self.mean)
         self.mean = self.mean + d * (other.n / n)
         self.products = self.products + other.products + np.outer(d, d) * (self.n * (other.n / n))
         self.n, self.sums = n, [a + b for a, b in zip(self.sums, other.sums, strict=True)]
@@ -83,21 +85,21 @@ class State:
 def _to_rows(states: dict[int, State]) -> Iterator[pa.RecordBatch]:
     from decimal import Decimal
 
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.decimal128(38, 0)), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.decimal128(38, 0)), *[pa.list_(pa.float64())] * 3]
     for dim, s in sorted(states.items()):
-        cols = ([dim], [s.n], [[Decimal(x) for x in s.sums]], [s.mean], [s.products.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["dim", "n", "sums", "mean", "products"])
+        cols = ([dim], [s.n], [[Decimal(x) for x in s.sums]], [s.origin], [s.mean], [s.products.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["dim", "n", "sums", "origin", "mean", "products"])
 
 
-def _from_row(dim: int, n: int, sums, mean, products) -> State:
-    return State(dim, n, [int(x) for x in sums], np.array(mean, dtype=float), np.array(products, dtype=float).reshape(dim, dim))
+def _from_row(dim: int, n: int, sums, origin, mean, products) -> State:
+    return State(dim, n, [int(x) for x in sums], np.array(origin, dtype=float), np.array(mean, dtype=float), np.array(products, dtype=float).reshape(dim, dim))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     states: dict[int, State] = {}
     for batch in batches:
         for i in range(batch.num_rows):
-            row = [batch.column(c)[i].as_py() for c in range(5)]
+            row = [x[i].as_py() for x in batch.columns]
             states.setdefault(row[0], State(row[0])).merge(_from_row(*row))
     yield from _to_rows(states)
 
