@@ -56,6 +56,17 @@ def staged(df: DataFrame, label: str, files: int | None = None, by: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """staged() as a table bucketed by a column, one bucket for each shuffle partition: groups and joins on it read their rows where they lie."""
+    spark = df.sparkSession
+    name, path = f"sievewright_{uuid.uuid4().hex}", f"{shared_dir(spark)}/sievewright/{label}-{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    for held in _scratch:
+        held.append(path)
+    _forget_at_exit(spark, path)
+    return spark.table(name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,14 +1,19 @@
-"""Byte pair encoding and decoding through a table of distinct words.
+"""Byte pair encoding and decoding through tables of distinct words.
 
 A tokenizer that drops white space encodes the words of a text one by one. So texts are split into words, and each
-distinct word is encoded once, wherever and however often it stands. Documents are taken in chunks of about CHUNK bytes:
-a chunk has its own list of distinct words, and for each document the positions of its words in that list. The lists
-are joined with the table of encoded words, and a second join, on the chunk, puts the ids back at their positions. What moves
-is a row for each chunk and distinct word, and small whole numbers for the rest; a word that every document holds has a row
-for each chunk, in a join that adaptive execution can split.
+distinct word is encoded once, wherever and however often it stands. Words come in two tables:
 
-Decoding joins ids with the table of pieces, at most a vocabulary's size and therefore broadcast, and puts the pieces
-together in order. Tokenizers meant here have no decoder, for which the library joins pieces with one space.
+* Common words, at most MOST of them and each at most LONG bytes: those that stand LOCAL times or more in some chunk of
+  about CHUNK bytes of text, from the smallest power of two of occurrences that leaves no more than MOST. Their
+  bound is proven, so they are encoded and broadcast, and texts are coded by their numbers.
+* All other words: a row for each chunk and word. The rows are dealt and sorted by word, each word is encoded as the rows
+  stream by, and a join on the chunk puts the ids back at the word's positions.
+
+Coded documents are a table bucketed by chunk, so that they stay where they are written while ids of the other words
+come to them. A word that every document holds is a common one, or has one row for each chunk.
+
+Decoding takes each id's piece from the tokenizer's table of pieces, at most a vocabulary's size and therefore
+broadcast, and joins them in order. Tokenizers meant here have no decoder, for which the library puts one space between pieces.
 
 Defined cases: null text counts as empty, which has no ids; a text of any length is one row of one chunk; repeated rows
 give a row each; special tokens' strings inside texts become the special ids, as the library has it; other columns are
@@ -29,12 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, staged
+from .common import bucketed, chunks, ship, staged
 
 #: Bytes of text in a chunk, at least one text.
 CHUNK = 4 << 20
-WORDS, DOCUMENTS = 0, 1
-_SPLIT = "kind int, chunk string, doc_id long, at array<int>, n int, word string"
+#: Common words: how many at most, how many bytes each, and how often in a chunk.
+MOST, LONG, LOCAL = 1 << 20, 32, 3
+_SPLIT = "chunk long, doc_id long, at array<int>, n int, word string"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -42,17 +48,13 @@ def splits_words(tokenizer: str) -> bool:
     """Whether the tokenizer's ids of a text are those of its words, one after the other: it splits at white space and drops it, adds nothing before or after, and has no decoder, truncation or padding."""
     from tokenizers import Tokenizer
 
-    made, parts = json.loads(tokenizer), ["a", "B.", "don't", "x9y", "é", "é", "--", "<|", "́a", "日本", "a b", "..."]
+    made, parts = json.loads(tokenizer), ["a", "B.", "don't", "x9y", "é", "e\u0301", "--", "<|", "\u0301a", "日本", "a\u00a0b", "..."]
     t = Tokenizer.from_str(tokenizer)
     ids = lambda x: t.encode(x, add_special_tokens=False).ids
     pairs = all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a in parts for b in parts for gap in (" ", "\n\t ", "\r\x0b\x0c"))
     return pairs and made.get("decoder") is None and made.get("truncation") is None and made.get("padding") is None
 
 
-def _words(texts: pa.Array) -> pa.ListArray:
-    return pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-
-
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of (id, text) with about CHUNK bytes."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64)
@@ -63,133 +65,195 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Chunks, out of slices of one or more batches."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids and words of a chunk's documents."""
     held, size = [], 0
+
+    def made() -> tuple[pa.Array, pa.ListArray]:
+        table = pa.Table.from_batches(held)
+        return table.column(0).combine_chunks(), pc.ascii_split_whitespace(pc.fill_null(table.column(1).combine_chunks(), ""))
+
     for batch in batches:
         for part in _parts(batch):
             n = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
             if held and size + n > CHUNK:
-                yield pa.Table.from_batches(held)
+                yield made()
                 held, size = [], 0
             held.append(part)
             size += n
     if held:
-        yield pa.Table.from_batches(held)
+        yield made()
 
 
-def split(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of two kinds: (chunk, n, word), the n-th distinct word of a chunk, and (chunk, doc_id, at), the numbers of a document's words."""
-    ship(df.sparkSession)
+def _encoded(words: list[str], tokenizer) -> pa.ListArray:
+    return pa.array([x.ids for x in tokenizer.encode_batch(words, add_special_tokens=False)], pa.list_(pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches):
-            chunk = uuid.uuid4().hex
-            lists = _words(table.column(1).combine_chunks())
-            coded = lists.flatten().dictionary_encode()
-            found, n = coded.dictionary, len(coded.dictionary)
-            none = lambda size, kind: pa.nulls(size, kind)
-            cols = [pa.array([WORDS] * n, pa.int32()), pa.array([chunk] * n), none(n, pa.int64()), none(n, pa.list_(pa.int32())), pa.array(range(n), pa.int32()), found.cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "chunk", "doc_id", "at", "n", "word"])
-            at, m = pa.ListArray.from_arrays(_rebased(lists), coded.indices), len(lists)
-            cols = [pa.array([DOCUMENTS] * m, pa.int32()), pa.array([chunk] * m), table.column(0).combine_chunks().cast(pa.int64()), at, none(m, pa.int32()), none(m, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "chunk", "doc_id", "at", "n", "word"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, _SPLIT)
+def _tokenizer(text: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_str(text)
+
 
+def common_words(texts: DataFrame, most: int = MOST) -> DataFrame:
+    """(word): at most `most` words that stand often. texts: (id, text)."""
 
-def _rebased(lists: pa.ListArray) -> pa.Array:
-    offsets = np.asarray(lists.offsets)
-    return pa.array(offsets - offsets[0], pa.int32())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lists in _grouped(batches):
+            found = pc.value_counts(lists.flatten())
+            word, n = found.field(0), found.field(1)
+            keep = pc.and_(pc.greater_equal(n, LOCAL), pc.less_equal(pc.binary_length(word), LONG))
+            yield pa.RecordBatch.from_arrays([word.filter(keep).cast(pa.string()), n.filter(keep)], ["word", "n"])
+
+    counted = staged(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-counts")
+    sizes = {r.power: r.words for r in counted.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).collect()}  # a row for each power of two
+    least, total = 64, 0
+    while least and total + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        total += sizes.get(least, 0)
+    return counted.filter(F.floor(F.log2("n")) >= least).select("word")
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
     """(word, ids) of a table of different words."""
-    spark = words.sparkSession
-    held = spark.sparkContext.broadcast(tokenizer)
+    held = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_str(held.value)
+        t = _tokenizer(held.value)
         for batch in batches:
             for part in chunks(batch.column(0).to_pylist(), 1_000):
-                made = t.encode_batch(part, add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([x.ids for x in made], pa.list_(pa.int32()))], ["word", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), _encoded(part, t)], ["word", "ids"])
 
     return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
 
-def pieces(spark, tokenizer: str) -> DataFrame:
-    """(id, piece) of a tokenizer, special tokens included."""
-    from tokenizers import Tokenizer
+def split(texts: DataFrame, known) -> DataFrame:
+    """Rows of two kinds: (chunk, doc_id, at), the numbers of a document's words, and (chunk, n, word), what a number beyond those of the common words stands for in a chunk. known: broadcast Arrow table of (word, ids)."""
 
-    t = Tokenizer.from_str(tokenizer)
-    rows = sorted((i, p) for p, i in t.get_vocab(with_added_tokens=True).items())
-    return spark.createDataFrame(rows, "id int, piece string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = known.value.column("word").combine_chunks()
+        names = ["chunk", "doc_id", "at", "n", "word"]
+        for ids, lists in _grouped(batches):
+            chunk = uuid.uuid4().int >> 65
+            coded = lists.flatten().dictionary_encode()
+            number = np.array(pc.fill_null(pc.index_in(coded.dictionary, value_set=common), -1), dtype=np.int32)  # of each distinct word
+            rare = np.flatnonzero(number < 0)
+            number[rare] = len(common) + np.arange(len(rare), dtype=np.int32)
+            offsets = np.asarray(lists.offsets)
+            at = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(number[np.asarray(coded.indices)]))
+            for a in range(0, len(ids), 256):  # long lists in small batches
+                part = at.slice(a, 256)
+                k = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), ids.slice(a, 256).cast(pa.int64()), part, pa.nulls(k, pa.int32()), pa.nulls(k, pa.string())], names)
+            k = len(rare)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array(number[rare]), coded.dictionary.take(pa.array(rare)).cast(pa.string())], names)
 
+    return texts.mapInArrow(run, _SPLIT)
 
-def decode(rows: DataFrame, tokenizer: str, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, ids, decoded): rows of one key each, with their ids' pieces joined by a space. Ids that the tokenizer doesn't have are left out, as the library does."""
-    each = rows.select(key, F.posexplode(ids_col).alias("pos", "id"))
-    found = each.join(F.broadcast(pieces(rows.sparkSession, tokenizer)), "id")
-    order = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    joined = found.groupBy(key).agg(F.array_join(F.transform(order, lambda x: x["piece"]), " ").alias("decoded"))
-    return rows.select(key, ids_col).join(joined, key, "left").select(key, ids_col, F.coalesce("decoded", F.lit("")).alias("decoded"))
 
+def other_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """(chunk, n, ids) of (chunk, n, word): rows of a word meet, and it is encoded once for each batch that it reaches into."""
+    held = rows.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _tokenizer(held.value)
+        for batch in batches:
+            coded = batch.column(2).dictionary_encode()
+            ids = _encoded(coded.dictionary.to_pylist(), t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids.take(coded.indices)], ["chunk", "n", "ids"])
+
+    return rows.select("chunk", "n", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, n int, ids array<int>")
+
+
+def piece_table(tokenizer: str) -> pa.Array:
+    """A tokenizer's pieces by id, special tokens included."""
+    found = {i: p for p, i in _tokenizer(tokenizer).get_vocab(with_added_tokens=True).items()}
+    return pa.array([found.get(i) for i in range(max(found, default=-1) + 1)], pa.string())
 
-def _joined(parts: np.ndarray, at: np.ndarray) -> str:
-    return " ".join(parts[at].tolist())
 
+def _decoded(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """Pieces of each list of ids, joined by a space; ids without a piece are left out, as by the library."""
+    flat = ids.flatten()
+    inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
+    found = pieces.take(pc.if_else(inside, flat, None))
+    offsets = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+    if found.null_count:
+        some = np.asarray(found.is_valid())
+        offsets, found = np.r_[0, np.cumsum(some)][offsets], found.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), " ")
 
-def _restored(df: DataFrame, tokenizer: str, make, schema: str, id_col: str, text_col: str) -> DataFrame:
-    """make(ids of each distinct word, decoded words, positions) for each document, in chunks."""
+
+def decode(df: DataFrame, tokenizer: str, key: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(key, decoded): the text of each list of ids, as the library's decode(ids, skip_special_tokens=False); null: empty."""
+    ship(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(piece_table(tokenizer))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = pa.array(part.column(1).to_pylist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), _decoded(ids, held.value)], [key, "decoded"])
+
+    return df.select(key, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("i")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, decoded string")
+
+
+class Ids:
+    """Ids of the common words and of a chunk's others, by their numbers."""
+
+    def __init__(self, common: pa.Table, others: pa.Table):
+        order = np.argsort(np.asarray(others.column("n").combine_chunks()), kind="stable")
+        lists = [common.column("ids").combine_chunks(), others.column("ids").combine_chunks().take(pa.array(order))]
+        sizes = np.concatenate([np.asarray(x.value_lengths(), dtype=np.int64) for x in lists])
+        self.values = np.concatenate([np.asarray(x.flatten(), dtype=np.int32) for x in lists])
+        self.first, self.sizes = np.cumsum(sizes) - sizes, sizes
+
+    def of(self, at: pa.ListArray) -> pa.ListArray:
+        """Ids of documents that are given by their words' numbers."""
+        k = np.asarray(at.flatten(), dtype=np.int64)
+        sizes = self.sizes[k]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.first[k], sizes)
+        offsets = np.r_[0, ends][np.asarray(at.offsets) - at.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.values[place]))
+
+
+def _restored(df: DataFrame, tokenizer: str, make, schema: str, id_col: str, text_col: str, most: int) -> DataFrame:
+    """make(document ids, lists of token ids) of all documents."""
     if not splits_words(tokenizer):
         raise ValueError("the tokenizer doesn't encode words one by one")
-    cut = staged(split(df, id_col, text_col), "bpe-split", by="kind")
-    listed = cut.filter(F.col("kind") == WORDS).select("chunk", "n", "word")
-    encoded = staged(encode_words(listed.select("word").distinct(), tokenizer), "bpe-ids")
-    table = staged(decode(encoded, tokenizer, "word"), "bpe-words")
-    words = listed.join(table, "word").select("chunk", "n", "ids", "decoded")
-    docs = cut.filter(F.col("kind") == DOCUMENTS).select(F.col("chunk").alias("chunk"), "doc_id", "at")
-    return words.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(make, schema)
+    spark = df.sparkSession
+    ship(spark)
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    known = spark.sparkContext.broadcast(encode_words(common_words(texts, most), tokenizer).toArrow())
+    cut = bucketed(split(texts, known), "chunk", "bpe-split")
+    others = other_ids(cut.filter(F.col("word").isNotNull()), tokenizer)
+    docs = cut.filter(F.col("word").isNull()).select(F.col("chunk").alias("chunk"), "doc_id", "at")
+    kinds = {"n": pa.int32(), "ids": pa.list_(pa.int32())}
 
+    def run(words: pa.Table, rows: pa.Table) -> pa.Table:
+        words = words.select(["n", "ids"]) if words.num_columns else pa.table({c: pa.array([], k) for c, k in kinds.items()})
+        ids = Ids(known.value, words)
+        return pa.concat_tables(make(part.column(part.schema.get_field_index("doc_id")), ids.of(part.column(part.schema.get_field_index("at")))) for part in rows.to_batches())
 
-def _filled(words: pa.Table) -> tuple[list, np.ndarray]:
-    """Ids and decoded text of a chunk's words, by their numbers."""
-    order = np.argsort(np.asarray(words.column("n").combine_chunks()), kind="stable")
-    sorted_ = words.take(pa.array(order))
-    return sorted_.column("ids").combine_chunks(), np.array(sorted_.column("decoded").to_pylist(), dtype=object)
+    return others.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """(doc_id, ids): the ids of every whole text."""
+    return _restored(df, tokenizer, lambda docs, ids: pa.table({"doc_id": docs, "ids": ids}), "doc_id long, ids array<int>", id_col, text_col, most)
 
-    def make(words: pa.Table, docs: pa.Table) -> pa.Table:
-        ids, _ = _filled(words)
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array([np.concatenate([np.empty(0, dtype=np.int32), *(np.asarray(x) for x in ids.take(at.values).to_numpy(zero_copy_only=False))]) for at in docs.column("at")], pa.list_(pa.int32()))})
 
-    return _restored(df, tokenizer, make, "doc_id long, ids array<int>", id_col, text_col)
+def check_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: digests of its ids, joined by a space, and of what they decode to."""
+    held = df.sparkSession.sparkContext.broadcast(piece_table(tokenizer))
 
+    def digests(x: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(b).hexdigest() for b in x.cast(pa.binary()).to_pylist()], pa.string())
 
-def check_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: digests of its ids, joined by a space, and of what they decode to."""
+    def make(docs: pa.Array, ids: pa.ListArray) -> pa.Table:
+        listed = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+        return pa.table({"doc_id": docs, "n_tokens": ids.value_lengths().cast(pa.int64()), "ids_sha256": digests(listed), "decoded_sha256": digests(_decoded(ids, held.value))})
 
-    def make(words: pa.Table, docs: pa.Table) -> pa.Table:
-        ids, decoded = _filled(words)
-        number = np.asarray(pc.list_value_length(ids), dtype=np.int64)
-        # words without ids, as those of control characters alone, take no part in joining
-        listed = np.array([" ".join(map(str, x)) for x in ids.to_pylist()], dtype=object)
-        some = number > 0
-        offsets = docs.column("at").combine_chunks()
-        counts, first, second = [], [], []
-        for at in offsets:
-            k = np.asarray(at.values, dtype=np.int64)
-            k = k[some[k]]
-            counts.append(int(number[k].sum()))
-            first.append(hashlib.sha256(_joined(listed, k).encode()).hexdigest())
-            second.append(hashlib.sha256(_joined(decoded, k).encode()).hexdigest())
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
-
-    return _restored(df, tokenizer, make, RESULT, id_col, text_col)
+    return _restored(df, tokenizer, make, RESULT, id_col, text_col, most)
