@@ -3,11 +3,11 @@
 A tokenizer that drops white space encodes the words of a text one by one. So texts are split into words, and each
 distinct word is encoded once, wherever and however often it stands. Words come in two tables:
 
-* Common words, at most MOST of them and each at most LONG bytes: those that stand LOCAL times or more in some chunk of
-  about CHUNK bytes of text, from the smallest power of two of occurrences that leaves no more than MOST. Their
-  bound is proven, so they are encoded and broadcast, and texts are coded by their numbers.
-* All other words: a row for each chunk and word. The rows are dealt and sorted by word, each word is encoded as the rows
-  stream by, and a join on the chunk puts the ids back at the word's positions.
+* Common words, at most MOST of them and each at most LONG bytes: those that stand LOCAL times or more in some task's
+  texts, from the smallest power of two of occurrences that leaves no more than MOST. Their bound is proven, so they are
+  encoded and broadcast, and texts are coded by their numbers, small ones for the commonest.
+* All other words: a row for each word and chunk, about CHUNK bytes of text. The rows are dealt and sorted by word, each
+  word is encoded as the rows stream by, and a join on the chunk puts the ids back at the word's positions.
 
 Coded documents are a table bucketed by chunk, so that they stay where they are written while ids of the other words
 come to them. A word that every document holds is a common one, or has one row for each chunk.
@@ -34,13 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, ship, staged
+from .common import bucketed, ship, staged
 
 #: Bytes of text in a chunk, at least one text.
 CHUNK = 4 << 20
-#: Common words: how many at most, how many bytes each, and how often in a chunk.
-MOST, LONG, LOCAL = 1 << 20, 32, 3
-_SPLIT = "chunk long, doc_id long, at array<int>, n int, word string"
+#: Common words: how many at most, how many bytes each, and how often in COUNTED bytes of a task's texts.
+MOST, LONG, LOCAL, COUNTED = 1 << 20, 32, 3, 64 << 20
+#: Other words whose ids are put together to one row for each chunk.
+HELD = 200_000
+_SPLIT = "chunk long, doc_id long, at binary, n int, word string"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -97,14 +99,25 @@ def _tokenizer(text: str):
 
 
 def common_words(texts: DataFrame, most: int = MOST) -> DataFrame:
-    """(word): at most `most` words that stand often. texts: (id, text)."""
+    """(word, n): at most `most` words that stand often. texts: (id, text)."""
+
+    def often(held: list[pa.Table]) -> pa.RecordBatch:
+        n = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        return n.filter(pc.greater_equal(n.column("n_sum"), LOCAL)).rename_columns(["word", "n"]).select(["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, lists in _grouped(batches):
             found = pc.value_counts(lists.flatten())
-            word, n = found.field(0), found.field(1)
-            keep = pc.and_(pc.greater_equal(n, LOCAL), pc.less_equal(pc.binary_length(word), LONG))
-            yield pa.RecordBatch.from_arrays([word.filter(keep).cast(pa.string()), n.filter(keep)], ["word", "n"])
+            word = found.field(0)
+            short = pc.less_equal(pc.binary_length(word), LONG)
+            held.append(pa.table({"word": word.filter(short).cast(pa.string()), "n": found.field(1).filter(short)}))
+            size += CHUNK
+            if size >= COUNTED:
+                yield from often(held).to_batches()
+                held, size = [], 0
+        if held:
+            yield from often(held).to_batches()
 
     counted = staged(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-counts")
     sizes = {r.power: r.words for r in counted.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).collect()}  # a row for each power of two
@@ -112,20 +125,28 @@ def common_words(texts: DataFrame, most: int = MOST) -> DataFrame:
     while least and total + sizes.get(least - 1, 0) <= most:
         least -= 1
         total += sizes.get(least, 0)
-    return counted.filter(F.floor(F.log2("n")) >= least).select("word")
+    return counted.filter(F.floor(F.log2("n")) >= least)
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids) of a table of different words."""
+    """(word, n, ids) of a table (word, n) of different words."""
     held = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(held.value)
         for batch in batches:
-            for part in chunks(batch.column(0).to_pylist(), 1_000):
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), _encoded(part, t)], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _encoded(batch.column(0).to_pylist(), t)], ["word", "n", "ids"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as all their low bytes, then all their next ones and so on, which compresses well where most are small."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+def _numbers(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def split(texts: DataFrame, known) -> DataFrame:
@@ -141,29 +162,46 @@ def split(texts: DataFrame, known) -> DataFrame:
             rare = np.flatnonzero(number < 0)
             number[rare] = len(common) + np.arange(len(rare), dtype=np.int32)
             offsets = np.asarray(lists.offsets)
-            at = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(number[np.asarray(coded.indices)]))
-            for a in range(0, len(ids), 256):  # long lists in small batches
-                part = at.slice(a, 256)
+            at, cuts = number[np.asarray(coded.indices)], (offsets - offsets[0]).tolist()
+            for a in range(0, len(ids), 256):  # long rows in small batches
+                part = pa.array([_bytes(at[x:y]) for x, y in zip(cuts[a : a + 256], cuts[a + 1 : a + 257], strict=False)], pa.binary())
                 k = len(part)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), ids.slice(a, 256).cast(pa.int64()), part, pa.nulls(k, pa.int32()), pa.nulls(k, pa.string())], names)
             k = len(rare)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array(number[rare]), coded.dictionary.take(pa.array(rare)).cast(pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(number[rare]), coded.dictionary.take(pa.array(rare)).cast(pa.string())], names)
 
     return texts.mapInArrow(run, _SPLIT)
 
 
 def other_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(chunk, n, ids) of (chunk, n, word): rows of a word meet, and it is encoded once for each batch that it reaches into."""
+    """(chunk, n, sizes, ids) of (chunk, n, word): rows of a word meet, it is encoded once for each batch that it reaches into, and words of a chunk share a row."""
     held = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
+    def by_chunk(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        chunk, n, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        lists = pa.concat_arrays([p[3] for p in parts])
+        order = np.argsort(chunk, kind="stable")
+        chunk, n, sizes, ids = chunk[order], n[order], sizes[order], lists.take(pa.array(order)).flatten()
+        first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        rows = pa.array(np.r_[first, len(chunk)], pa.int32())
+        tokens = pa.array(np.r_[0, np.cumsum(sizes)][np.r_[first, len(chunk)]], pa.int32())
+        each = [pa.ListArray.from_arrays(rows, pa.array(x, pa.int32())) for x in (n, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), *each, pa.ListArray.from_arrays(tokens, ids)], ["chunk", "n", "sizes", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(held.value)
+        t, parts, size = _tokenizer(held.value), [], 0
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
-            ids = _encoded(coded.dictionary.to_pylist(), t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids.take(coded.indices)], ["chunk", "n", "ids"])
+            ids = _encoded(coded.dictionary.to_pylist(), t).take(coded.indices)
+            parts.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(ids.value_lengths()), ids))
+            size += batch.num_rows
+            if size >= HELD:
+                yield from by_chunk(parts)
+                parts, size = [], 0
+        if size:
+            yield from by_chunk(parts)
 
-    return rows.select("chunk", "n", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, n int, ids array<int>")
+    return rows.select("chunk", "n", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, n array<int>, sizes array<int>, ids array<int>")
 
 
 def piece_table(tokenizer: str) -> pa.Array:
@@ -202,20 +240,24 @@ def decode(df: DataFrame, tokenizer: str, key: str = "doc_id", ids_col: str = "i
 class Ids:
     """Ids of the common words and of a chunk's others, by their numbers."""
 
-    def __init__(self, common: pa.Table, others: pa.Table):
-        order = np.argsort(np.asarray(others.column("n").combine_chunks()), kind="stable")
-        lists = [common.column("ids").combine_chunks(), others.column("ids").combine_chunks().take(pa.array(order))]
-        sizes = np.concatenate([np.asarray(x.value_lengths(), dtype=np.int64) for x in lists])
-        self.values = np.concatenate([np.asarray(x.flatten(), dtype=np.int32) for x in lists])
-        self.first, self.sizes = np.cumsum(sizes) - sizes, sizes
-
-    def of(self, at: pa.ListArray) -> pa.ListArray:
+    def __init__(self, common: pa.Table, others: pa.Table | None):
+        ids = common.column("ids").combine_chunks()
+        self.values, self.sizes = np.asarray(ids.flatten(), dtype=np.int32), np.asarray(ids.value_lengths(), dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        if others is not None:
+            n, sizes, values = (np.asarray(others.column(c).combine_chunks().flatten(), dtype=np.int64) for c in ("n", "sizes", "ids"))
+            order = np.argsort(n, kind="stable")
+            self.first = np.r_[self.first, (np.cumsum(sizes) - sizes + len(self.values))[order]]
+            self.sizes, self.values = np.r_[self.sizes, sizes[order]], np.r_[self.values, values.astype(np.int32)]
+
+    def of(self, at: pa.Array) -> pa.ListArray:
         """Ids of documents that are given by their words' numbers."""
-        k = np.asarray(at.flatten(), dtype=np.int64)
+        each = [_numbers(x) for x in at.to_pylist()]
+        k = np.concatenate(each)
         sizes = self.sizes[k]
         ends = np.cumsum(sizes)
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.first[k], sizes)
-        offsets = np.r_[0, ends][np.asarray(at.offsets) - at.offsets[0].as_py()]
+        offsets = np.r_[0, ends][np.cumsum([0, *map(len, each)])]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.values[place]))
 
 
@@ -226,16 +268,15 @@ def _restored(df: DataFrame, tokenizer: str, make, schema: str, id_col: str, tex
     spark = df.sparkSession
     ship(spark)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    known = spark.sparkContext.broadcast(encode_words(common_words(texts, most), tokenizer).toArrow())
+    listed = encode_words(common_words(texts, most), tokenizer).toArrow()  # at most `most` words of LONG bytes
+    known = spark.sparkContext.broadcast(listed.sort_by([("n", "descending")]).select(["word", "ids"]).combine_chunks())
     cut = bucketed(split(texts, known), "chunk", "bpe-split")
     others = other_ids(cut.filter(F.col("word").isNotNull()), tokenizer)
     docs = cut.filter(F.col("word").isNull()).select(F.col("chunk").alias("chunk"), "doc_id", "at")
-    kinds = {"n": pa.int32(), "ids": pa.list_(pa.int32())}
 
     def run(words: pa.Table, rows: pa.Table) -> pa.Table:
-        words = words.select(["n", "ids"]) if words.num_columns else pa.table({c: pa.array([], k) for c, k in kinds.items()})
-        ids = Ids(known.value, words)
-        return pa.concat_tables(make(part.column(part.schema.get_field_index("doc_id")), ids.of(part.column(part.schema.get_field_index("at")))) for part in rows.to_batches())
+        ids = Ids(known.value, words if words.num_rows else None)
+        return pa.concat_tables(make(*(part.column(part.schema.get_field_index(c)) if c == "doc_id" else ids.of(part.column(part.schema.get_field_index(c))) for c in ("doc_id", "at"))) for part in rows.to_batches(max_chunksize=256))
 
     return others.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(run, schema)
 
