@@ -183,10 +183,10 @@ def other_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
         order = np.argsort(chunk, kind="stable")
         chunk, n, sizes, ids = chunk[order], n[order], sizes[order], lists.take(pa.array(order)).flatten()
         first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        rows = pa.array(np.r_[first, len(chunk)], pa.int32())
-        tokens = pa.array(np.r_[0, np.cumsum(sizes)][np.r_[first, len(chunk)]], pa.int32())
-        each = [pa.ListArray.from_arrays(rows, pa.array(x, pa.int32())) for x in (n, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), *each, pa.ListArray.from_arrays(tokens, ids)], ["chunk", "n", "sizes", "ids"])
+        rows = np.r_[first, len(chunk)]
+        cuts = (rows, rows, np.r_[0, np.cumsum(sizes)][rows])
+        cols = [pa.array([_bytes(x[a:b]) for a, b in zip(c[:-1], c[1:], strict=True)], pa.binary()) for x, c in zip((n, sizes, np.asarray(ids)), cuts, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), *cols], ["chunk", "n", "sizes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, parts, size = _tokenizer(held.value), [], 0
@@ -201,7 +201,7 @@ def other_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
         if size:
             yield from by_chunk(parts)
 
-    return rows.select("chunk", "n", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, n array<int>, sizes array<int>, ids array<int>")
+    return rows.select("chunk", "n", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, n binary, sizes binary, ids binary")
 
 
 def piece_table(tokenizer: str) -> pa.Array:
@@ -245,7 +245,7 @@ class Ids:
         self.values, self.sizes = np.asarray(ids.flatten(), dtype=np.int32), np.asarray(ids.value_lengths(), dtype=np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         if others is not None:
-            n, sizes, values = (np.asarray(others.column(c).combine_chunks().flatten(), dtype=np.int64) for c in ("n", "sizes", "ids"))
+            n, sizes, values = (np.concatenate([_numbers(x) for x in others.column(c).to_pylist()]) for c in ("n", "sizes", "ids"))
             order = np.argsort(n, kind="stable")
             self.first = np.r_[self.first, (np.cumsum(sizes) - sizes + len(self.values))[order]]
             self.sizes, self.values = np.r_[self.sizes, sizes[order]], np.r_[self.values, values.astype(np.int32)]
