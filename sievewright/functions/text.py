@@ -27,6 +27,18 @@ HEADING = (
     r"(?i)^\s*(?:#{1,6}\s+|\d+(?:\.\d+)*[.)]\s+)?(abstract|introduction|background|related work|method|methods|methodology|model|architecture|approach|algorithm|"
     r"implementation|experiments?|evaluation|results?|discussion|analysis|limitations?|conclusion|references?|appendix)\b"
 )
+IDENTITY_STOPWORDS = (
+    "about", "across", "and", "are", "compare", "comparison", "different", "does", "each", "explain", "for", "from", "have", "how", "into", "its", "main", "of", "the", "their", "these", "this",
+    "to", "what", "which", "with",
+)
+FORMULA_SIGNAL = (r"(?i)\\(?:frac|sum|sqrt|top|operatorname)|\b(?:softmax|sqrt)\s*\(", r"[A-Za-z0-9_{}()\\]+\s*=\s*[^=\n]{4,}")
+API_SIGNAL = r"\b(?:torch\.|tf\.|keras\.)[A-Za-z0-9_.]+"
+NUMBERED_HEADING = r"^\d+(?:\.\d+)*[.)]\s+[A-Z][A-Za-z0-9 ,:;()/_-]{3,}$"
+#: What a query, and a hit's own text, must show for the hit's neighbours to be added.
+FORMULA_CONTEXT = (
+    r"(?i)\b(attention\s*\(|multihead|multi-head|scaled\s+dot|dot-product|softmax|sqrt|qk|k\^?t|concat|equation|formula|"
+    r"wq|wk|wv|wo|w\^q|w\^k|w\^v|w\^o)\b"
+)
 BENCHMARK_TERMS = ("benchmark", "accuracy", "bleu", "glue", "imagenet", "top-1", "f1", "auc")
 
 
@@ -126,14 +138,14 @@ def signals(c: Column) -> dict[str, Column]:
     for term in BENCHMARK_TERMS:
         bench = bench | F.contains(lower, F.lit(term))
     return {
-        "has_formula_signal": text(c).rlike(r"(?i)\\(?:frac|sum|sqrt|top|operatorname)|\b(?:softmax|sqrt)\s*\(") | text(c).rlike(r"[A-Za-z0-9_{}()\\]+\s*=\s*[^=\n]{4,}"),
-        "has_api_signal": text(c).rlike(r"\b(?:torch\.|tf\.|keras\.)[A-Za-z0-9_.]+"),
+        "has_formula_signal": text(c).rlike(FORMULA_SIGNAL[0]) | text(c).rlike(FORMULA_SIGNAL[1]),
+        "has_api_signal": text(c).rlike(API_SIGNAL),
         "has_benchmark_signal": bench,
     }
 
 
 def is_heading(c: Column) -> Column:
-    return (c != "") & (F.length(c) <= 140) & (F.startswith(c, F.lit("#")) | c.rlike(HEADING) | c.rlike(r"^\d+(?:\.\d+)*[.)]\s+[A-Z][A-Za-z0-9 ,:;()/_-]{3,}$"))
+    return (c != "") & (F.length(c) <= 140) & (F.startswith(c, F.lit("#")) | c.rlike(HEADING) | c.rlike(NUMBERED_HEADING))
 
 
 def strip_thinking(c: Column) -> Column:
@@ -169,9 +181,8 @@ def singular(t: Column) -> Column:
 
 def identity_terms(c: Column) -> Column:
     """Sorted canonical words of an objective: lower-cased, letters and digits, singular, longer than two, no stopwords."""
-    stop = ("about across and are compare comparison different does each for from have how into its main of the their these this to what which with explain").split()
     words = F.transform(F.split(F.lower(clean(c)), " "), lambda w: singular(F.regexp_replace(F.regexp_replace(w, r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")))
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop))))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*IDENTITY_STOPWORDS))))
 
 
 def objective_key(objective: Column, companies: Column | None = None) -> Column:

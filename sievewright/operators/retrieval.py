@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import lexical
+from .lexical import K1, B
 
-K1, B = 1.5, 0.75
 SEMANTIC, BM25, AUTHORITY, FEATURE = 0.55, 0.35, 0.10, 0.15
 DIGITS = 6
 
@@ -18,23 +19,10 @@ def _top(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFram
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, doc_id, rank, score). docs: (doc_id, text), queries: (query_id, text).
-
-    Terms are pruned to the queries' vocabulary before anything is counted, and term frequencies are summed before the
-    shuffle. Scores are rounded before ranking, and equal ones go to the smaller id, so that ranks don't depend on order.
-    """
-    words = docs.select(F.col(doc_id).alias("d"), T.tokens(F.col("text")).alias("w"))
-    sized = words.select("d", "w", F.size("w").alias("dl"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("q", "t").agg(F.count("*").alias("qtf"))
-    vocabulary = asked.select("t").distinct()
-    postings = sized.select("d", "dl", F.explode("w").alias("t")).join(vocabulary, "t", "left_semi").groupBy("t", "d", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("t").agg(F.count("*").alias("df"))
-    n, avgdl = (totals.first() or (0, 0.0))[:2]
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1.0))))
-    scored = postings.join(df, "t").select("t", "d", weight.alias("w")).join(asked, "t").groupBy("q", "d").agg(F.round(F.sum(F.col("w") * F.col("qtf")), DIGITS).alias("score"))
-    return _top(scored, ["q"], "score", "d", k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "rank", "score")
+    """(query_id, doc_id, rank, score). docs: (doc_id, text), queries: (query_id, text). An index of the queries' terms alone, for one search; lexical.build() makes one that is kept."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.lit("").alias("scope"), "text")
+    index = lexical.build(docs.select(F.lit("").alias("scope"), F.col(doc_id).alias("id"), "text"), lexical.vocabulary(asked))
+    return lexical.search(index, asked, k).select(F.col("query_id").alias(query_id), F.col("id").alias(doc_id), "rank", "score")
 
 
 def cosine(a: Column, b: Column) -> Column:
