@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import lexical
-from .lexical import K1, B
 
 SEMANTIC, BM25, AUTHORITY, FEATURE = 0.55, 0.35, 0.10, 0.15
 DIGITS = 6
@@ -31,61 +30,77 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, id, rank, score) by cosine. vectors: (id, v); queries: (query_id, v), of any number: slabs of at most about QUERIES travel to the vectors, which stay where they are and are read once for each slab. Matrix products over Arrow batches; what moves is k rows for each query and partition. Vectors of another length than the query's, null or with null components take no part."""
-    wanted = queries.select("query_id", "v").filter("v IS NOT NULL AND size(v) > 0")
+    """(query_id[, scope], id, rank, score) by cosine. vectors: (id, v), queries: (query_id, v), either both with a scope or neither; a query sees its scope's vectors alone.
+
+    Queries may be any number: slabs of at most about QUERIES travel to the vectors, which stay where they are and are read once for each slab. Matrix products over Arrow batches; what moves is k rows for each query and batch. Vectors of another length than the query's, null or with null or non-finite components, and null ids take no part.
+    """
+    scoped = "scope" in queries.columns
+    if not scoped:
+        vectors, queries = vectors.withColumn("scope", F.lit("")), queries.withColumn("scope", F.lit(""))
+    wanted = queries.select("query_id", "scope", "v").filter("v IS NOT NULL AND size(v) > 0")
     slabs = max(1, -(-wanted.count() // QUERIES))
     out = None
     for slab in range(slabs):
-        rows = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(slabs)) == slab).collect()  # about QUERIES rows
+        rows = wanted.filter(F.pmod(F.xxhash64("query_id", "scope"), F.lit(slabs)) == slab).collect()  # about QUERIES rows
         part = _nearest(vectors, rows, queries.schema["query_id"].dataType, k)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if scoped else out.drop("scope")
 
 
-QUERIES = 1_000
+QUERIES = 4_000
 
 
 def _nearest(vectors: DataFrame, rows: list, kind, k: int) -> DataFrame:
     import numpy as np
     from pyspark.sql import types as S
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    own = vectors.schema["id"].dataType
-    by_size: dict[int, list] = {}
+    groups: dict[tuple[str, int], list] = {}
     for r in rows:
-        by_size.setdefault(len(r.v), []).append(r)
+        groups.setdefault((r.scope, len(r.v)), []).append(r)
     asked = {}
-    for n, held in by_size.items():
+    for key, held in groups.items():
         m = np.array([[np.nan if x is None else x for x in r.v] for r in held], dtype=float)
-        asked[n] = ([r.query_id for r in held], m / np.sqrt((m * m).sum(axis=1, keepdims=True)))
+        asked[key] = ([r.query_id for r in held], m / np.sqrt((m * m).sum(axis=1, keepdims=True)))
+    told = vectors.sparkSession.sparkContext.broadcast(asked)
+    asked_kind = to_arrow_type(kind)
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            frames = []
-            sizes = pdf["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-            for n, (ids, q) in asked.items():
-                at = np.flatnonzero(sizes == n)
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(2).cast(pa.list_(pa.float64()))
+            sizes, flat = np.asarray(lists.value_lengths().fill_null(0)), np.asarray(lists.flatten().fill_null(float("nan")))
+            ends, scopes, frames = np.cumsum(sizes), np.array(batch.column(1).to_pylist(), dtype=object), []
+            ids = batch.column(0)
+            place = np.empty(len(ids), dtype=np.int64)  # of ids in their order, for ties
+            place[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(len(ids))
+            for (scope, n), (names, q) in told.value.items():
+                at = np.flatnonzero((sizes == n) & (scopes == scope))
                 if not len(at):
                     continue
-                m = np.array([[np.nan if x is None else x for x in v] for v in pdf["v"].iloc[at]], dtype=float)
+                m = flat[(ends[at] - n)[:, None] + np.arange(n)]
                 scores = np.round(q @ (m / np.sqrt((m * m).sum(axis=1, keepdims=True))).T, DIGITS)
-                mine = pdf["id"].iloc[at].to_numpy()
-                order = np.argsort(mine, kind="stable")
-                for i, query in enumerate(ids):
-                    best = order[np.argsort(-np.nan_to_num(scores[i][order], nan=-9.0), kind="stable")[:k]]
-                    best = best[~np.isnan(scores[i][best])]
-                    frames.append(pd.DataFrame({"query_id": [query] * len(best), "id": mine[best], "score": scores[i][best]}))
-            yield pd.concat(frames) if frames else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    schema = S.StructType([S.StructField("query_id", kind), S.StructField("id", own), S.StructField("score", S.DoubleType())])
-    found = vectors.select("id", "v").filter("id IS NOT NULL").mapInPandas(run, schema)
-    return _top(found, ["query_id"], "score", "id", k).select("query_id", "id", "rank", "score")
-
-
-def minmax(df: DataFrame, by: str, score: str, out: str) -> DataFrame:
+                scores = np.where(np.isfinite(scores), scores, -9.0)
+                low = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(names), -8.0)
+                i, j = np.nonzero((scores >= low[:, None]) & (scores > -8.0))
+                order = np.lexsort((place[at[j]], -scores[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i)
+                best = np.arange(len(i)) - first < k
+                frames.append(pa.table({"query_id": pa.array([names[x] for x in i[best]], asked_kind), "scope": pa.array([scope] * int(best.sum()), pa.string()), "id": ids.take(pa.array(at[j[best]])), "score": pa.array(scores[i[best], j[best]])}))
+            for f in frames:
+                yield from f.to_batches()
+
+    schema = S.StructType([S.StructField("query_id", kind), S.StructField("scope", S.StringType()), S.StructField("id", vectors.schema["id"].dataType), S.StructField("score", S.DoubleType())])
+    found = vectors.select("id", "scope", "v").filter("id IS NOT NULL").mapInArrow(run, schema)
+    return _top(found, ["query_id", "scope"], "score", "id", k).select("query_id", "scope", "id", "rank", "score")
+
+
+def minmax(df: DataFrame, by: str | list[str], score: str, out: str) -> DataFrame:
     """Scores scaled to 0..1 within a group; a group without a positive score is 0, one whose scores are equal is 1."""
-    w = Window.partitionBy(by)
+    w = Window.partitionBy(by) if isinstance(by, str) else Window.partitionBy(*by)
     high, low = F.max(score).over(w), F.min(score).over(w)
     scaled = F.when(high <= 0, 0.0).when(high == low, F.when(F.col(score) > 0, 1.0).otherwise(0.0)).otherwise((F.col(score) - low) / (high - low))
     return df.withColumn(out, scaled)
@@ -167,23 +182,6 @@ def diversify(hits: DataFrame, k: int, by: str = "query_id", url: str = "url") -
     return hits.withColumn("again", again).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("again", "rank"))).filter(F.col("place") <= k)
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, keys: list[str], window: int = 1, also: list[str] | None = None) -> DataFrame:
-    """Chunks next to hits, a little below their hit's score. The band is made of equalities: every hit names its neighbours' numbers. also: columns of a hit within which its neighbours are its own, such as its query."""
-    by = [*keys, *(also or [])]
-    near = hits.withColumn("__n", F.explode(F.sequence(F.greatest(F.col("chunk_index") - window, F.lit(0)), F.col("chunk_index") + window))).filter("__n <> chunk_index")
-    found = near.select(*by, F.col("__n").cast(chunks.schema["chunk_index"].dataType).alias("chunk_index"), F.round(F.greatest(F.col("score") * 0.98, F.lit(0.0)), DIGITS).alias("score")).groupBy(*by, "chunk_index").agg(F.max("score").alias("score"))
-    return found.join(chunks, [*keys, "chunk_index"])
-
-
-def rerank(hits: DataFrame, scores: DataFrame, k: int = 20, weight: float = 0.7) -> DataFrame:
-    """Blend the first k hits of each query with a scorer's order (query_id, id, place from 0), as scores from 1 to 0; the rest keep theirs."""
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    told = scores.withColumn("rerank_score", F.when(n <= 1, 1.0).otherwise(1.0 - F.col("place") / (n - 1)))
-    both = hits.join(told.select("query_id", "id", "rerank_score"), ["query_id", "id"], "left")
-    used = F.col("rerank_score").isNotNull() & (F.col("rank") <= k)
-    return both.withColumn("score", F.when(used, weight * F.col("rerank_score") + (1 - weight) * F.col("score")).otherwise(F.col("score")))
-
-
 def metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """(query_id, k, retrieved, relevant, relevant_retrieved, recall_at_k, precision_at_k, mrr). Queries without relevant ids get zeros."""
     total = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("relevant"))
@@ -216,59 +214,3 @@ def evaluate(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3,
         "query_id", "k", "retrieved", "relevant", "relevant_retrieved", F.when(F.col("relevant") > 0, F.round(F.col("good") / F.col("relevant"), DIGITS)).otherwise(0.0).alias("recall_at_k"),
         F.when(F.col("relevant") > 0, F.round(F.col("good") / F.col("n"), DIGITS)).otherwise(0.0).alias("precision_at_k"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), DIGITS).alias("mrr"),
     )
-
-
-def url_coverage(targets: DataFrame, chunks: DataFrame, k: int = 1) -> DataFrame:
-    """(run, url, place, id, score): for each planned address (run, url, query) the chunks (id, url, chunk_index, document) stored under it that suit the query. BM25 over the address's own chunks gives the first k, which are put in order of their features and a little of their place; those that share too few terms with the query go. Without a query text chunks go by their number. Addresses meet by equality, and all counts are within one address."""
-    rows = targets.filter("url <> ''").distinct().join(chunks.filter("url <> ''"), "url").select("run", "url", "query", "id", "chunk_index", "document")
-    group = ["run", "url"]
-    w = Window.partitionBy(*group)
-    sized = rows.select(*group, "query", "id", T.tokens(F.col("document")).alias("w")).withColumn("dl", F.size("w")).withColumn("n", F.count("*").over(w)).withColumn("avgdl", F.avg("dl").over(w))
-    asked = targets.filter("url <> ''").distinct().select(*group, F.explode(T.tokens(F.col("query"))).alias("t")).groupBy(*group, "t").agg(F.count("*").alias("qtf"))
-    tf = sized.select(*group, "id", "dl", "n", "avgdl", F.explode("w").alias("t")).join(asked, [*group, "t"]).groupBy(*group, "id", "t", "dl", "n", "avgdl", "qtf").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy(*group, "t")))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = tf.groupBy(*group, "id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
-    scored = rows.join(scores, [*group, "id"], "left").fillna(0.0, ["score"])
-    blank = T.clean(F.col("query")) == ""
-    number = F.when(blank, F.col("chunk_index")).otherwise(0)
-    ranked = scored.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), number, "id"))).filter(F.col("r") <= max(1, k))
-    order = F.round(feature_score(F.col("query"), F.col("document")) + 0.05 / F.col("r"), DIGITS)
-    enough = blank | (F.size(T.relevance_terms(F.col("query"))) == 0) | (term_overlap(F.col("query"), F.col("document")) >= MIN_OVERLAP)
-    kept = ranked.withColumn("o", F.when(blank, -F.col("r")).otherwise(order)).filter(enough)
-    return kept.withColumn("place", F.row_number().over(w.orderBy(F.desc("o"), "r"))).select(*group, "place", "id", "score")
-
-
-MIN_OVERLAP = 0.08
-
-
-def lexical_scorer(hits: DataFrame) -> DataFrame:
-    """(query_id, id, place from 0): the offline scorer of rerank(), by the features of the query in the document."""
-    score = F.round(feature_score(F.col("query"), F.col("document")), DIGITS)
-    rows = hits.select("query_id", "id", score.alias("s"), "rank")
-    return rows.select("query_id", "id", (F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "rank")) - 1).alias("place"))
-
-
-def hybrid(ranked: DataFrame, about: DataFrame, chunks: DataFrame, parents: DataFrame, k: int = 5, rerank_k: int = 20, weight: float = 0.7) -> DataFrame:
-    """(query_id, place, id, url, score, expanded, document): the whole retrieval after fusion.
-
-    ranked: rank_fused()'s rows; about: (query_id, id, query, document, url, doc, chunk_index); chunks: (id, doc, chunk_index,
-    document, url, parent_id); parents: (parent_id, content). The best rerank_k are blended with the scorer's order, queries that ask for
-    formulas get their hits' neighbours, every hit gets its parent's text where that has more tokens, and each address
-    comes once before any comes again.
-    """
-    told = ranked.join(about, ["query_id", "id"])
-    told = told.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    first = told.filter(F.col("rank") <= rerank_k)
-    blended = rerank(told, lexical_scorer(first), rerank_k, weight).withColumn("score", F.round("score", DIGITS))
-    base = blended.select("query_id", "id", "query", "document", "url", "doc", "chunk_index", "score").join(chunks.select("id", "parent_id"), "id")
-    wants = F.lower(T.clean(F.col("query"))).rlike(r"\b(equation|formula|math|mathematical|derive|softmax|sqrt|sum|matrix)\b")
-    near = neighbours(base.filter(wants).select("query_id", "query", "doc", "chunk_index", "score"), chunks, ["doc"], also=["query_id", "query"])
-    near = near.join(base.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    rows = base.unionByName(near.select(*base.columns))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    from .upkeep import expand_parents
-
-    whole = expand_parents(rows, parents)
-    return diversify(whole, k).select("query_id", "place", "id", "url", "score", "expanded", "document")

@@ -64,13 +64,13 @@ def similar_scopes(asked: DataFrame, scopes: DataFrame, least: float = SIMILAR)
     return c.select("id", "other", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
 
 
-def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
-    """Hits (query_id, id, rank, document, parent_id) with the parent's text where it has more tokens, one hit for each parent, the best. parents: (parent_id, content)."""
+def expand_parents(hits: DataFrame, parents: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Hits (by, id, rank, document, parent_id) with the parent's text where it has more tokens, one hit for each parent, the best. parents: (parent_id, content)."""
     both = hits.join(parents.select("parent_id", "content"), "parent_id", "left")
     n = lambda c: F.size(T.tokens(F.col(c)))
     both = both.withColumn("expanded", F.coalesce(n("content") > n("document"), F.lit(False)))
     context = F.when(F.col("expanded"), F.concat(F.lit("p"), F.col("parent_id").cast("string"))).otherwise(F.concat(F.lit("c"), F.col("id").cast("string")))
-    first = F.row_number().over(Window.partitionBy("query_id", context).orderBy("rank"))
+    first = F.row_number().over(Window.partitionBy(*by, context).orderBy("rank"))
     text = F.when(F.col("expanded"), F.col("content")).otherwise(F.col("document"))
     return both.withColumn("__r", first).filter("__r = 1").withColumn("document", text).select(*hits.columns, "expanded")
 

@@ -249,55 +249,6 @@ def multi_query_merge(spark, sf_dir):
     return retrieval.merge_queries(_ranked(spark, sf_dir)[0], 50)
 
 
-def _stored(spark, sf_dir):
-    """Chunks as an index holds them, with their parents' texts: a document is a source, its page's address is its own."""
-    held = chunking.assign_parents(_chunks(spark, sf_dir), chunking.windows(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP), ["doc_id"])
-    address = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), "url")
-    chunks = held.select(F.concat_ws("-", "doc_id", "chunk_index").alias("id"), F.col("doc_id").alias("doc"), "chunk_index", F.col("chunk").alias("document"), F.concat_ws("-", "doc_id", "parent_index").alias("parent_id"), "parent")
-    chunks = chunks.join(address, "doc", "left").fillna("", ["url"])
-    return chunks.drop("parent"), chunks.groupBy("parent_id").agg(F.min("parent").alias("content"))
-
-
-@query()
-def hybrid_whole(spark, sf_dir):
-    """Every step after fusion, over chunks: a document's first chunk stands for it in the fused lists."""
-    ranked, about = _ranked(spark, sf_dir)
-    chunks, parents = _stored(spark, sf_dir)
-    first = lambda c: F.concat_ws("-", c, F.lit(0)).alias("id")
-    ranked = ranked.select("query_id", first("id"), "semantic_score", "bm25_score", "score")
-    told = about.select("query_id", "query", first("id")).join(chunks, "id").select("query_id", "id", "query", "document", "url", "doc", "chunk_index")
-    made = retrieval.hybrid(ranked, told, chunks, parents)
-    return made.select("query_id", "place", "id", "url", "score", "expanded", F.sha2("document", 256).alias("text_hash"))
-
-
-_COVER = rf"""
-u AS (SELECT page_id, {"CASE WHEN regexp_matches(url, '(?i)^https?://[^/?#]+') THEN url ELSE '' END"} AS url FROM pages),
-np AS (SELECT count(*) AS np FROM pages),
-tg AS (SELECT DISTINCT item_id AS run, u.url, text AS query FROM benchmark, np, u WHERE u.page_id IN (item_id % 40, (item_id + 7) % 40) AND u.url <> ''),
-ch AS (SELECT doc_id AS id, u.url, coalesce(text, '') AS document FROM documents JOIN u ON u.page_id = doc_id % 40 WHERE u.url <> ''),
-rw AS (SELECT run, tg.url, query, id, document, {_tokens('document')} AS w FROM tg JOIN ch ON ch.url = tg.url),
-sz AS (SELECT run, url, id, w, len(w) AS dl, count(*) OVER (PARTITION BY run, url) AS n, avg(len(w)) OVER (PARTITION BY run, url) AS avgdl FROM rw),
-aq AS (SELECT run, url, t, count(*) AS qtf FROM (SELECT run, url, unnest({_tokens('query')}) AS t FROM tg) GROUP BY ALL),
-tf AS (SELECT sz.run, sz.url, id, sz.t, dl, n, avgdl, qtf, count(*) AS tf FROM (SELECT run, url, id, dl, n, avgdl, unnest(w) AS t FROM sz) sz JOIN aq ON aq.run = sz.run AND aq.url = sz.url AND aq.t = sz.t GROUP BY ALL),
-dd AS (SELECT *, count(*) OVER (PARTITION BY run, url, t) AS df FROM tf),
-sc AS (SELECT run, url, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM dd GROUP BY ALL),
-rk AS (SELECT rw.run, rw.url, query, rw.id, document, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY rw.run, rw.url ORDER BY coalesce(score, 0.0) DESC, rw.id) AS r FROM rw LEFT JOIN sc ON sc.run = rw.run AND sc.url = rw.url AND sc.id = rw.id QUALIFY r <= 3),
-ft AS (SELECT *, {_terms('query')} AS qt, {_terms('document')} AS dt, list_filter({_tokens('query')}, lambda t: t NOT IN ({_in(T.RETRIEVAL_STOPWORDS)})) AS w, lower({_clean('document')}) AS dl FROM rk),
-fp AS (SELECT *, list_filter(list_concat(list_concat({_phrases('w', 2)}, {_phrases('w', 3)}), {_phrases('w', 4)}), lambda p: length(p) > 5) AS ph, CASE WHEN len(qt) = 0 OR len(dt) = 0 THEN 0.0 ELSE len(list_intersect(qt, dt)) / least(len(qt), len(dt)) END AS ov FROM ft),
-fo AS (SELECT *, round(CASE WHEN len(qt) = 0 OR len(dt) = 0 THEN 0.0 ELSE least(1.0, 0.75 * ov + CASE WHEN len(ph) = 0 THEN 0.0 ELSE 0.25 * len(list_filter(ph, lambda p: contains(dl, p))) / len(ph) END) END + 0.05 / r, 6) AS o FROM fp WHERE len(qt) = 0 OR ov >= 0.08)"""
-
-
-@query(f"WITH {_COVER} SELECT run, url, id, score, CAST(row_number() OVER (PARTITION BY run, url ORDER BY o DESC, r) AS INTEGER) AS place FROM fo")
-def url_coverage(spark, sf_dir):
-    """Documents as chunks of forty planned addresses."""
-    told = _t(spark, sf_dir, "pages").select("page_id", F.when(U.is_http(F.col("url")), F.col("url")).otherwise("").alias("url"))
-    items = _t(spark, sf_dir, "benchmark")
-    asked = items.select(F.col("item_id").alias("run"), F.col("text").alias("query"), F.explode(F.array(F.col("item_id") % 40, (F.col("item_id") + 7) % 40)).alias("page_id"))
-    targets = asked.join(told, "page_id").select("run", "url", "query")
-    chunks = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("document"), (F.col("doc_id") % 40).alias("page_id"), F.lit(0).alias("chunk_index")).join(told, "page_id")
-    return retrieval.url_coverage(targets, chunks.select("id", "url", "chunk_index", "document"), 3).select("run", "url", "id", "score", "place")
-
-
 def _relevant(spark, sf_dir):
     """(query_id, id): documents that hold a passage word for word. A window of words inside the passage, where words are whole in any text that holds it, finds the texts by its hash; only these are searched. Passages too short for a window are looked for in each text."""
     n = 5
