@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as W
@@ -136,6 +136,22 @@ def signal_snippets(content: Column, most: int = SNIPPETS) -> Column:
     return F.transform(F.slice(once, 1, most), lambda x: F.struct((-x["minus"]).alias("score"), x["at"].alias("at"), x["s"].alias("snippet")))
 
 
+def signal_results(sources: DataFrame, by: list[str], most_sources: int = 6) -> DataFrame:
+    """(by, place, url, id, title, snippet, score) of sources (by, position, url, title, content): the snippets of each run's first `most_sources` sources that have any, two a source, a snippet once for each address.
+
+    Three levels of limits, and none needs a group of all snippets: candidates and snippets are cut within a row, sources by a limit that Spark applies before it moves rows.
+    """
+    rows = sources.filter((F.col("url") != "") & (T.clean(F.col("content")) != "")).withColumn("s", signal_snippets(F.col("content"))).filter(F.size("s") > 0)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("position"))
+    first = rows.select(*by, "position", "url", F.coalesce(F.nullif(T.clean(F.col("title")), F.lit("")), F.col("url")).alias("title"), "s").withColumn("nth", nth).filter(F.col("nth") <= most_sources)
+    each = first.select(*by, "nth", "url", "title", F.posexplode("s").alias("n", "x"))
+    key = F.substring(F.lower("x.snippet"), 1, 240)
+    once = each.withColumn("r", F.row_number().over(Window.partitionBy(*by, "url", key).orderBy("nth", "n"))).filter("r = 1")
+    digest = F.substring(F.sha2(F.concat_ws(":", "url", F.col("n").cast("string"), "x.snippet"), 256), 1, 24)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("nth", "n"))
+    return once.select(*by, place.alias("place"), "url", F.concat(F.lit("browser-signal-"), digest).alias("id"), "title", F.col("x.snippet").alias("snippet"), F.col("x.score").alias("score"))
+
+
 def no_task() -> dict[str, Column]:
     """A task that asks for nothing: rules about a task let every source pass."""
     blank = {x: F.lit("") for x in ("url", "source_type", "query_context", "extraction_goal", "target_name")}

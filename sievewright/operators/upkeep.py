@@ -11,7 +11,6 @@ from ..functions import text as T
 from .reports import replace_each
 
 STRONG, PARTIAL = 0.75, 0.4
-SIMILAR = 0.40
 LOOKED_AT = 3_000
 
 
@@ -51,19 +50,6 @@ def valid_query(c: Column) -> Column:
     return (F.size(F.filter(F.split(text, " "), lambda w: w != "")) >= 3) & ~placeholder
 
 
-def scope_tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(T.tokens(c), T.singular), lambda t: F.length(t) >= 3))
-
-
-def similar_scopes(asked: DataFrame, scopes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(id, other, score) of the objectives (id, text) in scopes that are like those asked: the larger of Jaccard's and the overlap coefficient of their tokens. Only texts that share a token meet, by that token."""
-    a = asked.select("id", scope_tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("na"), F.explode("t").alias("t"))
-    b = scopes.select(F.col("id").alias("other"), scope_tokens(F.col("text")).alias("t")).select("other", F.size("t").alias("nb"), F.explode("t").alias("t"))
-    c = a.join(b, "t").filter("id <> other").groupBy("id", "other", "na", "nb").agg(F.count("*").alias("c"))
-    score = F.greatest(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), F.col("c") / F.least("na", "nb"))
-    return c.select("id", "other", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
-
-
 def expand_parents(hits: DataFrame, parents: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Hits (by, id, rank, document, parent_id) with the parent's text where it has more tokens, one hit for each parent, the best. parents: (parent_id, content)."""
     both = hits.join(parents.select("parent_id", "content"), "parent_id", "left")

@@ -357,13 +357,6 @@ def valid_queries(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", upkeep.valid_query(F.col("text")).alias("valid"))
 
 
-@query()
-def similar_scopes(spark, sf_dir):
-    """A search: the items whose id is divisible by 20 against all."""
-    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return upkeep.similar_scopes(items.filter("id % 20 = 0"), items)
-
-
 @query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '\[1\]', '[7]', 'g'), '\[2\]', '[1]', 'g') || ' [7][1] [5]' AS text FROM conversations""")
 def citation_remap(spark, sf_dir):
     marked = F.concat(F.coalesce("text", F.lit("")), F.lit(" [1][2] [5]"))

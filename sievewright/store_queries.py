@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import chunking, hybrid, lexical, retrieval
+from .operators import chunking, hybrid, indexing, lexical, pages, retrieval, scopes
 from .operators.upkeep import expand_parents
-from .registry import _CANON, _CHUNKS, _TITLE, _clean, _scaled, _t, _terms, _tokens, _words, query
-from .research_queries import _any, _in, _phrases
+from .registry import _CANON, _CHUNKS, _RUNS, _TITLE, _clean, _runs, _scaled, _t, _terms, _tokens, _words, query
+from .research_queries import _any, _good, _in, _phrases
 from .sources.tables import stored
 
 # -- retrieval over scopes ----------------------------------------------------------------------------------------------
@@ -247,3 +247,119 @@ def bm25_reading(spark, sf_dir):
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("").alias("scope"), "text")
     index = lexical.build(_t(spark, sf_dir, "documents").select(F.lit("").alias("scope"), F.col("doc_id").alias("id"), "text"), lexical.vocabulary(asked))
     return lexical.reading(index, asked, 20)
+
+
+# -- scopes of objectives ---------------------------------------------------------------------------------------------------
+
+_FORM = f"""CASE WHEN t = 'indian' THEN 'india' WHEN t IN ('cultures', 'cultural') THEN 'culture' WHEN t = 'transformers' THEN 'transformer'
+  WHEN ends_with(t, 'ies') AND length(t) > 4 THEN t[1:length(t) - 3] || 'y' WHEN ends_with(t, 's') AND length(t) > 4 THEN t[1:length(t) - 1] ELSE t END"""
+
+
+@query(f"""WITH o AS (SELECT doc_id, 'key-' || (doc_id % 700) AS history_key, array_to_string({_words('text')}[1:10], ' ') AS objective FROM documents),
+t AS (SELECT *, list_distinct(list_filter(list_transform({_tokens('objective')}, lambda t: {_FORM}), lambda t: length(t) >= 3 AND t NOT IN ({_in(scopes.STOPWORDS)}))) AS t FROM o),
+h AS (SELECT history_key, objective, any_value(t) AS t FROM t WHERE objective <> '' GROUP BY history_key, objective QUALIFY row_number() OVER (PARTITION BY history_key, lower(objective) ORDER BY objective) = 1),
+p AS (SELECT a.doc_id AS id, h.history_key, h.objective, len(list_intersect(a.t, h.t)) AS c, len(a.t) AS na, len(h.t) AS nb FROM t a JOIN h ON h.history_key <> a.history_key WHERE a.doc_id % 20 = 0 AND len(a.t) > 0 AND len(h.t) > 0),
+s AS (SELECT id, history_key, objective, greatest(c / (na + nb - c), c / least(na, nb)) AS similarity, 1 AS late FROM p WHERE greatest(c / (na + nb - c), c / least(na, nb)) >= 0.4
+  UNION ALL SELECT doc_id, history_key, objective, 1.0, 0 FROM t WHERE doc_id % 20 = 0)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY late, similarity DESC, lower(objective), history_key) AS INTEGER) AS place, history_key, objective, round(similarity, 6) AS similarity,
+  CASE WHEN late = 0 THEN 'current_objective' ELSE 'similar_previous_objective' END AS reason FROM s QUALIFY place <= 6""")
+def similar_scopes(spark, sf_dir):
+    """A search: the first words of every twentieth document, as an objective, against those of all."""
+    words = F.array_join(F.slice(chunking.word_list(F.col("text")), 1, 10), " ")
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("key-"), (F.col("doc_id") % 700).cast("string")).alias("history_key"), words.alias("objective"))
+    return scopes.history_scopes(rows.filter("id % 20 = 0"), rows).withColumn("similarity", F.round("similarity", 6))
+
+
+# -- index runs ---------------------------------------------------------------------------------------------------------------
+# Two runs over the two states of all documents: the first into empty tables, of which a part is then said to be of an older schema.
+
+
+def _windows_sql(source: str, content: str) -> str:
+    """Tables `{source}_c` (url, chunk_index, n_chunks, document) and `{source}_p` (url, chunk_index, parent_index, parent) of a table of contents."""
+    cut = lambda name, size, step: f"{name} AS (SELECT url, w, i AS part, array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') AS x, m FROM (SELECT url, w, m, unnest(range(m)) AS i FROM (SELECT url, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= {size} THEN 1 ELSE 1 + CAST(ceil((len(w) - {size}) / {step}.0) AS INTEGER) END AS m FROM (SELECT url, {_words(content)} AS w FROM {source}))))"
+    return f"""{cut(source + '_k', 1200, 1020)}, {cut(source + '_w', 3000, 2760)},
+{source}_o AS (SELECT k.url, k.part AS chunk_index, k.m AS n_chunks, k.x AS document, w.part AS parent_index, w.x AS parent, len(list_intersect(list_distinct({_tokens('k.x')}), list_distinct({_tokens('w.x')}))) AS o FROM {source}_k k JOIN {source}_w w ON w.url = k.url),
+{source}_c AS (SELECT url, chunk_index, n_chunks, document, parent_index, parent FROM {source}_o QUALIFY row_number() OVER (PARTITION BY url, chunk_index ORDER BY o DESC, parent_index) = 1)"""
+
+
+_INDEXED = f"""{_RUNS},
+a0 AS (SELECT url, content FROM d WHERE doc_id % 11 <> 0), b0 AS (SELECT url, content FROM e),
+{_windows_sql('a0', 'content')}, {_windows_sql('b0', 'content')},
+st AS (SELECT DISTINCT url FROM a0_c),
+pl AS (SELECT b.url, CASE WHEN change IN ('added', 'changed') THEN change ELSE 'unchanged' END AS status, st.url IS NOT NULL AS known, a.previous_hash = b.new_hash AS same, st.url IS NULL OR length(b.url) % 2 = 1 AS stale
+  FROM b JOIN diff ON diff.url = b.url LEFT JOIN st ON st.url = b.url LEFT JOIN a ON a.url = b.url),
+ac AS (SELECT *, NOT ((status = 'unchanged' AND NOT stale AND NOT (known AND NOT same)) OR (known AND same AND NOT stale)) AS wanted FROM pl),
+dn AS (SELECT *, known AND (NOT same OR stale) AS replaces FROM ac WHERE wanted AND url IN (SELECT url FROM b0_c)),
+fin AS (SELECT url, chunk_index, n_chunks, document, parent_index, parent, 'indexed' AS change_status FROM a0_c WHERE url NOT IN (SELECT url FROM dn)
+  UNION ALL SELECT b0_c.url, chunk_index, n_chunks, document, parent_index, parent, status FROM b0_c JOIN dn ON dn.url = b0_c.url),
+pid AS (SELECT *, 'parent-' || substr(sha256('run:' || url || ':' || parent_index || ':' || parent), 1, 16) AS parent_id FROM fin)"""
+
+
+def _split(records):
+    keys = ["history_key", "url"]
+    chunks = chunking.windows(records, keys, F.col("content"))
+    told = chunking.assign_parents(chunks, chunking.windows(records, keys, F.col("content"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP), keys)
+    return told.select(*keys, "chunk_index", F.col("chunk").alias("document"), "parent_index", "parent")
+
+
+def _two_runs(spark, sf_dir):
+    from .operators import changes
+
+    before, now = _runs(spark, sf_dir)
+    records = lambda df: df.select(F.lit("run").alias("history_key"), "url", "content", T.content_hash(T.clean(F.col("content"))).alias("content_hash"))
+    none = spark.createDataFrame([], indexing.CHUNKS), spark.createDataFrame([], indexing.PARENTS)
+    no_change = spark.createDataFrame([], "url string, change string")
+    first = indexing.run(*none, records(before), no_change, _split, first_run=True)
+    # of addresses of odd length the tables are of an older schema
+    chunks = stored(first.chunks.withColumn("metadata_schema_version", F.when(F.length("url") % 2 == 1, indexing.VERSION - 1).otherwise(indexing.VERSION)), "chunks")
+    return indexing.run(chunks, stored(first.parents, "parents"), records(now), changes.diff_runs(before, now).select("url", "change"), _split)
+
+
+@query(f"WITH {_INDEXED} SELECT 'chunk-' || sha256('run:' || url || ':' || chunk_index) AS id, url, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(n_chunks AS INTEGER) AS chunk_count, change_status, parent_id, sha256(document) AS text_hash FROM pid")
+def index_run_chunks(spark, sf_dir):
+    return _two_runs(spark, sf_dir).chunks.select("id", "url", "chunk_index", "chunk_count", "change_status", "parent_id", F.sha2("document", 256).alias("text_hash"))
+
+
+@query(f"WITH {_INDEXED} SELECT DISTINCT parent_id, url, CAST(parent_index AS INTEGER) AS parent_index, CAST(len({_words('parent')}) AS INTEGER) AS token_count, sha256(parent) AS content_hash FROM pid")
+def index_run_parents(spark, sf_dir):
+    return _two_runs(spark, sf_dir).parents.select("parent_id", "url", "parent_index", "token_count", "content_hash")
+
+
+@query(f"""WITH {_INDEXED} SELECT 'success' AS status, (SELECT count(*) FROM dn) AS indexed_sources, (SELECT count(*) FROM b0_c JOIN dn ON dn.url = b0_c.url) AS indexed_chunks, (SELECT count(*) FROM pid) AS stored_chunks,
+  (SELECT count(DISTINCT parent_id) FROM pid WHERE url IN (SELECT url FROM dn)) AS indexed_parent_chunks, (SELECT count(*) FILTER (replaces AND NOT same) FROM dn) AS deleted_changed_sources,
+  (SELECT count(*) FROM diff WHERE change = 'removed') AS preserved_removed_sources, (SELECT count(*) FROM b) AS total_sources_seen, (SELECT count(*) FROM b) - (SELECT count(*) FROM dn) AS skipped_sources, 0 AS problems""")
+def index_run_summary(spark, sf_dir):
+    made = _two_runs(spark, sf_dir).summary
+    return made.withColumn("problems", F.size(indexing.problems(F.col("status"), F.col("indexed_chunks"), F.col("stored_chunks"))))
+
+
+# -- snippets over sources --------------------------------------------------------------------------------------------------
+
+_TOLD = r"regexp_replace({x}, 'tion\. ', 'tion. The benchmark score is 91.5 % accuracy with f(x) = y. ', 'g')"
+_SIGNAL = pages.SIGNAL.replace("(?iU)", "(?i)")
+
+
+def _hits(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+@query(rf"""WITH src AS (SELECT coalesce(source, 'none') AS run, doc_id AS position, 'http://s.example/' || (doc_id % 90) AS url, {_clean(_TOLD.format(x="coalesce(text, '')"))} AS c FROM documents),
+b AS (SELECT run, position, url, c, regexp_split_to_array(c, '{_SIGNAL}') AS parts, regexp_extract_all(c, '{_SIGNAL}') AS found FROM src WHERE c <> ''),
+m AS (SELECT run, position, url, c, i, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS spot FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM b)),
+q AS (SELECT run, position, url, i, CAST(spot AS BIGINT) AS spot, length(c) AS n, {_clean('c[CAST(greatest(spot - 450, 0) + 1 AS BIGINT) : CAST(least(length(c), spot + 450) AS BIGINT)]')} AS s FROM m),
+r AS (SELECT *, CASE WHEN spot > 450 AND regexp_matches(s, '[.!?] [A-Z0-9`(]') THEN regexp_replace(s, '(?s)^.*?[.!?] ([A-Z0-9`(])', '\1') ELSE s END AS s1 FROM q),
+t AS (SELECT *, CASE WHEN spot + 450 < n AND regexp_matches(s1, '[.!?]( [A-Z0-9`(]|$)') THEN regexp_extract(s1, '(?s)^(.*[.!?])( [A-Z0-9`(]|$)', 1) ELSE s1 END AS s2 FROM r),
+u AS (SELECT run, position, url, spot, i, {_clean('s2[1:900]')} AS p FROM t),
+v AS (SELECT * FROM u WHERE {_good('p')} QUALIFY row_number() OVER (PARTITION BY run, position ORDER BY i) <= 40),
+w AS (SELECT *, least(5, {_hits('p', pages.FORMULA.replace("(?iU)", "(?i)"))}) * 4 + least(4, {_hits('p', pages.METRIC.replace("(?iU)", "(?i)"))}) * 3 + least(3, {_hits('p', pages.CALL.replace("(?U)", ""))}) * 2
+  + CASE WHEN regexp_matches(p, '(?i)\b(?:equation|formula|definition|defined as|theorem|algorithm)\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(p, '(?i)\b(?:benchmark|score|accuracy|latency|throughput|cost|complexity)\b') THEN 2 ELSE 0 END AS score FROM v),
+x AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY run, position, p ORDER BY score DESC, spot) = 1),
+y AS (SELECT *, row_number() OVER (PARTITION BY run, position ORDER BY score DESC, spot) - 1 AS k FROM x QUALIFY k <= 1),
+z AS (SELECT *, dense_rank() OVER (PARTITION BY run ORDER BY position) AS nth FROM y QUALIFY nth <= 6),
+z1 AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY run, url, lower(p)[1:240] ORDER BY nth, k) = 1)
+SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY nth, k) AS INTEGER) AS place, url, 'browser-signal-' || substr(sha256(url || ':' || k || ':' || p), 1, 24) AS id, score FROM z1""")
+def signal_results(spark, sf_dir):
+    """The documents of a source as the pages of a run, with figures put into some of their sentences."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"tion\. ", "tion. The benchmark score is 91.5 % accuracy with f(x) = y. ")
+    rows = _t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("run"), F.col("doc_id").alias("position"), F.concat(F.lit("http://s.example/"), (F.col("doc_id") % 90).cast("string")).alias("url"), F.lit("").alias("title"), text.alias("content"))
+    return pages.signal_results(rows, ["run"]).select("run", "place", "url", "id", "score")

@@ -29,17 +29,51 @@ def test_valid_query(spark):
 
 
 def test_scopes_against_all_pairs(spark):
-    texts = {1: "pricing of cloud models", 2: "cloud model price history", 3: "ancient pottery", 4: "", 5: "model of cloud pricing"}
-    df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    sets = {r.id: set(r.t) for r in df.select("id", upkeep.scope_tokens(F.col("text")).alias("t")).collect()}
-    want = []
+    import random
+
+    from sievewright.operators import scopes
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(25)] + ["Cultures", "cultural", "Indian", "policies", "the", "of", "is"]
+    texts = {i: " ".join(rng.choice(words[: rng.choice([5, 32])]) for _ in range(rng.randint(0, 12))) for i in range(80)} | {80: None, 81: "", 82: "of the"}
+    df = spark.createDataFrame([(i, f"k{i % 60}", t) for i, t in texts.items()], "id int, history_key string, objective string")
+    sets = {r.id: set(r.t) for r in df.select("id", scopes.objective_tokens(F.col("objective")).alias("t")).collect()}
+    assert not sets[82] and not sets[80] and {"culture", "india", "policy"} >= {x for s in sets.values() for x in s if not x.startswith("word")}
+    want = set()
     for a in sets:
+        mine = []
         for b in sets:
-            if a != b and (c := len(sets[a] & sets[b])):
-                score = max(c / len(sets[a] | sets[b]), c / min(len(sets[a]), len(sets[b])))
-                if score >= 0.4:
-                    want.append((a, b, round(score, 6)))
-    assert rows(upkeep.similar_scopes(df, df)) == sorted(want) and want
+            c = len(sets[a] & sets[b])
+            if a % 60 != b % 60 and c and (score := max(c / len(sets[a] | sets[b]), c / min(len(sets[a]), len(sets[b])))) >= 0.4:
+                mine.append((-score, (texts[b] or "").lower(), f"k{b % 60}"))
+        mine = sorted(set(mine))
+        want |= {(a, 1, f"k{a % 60}", 1.0)} | {(a, n + 2, k, round(-s, 9)) for n, (s, _, k) in enumerate(mine[:5])}
+    got = {(r.id, r.place, r.history_key, round(r.similarity, 9)) for r in scopes.history_scopes(df, df).collect()}
+    assert got == want and len(want) > 200
+    assert scopes.history_scopes(df.limit(0), df).count() == 0 and scopes.history_scopes(df, df.limit(0)).count() == 83
+
+
+def test_index_runs(spark, tmp_path):
+    """A run writes its own version, running it again changes nothing, a later run skips what is fresh and keeps what it doesn't see."""
+    from sievewright.operators import indexing
+    from sievewright.store_queries import _split
+
+    path = f"file://{tmp_path}/index"
+    none = spark.createDataFrame([], "url string, change string")
+    records = lambda rows: spark.createDataFrame([("k", u, c, str(hash(c))) for u, c in rows], "history_key string, url string, content string, content_hash string")
+    one = indexing.write(path, 1, records([("a", "x y z"), ("b", "w " * 1300), ("c", "")]), none, _split, first_run=True).first()
+    assert (one.indexed_sources, one.indexed_chunks, one.stored_chunks, one.skipped_sources, one.total_sources_seen) == (2, 3, 3, 1, 3)
+    again = indexing.write(path, 1, records([("a", "x y z"), ("b", "w " * 1300), ("c", "")]), none, _split, first_run=True).first()
+    assert again == one and indexing.versions(spark, path) == [1]
+    change = spark.createDataFrame([("b", "changed"), ("z", "removed"), (None, None)], "url string, change string")
+    two = indexing.write(path, 2, records([("b", "new text"), ("d", "more")]), change, _split).first()
+    assert (two.indexed_sources, two.stored_chunks, two.deleted_changed_sources, two.preserved_removed_sources, two.skipped_sources) == (2, 3, 1, 1, 0)
+    chunks, parents = indexing.read(spark, path)
+    assert sorted((r.url, r.document, r.change_status) for r in chunks.collect()) == [("a", "x y z", "indexed"), ("b", "new text", "changed"), ("d", "more", "unchanged")]
+    assert sorted(r.url for r in parents.collect()) == ["a", "b", "d"] and chunks.join(parents, "parent_id").count() == 3
+    assert indexing.write(path, 3, records([("b", "new text")]), none, _split).first().skipped_sources == 1
+    told = spark.createDataFrame([("success", 0, 12), ("success", 0, 0), (None, 1, 1), ("failed", 1, 1)], "s string, i int, c int")
+    assert [r.p for r in told.select(indexing.problems(F.col("s"), F.col("i"), F.col("c")).alias("p")).collect()] == [[], ["rag_index indexed zero chunks"], ["rag_index status is missing"], ["rag_index status is failed"]]
 
 
 def test_parents(spark):
