@@ -65,12 +65,47 @@ def distinct_ignoring_case(c: Column) -> Column:
     return bind(F.transform(c, F.lower), lambda seen: F.filter(c, lambda x, i: F.array_position(seen, F.lower(x)) == i + 1))
 
 
+#: A character reference as browsers read it: numbers in either base, or a name, with or without its semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_LOST = "\ufffd"
+
+
+def _code(m: Column) -> Column:
+    """The number of a numeric reference; one beyond eight digits is as good as any beyond Unicode."""
+    digits = lambda c, pattern: F.regexp_replace(F.regexp_extract(c, pattern, 1), "^0+(?=.)", "")
+    hexed, plain = digits(m, "^&#[xX]([0-9a-fA-F]+)"), digits(m, "^&#([0-9]+)")
+    return F.when(hexed != "", F.when(F.length(hexed) > 8, 0x110000).otherwise(F.conv(hexed, 16, 10).try_cast("long"))).otherwise(F.when(F.length(plain) > 8, 0x110000).otherwise(plain.try_cast("long")))
+
+
+def _character(n: Column) -> Column:
+    """The character of a number: what can't be one is lost, control characters mean those of Windows-1252 or nothing."""
+    windows = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)]
+    nothing = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), _LOST).when(n.between(0x80, 0x9F), F.get(F.lit(windows), (n - 0x80).cast("int"))).when(nothing, "").otherwise(plain)
+
+
+def _named(m: Column) -> Column:
+    """What a named reference stands for: its own name, else the longest name that it begins with, else itself. The names are those of HTML 5, from Python's library."""
+    from html.entities import html5
+
+    table = lambda names: F.map_from_arrays(F.lit(names), F.lit([html5[x] for x in names]))
+    bare = sorted((x for x in html5 if not x.endswith(";")), key=lambda x: (-len(x), x))
+    name = F.substring(m, 2, 40)
+    starts = F.filter(F.lit(bare), lambda b: F.startswith(name, b))
+    begun = bind(F.get(starts, F.lit(0)), lambda b: F.when(b.isNotNull(), F.concat(F.element_at(table(bare), b), F.substr(name, F.length(b) + 1))).otherwise(m))
+    return F.coalesce(F.try_element_at(table(sorted(html5)), name), begun)
+
+
 def unescape(c: Column) -> Column:
-    """The entities of common pages; & last, so that nothing is unescaped twice."""
-    pairs = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
-    for a, b in pairs:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """Every character reference, named or numbered, in one pass: a text is cut at its references, and each is put as what it stands for."""
+
+    def of(x: Column) -> Column:
+        between, found = F.split(x, REFERENCE, -1), F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0))
+        put = F.transform(found, lambda m: F.when(F.startswith(m, F.lit("&#")), _character(_code(m))).otherwise(_named(m)))
+        return F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.when(F.contains(c, F.lit("&")), bind(c, of)).otherwise(c)
 
 
 def html_text(c: Column) -> Column:

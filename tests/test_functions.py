@@ -124,3 +124,16 @@ def test_ranked_score(spark):
     plain = {(r.query_id, r.id): r.score for r in registry._fused(spark, "/root/testdata/sf0.001").collect()}
     whole = {(r.query_id, r.id): r.score for r in research_queries.flagship(spark, "/root/testdata/sf0.001").collect()}
     assert plain.keys() == whole.keys() and all(whole[k] >= plain[k] - 1e-6 for k in plain) and any(whole[k] > plain[k] + 0.01 for k in plain)
+
+
+def test_unescape(spark):
+    import html
+    import random
+
+    rng = random.Random(2)
+    names = sorted(html.entities.html5)
+    parts = ["&", ";", " ", "x", "#", "é", "&#0;", "&#x80;", "&#129", "&#xD800;", "&#1114112;", "&#99999999999999;", "&#xFFFFFFFFFF;", "&#65534;", "&#1;", "&#13;", "&#xfdd1;", "&#128512;", "&notit;", "&notin;", "&amp;lt;", "&ampx", "&AMP", "&nosuchname;", "&#;", "&#x;", "a=1&copy=2"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.5 else "&" + rng.choice(names) for _ in range(rng.randint(0, 8))) for _ in range(400)] + [f"&{n}" for n in names] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    assert all(got[i] == (None if t is None else html.unescape(t)) for i, t in enumerate(texts)), [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if t is not None and got[i] != html.unescape(t)][:5]
