@@ -343,6 +343,16 @@ def session_counts(spark, sf_dir):
     return feeds.sessions(feeds.events(_t(spark, sf_dir, "events")))
 
 
+@query("""
+WITH r AS (SELECT DISTINCT user_id, event_id, epoch_us(ts) AS t, event_type FROM events WHERE event_type IN ('click', 'purchase')),
+o AS (SELECT *, max(CASE WHEN event_type = 'click' THEN t END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM r)
+SELECT user_id, event_id, event_type AS outcome, round((t - s) / 1e6, 3) AS elapsed FROM o WHERE event_type = 'purchase' AND t - s <= 7200000000
+UNION ALL SELECT user_id, event_id, 'timed_out', 7200.0 FROM o WHERE event_type = 'click' AND (n IS NULL OR n - t > 7200000000)""")
+def agent_outcomes(spark, sf_dir):
+    """Clicks as starts, purchases as ends, two hours' time."""
+    return feeds.timed(feeds.events(_t(spark, sf_dir, "events")), 7200.0, "click", ("purchase",))
+
+
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events QUALIFY place <= 10")
 def event_last_n(spark, sf_dir):
     return feeds.last_n(feeds.events(_t(spark, sf_dir, "events"))).select("user_id", "event_id", "place")

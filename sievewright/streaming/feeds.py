@@ -41,6 +41,28 @@ def timings(df: DataFrame, started: str = "agent_started", ended: tuple[str, ...
     return done.select("user_id", "event_id", "event_type", F.round(F.col("ts").cast("double") - F.col("__s").cast("double"), 3).alias("elapsed"))
 
 
+def timed(df: DataFrame, timeout: float = 600.0, started: str = "agent_started", ended: tuple[str, ...] = ("agent_completed", "agent_failed")) -> DataFrame:
+    """(user_id, event_id, outcome, elapsed): for each end of an agent whose last start is no more than `timeout` seconds before it the seconds between, under the end's type and id; for each start that is followed by no other start or end within the timeout the timeout, as 'timed_out' under the start's id. A repeated event counts once. For batches; timed_stream() gives the same rows."""
+    rows = df.filter(F.col("event_type").isin(started, *ended)).dropDuplicates(["user_id", "event_id"]).withColumn("__t", F.unix_micros("ts"))
+    w = Window.partitionBy("user_id").orderBy("__t", "event_id")
+    begun = F.last(F.when(F.col("event_type") == started, F.col("__t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__s", begun).withColumn("__n", F.lead("__t").over(w))
+    limit = int(timeout * 1_000_000)
+    done = rows.filter(F.col("event_type").isin(*ended) & (F.col("__t") - F.col("__s") <= limit)).select("user_id", "event_id", F.col("event_type").alias("outcome"), F.round((F.col("__t") - F.col("__s")) / 1e6, 3).alias("elapsed"))
+    lost = rows.filter((F.col("event_type") == started) & (F.col("__n").isNull() | (F.col("__n") - F.col("__t") > limit)))
+    return done.unionByName(lost.select("user_id", "event_id", F.lit("timed_out").alias("outcome"), F.lit(float(timeout)).alias("elapsed")))
+
+
+def timed_stream(df: DataFrame, timeout: float = 600.0, started: str = "agent_started", ended: tuple[str, ...] = ("agent_completed", "agent_failed")) -> DataFrame:
+    """The streaming form of timed(), of events with a watermark. An event waits in state until the watermark has passed it, so that stragglers within the watermark's delay take their place and repeats fall together;
+    a timer for each wakes it then, and another one each start when its time is over. State holds an agent's waiting events and its last start. Needs the RocksDB state store."""
+    from .processors import AgentTimes
+
+    rows = df.filter(F.col("event_type").isin(started, *ended)).select("user_id", "ts", "event_id", "event_type")
+    made = AgentTimes(int(timeout * 1_000_000), started)
+    return rows.groupBy("user_id").transformWithStateInPandas(made, "user_id long, event_id long, outcome string, elapsed double", "append", "eventTime")
+
+
 def last_n_stream(df: DataFrame, n: int = 12) -> DataFrame:
     """The streaming form of last_n(): (user_id, place, event_id) whenever a user's last n events change, from state that holds n (ts, event_id) for each user."""
 
@@ -67,8 +89,14 @@ def read(spark: SparkSession, path: str, schema, late: str = "10 minutes") -> Da
     return events(spark.readStream.schema(schema).parquet(path), late)
 
 
-def upsert(path: str, key: str, order: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the newest row of each key in a Parquet table of buckets by the key's hash. A batch rewrites only the buckets that it touches, as new versions; batch b reads a bucket's newest version before b, so that a batch that runs again does no harm, and the versions before that one are deleted."""
+def newest(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of each key's rows the one with the highest `order`."""
+    columns = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*columns), F.col(order)).alias("__r")).select(*by, "__r.*")
+
+
+def upsert(path: str, key: str, order: str, buckets: int = 16, combine: Callable[[DataFrame, list[str], str], DataFrame] = newest) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps one row for each key in a Parquet table of buckets by the key's hash, the newest, or what combine(rows, by, order) makes of a key's rows. A batch rewrites only the buckets that it touches, as new versions; batch b reads a bucket's newest version before b, so that a batch that runs again does no harm, and the versions before that one are deleted."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -82,14 +110,27 @@ def upsert(path: str, key: str, order: str, buckets: int = 16) -> Callable[[Data
             old += [f"{path}/b={b}/v={v}" for v in before[:-1]]
             if before:
                 rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/b={b}/v={before[-1]}").withColumn("__b", F.lit(b)))
-        newest = rows.groupBy(key, "__b").agg(F.max_by(F.struct(*(F.col(c) for c in batch.columns)), F.col(order)).alias("r")).select("r.*", F.col("__b").alias("b"), F.lit(number).alias("v"))
-        newest.repartition("b").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "v").parquet(path)
+        made = combine(rows, [key, "__b"], order).select(*batch.columns, F.col("__b").alias("b"), F.lit(number).alias("v"))
+        made.repartition("b").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "v").parquet(path)
         for x in old:
             system.delete(spark._jvm.org.apache.hadoop.fs.Path(x), True)
 
     return write
 
 
+def history_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The state of history rows (key, content_hash, active, at): the newest says whether a source is active, a removed one keeps the last hash that it had, and one that returns is active again. Of equal times a row that is active counts."""
+    last = F.struct(F.col(order), F.col("active").cast("int"))
+    known = F.when(F.col("content_hash").isNotNull(), last)
+    return rows.groupBy(*by).agg(F.max_by("content_hash", known).alias("content_hash"), F.max_by("active", last).alias("active"), F.max(order).alias(order))
+
+
+def history_changes(diff: DataFrame, key: str = "url", at: str = "at") -> DataFrame:
+    """History rows of a stream of changes (key, change, content_hash, at); sources that didn't change give none."""
+    rows = diff.filter(F.col("change").isin("added", "changed", "removed"))
+    return rows.select(key, F.when(F.col("change") != "removed", F.col("content_hash")).alias("content_hash"), (F.col("change") != "removed").alias("active"), at)
+
+
 def versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
     """The versions of each bucket of an upsert() table."""
     hadoop = spark._jvm.org.apache.hadoop.fs

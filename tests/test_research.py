@@ -207,3 +207,53 @@ def test_connectors(spark, tmp_path):
             return str(len(m[0]["content"]))
 
     assert int(connectors.complete_with_retries(Busy(), messages)) < 400 and len(messages[0]["content"]) == 400
+
+
+def test_timed_stream_equals_batch(spark, tmp_path):
+    """Late and repeated events, superseded starts, starts that time out: the stream's rows are the batch's."""
+    import datetime as dt
+    import random
+
+    from sievewright.streaming import feeds
+
+    rng = random.Random(8)
+    zero = dt.datetime(2024, 1, 1)
+    rows = [(i, zero + dt.timedelta(microseconds=rng.randrange(0, 4 * 3600 * 10**6)), rng.randrange(4), rng.choice(["agent_started", "agent_completed", "agent_failed", "other"])) for i in range(150)]
+    rows.sort(key=lambda r: r[1])
+    end = [(10_000 + u, zero + dt.timedelta(hours=9), u, "agent_started") for u in range(4)] + [(20_000 + u, zero + dt.timedelta(hours=20), u, "agent_completed") for u in range(4)]  # moves the watermark on
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    fed = []
+    for n in range(0, 150, 30):
+        part = rows[n : n + 30] + rng.sample(rows[max(0, n - 8) : n + 30], 4)  # stragglers' places and repeats
+        rng.shuffle(part)
+        fed.append(part)
+    for n in range(len(fed) - 1):  # each file lends its last rows to the next one, within the watermark's delay
+        fed[n], fed[n + 1] = fed[n][:-3], fed[n + 1] + fed[n][-3:]
+    for n, part in enumerate([*fed, end[:4], end[4:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        kept = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        stream = feeds.timed_stream(feeds.events(kept, "3 hours"), 300.0)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    want = sorted(map(tuple, feeds.timed(spark.createDataFrame(rows + end, schema), 300.0).collect()))
+    assert got == want, (sorted(set(got) - set(want)), sorted(set(want) - set(got)))
+    assert {r[2] for r in want} == {"agent_completed", "agent_failed", "timed_out"}
+
+
+def test_history_stream(spark, tmp_path):
+    """Changes over three runs: soft deletes keep their hash, sources return, a batch that runs again does no harm."""
+    from sievewright.streaming import feeds
+
+    sink = feeds.upsert(f"file://{tmp_path}/history", "url", "at", 4, feeds.history_of)
+    runs = [[("a", "added", "h1", 1), ("b", "added", "h2", 1)], [("a", "removed", None, 2), ("b", "changed", "h3", 2), ("c", "unchanged", "x", 2)], [("a", "added", "h4", 3), ("b", "removed", None, 3)]]
+    for n, rows in enumerate(runs):
+        batch = feeds.history_changes(spark.createDataFrame(rows, "url string, change string, content_hash string, at int"))
+        sink(batch, n)
+        sink(batch, n)
+    held = feeds.current(spark, f"file://{tmp_path}/history", batch.schema)
+    assert sorted(map(tuple, held.collect())) == [("a", "h4", True, 3), ("b", "h3", False, 3)]
