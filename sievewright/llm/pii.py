@@ -244,15 +244,18 @@ def _score(x: Column, w: list[float]) -> Column:
 
 
 def chosen(c: Column, w: list[float]) -> Column:
-    """Base spans and added ones, as (kind, start, end, base), by kind and start. Of added spans that overlap, the first stays."""
+    """Base spans and added ones, as (kind, start, end, base), by kind and start. Added spans are taken by start, then kind; one that overlaps the last one taken goes."""
     least = math.log(SURE / (1 - SURE))
 
     def of(all_: Column) -> Column:
         base = F.filter(all_, lambda x: x["base"])
         free = F.filter(all_, lambda x: ~x["base"] & (_score(x, w) >= least) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        first = F.filter(free, lambda x: ~F.exists(free, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(y["start"], y["kind"]) < F.struct(x["start"], x["kind"]))))
         slim = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
-        return F.sort_array(F.concat(slim(base), slim(first)))
+        ordered = F.sort_array(F.transform(slim(free), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x.alias("x"))))
+        none = F.slice(slim(all_), 1, 0)
+        # where two or more are free a fold compares each with the last one taken
+        taken = F.aggregate(ordered, none, lambda got, y: F.when((F.size(got) > 0) & (F.element_at(got, -1)["end"] > y["start"]), got).otherwise(F.concat(got, F.array(y["x"]))))
+        return F.sort_array(F.concat(slim(base), F.when(F.size(free) > 1, taken).otherwise(slim(free))))
 
     return let(c, of)
 

@@ -2,8 +2,8 @@
 
 The best segmentation maximises the sum of piece scores, read as log probabilities; an unknown character costs the least
 score less 10 and becomes its bytes. Of equal sums the one found first wins, that is the one whose last piece starts
-earliest. Only the last `longest` positions can still be extended, so that window is all that is held: when the
-backpointer paths of all its positions lead through one boundary, the ids up to there are final and are committed.
+earliest. Only the last `longest` positions can still be extended: when the backpointer paths of all of them lead through
+one boundary, the ids up to there are final and are committed, and what lies before is no longer held.
 
 The start of a run of spaces is always such a boundary, as no piece spans it; stretches between these are encoded once
 and kept in a bounded cache, and long texts are never held as lattices.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,131 +30,118 @@ from .common import WordCache, ship
 from .pieces import LONG, MARK, Pieces, marked, stretches
 
 UNKNOWN_PENALTY = 10.0
+#: How many longest pieces are held before the paths' meeting point is looked for.
+WINDOWS = 2
 
 
 class StreamingViterbi:
-    """Feed characters with push(), end with finish(); both give the ids that have become final."""
+    """Feed characters with push(), end with finish(); both give the ids that have become final.
+
+    Starts are taken from left to right, each as far as some piece goes on, once the characters of the longest piece from there are at hand. What is held are the
+    characters, scores and backpointers from the last committed boundary to the furthest end of a piece. The boundary moves on to a start that no piece goes beyond, as all
+    paths lead through it, and, when WINDOWS times the longest piece is held, to where the backpointers of all ends that can still go on meet.
+    """
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.unknown = min(pieces.score.values()) - UNKNOWN_PENALTY
+        #: Scores of pieces, and False for what only starts one.
+        self.table: dict = {x[:n]: False for x in pieces.score for n in range(1, len(x))} | pieces.score
         self.reset()
 
     def reset(self) -> None:
-        self.tail = ""  # the characters of the window
-        self.done = 0  # committed boundary, as a position
-        self.at = 0
-        self.best = {0: 0.0}
-        self.back: dict[int, int] = {0: 0}
-
-    def push(self, char: str) -> list[int]:
-        p, longest = self.p, self.p.longest
-        self.at += 1
-        self.tail = (self.tail + char)[-(self.at - self.done) :]
-        end, first = self.at, max(self.done, self.at - longest)
-        offset = self.at - len(self.tail)
-        found, start = None, -1
-        for s in range(first, end):
-            before = self.best.get(s)
-            if before is None:
-                continue
-            score = p.score.get(self.tail[s - offset : end - offset])
-            if score is None:
-                if s < end - 1:
-                    continue
-                score = self.unknown
-            if found is None or before + score > found:
-                found, start = before + score, s
-        self.best[end], self.back[end] = found, start
-        return self._commit()
-
-    def _commit(self) -> list[int]:
-        """The boundary that the paths of all positions of the window share."""
-        low = max(self.done, self.at - self.p.longest + 1)
-        meet = {s for s in range(low, self.at + 1) if s in self.best}
-        while len(meet) > 1:
-            top = max(meet)
-            meet.discard(top)
-            meet.add(self.back[top] if top > self.done else self.done)
-        (boundary,) = meet
-        return self._emit(boundary) if boundary > self.done else []
-
-    def _emit(self, boundary: int) -> list[int]:
-        offset = self.at - len(self.tail)
-        cuts = [boundary]
-        while cuts[-1] > self.done:
-            cuts.append(self.back[cuts[-1]])
-        ids: list[int] = []
-        for b, a in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
-            piece = self.tail[a - offset : b - offset]
-            known = self.p.id.get(piece)
-            ids.extend([known] if known is not None else [self.p.byte_id[x] for x in piece.encode()])
-        base = self.best[boundary]
-        self.tail = self.tail[boundary - offset :]
-        self.best = {s: v - base for s, v in self.best.items() if s >= boundary}
-        self.back = {s: b for s, b in self.back.items() if s >= boundary}
-        self.back[boundary] = boundary
-        self.done = boundary
-        return ids
+        self.held, self.at = "", 0  # characters since the boundary, and the next start among them
+        self.best: list = [0.0]
+        self.back = [0]
+        self.widest = 0  # the most characters that were held
+
+    def push(self, chars: str) -> list[int]:
+        self.held += chars
+        return self._advance(len(self.held) - self.p.longest + 1)
 
     def finish(self) -> list[int]:
-        ids = self._emit(self.at) if self.at > self.done else []
+        ids = self._advance(len(self.held))
+        widest = self.widest
         self.reset()
+        self.widest = widest
         return ids
 
-    def encode(self, chars: Iterable[str]) -> list[int]:
-        ids: list[int] = []
-        for c in chars:
-            ids += self.push(c)
-        return ids + self.finish()
-
-
-class Codec:
-    """Encodes texts stretch by stretch, and decodes ids."""
-
-    def __init__(self, model: bytes):
-        self.pieces = Pieces(model)
-        self.search = StreamingViterbi(self.pieces)
-        self.cache = WordCache(self._encode, 600_000)
-        #: Scores of pieces, and False for what only starts one.
-        self.table: dict = {x[:n]: False for x in self.pieces.score for n in range(1, len(x))} | self.pieces.score
-        self.flat = np.frombuffer(b"".join(self.pieces.raw), dtype=np.uint8)
-        self.sizes = np.array([len(x) for x in self.pieces.raw])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def _encode(self, stretch: str) -> bytes:
-        ids = self._whole(marked(stretch))
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(self, chars: str) -> list[int]:
+        return self.push(chars) + self.finish()
 
-    def _whole(self, s: str) -> list[int]:
-        """Short stretches: one pass over all starts, each as far as some piece goes on, then the path. The window never fills, so that the stream would commit the same path."""
-        n, table, score, unknown = len(s), self.table, self.pieces.score, self.search.unknown
-        if n > self.pieces.longest:
-            return self.search.encode(s)
-        best: list = [0.0] + [None] * n
-        back = [0] * (n + 1)
-        for a in range(n):
-            before = best[a]
+    def _advance(self, stop: int) -> list[int]:
+        """Take the starts before `stop`."""
+        table, score, unknown, full = self.table, self.p.score, self.unknown, WINDOWS * self.p.longest
+        s, best, back, a = self.held, self.best, self.back, self.at
+        n, out = len(s), []
+        while a < stop:
+            before, reach = best[a], len(best) - 1
             for b in range(a + 1, n + 1):
                 v = table.get(s[a:b])
                 if v is None:  # no piece starts so
                     break
                 if v is not False:
+                    while reach < b:
+                        best.append(None)
+                        back.append(0)
+                        reach += 1
                     v += before
                     if best[b] is None or v > best[b]:
                         best[b], back[b] = v, a
             if s[a] not in score:
+                if reach == a:
+                    best.append(None)
+                    back.append(0)
                 v = before + unknown
                 if best[a + 1] is None or v > best[a + 1]:
                     best[a + 1], back[a + 1] = v, a
+            a += 1
+            if len(best) - 1 == a or a >= full:
+                cut = a if len(best) - 1 == a else self._meeting(a)
+                self.widest = max(self.widest, len(best) - 1)
+                if cut:
+                    out += self._path(s, back, cut)
+                    base = best[cut]
+                    s, best, back = s[cut:], [None if x is None else x - base for x in best[cut:]], [max(0, x - cut) for x in back[cut:]]
+                    a, stop, n = a - cut, stop - cut, n - cut
+                    self.best, self.back = best, back
+        self.held, self.best, self.back, self.at = s, best, back, a
+        return out
+
+    def _meeting(self, a: int) -> int:
+        """The boundary through which the paths of all ends from `a` on lead."""
+        meet = {x for x in range(a, len(self.best)) if self.best[x] is not None}
+        while len(meet) > 1:
+            top = max(meet)
+            meet.discard(top)
+            meet.add(self.back[top])
+        return meet.pop()
+
+    def _path(self, s: str, back: list[int], n: int) -> list[int]:
         out: list[int] = []
         while n:
             piece = s[back[n] : n]
-            known = self.pieces.id.get(piece)
-            out[:0] = [known] if known is not None else [self.pieces.byte_id[x] for x in piece.encode()]
+            known = self.p.id.get(piece)
+            out[:0] = [known] if known is not None else [self.p.byte_id[x] for x in piece.encode()]
             n = back[n]
         return out
 
+
+class Codec:
+    """Encodes texts stretch by stretch, and decodes ids."""
+
+    def __init__(self, model: bytes):
+        self.pieces = Pieces(model)
+        self.search = StreamingViterbi(self.pieces)
+        self.cache = WordCache(self._encode, 600_000)
+        self.flat = np.frombuffer(b"".join(self.pieces.raw), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in self.pieces.raw])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _encode(self, stretch: str) -> bytes:
+        ids = self.search.encode(marked(stretch))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = stretches(text or "")
