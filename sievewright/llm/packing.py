@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, staged
+from .wordtable import splits_words
 
 CAPACITY = 4096
 END = 2
@@ -49,27 +50,37 @@ _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _BYTES = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
 
 
-def words(text: bytes) -> list[bytes]:
-    """The words of a text, with A-Z lower-cased as the tokenizer does, so that there are fewer different ones; not where marks that combine or special strings may stand, for which that would not be the same."""
-    if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
-        return text.split()
-    return text.translate(LOWERED).split()
+#: Words that show whether a tokenizer lower-cases, and whether a last point or comma stands alone.
+_CASES = [chr(c) + x for c in range(65, 91) for x in ("", "a", "B", "zz", "é", "9", "'S")]
+_STEMS = ["a", "the", "tion" * 9, "x9", "9", "é", "déjà", "ÿ", "1a"]
 
 
 class WordEncoder:
-    """Ids of texts, word by word: the tokenizer drops white space, so that no id spans two words. Two generations of at most `most` words bound the cache."""
+    """Ids of texts, word by word, of tokenizers that drop white space, so that no id spans two words; others are refused. Two generations of at most `most` words bound the cache. What is taken for granted to save time is probed first: lower-casing, points that stand alone, and plain words that need no normaliser."""
 
     def __init__(self, tokenizer: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
+        if not splits_words(tokenizer):
+            raise ValueError("the tokenizer doesn't encode words one by one")
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.most, self.young, self.old = most, {}, {}
+        self.lowers = self._full([x.encode() for x in _CASES]) == self._full([x.encode().translate(LOWERED) for x in _CASES])
         self.points = {p: self._full([p])[0] for p in (b".", b",")}
+        alone = [[x.encode() + p for x in _STEMS] for p in self.points]
+        stems = self._full([x.encode() for x in _STEMS])
+        self.pointed = all(self._full(ws) == [i + self.points[p] for i in stems] for p, ws in zip(self.points, alone, strict=True))
         bare = json.loads(tokenizer) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         probe = [chr(c).encode() * k for c in (*range(97, 123), 0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)) for k in (1, 2, 3)] + [b"the", b"tion" * 9, "déjà".encode()]
         self.plain = self._bare(probe) == self._full(probe)
 
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text, with A-Z lower-cased if the tokenizer does so, so that there are fewer different ones; not where marks that combine or special strings may stand, for which that would not be the same."""
+        if not self.lowers or b"\xcc" in text or b"\xcd" in text or b"<|" in text:
+            return text.split()
+        return text.translate(LOWERED).split()
+
     def _full(self, parts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([w.decode() for w in parts], add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
@@ -95,7 +106,7 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words. A word with a last point is the word without it, which may be known, and the point."""
-        stems = {w: w[:-1] for w in new if _POINTED.fullmatch(w)}
+        stems = {w: w[:-1] for w in new if _POINTED.fullmatch(w)} if self.pointed else {}
         ask = {x for x in (stems.get(w, w) for w in new) if x not in self.young and x not in self.old}
         made = self._made(list(ask))
         for w, stem in stems.items():
@@ -105,7 +116,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
-        split = [words(t) for t in texts]
+        split = [self.words(t) for t in texts]
         known, new, young, old = {}, [], self.young, self.old
         for w in set().union(*split):
             found = young.get(w)
@@ -157,22 +168,30 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     held = spark.sparkContext.broadcast(tokenizer)
     last = np.array([end_id], dtype="<u4").tobytes()
 
+    def rows_of(docs: list, ids_of: list[bytes]) -> pa.RecordBatch:
+        rows = []
+        for doc, ids in zip(docs, ids_of, strict=True):
+            ids += last
+            n = len(ids) // 4
+            for a in range(0, n, capacity):
+                cut = ids[4 * a : 4 * (a + capacity)]
+                rows.append((doc, a, len(cut) // 4, zlib.crc32(cut), n, np.frombuffer(cut, dtype="<u4").astype(np.int32) if keep_ids else None))
+        cols = list(zip(*rows, strict=True))
+        out = [pa.array(c, pa.int64()) for c in cols[:5]] + ([pa.array(cols[5], pa.list_(pa.int32()))] if keep_ids else [])
+        return pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = encoder(held.value)
+        collects = gc.isenabled()
         gc.disable()  # millions of small objects, none of them in a cycle
-        for batch in batches:
-            for docs, texts in _groups(batch):
-                rows = []
-                for doc, ids in zip(docs, made.encode(texts), strict=True):
-                    ids += last
-                    n = len(ids) // 4
-                    for a in range(0, n, capacity):
-                        cut = ids[4 * a : 4 * (a + capacity)]
-                        rows.append((doc, a, len(cut) // 4, zlib.crc32(cut), n, np.frombuffer(cut, dtype="<u4").astype(np.int32) if keep_ids else None))
-                cols = list(zip(*rows, strict=True))
-                out = [pa.array(c, pa.int64()) for c in cols[:5]] + ([pa.array(cols[5], pa.list_(pa.int32()))] if keep_ids else [])
-                yield pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])])
+        try:
+            for batch in batches:
+                for docs, texts in _groups(batch):
+                    yield rows_of(docs, made.encode(texts))
+        finally:
+            if collects:
+                gc.enable()
 
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t")).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.llm import queries as Q
-from sievewright.llm import snapshot, topk, whitening, wordtable
+from sievewright.llm import neardup, packing, pii, quality, snapshot, topk, whitening, wordtable
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, k long, content string"
@@ -188,3 +188,183 @@ def test_topk_large_components(spark):
             best = sorted((-clip(sum(a * b for a, b in zip(q, v))), j) for j, v in whole.items() if j != i)[:6]
             assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert 301 not in got
+
+
+def test_word_encoder_probes(word_model):
+    """With a tokenizer that keeps case, or one whose pieces reach over points, nothing is taken for granted; one that keeps white space is refused."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    texts = ["A a. B, the THE Tion. x9, 9. É. don't, A.b", "a." * 50, "Hello WORLD. hello, world"]
+    cased = json.loads(word_model)
+    cased["normalizer"]["normalizers"] = cased["normalizer"]["normalizers"][:2]
+    whole = json.loads(word_model)
+    whole["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    for made, lowers, pointed in ((word_model, True, True), (json.dumps(cased), False, True), (json.dumps(whole), True, False)):
+        e, t = packing.WordEncoder(made), Tokenizer.from_str(made)
+        assert (e.lowers, e.pointed) == (lowers, pointed)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in e.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    with pytest.raises(ValueError):
+        packing.WordEncoder(Q.tokenizer_file("byte_bpe_50k.json").decode())
+
+
+# quality against a plain minimum covariance determinant
+
+
+def brute_stats(t):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    twice = Counter(grams)
+    marked = {i + k for i, g in enumerate(grams) if twice[g] > 1 for k in range(8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(marked), len(lines)
+
+
+def concentrated(x, at, cov, steps):
+    """Concentration steps from a start: the closest three quarters, to whole bins of distance, estimate again."""
+    for _ in range(steps):
+        d = np.maximum(np.einsum("ij,jk,ik->i", x - at, np.linalg.inv(cov), x - at), 0)
+        bins = np.floor(np.log2(d + 1 / 1024) * 16)
+        upto = [(b, (bins <= b).sum()) for b in np.unique(bins)]
+        cut = next(b for b, n in upto if n >= math.ceil(len(x) * quality.SUPPORT))
+        own = x[bins <= cut]
+        at, cov = own.mean(axis=0), np.cov(own.T, bias=True) * quality.consistency() + np.eye(4) / quality.GRID**2
+    return at, cov
+
+
+def brute_quality(rows):
+    """kept and distance of (doc_id, text, lang, source) by loops over groups."""
+    told, vectors = {}, {}
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, repeat, lines = brute_stats(t)
+        failed = n < 20 or 100 * repeat > 30 * n
+        angle = lambda a, b: math.asin(math.sqrt(min(1, a / max(b, 1))))
+        v = [math.log(max(chars, 1) / max(n, 1) / 5), angle(symbols, chars), angle(dup, lines), angle(repeat, n)]
+        whole = [math.floor(abs(y) * quality.GRID + 0.5) * (1 if y >= 0 else -1) / quality.GRID for y in v]
+        told[i] = (failed, whole, [s / max(m, 1) for s, m in zip(quality.SAMPLING, (n, chars, lines, n))], lang or "", source or "")
+        if not failed:
+            for g in (("s", lang or "", source or ""), ("l", lang or ""), ("a",)):
+                vectors.setdefault(g, []).append(whole)
+    out = {}
+    for i, (failed, v, own, lang, source) in told.items():
+        group = next((g for g in (("s", lang, source), ("l", lang), ("a",)) if len(vectors.get(g, ())) >= quality.MIN_GROUP), None)
+        if failed or group is None:
+            out[i] = (not failed, None)
+            continue
+        x = np.array(vectors[group])
+        q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0)
+        unit = np.eye(4) / quality.GRID**2
+        starts = [(q2, np.diag(((q3 - q1) / 1.349) ** 2) + unit), (x.mean(axis=0), np.cov(x.T, bias=True) + unit)]
+        at, cov = min((concentrated(x, a, c, quality.STEPS) for a, c in starts), key=lambda m: np.linalg.slogdet(m[1])[1])
+        d = float((np.array(v) - at) @ np.linalg.inv(cov + np.diag(own)) @ (np.array(v) - at))
+        out[i] = (d <= quality.chi_square_quantile(1 - quality.TAIL, 4), d)
+    return out
+
+
+def quality_rows(rng):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    text = lambda n, mark="": "\n".join(" ".join(word() + (mark if rng.random() < 0.5 else "") for _ in range(8)) for _ in range(n))
+    rows = []
+    for lang, source, n in (("en", "s0", 120), ("en", "s1", 60), ("en", "few", 9), ("de", "rare", 5), (None, None, 50), ("fr", "s0", 25), ("fr", "s1", 25)):
+        rows += [(text(rng.randint(4, 30), rng.choice(["", "", "", "#"]) if rng.random() < 0.3 else ""), lang, source) for _ in range(n)]
+        rows += [(text(12, "$$$$"), lang, source), ("\n".join([text(1)] * 2 + [text(10)]), lang, source)]
+    rows += [(None, "en", "s0"), ("", None, "s1"), ("few words", "en", "s0"), (" ".join(word() for _ in range(8_000)), "en", "s0"), rows[0], rows[0], rows[-1]]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_quality_against_brute_force(spark):
+    """Groups of their own, the fallbacks to a language and to all rows, ties, nulls, a long text."""
+    rows = quality_rows(random.Random(6))
+    df = spark.createDataFrame([(i, t, lang, source, 1, "x", 1, "c") for i, t, lang, source in rows], DOCS)
+    want = brute_quality(rows)
+    got = {r.doc_id: (r.kept, r.distance) for r in quality.judge(df).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, (k, _) in want.items()}
+    assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6)) for (_, a), (_, b) in zip((got[i] for i in want), want.values()))
+    assert 5 < sum(not k for k, _ in got.values()) < 60
+    few = df.limit(30)
+    assert all(r.kept == (not r.base_failed) and r.distance is None for r in quality.judge(few).collect())
+
+
+def test_quality_near_best_subset(spark):
+    """The two starts reach, within a tenth, the smallest determinant that concentration from 300 random subsets finds."""
+    rng = np.random.default_rng(7)
+    x = np.round(np.r_[rng.normal(size=(90, 4)) * [0.1, 0.05, 0.05, 0.02], rng.normal(size=(20, 4)) * 0.05 + 0.6] * quality.GRID) / quality.GRID
+    q1, q2, q3 = np.percentile(x, [25, 50, 75], axis=0)
+    unit = np.eye(4) / quality.GRID**2
+    two = min(np.linalg.slogdet(concentrated(x, a, c, quality.STEPS)[1])[1] for a, c in ((q2, np.diag(((q3 - q1) / 1.349) ** 2) + unit), (x.mean(axis=0), np.cov(x.T, bias=True) + unit)))
+    best = np.inf
+    for _ in range(300):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        best = min(best, np.linalg.slogdet(concentrated(x, own.mean(axis=0), np.cov(own.T, bias=True) + unit, 10)[1])[1])
+    assert two <= best + math.log(1.1) * 4
+
+
+def brute_components(docs):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    import re
+
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_pipeline_against_brute_force(spark, word_model, tmp_path):
+    """All four stages on a small table with nulls, copies and personal data: quality by loops, near-duplicates by all pairs, spans put in place by loops, ids by the library."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+
+    rows = quality_rows(random.Random(8))
+    good = [t for _, t, _, _ in rows if t and len(t.split()) > 40]
+    turned = lambda t: " ".join(t.split()[::-1])
+    more = [good[0] + " extra", good[1].replace("a", "A"), turned(good[2]) + " mail jo@site.org now", turned(good[3]) + " call +49 30 1234567 or 4111 1111 1111 1111", good[4]]
+    rows += [(len(rows) + n, t, "en", "s0") for n, t in enumerate(more)]
+    docs = spark.createDataFrame([(i, t, lang, source, len(t or ""), "x", 1, "c") for i, t, lang, source in rows], DOCS)
+    at = f"{tmp_path}/documents.parquet"
+    docs.write.parquet(at)
+    stage = dict(C.STAGES)
+    one = stage["quality rules"](spark, spark.read.parquet(at), str(tmp_path))
+    assert one.columns == docs.columns
+    kept = {i: t for (i, t, *_), (k, _) in zip(rows, brute_quality(rows).values()) if k}
+    assert {r.doc_id: r.text for r in one.collect()} == kept
+    roots = brute_components(list(kept.items()))
+    two = stage["near-duplicates"](spark, one, str(tmp_path))
+    firsts = {i: t for i, t in kept.items() if roots[i] == i}
+    assert {r.doc_id: r.text for r in two.collect()} == firsts and len(firsts) < len(kept)
+    spans = {r.doc_id: r.spans for r in pii.find(two).collect()}
+    want = {}
+    for i, t in firsts.items():
+        out, end = [], 0
+        for x in sorted(spans[i], key=lambda x: (x.start, x.end)):
+            if x.start >= end:
+                out += [t[end : x.start], f"[{pii.KINDS[x.kind].upper()}]"]
+            end = max(end, x.end)
+        want[i] = "".join(out) + t[end:]
+    three = stage["personal data"](spark, two, str(tmp_path))
+    assert {r.doc_id: r.text for r in three.collect()} == want and any("[EMAIL]" in t for t in want.values()) and any("[CARD]" in t for t in want.values())
+    tok, packed = Tokenizer.from_str(word_model), C.run(spark, str(tmp_path)).toPandas()
+    for i, t in want.items():
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [2], dtype="<u4")
+        g = packed[packed.doc_id == i].sort_values("start")
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g.start, g.length)] == g.ids_crc32.tolist() and g.length.sum() == len(ids)
+    assert set(packed.doc_id) == set(want) and packed.groupby("sequence_id").length.sum().max() <= 4096
+    empty = f"{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert C.run(spark, empty).count() == 0
