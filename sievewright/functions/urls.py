@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import clean
 
@@ -67,3 +68,27 @@ def authority_score(urls: Column, title: Column, source_type: Column, quality: C
     s = F.when(u.rlike(r"geeksforgeeks\.org|medium\.com|blog|erdem\.pl"), F.least(F.greatest(s, F.lit(0.35)), F.lit(0.45))).otherwise(s)
     s = F.when(F.contains(F.lower(clean(quality)), F.lit("useful")) & (s == 0), F.lit(0.55)).otherwise(s)
     return F.when(t.rlike("paper|arxiv|documentation|docs"), F.greatest(s, F.lit(0.7))).otherwise(s)
+
+
+#: An address inside a text.
+IN_TEXT = r"https?://[^\s\])}>\"']+"
+
+
+def leaves(c: Column, kind: T.DataType) -> Column:
+    """All texts inside a nested value, in the order of its schema, as an array; the schema is walked while the plan is made. Nulls are left out."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNull(), none).otherwise(F.array(c))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(c, lambda x: leaves(x, kind.elementType))), none)
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(c), lambda x: leaves(x, kind.valueType))), none)
+    if isinstance(kind, T.StructType):
+        return F.coalesce(F.concat(*(leaves(c.getField(f.name), f.dataType) for f in kind.fields)), none) if kind.fields else none
+    return none
+
+
+def extracted(texts: Column) -> Column:
+    """The different source addresses in texts, in order; points and commas after an address aren't its own."""
+    found = F.flatten(F.transform(texts, lambda x: F.regexp_extract_all(x, F.lit(IN_TEXT), F.lit(0))))
+    return F.array_distinct(F.filter(F.transform(found, lambda u: source(F.regexp_replace(u, "[.,;:]+$", ""))), lambda u: u != ""))

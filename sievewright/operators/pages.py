@@ -180,3 +180,11 @@ def quality_note(title: Column, preview: Column, content: Column, url: Column, t
         F.when(T.blocked(F.concat_ws(" ", front, F.substring(T.clean(content), 1, 1000))), "blocked").when(size < SHORT, "empty or short").when(dictionary, "dictionary").when(T.not_found(front), "not found")
         .when(unpriced, "no prices").when(trusted, "trusted").when(off_target, "off target").when(off_task, "low overlap").otherwise("passed")
     )
+
+
+def useful(note: Column, pricing: Column, facts: Column, sections: Column, size: Column) -> Column:
+    """Whether a source is of use for its task, from the rule that it meets (quality_note()), whether the task asks for prices, and how many facts, sections and characters it has. A priced source of a pricing task needs nothing else; others must be trusted, or fit target and task and say something."""
+    return (
+        F.when(note.isin("blocked", "empty or short", "dictionary", "not found", "no prices"), False).when(pricing | (note == "trusted"), True).when(note.isin("off target", "low overlap"), False)
+        .otherwise((facts > 0) | (sections > 0) | (size >= FALLBACK))
+    )

@@ -392,19 +392,6 @@ def parent_expansion(spark, sf_dir):
     return upkeep.expand_parents(hits, parents).select("query_id", "rank", "parent_id", "expanded")
 
 
-@query()
-def parent_expansion_texts(spark, sf_dir):
-    """Hits among real chunks, with the texts of their parent windows."""
-    chunks = _chunks(spark, sf_dir)
-    windows = chunking.windows(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
-    held = chunking.assign_parents(chunks, windows, ["doc_id"]).withColumn("id", F.concat_ws("-", "doc_id", "chunk_index")).withColumn("parent_id", F.concat_ws("-", "doc_id", "parent_index"))
-    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.bm25(held.select("id", F.col("chunk").alias("text")), items, 20, "id")
-    hits = found.join(held.select("id", F.col("chunk").alias("document"), "parent_id"), "id").select("query_id", "id", "rank", "document", "parent_id")
-    parents = windows.select(F.concat_ws("-", "doc_id", "chunk_index").alias("parent_id"), F.col("chunk").alias("content"))
-    return upkeep.expand_parents(hits, parents).select("query_id", "rank", "id", "parent_id", "expanded", F.sha2("document", 256).alias("text_hash"))
-
-
 @query(f"""WITH {_BM25}, p AS (SELECT 'http://example.com/' || doc_id AS url FROM documents)
 SELECT url FROM p WHERE url NOT IN (SELECT 'http://example.com/' || doc_id FROM hit)""")
 def missing_urls(spark, sf_dir):

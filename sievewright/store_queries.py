@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import chunking, hybrid, indexing, lexical, pages, retrieval, scopes
+from .operators import chunking, hybrid, indexing, lexical, pages, planner, retrieval, scopes
 from .operators.upkeep import expand_parents
-from .registry import _CANON, _CHUNKS, _RUNS, _TITLE, _clean, _runs, _scaled, _t, _terms, _tokens, _words, query
+from .registry import _CANON, _CHUNKS, _RUNS, _TITLE, ORACLE, QUERIES, _clean, _html_text, _runs, _scaled, _t, _terms, _tokens, _words, query
 from .research_queries import _any, _good, _in, _phrases
 from .sources.tables import stored
 
@@ -363,3 +363,61 @@ def signal_results(spark, sf_dir):
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"tion\. ", "tion. The benchmark score is 91.5 % accuracy with f(x) = y. ")
     rows = _t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("run"), F.col("doc_id").alias("position"), F.concat(F.lit("http://s.example/"), (F.col("doc_id") % 90).cast("string")).alias("url"), F.lit("").alias("title"), text.alias("content"))
     return pages.signal_results(rows, ["run"]).select("run", "place", "url", "id", "score")
+
+
+@query(f"""WITH {_CHUNKS},
+sm AS (SELECT doc_id || '-' || chunk_index AS id, doc_id, array_to_string(s, ' ') AS document FROM k),
+bt AS (SELECT id, {_tokens('document')} AS w FROM sm), bs AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM bt),
+ask AS (SELECT item_id AS query_id, t, count(*) AS qtf FROM (SELECT item_id, unnest({_tokens('text')}) AS t FROM benchmark) GROUP BY ALL),
+post AS (SELECT id, dl, t, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS t FROM bt) WHERE t IN (SELECT t FROM ask) GROUP BY ALL),
+dfs AS (SELECT t, count(*) AS df FROM post GROUP BY ALL),
+lex AS (SELECT query_id, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM ask JOIN post ON post.t = ask.t JOIN dfs ON dfs.t = ask.t, bs GROUP BY query_id, id),
+h AS (SELECT query_id, lex.id, doc_id, document, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex.id) AS rank FROM lex JOIN sm ON sm.id = lex.id QUALIFY rank <= 20),
+{_expanded('h', 'query_id')}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, parent_id, expanded, sha256(CASE WHEN expanded THEN content ELSE document END) AS text_hash FROM ex""")
+def parent_expansion_texts(spark, sf_dir):
+    """Hits among real chunks, with the texts of their parent windows."""
+    chunks = chunking.windows(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+    windows = chunking.windows(_t(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), chunking.PARENT_SIZE, chunking.PARENT_OVERLAP)
+    held = chunking.assign_parents(chunks, windows, ["doc_id"]).withColumn("id", F.concat_ws("-", "doc_id", "chunk_index")).withColumn("parent_id", F.concat_ws("-", "doc_id", "parent_index"))
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = retrieval.bm25(held.select("id", F.col("chunk").alias("text")), items, 20, "id")
+    hits = found.join(held.select("id", F.col("chunk").alias("document"), "parent_id"), "id").select("query_id", "id", "rank", "document", "parent_id")
+    parents = windows.select(F.concat_ws("-", "doc_id", "chunk_index").alias("parent_id"), F.col("chunk").alias("content"))
+    return expand_parents(hits, parents).select("query_id", "rank", "id", "parent_id", "expanded", F.sha2("document", 256).alias("text_hash"))
+
+
+# -- addresses in plans, use of sources ---------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH g AS (SELECT page_id // 5 AS plan, page_id % 5 AS n, {_SOURCE} AS u, regexp_matches(trim(regexp_replace(coalesce(url, ''), '\s+', ' ', 'g')), '^https?://[^\s\])}}>"'']+$') AND NOT regexp_matches(url, '[.,;:]$') AS good FROM pages),
+e AS (SELECT plan, u, min(n) AS n FROM g WHERE good AND u <> '' GROUP BY ALL)
+SELECT plan, array_to_string(list(u ORDER BY n), ' ') AS urls FROM e GROUP BY plan""")
+def plan_urls(spark, sf_dir):
+    """Addresses from all fields of nested plans: an objective, tasks with signals, a map of notes."""
+    pages_ = _t(spark, sf_dir, "pages").select((F.floor(F.col("page_id") / 5)).alias("plan"), (F.col("page_id") % 5).alias("n"), T.clean(F.col("url")).alias("url"))
+    at = lambda k: F.max(F.when(F.col("n") == k, F.col("url")))
+    plans = pages_.groupBy("plan").agg(
+        F.struct(
+            F.concat(F.lit("look at "), F.coalesce(at(0), F.lit("")), F.lit(", then on")).alias("objective"), F.lit(3).alias("budget"),
+            F.array(F.struct(at(1).alias("url"), F.array(F.concat(F.lit("see ("), F.coalesce(at(2), F.lit("")), F.lit(")."))).alias("signals")), F.struct(F.lit(None).cast("string").alias("url"), F.array(at(3)).alias("signals"))).alias("tasks"),
+            F.create_map(F.lit("note"), F.coalesce(at(4), F.lit(""))).alias("notes"),
+        ).alias("p")
+    )
+    found = plans.select("plan", U.extracted(U.leaves(F.col("p"), plans.schema["p"].dataType)).alias("urls"))
+    return found.filter(F.size("urls") > 0).select("plan", F.array_join("urls", " ").alias("urls"))
+
+
+_QUALITY = ORACLE["source_quality"]
+
+
+@query(f"""WITH q AS ({_QUALITY}), c AS (SELECT page_id, {_html_text('html')} AS content FROM pages)
+SELECT q.page_id, CASE WHEN note IN ('blocked', 'empty or short', 'dictionary', 'not found', 'no prices') THEN false WHEN q.page_id % 5 = 1 OR note = 'trusted' THEN true WHEN note IN ('off target', 'low overlap') THEN false
+  ELSE length(content) >= 800 OR {_any("lower(content)", pages.KEY_WORDS)} END AS useful FROM q JOIN c ON c.page_id = q.page_id""")
+def source_useful(spark, sf_dir):
+    """source_quality()'s pages and tasks; facts are sentences with a key word."""
+    noted = QUERIES["source_quality"](spark, sf_dir)
+    content = T.html_text(F.col("html"))
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.length(content).alias("size"), planner.has_any(F.lower(content), pages.KEY_WORDS).cast("int").alias("facts"))
+    about = F.col("page_id") % 5 == 1
+    return noted.join(rows, "page_id").select("page_id", pages.useful(F.col("note"), about, F.col("facts"), F.lit(0), F.col("size")).alias("useful"))
