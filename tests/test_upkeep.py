@@ -108,11 +108,11 @@ def test_parent_texts(spark):
     """Every hit against its real chunk and parent window: both branches are reached and the text is the one with more tokens."""
     import hashlib
 
-    from sievewright import registry
+    from sievewright import store_queries
     from sievewright.operators import chunking
 
     sf = "/root/testdata/sf0.001"
-    got = registry.parent_expansion_texts(spark, sf).collect()
+    got = store_queries.parent_expansion_texts(spark, sf).collect()
     docs = {r.doc_id: " ".join((r.text or "").split()).split(" ") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     count = lambda x: len(re.findall("[a-z0-9_]+", x.lower()))
     window = lambda name, size, overlap: " ".join(docs[int(name.split("-")[0])][(a := int(name.split("-")[1]) * (size - overlap)) : a + size])
