@@ -140,7 +140,8 @@ def url_coverage(targets: DataFrame, chunks: DataFrame, k: int = 1) -> DataFrame
     scope = F.concat_ws("|", F.col("run").cast("string"), F.col("ordinal").cast("string"))
     rows = rows.withColumn("scope", scope)
     asked = wanted.select("run", "ordinal", "url", "query").withColumn("scope", scope)
-    index = lexical.build(rows.select("scope", "id", F.col("document").alias("text")), lexical.vocabulary(asked.select(F.col("query").alias("text"))))
+    texts = rows.select("scope", "id", F.col("document").alias("text")).repartitionByRange("scope", "id").sortWithinPartitions("scope")  # a target's chunks lie together, those of a large one in several tasks
+    index = lexical.build(texts, lexical.vocabulary(asked.select(F.col("query").alias("text"))))
     found = lexical.search(index, asked.select(F.lit(0).alias("query_id"), "scope", F.col("query").alias("text")), k).select("scope", "id", F.col("score").alias("bm25"))
     told = rows.join(asked.select("scope", "url", "query"), "scope").join(found, ["scope", "id"], "left")
     blank = T.clean(F.col("query")) == ""

@@ -42,7 +42,7 @@ SLACK = 1e-6
 
 
 def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """The index of docs (scope, id, text), ids of any one type; with a vocabulary (term) only of its terms. With a path it is stored there for good, else until the driver ends."""
+    """The index of docs (scope, id, text), ids of any one type; rows with a null scope take no part. Blocks are small where a task's rows have many scopes, so sort such docs by scope first; with a vocabulary (term) only of its terms. With a path it is stored there for good, else until the driver ends."""
     kind = docs.schema["id"].dataType
     wanted = None
     if vocabulary is not None:
@@ -57,11 +57,13 @@ def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None
 
         terms = None if held.value is None else pa.array(sorted(held.value), pa.string())
         for batch in batches:
-            scopes = batch.column(0).to_pylist()
-            for scope in dict.fromkeys(scopes):
-                own = batch.filter(pa.array([s == scope for s in scopes]))
-                for a in range(0, own.num_rows, BLOCK):
-                    part = own.slice(a, BLOCK)
+            batch = batch.filter(batch.column(0).is_valid())  # no query has a null scope
+            coded = batch.column(0).dictionary_encode()
+            order = np.argsort(np.asarray(coded.indices), kind="stable")
+            cuts = np.flatnonzero(np.diff(np.asarray(coded.indices)[order], prepend=-1)).tolist() + [len(order)]
+            for scope, begin, end in zip(coded.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                for a in range(begin, end, BLOCK):
+                    part = batch.take(pa.array(order[a : min(end, a + BLOCK)]))
                     part = part.take(pc.sort_indices(part.column(1)))
                     yield _block(scope, part.column(1), part.column(2), terms, np, pa, pc)
 

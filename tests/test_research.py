@@ -257,3 +257,39 @@ def test_history_stream(spark, tmp_path):
         sink(batch, n)
     held = feeds.current(spark, f"file://{tmp_path}/history", batch.schema)
     assert sorted(map(tuple, held.collect())) == [("a", "h4", True, 3), ("b", "h3", False, 3)]
+
+
+def test_lexical_index(spark, tmp_path):
+    """Scopes with statistics of their own, several blocks, a stored index, pruning: the scores of a plain BM25; null scopes, texts and ids, ties, an empty table."""
+    import math
+    import random
+    from collections import Counter
+
+    from sievewright.operators import lexical
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"s{i % 3}", i, " ".join(rng.choice(words[: rng.choice([6, 60])]) for _ in range(rng.randint(0, 40)))) for i in range(900)]
+    odd = [(None, 1_000, "w1"), ("s0", 1_001, None), ("s1", 1_002, ""), ("s2", 1_003, docs[2][2])]
+    asked = [(q, f"s{q % 3}", " ".join(rng.choice(words) for _ in range(30))) for q in range(12)] + [(50, "none", "w1"), (51, "s0", "unknown"), (52, "s0", None)]
+    frame = spark.createDataFrame(docs + odd, "scope string, id long, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id int, scope string, text string")
+    want = {}
+    for q, scope, text in asked:
+        held = {i: (t or "").split() for s, i, t in docs + odd if s == scope}
+        df = Counter(w for t in held.values() for w in set(t))
+        avg = sum(map(len, held.values())) / max(1, len(held))
+        told = {}
+        for i, t in held.items():
+            tf = Counter(t)
+            score = sum(n * math.log((len(held) - df[w] + 0.5) / (df[w] + 0.5) + 1) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w, n in Counter((text or "").split()).items() if tf[w])
+            if score:
+                told[i] = round(score, 6)
+        best = sorted((-s, i) for i, s in told.items())[:5]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    for index in (lexical.build(frame), lexical.build(frame, lexical.vocabulary(queries), f"file://{tmp_path}/index")):
+        got = {(r.query_id, r.rank): (r.id, r.score) for r in lexical.search(index, queries, 5).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    read = lexical.reading(index, queries, 5).agg(F.sum("postings").alias("p"), F.sum("summed").alias("s"), F.sum("looked_up").alias("l")).first()
+    assert read.s + read.l < read.p
+    assert lexical.search(lexical.build(frame.limit(0)), queries, 5).count() == 0
