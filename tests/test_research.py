@@ -293,3 +293,24 @@ def test_lexical_index(spark, tmp_path):
     read = lexical.reading(index, queries, 5).agg(F.sum("postings").alias("p"), F.sum("summed").alias("s"), F.sum("looked_up").alias("l")).first()
     assert read.s + read.l < read.p
     assert lexical.search(lexical.build(frame.limit(0)), queries, 5).count() == 0
+
+
+def test_rerank_order(spark):
+    """The first rows in the order of the blend, those that the scorer leaves out with 0, the others after them as they were."""
+    from sievewright.operators import hybrid
+
+    rows = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.8), (1, "c", 3, 0.7), (1, "d", 4, 0.95), (1, "e", 5, 0.1), (2, "z", 1, 0.5)], "query_id int, id string, rank int, score double")
+    told = spark.createDataFrame([(1, "c", 0), (1, "a", 1), (2, "z", 0)], "query_id int, id string, place int")
+    made = hybrid.rerank(rows, ["query_id"], lambda first, by: told, top=3, weight=0.7)
+    got = [(r.query_id, r.id, round(r.score, 6)) for r in made.orderBy("query_id", "rank").collect()]
+    assert got == [(1, "c", 0.91), (1, "a", 0.27), (1, "b", 0.24), (1, "d", 0.95), (1, "e", 0.1), (2, "z", 0.85)]
+    assert hybrid.rerank(rows.limit(0), ["query_id"], lambda first, by: told).count() == 0
+
+
+def test_texts_in_nested_values(spark):
+    from sievewright.functions import urls as U
+
+    rows = [(("at http://A.com/x/, and", [("http://b.com/y?q=1", None), (None, ["(http://c.com)", "http://a.com/x"])], {"k": "https://arxiv.org/abs/1234.56789v2."}, 3),), ((None, None, None, None),), (None,)]
+    df = spark.createDataFrame(rows, "p struct<o: string, t: array<struct<u: string, s: array<string>>>, m: map<string, string>, n: int>")
+    got = [r.u for r in df.select(U.extracted(U.leaves(F.col("p"), df.schema["p"].dataType)).alias("u")).collect()]
+    assert got == [["http://a.com/x", "http://b.com/y", "http://c.com", "https://arxiv.org/pdf/1234.56789"], [], []]
