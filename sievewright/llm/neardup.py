@@ -12,7 +12,10 @@ similarity 0.75 miss each other in all 32 buckets with probability 5e-6.
    ordered by how many members hold them, and two sets that share c of them have their first common one where at least
    c are left in either. A pair is made only where that leaves room for a link, across components, and is confirmed on
    full sets too. Shingles of one component's members alone come first in the order and join nothing, so that neither
-   copies nor families of texts just below the threshold are compared pair by pair. Nothing is estimated.
+   copies nor families of texts just below the threshold are compared pair by pair. Before the full sets of a pair meet,
+   the parities of their hashes do (parity()): bits that differ stand for members that one set alone has, and a pair with
+   too many of them for a link goes. So parts that a family's members share in pairs, below the threshold, don't bring
+   their sets together. Nothing is estimated.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; fewer than five words are one shingle;
 rows with one doc_id are one document with several texts; a row with null doc_id has a null component and is kept;
@@ -104,6 +107,15 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return total
 
 
+def parity(u: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes ends in each value of so many bits that there are four to eight places for each hash."""
+    places = max(64, 1 << (4 * len(u) - 1).bit_length()) if len(u) else 64
+    at = u & np.uint64(places - 1)
+    out = np.zeros(places >> 6, dtype=np.uint64)
+    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -134,8 +146,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        found = [shingles(x).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
+        found = [shingles(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        held = [pa.array([f(u).view(np.int64) for u in found], pa.list_(pa.int64())) for f in (np.asarray, parity)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *held], ["id", "s", "bits"])
 
 
 def linked(common: Column, na: Column, nb: Column) -> Column:
@@ -187,6 +200,22 @@ def across(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
+def _folded(bits: Column, n: Column) -> Column:
+    """Parities of n words, or of twice as many, as n words."""
+    return F.when(F.size(bits) <= n, bits).otherwise(F.zip_with(F.slice(bits, F.lit(1), n), F.slice(bits, n + 1, n), lambda x, y: x.bitwiseXOR(y)))
+
+
+def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose parities leave room for a link: no link is lost, as parities never differ in more places than sets do in members."""
+    own = lambda a: sets.select(F.col("id").alias(a), F.size("s").alias(f"n{a}"), F.col("bits").alias(f"bits_{a}"))
+    both = pairs.join(own("b"), "b").join(own("a"), "a")
+    n = F.least(F.size("bits_a"), F.size("bits_b"))
+    apart = F.zip_with(_folded(F.col("bits_a"), n), _folded(F.col("bits_b"), n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.coalesce(F.aggregate(apart, F.lit(0), lambda d, x: d + x), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    return both.filter((OF + SHARE) * (total - differ) >= 2 * SHARE * total).select("a", "b")
+
+
 def describe(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, sa, sb, keys), a row for each row of df."""
     ship(df.sparkSession)
@@ -207,7 +236,7 @@ def _fetch(df: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
     # a Bloom filter keeps most other texts out of the shuffle
     texts = texts.filter(contains(key, 0, *prefilter(ids.select(F.col("id").cast("string").alias("k")), ids.count())))
     texts = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return staged(texts.mapInArrow(_sets, "id long, s array<long>"), "near-sets")
+    return staged(texts.mapInArrow(_sets, "id long, s array<long>, bits array<long>"), "near-sets")
 
 
 def components(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -240,7 +269,8 @@ def components(df: DataFrame, text_col: str = "text") -> DataFrame:
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
     apart = staged(placed.join(mixed_keys, "key", "left_semi").select("id", "root").distinct(), "near-apart")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = staged(_confirm(across(apart, sets).join(done, ["a", "b"], "left_anti"), sets), "near-late")
+    close = staged(near_enough(across(apart, sets).join(done, ["a", "b"], "left_anti"), sets), "near-close")
+    late = staged(_confirm(close, sets), "near-late")
     if not late.isEmpty():
         roots = staged(contract(links.unionByName(late)), "near-roots")
 

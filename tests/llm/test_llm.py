@@ -312,6 +312,48 @@ def test_neardup_across_pairs_no_family_below_the_threshold(spark):
     assert _across(spark, sets, list(range(200))) == [(3, 7)]
 
 
+def test_neardup_parities_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 15, 16, 17, 1_000, 30_000)]
+    for u in sets[:]:  # kin of all similarities, from equal sets to a half in common
+        for share in (1.0, 0.95, 0.9, 0.857, 0.8, 0.7, 0.5):
+            kept = u[: max(1, int(len(u) * share))]
+            sets.append(kept)
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, len(u) - len(kept), dtype=np.uint64)])))
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 3 * max(len(sets[a]), len(sets[b])) <= 4 * min(len(sets[a]), len(sets[b]))]
+    true = {(a, b) for a, b in pairs if linked(sets[a], sets[b])}
+    held = spark.createDataFrame([(k, u.view(np.int64).tolist(), neardup.parity(u).view(np.int64).tolist()) for k, u in enumerate(sets)], "id long, s array<long>, bits array<long>")
+    close = {(r.a, r.b) for r in neardup.near_enough(spark.createDataFrame(pairs, "a long, b long"), held).collect()}
+    assert len(true) > 80 and true <= close and len(close - true) < len(set(pairs) - true) // 4
+
+
+def test_neardup_family_of_shared_paragraphs(spark, monkeypatch):
+    """Below the threshold in pairs, mostly, but with a paragraph in common: few sets meet, and all links are found."""
+    rng = random.Random(5)
+    core, paragraphs = list(range(700)), [[1_000 + 40 * p + j for j in range(40)] for p in range(60)]
+    texts = [" ".join(f"w{w}" for w in core + [w for p in rng.sample(paragraphs, 7) for w in p]) for _ in range(120)]
+    met = []
+    true_near = neardup.near_enough
+
+    def near(pairs, sets):
+        found = true_near(pairs, sets)
+        met.append((pairs.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(neardup, "near_enough", near)
+    got = {r.doc_id: r.component_id for r in neardup.components(spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    assert all(close <= made // 20 + 5 for made, close in met)
+
+
 def test_neardup_chain_beyond_the_star(spark):
     """A chain of edits: ends unlike each other, all one component."""
     rng = random.Random(3)
