@@ -1,6 +1,6 @@
 import pytest
 
-from sievewright import registry, research_queries, review_queries, store_queries  # noqa: F401  (registers its queries)
+from sievewright import refresh_queries, registry, research_queries, review_queries, store_queries  # noqa: F401  (registers its queries)
 from tests.conftest import same
 
 SF = "/root/testdata/sf0.001"
