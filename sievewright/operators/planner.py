@@ -44,6 +44,12 @@ TOPIC_STOPWORDS = (
 SEARCH_ENGINES = ("google.", "bing.com", "duckduckgo.com")
 
 
+#: Sources that may be named by address, secondary ones, and the modes in which these must show the objective.
+DIRECT_TYPES = ("arxiv", "academic", "docs", "benchmarks", "pricing", "careers")
+SECONDARY_TYPES = ("news", "reviews", "technical_overview", "webpage", "wikipedia")
+BROAD_MODES = ("knowledge_research", "market_research")
+
+
 def has_any(c: Column, words) -> Column:
     return F.greatest(F.lit(False), F.lit(False), *(F.contains(c, F.lit(w)) for w in words))
 
@@ -108,6 +114,16 @@ def weak_technical(url: Column) -> Column:
     return weak_domain(url) | host.isin("consensus.app", "www.consensus.app") | (F.endswith(path_of(url), F.lit(".pdf")) & ~trusted)
 
 
+def weak_direct(source_type: Column, url: Column, task: Column, objective: Column, mode: Column) -> Column:
+    """A page named by its address that has little to do with the objective: on a site that turns readers away, or without any of the objective's anchors in its address, where the source is a secondary one in a mode that wants better, or the task lacks the anchors too."""
+    anchors = W.anchor_tokens(objective)
+    place = F.regexp_replace(F.concat_ws(" ", host_of(url), path_of(url)), "[^a-z0-9]+", " ")
+    within = lambda c: F.exists(anchors, lambda a: F.contains(c, a))
+    secondary = mode.isin(*BROAD_MODES) & source_type.isin(*SECONDARY_TYPES)
+    strange = (F.size(anchors) > 0) & ~within(place) & (secondary | ~within(F.lower(task)))
+    return F.coalesce(~source_type.isin(*DIRECT_TYPES) & ~stable_reference(url) & (has_any(host_of(url), BLOCK_PRONE) | strange), F.lit(False))
+
+
 def candidate_score(target_type: Column, target_name: Column, task: Column, title: Column, url: Column, snippet: Column) -> Column:
     """The rank of a search result for a task, whose text is task_text()."""
     told = F.lower(F.concat_ws(" ", T.clean(title), T.clean(url), T.clean(snippet)))

@@ -498,3 +498,21 @@ def agent_timings(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: lexical and vector lists, fused, with authority, query features and signals."""
     return hybrid_fusion(spark, sf_dir)
+
+
+@query(rf"""
+WITH c AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'https://blog.medium.com/Example' WHEN page_id % 11 = 0 THEN 'https://arxiv.org/abs/1' ELSE url END AS url, coalesce(text[1:80], '') || CASE WHEN page_id % 3 = 0 THEN ' compare Example' ELSE '' END AS goal, lower(coalesce(text[60:159], '')) AS task,
+  ['webpage', 'docs', 'news', 'implementation'][page_id % 4 + 1] AS kind, ['market_research', 'technical_deep_dive'][page_id % 2 + 1] AS mode FROM pages JOIN documents ON doc_id = page_id),
+p AS (SELECT *, {_HOST} AS host, {_PATHL} AS path, list_filter(list_transform(regexp_extract_all(lower(goal), '[a-z][a-z0-9+#.-]*'), lambda w: trim(w, '.-')), lambda w: length(w) >= 4 AND w NOT IN ({_in(W.GENERIC_WORDS)})) AS ws FROM c),
+a AS (SELECT *, list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:6] AS anchors, regexp_replace(host || ' ' || path, '[^a-z0-9]+', ' ', 'g') AS place FROM p)
+SELECT page_id, kind NOT IN ({_in(planner.DIRECT_TYPES)}) AND NOT (host = 'arxiv.org' AND starts_with(path, '/abs/')) AND ({_any('host', planner.BLOCK_PRONE)} OR (len(anchors) > 0 AND len(list_filter(anchors, lambda w: contains(place, w))) = 0
+  AND ((mode = 'market_research' AND kind IN ('webpage', 'news')) OR len(list_filter(anchors, lambda w: contains(task, w))) = 0))) AS weak FROM a""")
+def weak_pages(spark, sf_dir):
+    """Pages as direct sources of plans whose objectives and tasks are parts of documents."""
+    i = F.col("page_id")
+    told = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.coalesce(F.substring("text", 1, 80), F.lit("")).alias("goal"), F.coalesce(F.substring("text", 60, 100), F.lit("")).alias("task"))
+    url = F.when(i % 7 == 0, "https://blog.medium.com/Example").when(i % 11 == 0, "https://arxiv.org/abs/1").otherwise(F.col("url"))
+    rows = _t(spark, sf_dir, "pages").select("page_id", url.alias("url")).join(told, "page_id")
+    kind, mode = F.element_at(F.lit(["webpage", "docs", "news", "implementation"]), (i % 4 + 1).cast("int")), F.element_at(F.lit(["market_research", "technical_deep_dive"]), (i % 2 + 1).cast("int"))
+    goal = F.concat("goal", F.when(i % 3 == 0, " compare Example").otherwise(""))
+    return rows.select("page_id", planner.weak_direct(kind, F.col("url"), F.col("task"), goal, mode).alias("weak"))
