@@ -132,7 +132,9 @@ m AS (SELECT q.run, number, position, question, {_clean("context")} AS context,
 SELECT run, number, {_clean("string_agg(d, ' ' ORDER BY position, d)")} AS details FROM m WHERE len(ct) > 0 AND (lower(context) = lower({_clean("question")}) OR len(list_intersect(qt, ct)) / greatest(1, least(len(qt), len(ct))) >= 0.45) GROUP BY run, number""")
 def task_details(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), "turn", "role", T.clean(F.col("text")).alias("c"), F.col("text"))
-    context = F.when(F.col("turn") % 3 == 0, F.upper(F.substring("c", 1, 60))).otherwise(F.substring("c", 1, 45))
+    # upper case character by character: none becomes two, and a sharp s has a capital of its own
+    upper = lambda c: F.array_join(F.transform(F.split(F.replace(c, F.lit("ß"), F.lit("ẞ")), ""), lambda x: F.when(F.length(F.upper(x)) > 1, x).otherwise(F.upper(x))), "")
+    context = F.when(F.col("turn") % 3 == 0, upper(F.substring("c", 1, 60))).otherwise(F.substring("c", 1, 45))
     n = F.col("turn").cast("string")
     tasks = turns.select("run", F.col("turn").alias("position"), context.alias("query_context"), F.concat(F.lit("goal "), n).alias("extraction_goal"), F.array(F.substring("text", 1, 10), F.lit(None), F.lit("")).alias("expected_signals"), F.concat(F.lit("http://s.example/"), n).alias("url"))
     return review.task_details(turns.filter("role = 'user'").select("run", F.col("turn").alias("number"), F.substring("c", 1, 60).alias("question")), tasks)
