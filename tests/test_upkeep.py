@@ -123,3 +123,17 @@ def test_parent_texts(spark):
     assert {r.expanded for r in got} == {True, False}
     shown = [(r.query_id, r.parent_id) for r in got if r.expanded]
     assert len(shown) == len(set(shown))
+
+
+def test_scopes_in_parts(spark, monkeypatch):
+    """Many equal objectives of one key hide no other key's, and parts of any size give the same rows."""
+    from sievewright.operators import scopes
+
+    rows = [(i, "own", f"alpha, {'.' * i}beta") for i in range(20)] + [(20 + i, f"k{i:02}", f"alpha-beta{'.' * i}" if i < 3 else f"beta alpha gamma{i % 3} delta{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, history_key string, objective string")
+    got = lambda: sorted(map(tuple, scopes.history_scopes(df.filter("id % 7 = 0"), df).select("id", "place", "history_key", "objective", "similarity").collect()))
+    whole = got()
+    assert [r[2] for r in whole if r[0] == 0][:4] == ["own", "k00", "k01", "k02"]
+    monkeypatch.setattr(scopes, "ASKED", 3)
+    monkeypatch.setattr(scopes, "HELD", 5)
+    assert got() == whole and {r[1] for r in whole} == {1, 2, 3, 4, 5, 6}
