@@ -28,7 +28,7 @@ class Run(NamedTuple):
 
 
 def plan(chunks: DataFrame, records: DataFrame, changes: DataFrame, first_run: bool = False, version: int = VERSION) -> DataFrame:
-    """(history_key, url, content, content_hash, action, change_status, replaces, changed): what a run does with each record (history_key, url, content, content_hash).
+    """(history_key, url, content_hash, action, change_status, replaces, changed): what a run does with each record (history_key, url, content_hash). Contents take no part.
 
     A source is skipped if what is stored has its hash and the present schema, or if the run doesn't call it added or changed and what is stored is fresh and the same; else it is indexed, and
     what is stored of it goes. Everything is looked at anew in a first run and while the table of chunks is empty.
@@ -36,7 +36,7 @@ def plan(chunks: DataFrame, records: DataFrame, changes: DataFrame, first_run: b
     every = first_run or chunks.isEmpty()
     held = chunks.groupBy(*SOURCE).agg(F.min("content_hash").alias("held"), F.min("metadata_schema_version").alias("schema"))
     said = changes.filter(F.col("change").isin("added", "changed")).groupBy("url").agg(F.min("change").alias("said"))
-    rows = records.join(held, SOURCE, "left").join(said, "url", "left")
+    rows = records.select(*SOURCE, "content_hash").join(held, SOURCE, "left").join(said, "url", "left")
     stale = F.coalesce("schema", F.lit(0)) < version
     known = F.coalesce("held", F.lit("")) != ""
     same = F.coalesce("held", F.lit("")) == F.col("content_hash")
@@ -44,27 +44,30 @@ def plan(chunks: DataFrame, records: DataFrame, changes: DataFrame, first_run: b
     status = F.lit("indexed") if every else F.coalesce("said", F.lit("unchanged"))
     rows = rows.withColumn("action", F.when(untouched | (same & ~stale), "skip").otherwise("index"))
     replaces = (F.col("action") == "index") & known & (~same | stale)
-    return rows.select(*SOURCE, "content", "content_hash", "action", status.alias("change_status"), replaces.alias("replaces"), (replaces & ~same).alias("changed"))
+    return rows.select(*SOURCE, "content_hash", "action", status.alias("change_status"), replaces.alias("replaces"), (replaces & ~same).alias("changed"))
 
 
 def run(chunks: DataFrame, parents: DataFrame, records: DataFrame, changes: DataFrame, split: Callable[[DataFrame], DataFrame], first_run: bool = False, version: int = VERSION) -> Run:
     """The tables after a run, and its summary as one row. split: records (history_key, url, content) to (history_key, url, chunk_index, document, parent_index, parent)."""
     steps = stored(plan(chunks, records, changes, first_run, version), "index-plan")
     open_ = steps.filter("action = 'index'")
-    made = stored(split(open_.select(*SOURCE, "content")), "index-chunks")
+    contents = records.join(open_.select(*SOURCE, "content_hash"), [*SOURCE, "content_hash"], "left_semi").select(*SOURCE, "content")
+    made = stored(split(contents), "index-chunks")
     cut = made.groupBy(*SOURCE).agg(F.count("*").cast("int").alias("chunk_count"))
-    done = open_.drop("content").join(cut, SOURCE)  # a source without chunks counts as skipped, and what is stored of it stays
+    done = open_.join(cut, SOURCE)  # a source without chunks counts as skipped, and what is stored of it stays
     key, url = F.col("history_key"), F.col("url")
     told = made.join(done, SOURCE).withColumn("parent_id", T.parent_id(key, url, F.col("parent_index"), F.col("parent")))
     new = told.select(T.chunk_id(key, url, F.col("chunk_index")).alias("id"), *SOURCE, F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_count", "document", "content_hash", F.lit(version).alias("metadata_schema_version"), "change_status", "parent_id")
     gone = done.filter("replaces").select(*SOURCE)
-    after = chunks.join(gone, SOURCE, "left_anti").join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
-    # of the rows of one parent the last chunk's counts
-    last = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc("chunk_index")))
+    # which rows go is settled by their ids, so that texts are moved once
+    without = lambda held, more, key: held.join(held.select(key, *SOURCE).join(gone, SOURCE, "left_semi").select(key).unionByName(more.select(key)), key, "left_anti").select(*more.columns).unionByName(more)
+    after = without(chunks, new, "id")
+    # of the rows of one parent the last chunk's counts; a parent has one source, so its rows lie together already
+    last = F.row_number().over(Window.partitionBy(*SOURCE, "parent_id").orderBy(F.desc("chunk_index")))
     text = T.clean(F.col("parent"))
     rows = told.filter(text != "").withColumn("r", last).filter("r = 1")
     own = rows.select("parent_id", *SOURCE, F.col("parent_index").cast("int").alias("parent_index"), T.token_count(F.col("parent")).cast("int").alias("token_count"), T.content_hash(text).alias("content_hash"), text.alias("content"))
-    kept = parents.join(gone, SOURCE, "left_anti").join(own.select("parent_id"), "parent_id", "left_anti").select(*own.columns).unionByName(own)
+    kept = without(parents, own, "parent_id")
     return Run(after, kept, _summary(steps, done, new, own, after, changes))
 
 
