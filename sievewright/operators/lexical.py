@@ -42,7 +42,7 @@ SLACK = 1e-6
 
 
 def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """The index of docs (scope, id, text), ids of any one type; rows with a null scope take no part. Blocks are small where a task's rows have many scopes, so sort such docs by scope first; with a vocabulary (term) only of its terms. With a path it is stored there for good, else until the driver ends."""
+    """The index of docs (scope, id, text), or (scope, id, words, length) where their words are cut down already, ids of any one type; rows with a null scope take no part. Blocks are small where a task's rows have many scopes, so sort such docs by scope first; with a vocabulary (term) only of its terms. With a path it is stored there for good, else until the driver ends."""
     kind = docs.schema["id"].dataType
     wanted = None
     if vocabulary is not None:
@@ -65,20 +65,21 @@ def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None
                 for a in range(begin, end, BLOCK):
                     part = batch.take(pa.array(order[a : min(end, a + BLOCK)]))
                     part = part.take(pc.sort_indices(part.column(1)))
-                    yield _block(scope, part.column(1), part.column(2), terms, np, pa, pc)
+                    yield _block(scope, part.column(1), part.column(2), part.column(3), terms, np, pa, pc)
 
     schema = S.StructType(
         [S.StructField("scope", S.StringType()), S.StructField("block", S.LongType()), S.StructField("term", S.StringType()), S.StructField("n", S.IntegerType()), S.StructField("high", S.IntegerType()), S.StructField("short", S.IntegerType())]
         + [S.StructField(c, S.ArrayType(k)) for c, k in (("at", S.IntegerType()), ("tf", S.IntegerType()), ("ids", kind))]
     )
-    rows = docs.select(F.col("scope").cast("string").alias("scope"), "id", T.tokens(F.col("text")).alias("w"))
+    cut = "words" in docs.columns
+    rows = docs.select(F.col("scope").cast("string").alias("scope"), "id", F.col("words").alias("w") if cut else T.tokens(F.col("text")).alias("w"), F.col("length").cast("int").alias("n") if cut else F.lit(None).cast("int").alias("n"))
     return stored(rows.mapInArrow(run, schema), "lexical-index", path)
 
 
-def _block(scope: str, ids, lists, terms, np, pa, pc):
-    """A block's rows. lists: the words of each document."""
-    lengths = np.asarray(pc.fill_null(lists.value_lengths(), 0), dtype=np.int64)
-    doc = np.repeat(np.arange(len(ids)), lengths)
+def _block(scope: str, ids, lists, longer, terms, np, pa, pc):
+    """A block's rows. lists: the words of each document; longer: how many it has, where that isn't their number."""
+    held = np.asarray(pc.fill_null(lists.value_lengths(), 0), dtype=np.int64)
+    doc, lengths = np.repeat(np.arange(len(ids)), held), np.asarray(pc.coalesce(longer, pa.array(held, pa.int32())), dtype=np.int64)
     words = lists.flatten()
     if terms is not None:
         some = np.asarray(pc.is_in(words, value_set=terms))

@@ -336,3 +336,30 @@ def test_signal_snippets_once(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("[A-Za-z0-9_]+") == 1
     (found,) = df.select(pages.signal_snippets(F.col("content"))).first()
     assert [x.score for x in found] == [2, 2] and [r.url for r in made.collect()] == ["http://a"]  # passages that begin alike count once
+
+
+def test_index_of_cut_words(spark):
+    """Words that are cut down to the asked ones, with a text's own length, score as the text does."""
+    from sievewright.operators import lexical
+
+    texts = [(k, "S", " ".join(f"w{(k * j) % 7} x{j % 3}" for j in range(1 + k % 5))) for k in range(40)] + [(40, "S", "")]
+    docs = spark.createDataFrame(texts, "id long, scope string, text string")
+    queries = spark.createDataFrame([(0, "S", "w1 w2 x1 absent")], "query_id int, scope string, text string")
+    cut = docs.select("id", "scope", F.filter(T.tokens(F.col("text")), lambda t: t.isin("w1", "w2", "x1")).alias("words"), F.size(T.tokens(F.col("text"))).alias("length"))
+    whole, few = (sorted(map(tuple, lexical.search(lexical.build(d), queries, 9).collect())) for d in (docs, cut))
+    assert whole == few and len(few) == 9
+
+
+def test_url_coverage_moves_few_texts(spark, monkeypatch):
+    """What is dealt to targets and indexed there are words of their queries, not texts."""
+    from sievewright.operators import hybrid, lexical
+
+    targets = spark.createDataFrame([(1, o, f"http://{o % 3}", "alpha beta" if o < 2 else "") for o in range(6)], "run int, ordinal int, url string, query string")
+    chunks = spark.createDataFrame([(k, [f"http://{k % 3}", "http://1"], k, f"alpha {'beta ' * (k % 4)} text {k}", 0.5) for k in range(30)], "id long, urls array<string>, chunk_index int, document string, authority double")
+    seen = []
+    build = lexical.build
+    monkeypatch.setattr(lexical, "build", lambda docs, *more: seen.append(docs) or build(docs, *more))
+    got = [(r.place, r.url, r.bm25_rank, r.id) for r in hybrid.url_coverage(targets, chunks, 2).orderBy("place").collect()]
+    (docs,) = seen
+    assert {w for r in docs.collect() for w in r.words} == {"alpha", "beta"} and "text" not in docs.columns
+    assert got == [(1, "http://0", 1, 3), (2, "http://0", 2, 15), (3, "http://1", 1, 7), (4, "http://1", 2, 11)]
