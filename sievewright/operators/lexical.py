@@ -33,6 +33,8 @@ if TYPE_CHECKING:
 K1, B = 1.5, 0.75
 DIGITS = 6
 BLOCK = 4_096
+#: How many words a block is made of at most, unless one document has more: what a task holds beside its Arrow batch grows with them.
+WORDS = 500_000
 #: How many terms are summed between two looks at the k-th best score.
 LOOK = 8
 #: Terms to which a one-search index is cut down at most; with more it holds all terms.
@@ -56,7 +58,7 @@ def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None
         import pyarrow.compute as pc
 
         terms = None if held.value is None else pa.array(sorted(held.value), pa.string())
-        for batch in batches:
+        for batch in (some for whole in batches for some in _parts(whole, np)):
             batch = batch.filter(batch.column(0).is_valid())  # no query has a null scope
             coded = batch.column(0).dictionary_encode()
             order = np.argsort(np.asarray(coded.indices), kind="stable")
@@ -76,6 +78,16 @@ def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None
     return stored(rows.mapInArrow(run, schema), "lexical-index", path)
 
 
+def _parts(batch, np) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most WORDS words each, or of one row."""
+    ends, at = np.cumsum(np.asarray(batch.column(2).value_lengths().fill_null(0), dtype=np.int64)), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + WORDS, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _block(scope: str, ids, lists, longer, terms, np, pa, pc):
     """A block's rows. lists: the words of each document; longer: how many it has, where that isn't their number."""
     held = np.asarray(pc.fill_null(lists.value_lengths(), 0), dtype=np.int64)

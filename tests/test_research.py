@@ -363,3 +363,14 @@ def test_url_coverage_moves_few_texts(spark, monkeypatch):
     (docs,) = seen
     assert {w for r in docs.collect() for w in r.words} == {"alpha", "beta"} and "text" not in docs.columns
     assert got == [(1, "http://0", 1, 3), (2, "http://0", 2, 15), (3, "http://1", 1, 7), (4, "http://1", 2, 11)]
+
+
+def test_index_blocks_are_bounded_in_words(spark):
+    """A block takes so many words at most, so that long documents don't make it larger; one document is never cut."""
+    from sievewright.operators import lexical
+
+    docs = spark.range(6_000).coalesce(1).select(F.lit("").alias("scope"), "id", F.repeat(F.lit("a b c d "), 50).alias("text"))
+    docs = docs.unionByName(spark.range(6_000, 6_001).select(F.lit("").alias("scope"), "id", F.repeat(F.lit("z "), lexical.WORDS + 1).alias("text")))
+    index = lexical.build(docs).filter("term = ''")
+    found = [(r.n, sum(r.tf)) for r in index.collect()]
+    assert sum(n for n, _ in found) == 6_001 and all(words <= lexical.WORDS or n == 1 for n, words in found)
