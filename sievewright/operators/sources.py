@@ -18,13 +18,13 @@ def clean_lines(c: Column) -> Column:
     whole = F.regexp_replace(T.text(c), r"\r\n?", "\n")
     whole = F.regexp_replace(whole, r"(?i)https?://\S+\.(?:png|jpg|jpeg|gif|svg|webp)\S*", "")
     lines = F.transform(F.split(whole, "\n"), lambda x, i: F.struct(T.clean(x).alias("line"), i.alias("pos")))
-    keyed = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_replace(F.lower(x["line"]), r"(?U)\W+", " ")).alias("key"), x["pos"].alias("pos"), x["line"].alias("line"), T.token_count(x["line"]).alias("n")))
+    keyed = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_replace(F.lower(x["line"]), r"(?U)\W+", " ")).alias("key"), x["pos"].alias("pos"), x["line"].alias("line"), T.clean_count(x["line"]).alias("n")))
 
     def passes(x: Column) -> Column:
         navigation = F.lit(False)
         for start in T.NAVIGATION:
             navigation = navigation | F.startswith(x["key"], F.lit(start))
-        return (x["key"] == "") | ~((x["line"].rlike(rf"(?i)\b({T.NOISE})\b") & (x["n"] <= 18)) | navigation)
+        return (x["key"] == "") | ~(((x["n"] <= 18) & x["line"].rlike(rf"(?i)\b({T.NOISE})\b")) | navigation)
 
     def repeats(every: Column) -> Column:
         def stays(x: Column, i: Column) -> Column:

@@ -374,3 +374,14 @@ def test_index_blocks_are_bounded_in_words(spark):
     index = lexical.build(docs).filter("term = ''")
     found = [(r.n, sum(r.tf)) for r in index.collect()]
     assert sum(n for n, _ in found) == 6_001 and all(words <= lexical.WORDS or n == 1 for n, words in found)
+
+
+def test_counts_and_signals_once(spark):
+    """Counts of cleaned texts and guarded signals are those of the plain forms; a block is cleaned once, not at each use in the fold."""
+    rows = [*TEXTS, "", " ", "one", " one\t two \n", "a = bcdef", "a =b", "x=abcd", "class Foo", "softmax", "f(x) is", "tf. x", "no", "= = = ="]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    plain = F.size(F.filter(F.split(T.clean(F.col("t")), " "), lambda x: x != ""))
+    told = df.select(T.token_count(F.col("t")).alias("a"), plain.alias("b"), T.has_signal(F.col("t")).alias("c"), F.col("t").rlike(T.SIGNAL).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in told) and {r.d for r in told} >= {True, False}
+    plan = df.select(chunking.packed(chunking.blocks(F.col("t")), 100))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s+") < 20
