@@ -1,6 +1,6 @@
 """BM25 over a stored inverted index, with dynamic pruning.
 
-The index is made of blocks, up to BLOCK documents of one task each, and built where the documents lie: nothing is moved. It
+The index is made of blocks, up to BLOCK documents of one task and scope each, and built where the documents lie: nothing is moved. It
 has a row for each term of a block: the documents' numbers in the block, ascending by id, and how often each has the term,
 beside the number of postings, the highest count and the shortest length, from which an upper bound of the term's weight follows. A row with an
 empty term holds the block's ids and lengths. A term that all documents have is thus spread over all blocks. A scope is
@@ -35,6 +35,8 @@ DIGITS = 6
 BLOCK = 4_096
 #: How many words a block is made of at most, unless one document has more: what a task holds beside its Arrow batch grows with them.
 WORDS = 500_000
+#: How many bytes of text are cut into words at once, unless one document has more, and how many words that the index keeps wait for their blocks in a task, over all scopes.
+BYTES, WAITING = 3_000_000, 2_000_000
 #: How many terms are summed between two looks at the k-th best score.
 LOOK = 8
 #: Terms to which a one-search index is cut down at most; with more it holds all terms.
@@ -44,7 +46,7 @@ SLACK = 1e-6
 
 
 def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """The index of docs (scope, id, text), or (scope, id, words, length) where their words are cut down already, ids of any one type; rows with a null scope take no part. Blocks are small where a task's rows have many scopes, so sort such docs by scope first; with a vocabulary (term) only of its terms. With a path it is stored there for good, else until the driver ends."""
+    """The index of docs (scope, id, text), or (scope, id, words, length) where their words are cut down already, ids of any one type; rows with a null scope take no part. A task's documents wait until their scope fills a block; blocks are small where a task has very many scopes, so sort such docs by scope first. With a vocabulary (term) only of its terms. With a path it is stored there for good, else until the driver ends."""
     kind = docs.schema["id"].dataType
     wanted = None
     if vocabulary is not None:
@@ -58,45 +60,83 @@ def build(docs: DataFrame, vocabulary: DataFrame | None = None, path: str | None
         import pyarrow.compute as pc
 
         terms = None if held.value is None else pa.array(sorted(held.value), pa.string())
-        for batch in (some for whole in batches for some in _parts(whole, np)):
-            batch = batch.filter(batch.column(0).is_valid())  # no query has a null scope
-            coded = batch.column(0).dictionary_encode()
-            order = np.argsort(np.asarray(coded.indices), kind="stable")
-            cuts = np.flatnonzero(np.diff(np.asarray(coded.indices)[order], prepend=-1)).tolist() + [len(order)]
-            for scope, begin, end in zip(coded.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True):
-                for a in range(begin, end, BLOCK):
-                    part = batch.take(pa.array(order[a : min(end, a + BLOCK)]))
-                    part = part.take(pc.sort_indices(part.column(1)))
-                    yield _block(scope, part.column(1), part.column(2), part.column(3), terms, np, pa, pc)
+        waiting: dict[str, list] = {}  # of each scope: its parts, and how many documents, words and kept words they have
+
+        def block(scope: str) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(waiting.pop(scope)[0])
+            rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()
+            return _block(scope, *(rows.column(c).chunk(0) for c in ("id", "words", "length")), np, pa)
+
+        for whole in batches:
+            whole = whole.filter(whole.column(0).is_valid())  # no query has a null scope
+            size, most = (whole.column(2).value_lengths(), WORDS) if cut else (pc.binary_length(whole.column(2)), BYTES)
+            for some in _parts(whole, size, most, np):
+                coded = some.column(0).dictionary_encode()
+                words, length = _kept(some.column(2) if cut else _words(some.column(2), np, pa), some.column(3), terms, np, pa, pc)
+                told = pa.RecordBatch.from_arrays([some.column(1), words, length], ["id", "words", "length"])
+                order = np.argsort(np.asarray(coded.indices), kind="stable")
+                cuts = np.flatnonzero(np.diff(np.asarray(coded.indices)[order], prepend=-1)).tolist() + [len(order)]
+                for scope, begin, end in zip(coded.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                    rows = told.take(pa.array(order[begin:end]))
+                    for part in (p.slice(a, BLOCK) for p in _parts(rows, rows.column(2), WORDS, np) for a in range(0, p.num_rows, BLOCK)):
+                        more = part.num_rows, pc.sum(part.column(2)).as_py(), len(part.column(1).flatten())
+                        if scope in waiting and (waiting[scope][1] + more[0] > BLOCK or waiting[scope][2] + more[1] > WORDS):
+                            yield block(scope)
+                        before = waiting.get(scope, ([], 0, 0, 0))
+                        waiting[scope] = [before[0] + [part], *(a + b for a, b in zip(before[1:], more, strict=True))]
+                while sum(w[3] for w in waiting.values()) > WAITING:
+                    yield block(max(waiting, key=lambda s: waiting[s][3]))
+        for scope in list(waiting):
+            yield block(scope)
 
     schema = S.StructType(
         [S.StructField("scope", S.StringType()), S.StructField("block", S.LongType()), S.StructField("term", S.StringType()), S.StructField("n", S.IntegerType()), S.StructField("high", S.IntegerType()), S.StructField("short", S.IntegerType())]
         + [S.StructField(c, S.ArrayType(k)) for c, k in (("at", S.IntegerType()), ("tf", S.IntegerType()), ("ids", kind))]
     )
     cut = "words" in docs.columns
-    rows = docs.select(F.col("scope").cast("string").alias("scope"), "id", F.col("words").alias("w") if cut else T.tokens(F.col("text")).alias("w"), F.col("length").cast("int").alias("n") if cut else F.lit(None).cast("int").alias("n"))
+    rows = docs.select(F.col("scope").cast("string").alias("scope"), "id", F.col("words").alias("w") if cut else F.lower(T.text(F.col("text"))).alias("w"), F.col("length").cast("int").alias("n") if cut else F.lit(None).cast("int").alias("n"))
     return stored(rows.mapInArrow(run, schema), "lexical-index", path)
 
 
-def _parts(batch, np) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows with at most WORDS words each, or of one row."""
-    ends, at = np.cumsum(np.asarray(batch.column(2).value_lengths().fill_null(0), dtype=np.int64)), 0
+def _parts(batch, sizes, most: int, np) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose sizes add up to `most`, or of one row."""
+    ends, at = np.cumsum(np.asarray(sizes.fill_null(0), dtype=np.int64)), 0
     while at < len(ends):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + WORDS, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
 
-def _block(scope: str, ids, lists, longer, terms, np, pa, pc):
-    """A block's rows. lists: the words of each document; longer: how many it has, where that isn't their number."""
-    held = np.asarray(pc.fill_null(lists.value_lengths(), 0), dtype=np.int64)
-    doc, lengths = np.repeat(np.arange(len(ids)), held), np.asarray(pc.coalesce(longer, pa.array(held, pa.int32())), dtype=np.int64)
-    words = lists.flatten()
-    if terms is not None:
-        some = np.asarray(pc.is_in(words, value_set=terms))
-        doc, words = doc[some], words.filter(pa.array(some))
-    coded = words.dictionary_encode()
+def _words(texts, np, pa):
+    """The tokens of lower-cased texts, as text.tokens() has them, in lists: what is none of its characters goes, and words begin where one of them follows another character or begins a text."""
+    texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    inside = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8))[data]
+    before = np.r_[False, inside][:-1]
+    before[ends[:-1][ends[:-1] < len(data)]] = False
+    first = np.flatnonzero(inside & ~before)
+    at = np.r_[np.cumsum(inside, dtype=np.int32)[first] - 1, np.int32(np.count_nonzero(inside))].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(at), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, ends), pa.int32()), words)
+
+
+def _kept(lists, longer, terms, np, pa, pc):
+    """The words of each document that are among the terms, and how many it has; longer tells that where the lists are cut already."""
+    held = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    words, length = lists.flatten(), pc.coalesce(longer, pa.array(held, pa.int32()))
+    some = np.ones(len(words), dtype=bool) if terms is None else np.asarray(pc.is_in(words, value_set=terms))
+    ends = np.r_[0, np.cumsum(some)][np.r_[0, np.cumsum(held)]]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words if terms is None else words.filter(pa.array(some))), length
+
+
+def _block(scope: str, ids, lists, lengths, np, pa):
+    """A block's rows. lists: the kept words of each document; lengths: how many it has in all."""
+    held = np.asarray(lists.value_lengths(), dtype=np.int64)
+    doc, lengths = np.repeat(np.arange(len(ids)), held), np.asarray(lengths, dtype=np.int64)
+    coded = lists.flatten().dictionary_encode()
     pair, tf = np.unique(np.asarray(coded.indices, dtype=np.int64) * max(1, len(ids)) + doc, return_counts=True)
     term, at = np.divmod(pair, max(1, len(ids)))
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, dtype=np.int64)
@@ -114,6 +154,11 @@ def _block(scope: str, ids, lists, longer, terms, np, pa, pc):
     return pa.RecordBatch.from_arrays(cols, ["scope", "block", "term", "n", "high", "short", "at", "tf", "ids"])
 
 
+def members(index: DataFrame) -> DataFrame:
+    """(scope, id) of all documents of an index."""
+    return index.filter("term = ''").select("scope", F.explode("ids").alias("id"))
+
+
 def vocabulary(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
 
@@ -168,21 +213,22 @@ def _best(rows, dl: np.ndarray, k: int) -> Iterator[tuple]:
 
     avgdl = rows.column("avgdl")[0].as_py() or 1.0
     spread = K1 * (1 - B + B * dl / avgdl)
-    at, weight, bound, asks = [], [], [], {}
-    for j, (a, tf, high, short, told) in enumerate(zip(*(rows.column(c) for c in ("at", "tf", "high", "short", "asks")), strict=True)):
-        a, tf = np.asarray(a.values), np.asarray(tf.values, dtype=float)
-        at.append(a)
-        weight.append(tf * (K1 + 1) / (tf + spread[a]))
-        h = high.as_py()
-        bound.append(h * (K1 + 1) / (h + K1 * (1 - B + B * short.as_py() / avgdl)))
-        for x in told.as_py():
-            asks.setdefault(x["query_id"], []).append((x["weight"] * bound[j], j, x["weight"]))
-    for query, terms in asks.items():
-        terms.sort(reverse=True)
-        left = np.r_[np.cumsum([b for b, _, _ in terms][::-1])[::-1], 0.0]  # bounds of a term and those after it
+    lists, tfs, high, short, told = (rows.column(c).combine_chunks() for c in ("at", "tf", "high", "short", "asks"))
+    flat, tf, high, short = np.asarray(lists.flatten()), np.asarray(tfs.flatten(), dtype=float), np.asarray(high, dtype=float), np.asarray(short, dtype=float)
+    cuts = np.cumsum(np.asarray(lists.value_lengths()))[:-1]
+    at, weight = np.split(flat, cuts), np.split(tf * (K1 + 1) / (tf + spread[flat]), cuts)
+    bound = high * (K1 + 1) / (high + K1 * (1 - B + B * short / avgdl))
+    asked, of = told.flatten(), np.repeat(np.arange(len(told)), np.asarray(told.value_lengths()))  # each ask, and its term's number
+    names, own = asked.field("query_id").dictionary_encode(), np.asarray(asked.field("weight"), dtype=float)
+    most, number = own * bound[of], np.asarray(names.indices)
+    order = np.lexsort((-of, -most, number))
+    parts = np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+    for query, part in zip(names.dictionary.to_pylist(), parts, strict=True):
+        left = np.r_[np.cumsum(most[part][::-1])[::-1], 0.0]  # bounds of a term and those after it
         score, some, n = np.zeros(len(dl)), None, 0
         summed = looked = 0
-        for n, (_, j, w) in enumerate(terms):
+        terms = list(zip(of[part].tolist(), own[part].tolist(), strict=True))
+        for n, (j, w) in enumerate(terms):
             if n and n % LOOK == 0 and len(dl) > k and some is None:
                 least = np.partition(score, len(dl) - k)[len(dl) - k]
                 if least > 0 and left[n] < least - SLACK:
@@ -198,7 +244,7 @@ def _best(rows, dl: np.ndarray, k: int) -> Iterator[tuple]:
         final = final if some is None else np.where(some, final, 0.0)
         found = np.flatnonzero(final > 0) if len(dl) <= k else np.flatnonzero((final > 0) & (final >= np.partition(final, len(dl) - k)[len(dl) - k]))
         found = found[np.lexsort((found, -final[found]))][:k]
-        yield query, found.tolist(), final[found].tolist(), sum(len(at[j]) for _, j, _ in terms), summed, looked
+        yield query, found.tolist(), final[found].tolist(), sum(len(at[j]) for j, _ in terms), summed, looked
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
